@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, sharding, url_filter, warc
+from . import decontaminate, jaccard_join, mixing, quality, sharding, url_filter, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_warc_archive": warc.op6_warc_archive,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_sharding": sharding.op10_sharding,
     }
 
@@ -21,4 +22,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": url_filter.SQL,
         "op5_decontaminate": decontaminate.SQL,
         "op6_warc_archive": warc.SQL,
+        "op9_jaccard_join": jaccard_join.SQL,
     }
