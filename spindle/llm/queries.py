@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, mixing, quality, sharding, url_filter, warc
+from . import decontaminate, jaccard_join, language_id, mixing, pii, quality, sharding, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
     return {
         "op1_quality_rules": quality.op1_quality_rules,
         "op2_mix_sources": mixing.op2_mix_sources,
+        "op3_language_id": language_id.op3_language_id,
         "op4_url_filter": url_filter.op4_url_filter,
         "op5_decontaminate": decontaminate.op5_decontaminate,
         "op6_warc_archive": warc.op6_warc_archive,
+        "op7_find_pii": pii.op7_find_pii,
+        "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_sharding": sharding.op10_sharding,
     }
