@@ -68,12 +68,12 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", min_revisit
         F.encode(
             _header(F.col("kind"), F.col("id"), F.col("url"), F.col("sha1"), F.col("size"), F.when(revisit, F.col("keeper"))), "UTF-8"
         ).alias("header"),
-    ).write.parquet(f"{path}/headers")
+    ).write.option("compression", "zstd").parquet(f"{path}/headers")
     # (digest, id) spreads the rows of a frequent payload before one of them is kept
     lowest = F.lit(-(1 << 63))
     keepers = first.select("sha256", F.coalesce("keeper", lowest).alias("keeper"))
     kept = rows.select("sha256", F.coalesce("id", lowest).alias("keeper"), "body").join(keepers, ["sha256", "keeper"], "left_semi")
-    kept.groupBy("sha256").agg(F.first("body").alias("body")).write.parquet(f"{path}/payloads")
+    kept.groupBy("sha256").agg(F.first("body").alias("body")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
