@@ -39,6 +39,8 @@ from .components import components
 #: Cells a partition and cells left out: first and second enumeration.
 COARSE, FINE = (2, 1), (5, 2)
 BAND_RATIO, SMALL = 2.0, 16
+#: Bytes that are hashed together; longs of the parity words that rule pairs out.
+BLOCK, PARITY = 1 << 20, 16
 NO_ID = (1 << 63) - 1
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -51,30 +53,66 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = np.random.default_rng(3).integers(0, 1 << 64, 256, dtype=_U)
+_P = 0x9E3779B97F4A7C15
+_INVERSE = pow(_P, -1, 1 << 64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, _U)
+    out[0] = 1
+    return np.cumprod(out)
+
+
 class Shingler:
-    """Sets of n-word shingles as sorted, distinct 64-bit hashes."""
+    """Sets of n-word shingles of texts, as sorted and distinct 64-bit hashes. A word's hash is a polynomial in its bytes, all words of
+    a block at once: a difference of running sums, shifted back by the inverse of the base."""
 
     def __init__(self, n: int):
-        self.n, self.known = n, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
-        if not words:
-            return np.zeros(0, _U)
-        if len(self.known) > 1_000_000:
-            self.known.clear()
-        known, hashes = self.known, []
-        for w in words:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh3_64_intdigest(w)
-            hashes.append(h)
-        h = np.array(hashes, _U)
-        k = min(self.n, len(h))
-        g = h[: len(h) - k + 1].copy()
-        for i in range(1, k):
-            g = g * _U(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i]
-        return np.unique(_mixed(g + _U(k)))
+        self.n = n
+        self.up = self.down = np.zeros(0, _U)
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and hashes of the words of data."""
+        raw = np.frombuffer(data.translate(_FOLD), np.uint8)
+        if len(self.up) <= len(raw):
+            self.up, self.down = _powers(_P, len(raw) + 1), _powers(_INVERSE, len(raw) + 1)
+        blank = np.concatenate([[True], _BLANK[raw], [True]])
+        edge = blank[1:] != blank[:-1]
+        at = np.flatnonzero(edge)
+        start, end = at[::2], at[1::2]
+        sums = np.concatenate([np.zeros(1, _U), np.cumsum(_LETTER[raw] * self.up[: len(raw)])])
+        return start, _mixed((sums[end] - sums[start]) * self.down[start] + (end - start).astype(_U))
+
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The sets of the texts, in their order."""
+        raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+        i = 0
+        while i < len(raw):
+            j, size = i, 0
+            while j < len(raw) and (j == i or size + len(raw[j]) < BLOCK):
+                size += len(raw[j]) + 1
+                j += 1
+            start, h = self.words(b" ".join(raw[i:j]))
+            begin = np.cumsum([0, *[len(r) + 1 for r in raw[i:j]]])
+            cut = np.searchsorted(start, begin)
+            n = min(self.n, len(h))
+            g = h[: len(h) - n + 1].copy() if n else h
+            for k in range(1, n):
+                g = g * _U(_P) + h[k : len(h) - n + 1 + k]
+            g = _mixed(g + _U(n))
+            for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+                if b - a >= self.n:
+                    yield np.unique(g[a : b - self.n + 1])
+                elif b > a:
+                    one = h[a : a + 1].copy()
+                    for x in h[a + 1 : b]:
+                        one = one * _U(_P) + x
+                    yield _mixed(one + _U(b - a))
+                else:
+                    yield h[:0]
+            i = j
 
 
 def allowed(size: int, percent: int) -> int:
@@ -122,6 +160,13 @@ def signatures(grams: np.ndarray, percent: int, shape: tuple[int, int]) -> np.nd
     return np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
 
 
+def parity(grams: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits, each the parity of the elements that fall on it: two sets differ in at least as many elements as bits."""
+    bit = (grams & _U(64 * PARITY - 1)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd).view(_U)
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     same = len(np.intersect1d(a, b, assume_unique=True))
     return 100 * same >= percent * (len(a) + len(b) - same)
@@ -147,10 +192,7 @@ def sizes(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
     """(class, n_shingles) added to docs by a pandas UDF; class is null for an empty set."""
     @F.pandas_udf("class long, n_shingles long")
     def size(texts: pd.Series) -> pd.DataFrame:
-        shingle, out = Shingler(n), []
-        for t in texts:
-            g = shingle(t)
-            out.append((_class_of(g) if len(g) else None, len(g)))
+        out = [(_class_of(g) if len(g) else None, len(g)) for g in Shingler(n)(list(texts))]
         return pd.DataFrame({"class": pd.array([c for c, _ in out], dtype="Int64"), "n_shingles": [s for _, s in out]})
 
     return docs.withColumn("of", size(F.col(text)))
@@ -163,7 +205,7 @@ def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
         shingle = Shingler(n)
         for whole in batches:
             for batch in _blocks(whole):
-                grams = [g for t in batch.column(0).to_pylist() if len(g := shingle(t))]
+                grams = [g for g in shingle(batch.column(0).to_pylist()) if len(g)]
                 sigs = [signatures(g, percent, COARSE) for g in grams]
                 owner = np.repeat(np.array([_class_of(g) for g in grams], np.int64), [len(s) for s in sigs])
                 flat = np.concatenate([np.zeros(0, _U), *sigs]).view(np.int64)
@@ -202,12 +244,14 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok = [linked(np.asarray(p.values).view(_U), np.asarray(q.values).view(_U), percent) for p, q in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"), F.col("n").alias("nx"))
-    y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"), F.col("n").alias("ny"))
-    # sizes alone rule out many pairs before their sets are fetched
-    near = (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))
-    joined = pairs.join(x, "a").join(y, "b").where(near)
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    # sizes and parity words rule most pairs out before their sets are fetched
+    side = lambda k: sets.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    unlike = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (unlike * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
+    left = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "near")
+    x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
+    y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
+    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
 def _differences(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -271,11 +315,12 @@ def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) ->
         shingle = Shingler(n)
         for whole in batches:
             for batch in _blocks(whole):
-                got = [shingle(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in got], pa.int64()), _ints(got)], ["class", "n", "grams"])
+                got = list(shingle(batch.column(1).to_pylist()))
+                sizes = pa.array([len(g) for g in got], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, _ints([parity(g) for g in got]), _ints(got)], ["class", "n", "parity", "grams"])
 
     texts = docs.select("text", F.xxhash64("text").alias("key"), "tie")
-    sets = written(texts.join(picked, ["key", "tie"]).select("class", "text").mapInArrow(grams, "class long, n long, grams array<long>").dropDuplicates(["class"]), "sets")
+    sets = written(texts.join(picked, ["key", "tie"]).select("class", "text").mapInArrow(grams, "class long, n long, parity array<long>, grams array<long>").dropDuplicates(["class"]), "sets")
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -290,12 +335,12 @@ def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) ->
     pairs = _small_pairs(members, groups).union(_small_pairs(fine_members, fine_groups)).distinct()
     seen = _differences(fine_members, fine_groups, sets, percent)
     direct = _compared(pairs, sets, percent).union(seen.where("ok").select(F.col("r").alias("a"), F.col("x").alias("b")))
-    direct = direct.toDF("u", "v")
+    direct = written(direct.toDF("u", "v"), "direct")
     joined = written(components(direct), "joined")
     more = written(_compared(_hidden_pairs(seen, joined, percent), sets, percent).toDF("u", "v"), "more")
     if more.isEmpty():
         return joined
-    return components(joined.toDF("u", "v").union(more))
+    return components(written(joined.toDF("u", "v").union(more), "linked"))
 
 
 def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
