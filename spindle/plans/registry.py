@@ -1,11 +1,530 @@
-"""The registered queries of the retrieval engine and the SQL that checks them."""
+"""The registered queries of the retrieval engine and the SQL that checks them.
+
+Tables stand for the engine's own: documents are texts of one chunk (source is a tag, lang a collection, added_at an hour a document),
+conversations are documents whose turns are chunks and whose roles are sections."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spindle.functions import score as S
+from spindle.functions import text as T
+from spindle.operators import catalog, chunk, evaluate, models, paper, present
+from spindle.operators import index as ix
+from spindle.operators import search as se
+
+QUERY = "idiot worthless the"
+QUERIES = {1: "the and tion", 2: "idiot clown moron", 3: "licensed under the apache license"}
+KEY = ["doc_id"]
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    return _t(spark, d, "documents").select("doc_id", "text", *columns)
+
+
+def _dated(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("added_at", F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, cast(doc_id AS int), 0, 0)"))
+
+
+def _long(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+def token_counts(spark, d):
+    return ix.term_counts(_docs(spark, d), KEY)
+
+
+def doc_frequency(spark, d):
+    return ix.document_frequency(ix.term_counts(_docs(spark, d), KEY))
+
+
+def top_terms_50(spark, d):
+    return ix.top_terms(ix.term_counts(_docs(spark, d), KEY), KEY)
+
+
+def postings_lookup(spark, d):
+    postings, _ = ix.index(_docs(spark, d), KEY)
+    return postings.join(F.broadcast(se.query_table(spark, {1: QUERY})), "term").select("doc_id").distinct()
+
+
+def inverted_index_stats(spark, d):
+    return ix.statistics(ix.index(_docs(spark, d), KEY)[0], "doc_id")
+
+
+def _bm25(spark, d, queries, where=None, corpus=False, boost=None, columns=()):
+    docs = _docs(spark, d, *columns)
+    postings, lens = ix.index(docs, KEY)
+    if where is not None or boost is not None:
+        docs = _dated(docs) if "added_at" in str(where) else docs
+        lens = lens.join((docs if where is None else docs.where(where)).drop("text") if boost is None else docs, "doc_id")
+    return se.bm25(postings, lens, se.query_table(spark, queries), KEY, corpus=corpus, boost=boost)
+
+
+def _out(hits: DataFrame, *more: str) -> DataFrame:
+    return _long(hits.select("query_id", "doc_id", F.round("score", 6).alias("score"), *more), *[m for m in more if m == "rank"])
+
+
+def bm25_topk(spark, d):
+    return _out(se.top(_bm25(spark, d, {1: QUERY}), 8, KEY), "rank")
+
+
+def bm25_corpus_stats(spark, d):
+    return _out(se.top(_bm25(spark, d, QUERIES, corpus=True), 20, KEY), "rank")
+
+
+def bm25_trim15(spark, d):
+    return _out(se.trimmed(_bm25(spark, d, QUERIES)))
+
+
+def bm25_filtered(spark, d):
+    where = se.SearchFilter(source_type="en", tags=("SRC1", "src2", "src3")).column(source_type="lang", tags="tags")
+    docs = _docs(spark, d, "lang", "source").withColumn("tags", F.array("source"))
+    postings, lens = ix.index(docs, KEY)
+    lens = lens.join(docs.where(where).select("doc_id"), "doc_id")
+    return _out(se.top(se.bm25(postings, lens, se.query_table(spark, QUERIES), KEY), 8, KEY), "rank")
+
+
+def bm25_time_range(spark, d):
+    where = se.SearchFilter(added_after="2024-01-05 00:00:00", added_before="2024-01-20 12:00:00").column()
+    return _out(se.top(_bm25(spark, d, QUERIES, where), 8, KEY), "rank")
+
+
+def bm25_boosted(spark, d):
+    docs = _docs(spark, d, "source")
+    postings, lens = ix.index(docs, KEY)
+    lens = lens.join(docs.select("doc_id", F.when(F.col("source") == "src1", F.lit(se.BOOST)).otherwise(F.lit(1.0)).alias("weight")), "doc_id")
+    return _out(se.top(se.bm25(postings, lens, se.query_table(spark, QUERIES), KEY, boost=F.col("weight")), 8, KEY), "rank")
+
+
+def bm25_batch_queries(spark, d):
+    items = _t(spark, d, "benchmark")
+    queries = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
+    postings, lens = ix.index(_docs(spark, d), KEY)
+    return _out(se.top(se.bm25(postings, lens, queries, KEY), 3, KEY), "rank")
+
+
+def _vectors(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+
+
+def _query_vectors(spark, d, ids):
+    v = _vectors(spark, d)
+    out = None
+    for q, i in ids.items():
+        one = v.where(F.col("doc_id") == i).select(F.lit(q).cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+def cosine_topk(spark, d):
+    return _out(se.top(se.dense(_vectors(spark, d), _query_vectors(spark, d, {1: 7, 2: 11}), KEY), 10, KEY), "rank")
+
+
+def _hybrid(spark, d, queries, alpha, vectors):
+    sparse = _bm25(spark, d, queries)
+    dense = se.dense(_vectors(spark, d), _query_vectors(spark, d, vectors), KEY)
+    return se.top(se.trimmed(se.hybrid(sparse, dense, alpha, KEY)), 20, KEY)
+
+
+def hybrid_rrf(spark, d):
+    return _out(_hybrid(spark, d, {1: QUERIES[1], 2: QUERIES[2]}, 0.5, {1: 7, 2: 11}), "rank")
+
+
+ASKED = {1: "the and tion", 2: "what is the idiot clown"}
+
+
+def hybrid_alpha_by_query_type(spark, d):
+    alpha = F.lit(0.5)
+    for q, text in ASKED.items():
+        alpha = F.when(F.col("query_id") == q, S.alpha_of(S.query_type(F.lit(text)))).otherwise(alpha)
+    return _out(_hybrid(spark, d, ASKED, alpha, {1: 7, 2: 11}), "rank")
+
+
+def hybrid_dense_only_fallback(spark, d):
+    return _out(_hybrid(spark, d, {1: "zzzzqqq nosuchterm"}, 0.5, {1: 7}), "rank")
+
+
+def query_types(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", S.query_type(F.col("text")).alias("kind"), S.alpha_of(S.query_type(F.col("text"))).alias("alpha"))
+
+
+TURN = ["conv_id", "turn"]
+
+
+def _turns(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+
+
+def _turn_hits(spark, d, queries):
+    postings, lens = ix.index(_turns(spark, d), TURN)
+    return se.bm25(postings, lens, se.query_table(spark, queries), TURN)
+
+
+def maxp_documents(spark, d):
+    hits = se.top(se.trimmed(_turn_hits(spark, d, QUERIES)), 24, TURN)
+    docs = se.max_passage(hits.drop("rank"), "conv_id", ["turn"], 8)
+    names = F.array_join(F.transform("chunks", lambda c: c["turn"].cast("string")), ",")
+    return _long(docs.select("query_id", "conv_id", F.round("score", 6).alias("score"), names.alias("turns"), "rank"), "rank")
+
+
+def search_all_kbs(spark, d):
+    docs = _docs(spark, d, "lang")
+    postings, lens = ix.index(docs, KEY)
+    lens = lens.join(docs.select("doc_id", F.col("lang").alias("kb")), "doc_id")
+    hits = se.search_all(postings, lens, se.query_table(spark, QUERIES), KEY, "kb", KEY, 10)
+    return _out(hits, "kb", "rank")
+
+
+def coarse_to_fine(spark, d):
+    turns = _turns(spark, d)
+    sections = chunk_sections(turns)
+    queries = se.query_table(spark, {1: QUERIES[1]})
+    entries = se.in_top_sections(turns.select("conv_id", "turn", "role"), sections, queries, "conv_id", "role")
+    postings, lens = ix.index(turns, TURN)
+    lens = lens.join(entries.select(*TURN), TURN)
+    return _long(se.top(se.bm25(postings, lens, queries, TURN), 8, TURN).select("query_id", *TURN, F.round("score", 6).alias("score"), "rank"), "rank")
+
+
+def chunk_sections(turns):
+    rows = turns.select("conv_id", F.col("turn").alias("chunk_no"), F.col("role").alias("section"), F.col("text").alias("content"), F.lit(0).alias("offset"))
+    return chunk.sections(rows, ["conv_id"]).select("conv_id", F.col("section").alias("role"), F.col("content").alias("text"))
+
+
+def coarse_sections(spark, d):
+    return chunk_sections(_turns(spark, d))
+
+
+def section_hint(spark, d):
+    hits = se.top(_turn_hits(spark, d, QUERIES), 40, TURN).join(_turns(spark, d).drop("text"), TURN)
+    return present.section_hints(hits, ["query_id", "conv_id"], "role").select("query_id", *TURN, "section_hint")
+
+
+def _shown(spark, d):
+    hits = se.top(_turn_hits(spark, d, QUERIES), 60, TURN).join(_turns(spark, d), TURN)
+    return _long(hits, "rank")
+
+
+def snippet_jaccard_pairs(spark, d):
+    pairs = present.similar_pairs(_shown(spark, d), ["query_id", "conv_id"], "rank", "text", 0.2)
+    return pairs.withColumn("similarity", F.round("similarity", 6))
+
+
+def dedup_marks(spark, d):
+    rows = _turns(spark, d).withColumn("query_id", F.lit(1).cast("long")).withColumn("rank", F.col("turn").cast("long"))
+    return present.duplicate_marks(rows, ["query_id", "conv_id"], "rank", "turn", "text", 0.2).select("conv_id", "rank", "duplicate_of")
 
-def queries() -> dict:
-    return {}
+
+def snippets(spark, d):
+    hits = se.top(_bm25(spark, d, {1: QUERY}), 20, KEY).join(_docs(spark, d), "doc_id")
+    made = present.snippets(hits, F.lit(QUERY), F.array(*[F.lit(t) for t in T.query_terms(QUERY)]))
+    return made.select("doc_id", "snippet")
+
+
+def sentence_split(spark, d):
+    return _docs(spark, d).select("doc_id", F.posexplode(T.sentences("text")).alias("nth", "sentence")).select("doc_id", F.col("nth").cast("long").alias("nth"), "sentence")
+
+
+def _exploded(docs, array, name="content"):
+    return docs.select("doc_id", F.posexplode(array).alias("nth", name)).select("doc_id", F.col("nth").cast("long").alias("nth"), name)
+
+
+def long_split_pack(spark, d):
+    return _exploded(_docs(spark, d).where(F.char_length("text") > chunk.LONG), chunk.packed(F.col("text")))
+
+
+def _turn_lists(spark, d):
+    t = _turns(spark, d).groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("p"))
+    return t.select("doc_id", F.transform("p", lambda x: x["text"]).alias("p"))
+
+
+def merge_short(spark, d):
+    return _exploded(_turn_lists(spark, d), chunk.merged_short(F.col("p"), chunk.SHORT))
+
+
+def merge_fragments(spark, d):
+    return _exploded(_turn_lists(spark, d), chunk.merged_short(F.col("p"), chunk.FRAGMENT))
+
+
+def overlap_chunks(spark, d):
+    return _exploded(_turn_lists(spark, d), chunk.overlapped(F.col("p")))
+
+
+def chunk_documents(spark, d):
+    out = chunk.chunks(_docs(spark, d), KEY)
+    return _long(out.select("doc_id", "chunk_no", "chunk_id", "content", "section", "section_role", "offset"), "chunk_no", "offset")
+
+
+def section_roles(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.section_role(F.concat(F.lit("## 1. "), T.html_to_text("html"))).alias("role"))
+
+
+def paper_flag(spark, d):
+    return _docs(spark, d).select("doc_id", T.looks_like_paper("text").alias("is_paper"))
+
+
+def paper_meta(spark, d):
+    return paper.with_paper_meta(_docs(spark, d)).select("doc_id", "title", F.array_join("authors", "; ").alias("authors"), "abstract", "is_paper")
+
+
+def html_to_text(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.html_to_text("html").alias("text"))
+
+
+def context_window(spark, d):
+    return present.context(_turns(spark, d), ["conv_id"], "turn", "text", 1).select("conv_id", "turn", "context")
+
+
+def mock_rerank(spark, d):
+    hits = se.top(_bm25(spark, d, QUERIES), 20, KEY).join(_docs(spark, d), "doc_id")
+    text = F.lit("")
+    for q, t in QUERIES.items():
+        text = F.when(F.col("query_id") == q, F.lit(t)).otherwise(text)
+    again = hits.withColumn("score", models.overlap_score(text, F.col("text")))
+    return _out(se.top(again.drop("rank"), 8, KEY), "rank")
+
+
+def mock_embedding(spark, d):
+    out = models.embedded(_t(spark, d, "benchmark"), models.HashEmbedder(8), "text")
+    return out.select("item_id", F.array_join(F.transform("vector", lambda v: v.cast("string")), ",").alias("vector"))
+
+
+def semantic_merge(spark, d):
+    rows = _t(spark, d, "embeddings").select(F.col("label").alias("doc"), "vec_id", F.col("vec_id").cast("string").alias("content"), F.col("embedding").cast("array<double>").alias("vector"))
+    return chunk.semantic_merge(rows, ["doc"], "vec_id").select("doc", F.col("nth").cast("long").alias("nth"), "content")
+
+
+def synonym_rewrite(spark, d):
+    asked = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    return models.variants(asked, {"the": ["ze"], "and": ["plus", "with"]}).select("conv_id", "turn", "variant")
+
+
+def _listing(spark, d):
+    return _dated(_docs(spark, d, "lang", "source")).select("doc_id", F.concat("source", F.lit("-"), F.col("doc_id").cast("string")).alias("name"), "lang", F.octet_length("text").cast("long").alias("total_chars"), "added_at")
+
+
+def doc_listing_page(spark, d):
+    where = (F.col("lang") == "en") & F.lower("name").contains("src1")
+    return catalog.page(_listing(spark, d), F.col("total_chars"), "doc_id", True, 20, 20, where).select("doc_id", "name", "total_chars", "total")
+
+
+def upload_summary(spark, d):
+    return catalog.upload_summary(_docs(spark, d, "lang"), "lang", F.char_length("text") >= 500)
+
+
+def doc_checksum(spark, d):
+    rows = _turns(spark, d)
+    return catalog.checksum(rows, ["conv_id"], "turn", F.lpad(F.col("turn").cast("string"), 3, "0"), "text")
+
+
+def remove_document(spark, d):
+    postings, _ = ix.index(_docs(spark, d), KEY)
+    gone = _t(spark, d, "labels").where("toxic = 1").select("doc_id")
+    return ix.document_frequency(ix.without_documents(postings, gone, KEY))
+
+
+def append_document(spark, d):
+    base = chunk.chunks(_docs(spark, d).where(F.char_length("text") > chunk.LONG), KEY)
+    more = _t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
+    out = chunk.appended(base, more, KEY)
+    return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("content")).alias("chars"), F.max("chunk_no").cast("long").alias("last_no"))
+
+
+def eval_metrics(spark, d):
+    hits = bm25_batch_queries(spark, d)
+    log = hits.groupBy(F.col("query_id").alias("query")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("hits"))
+    good = _t(spark, d, "labels").where("quality = 1").agg(F.collect_set("doc_id").alias("relevant"))
+    return evaluate.metrics(log, log.select("query").crossJoin(good))
+
+
+BASE = r"""
+tok AS (SELECT {key}, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{Nd}}_]+')) AS term FROM {table}),
+tf_all AS (SELECT {key}, term, count(*) AS tf FROM tok GROUP BY ALL),
+lens AS (SELECT {key}, sum(tf)::DOUBLE AS length FROM tf_all GROUP BY ALL),
+post AS (SELECT {key}, term, tf FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY tf DESC, term) AS r FROM tf_all) WHERE r <= 50)"""
+
+
+def _base(key="doc_id", table="documents"):
+    return "WITH RECURSIVE " + BASE.format(key=key, table=table).strip()
+
+
+def _q(queries):
+    rows = ", ".join(f"({q}::BIGINT, '{t}')" for q, text in queries.items() for t in T.query_terms(text))
+    return f"q(query_id, term) AS (VALUES {rows})"
+
+
+PART = "ln(1e0 + (n - df + 0.5e0) / (df + 0.5e0)) * tf::DOUBLE * 2.2e0 / (tf::DOUBLE + 1.2e0 * (0.25e0 + 0.75e0 * length / average))"
+
+
+def _scored(key="doc_id", entries="SELECT * FROM lens", scope="", boost="1e0", name="sc"):
+    s = f", {scope}" if scope else ""
+    using = f"(query_id{s})"
+    return f"""
+ent AS ({entries}),
+m AS (SELECT * FROM post JOIN q USING (term) JOIN ent USING ({key})),
+st AS (SELECT query_id{s}, count(*)::DOUBLE AS n, avg(length) AS average FROM (SELECT DISTINCT query_id{s}, {key}, length FROM m) GROUP BY ALL),
+fr AS (SELECT query_id{s}, term, count(*)::DOUBLE AS df FROM m GROUP BY ALL),
+{name} AS (SELECT query_id{s}, {key}, round(sum({PART}) * {boost}, 9) AS score FROM m JOIN st USING {using} JOIN fr USING (query_id{s}, term) GROUP BY query_id{s}, {key})"""
+
+
+def _top(name, k, key="doc_id", more="", by="query_id"):
+    return f"SELECT query_id, {key}, round(score, 6) AS score{more}, rank FROM (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY score DESC, {key}) AS rank FROM {name}) WHERE rank <= {k}"
+
+
+def _trim(name, out="tr", by="query_id"):
+    return f"{out} AS (SELECT * FROM (SELECT *, max(score) OVER (PARTITION BY {by}) AS best FROM {name}) WHERE score >= 0.15e0 * best OR best <= 0)"
+
+
+def _dense(ids):
+    rows = ", ".join(f"({q}::BIGINT, {i})" for q, i in ids.items())
+    return f"""
+qv AS (SELECT query_id, embedding::DOUBLE[] AS vector FROM (VALUES {rows}) x(query_id, vec_id) JOIN embeddings USING (vec_id)),
+de AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) AS score FROM embeddings, qv),
+dn AS (SELECT * FROM de WHERE score > 0)"""
+
+
+def _hybrid_sql(queries, alpha, ids):
+    return f"""{_base()}, {_q(queries)}, {_scored()}, {_dense(ids)},
+dc AS (SELECT dn.* FROM dn WHERE (query_id, doc_id) IN (SELECT query_id, doc_id FROM sc) OR query_id NOT IN (SELECT query_id FROM sc)),
+a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS r1 FROM sc),
+b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS r2 FROM dc),
+f AS (SELECT query_id, doc_id, round(coalesce(({alpha}) / (60 + r1::DOUBLE), 0e0) + coalesce((1e0 - ({alpha})) / (60 + r2::DOUBLE), 0e0), 9) AS score
+  FROM a FULL JOIN b USING (query_id, doc_id)),
+{_trim('f')}
+{_top('tr', 20)}"""
+
+
+_SENT = r"regexp_extract_all({x}, '([^.!?。！？]*[.!?。！？]|[^.!?。！？]+$)', 1)"
+_SENTS = "list_filter(list_transform(" + _SENT + r", lambda s: CASE WHEN regexp_matches(s, '[.!?。！？]$') THEN s ELSE regexp_replace(s, '^\s+|\s+$', '', 'g') END), lambda s: s <> '')"
+_TRIMMED = "list_filter(list_transform(" + _SENTS + r", lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
+
+
+def _nth(array, source, name="content"):
+    return f"SELECT doc_id, i - 1 AS nth, p[i] AS {name} FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, {array} AS p FROM {source}))"
+
+
+def _reduce(p, body):
+    return f"list_reduce(list_transform({p}, lambda x: [x]), lambda o, x: {body})"
+
+
+_PACK = _reduce("s", "CASE WHEN length(o[-1]) + length(x[1]) <= 2000 THEN o[:-2] || [o[-1] || ' ' || x[1]] ELSE o || x END")
+_SHORT = "CASE WHEN length(x[1]) < {n} THEN o[:-2] || [o[-1] || chr(10) || chr(10) || x[1]] ELSE o || x END"
+_TAIL = """(CASE WHEN length(o[-1]) <= 200 THEN o[-1] WHEN regexp_matches(right(o[-1], 200), '[.!?。！？]') THEN regexp_replace(right(o[-1], 200), '^[^.!?。！？]*[.!?。！？]', '') ELSE right(o[-1], 200) END)"""
+_LAP = f"o || [CASE WHEN {_TAIL} <> '' THEN {_TAIL} || chr(10) || chr(10) || x[1] ELSE x[1] END]"
+_LISTS = "(SELECT conv_id AS doc_id, list(text ORDER BY turn) AS s FROM conversations GROUP BY conv_id)"
+_TURNS = _base("conv_id, turn", "conversations")
+_ROLES = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(h, '{w}')" for w in words) + f" THEN '{role}'" for role, words in T.SECTION_ROLES) + " ELSE '' END"
+_HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
+  '(?is)<(script|style)\b[^>]*>.*?</(script|style)>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'),
+  '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&'), '\s+', ' ', 'g'))"""
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> ''))"
+_VERBS = ", ".join(f"'{v}'" for v in S.VERBS)
+_JAC = "len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+_CHUNKED = f"""
+ps AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM documents),
+sp AS (SELECT doc_id, CASE WHEN length(b) <= 2000 OR len({_SENTS.format(x='b')}) <= 1 THEN [b] ELSE {_PACK.replace('(s,', '(' + _TRIMMED.format(x='b') + ',')} END AS s FROM ps WHERE b <> ''),
+fr AS (SELECT doc_id, {_reduce('s', _SHORT.format(n=60))} AS s FROM sp),
+ov AS (SELECT doc_id, {_reduce('s', _LAP)} AS s FROM fr)"""
+
+
+def _batch():
+    return f"""{_base()}, q AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{Nd}}_]+')) AS term FROM benchmark), {_scored()}"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    top_q = f"{_TURNS}, {_q(QUERIES)}, {_scored('conv_id, turn')}"
+    shown = top_q + f", sh AS ({_top('sc', 60, 'conv_id, turn')}), hw AS (SELECT sh.*, role, text, {_WORDS.format(x='text')} AS w FROM sh JOIN conversations USING (conv_id, turn))"
+    return {
+        "token_counts": _base() + " SELECT * FROM tf_all",
+        "doc_frequency": _base() + " SELECT term, count(*) AS df FROM tf_all GROUP BY term",
+        "top_terms_50": _base() + " SELECT * FROM post",
+        "postings_lookup": f"{_base()}, {_q({1: QUERY})} SELECT DISTINCT doc_id FROM post JOIN q USING (term)",
+        "inverted_index_stats": _base() + " SELECT count(DISTINCT term) AS terms, count(*) AS postings, count(DISTINCT doc_id) AS documents FROM post",
+        "bm25_topk": f"{_base()}, {_q({1: QUERY})}, {_scored()} {_top('sc', 8)}",
+        "bm25_corpus_stats": f"""{_base()}, {_q(QUERIES)}, m AS (SELECT * FROM post JOIN q USING (term) JOIN lens USING (doc_id)),
+st AS (SELECT count(*)::DOUBLE AS n, avg(length) AS average FROM lens), fr AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY term),
+sc AS (SELECT query_id, doc_id, round(sum({PART}), 9) AS score FROM m JOIN fr USING (term), st GROUP BY ALL) {_top('sc', 20)}""",
+        "bm25_trim15": f"{_base()}, {_q(QUERIES)}, {_scored()}, {_trim('sc')} SELECT query_id, doc_id, round(score, 6) AS score FROM tr",
+        "bm25_filtered": f"{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT lens.* FROM lens JOIN documents USING (doc_id) WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')")} {_top('sc', 8)}",
+        "bm25_time_range": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT * FROM lens WHERE TIMESTAMP '2024-01-01' + to_hours(doc_id) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00'")} {_top('sc', 8)}""",
+        "bm25_boosted": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT lens.*, CASE WHEN source = 'src1' THEN 1.1e0 ELSE 1e0 END AS boost FROM lens JOIN documents USING (doc_id)", boost='any_value(boost)')} {_top('sc', 8)}""",
+        "bm25_batch_queries": f"{_batch()} {_top('sc', 3)}",
+        "cosine_topk": f"WITH {_dense({1: 7, 2: 11}).strip()} {_top('dn', 10)}",
+        "hybrid_rrf": _hybrid_sql({1: QUERIES[1], 2: QUERIES[2]}, "0.5e0", {1: 7, 2: 11}),
+        "hybrid_alpha_by_query_type": _hybrid_sql(ASKED, "CASE query_id WHEN 2 THEN 0.4e0 WHEN 1 THEN 0.5e0 END", {1: 7, 2: 11}),
+        "hybrid_dense_only_fallback": _hybrid_sql({1: "zzzzqqq nosuchterm"}, "0.5e0", {1: 7}),
+        "query_types": rf"""WITH w AS (SELECT conv_id, turn, text, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '') AS ws FROM conversations),
+c AS (SELECT *, len(list_filter(ws, lambda w: w IN ({_VERBS})))::DOUBLE / len(ws) AS v, len(list_filter(ws, lambda w: w NOT IN ({_VERBS}) AND strlen(w) > 3))::DOUBLE / len(ws) AS o FROM w),
+k AS (SELECT conv_id, turn, CASE WHEN len(ws) < 2 THEN 'factual' WHEN rtrim(text, ' ') LIKE '%?' THEN 'conceptual' WHEN v >= 0.25 THEN 'conceptual' WHEN o >= 0.6 THEN 'factual' ELSE 'balanced' END AS kind FROM c)
+SELECT *, CASE kind WHEN 'conceptual' THEN 0.4e0 WHEN 'factual' THEN 0.6e0 ELSE 0.5e0 END AS alpha FROM k""",
+        "maxp_documents": f"""{top_q}, {_trim('sc')}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, conv_id, turn) AS r FROM tr) WHERE r <= 24),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id, conv_id ORDER BY score DESC, turn) AS nth FROM h),
+g AS (SELECT query_id, conv_id, max(score) AS score, string_agg(turn::VARCHAR, ',' ORDER BY nth) AS turns FROM p WHERE nth <= 3 GROUP BY ALL) {_top('g', 8, 'conv_id', ', turns')}""",
+        "search_all_kbs": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT lens.*, lang AS kb FROM lens JOIN documents USING (doc_id)", scope='kb')}, {_trim('sc', by='query_id, kb')},
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, kb ORDER BY score DESC, doc_id) AS r FROM tr) WHERE r <= 10),
+u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY kb) AS i FROM o) WHERE i = 1) {_top('u', 10, 'doc_id', ', kb')}""",
+        "coarse_to_fine": f"""WITH RECURSIVE sec AS (SELECT conv_id, role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL),
+best AS ({_base('conv_id, role', 'sec')}, {_q({1: QUERIES[1]})}, {_scored('conv_id, role')} {_top('sc', 3, 'conv_id, role')}),
+fine AS ({_TURNS}, {_q({1: QUERIES[1]})}, {_scored('conv_id, turn', "SELECT lens.* FROM lens JOIN conversations USING (conv_id, turn) WHERE role = '' OR (conv_id, role) IN (SELECT conv_id, role FROM best)")} {_top('sc', 8, 'conv_id, turn')})
+SELECT * FROM fine""",
+        "coarse_sections": "SELECT conv_id, role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL",
+        "section_hint": f"""{top_q}, h AS ({_top('sc', 40, 'conv_id, turn')}), c AS (SELECT h.*, role, count(*) OVER (PARTITION BY query_id, conv_id, role) AS n FROM h JOIN conversations USING (conv_id, turn))
+SELECT query_id, conv_id, turn, CASE WHEN role <> '' AND n >= 2 THEN n || ' hits in section ' || role || '; read the whole section' ELSE '' END AS section_hint FROM c""",
+        "snippet_jaccard_pairs": f"""{shown}, j AS (SELECT a.query_id, a.conv_id, a.rank AS rank_a, b.rank AS rank_b, {_JAC.format(a='a.w', b='b.w')} AS similarity FROM hw a JOIN hw b ON a.query_id = b.query_id AND a.conv_id = b.conv_id AND a.rank < b.rank)
+SELECT query_id, conv_id, rank_a, rank_b, round(similarity, 6) AS similarity FROM j WHERE round(similarity, 9) >= 0.2""",
+        "dedup_marks": f"""WITH RECURSIVE c AS (SELECT conv_id, turn AS rank, {_WORDS.format(x='text')} AS w FROM conversations),
+near AS (SELECT a.conv_id, a.rank AS a, b.rank AS b FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.rank < b.rank WHERE round({_JAC.format(a='a.w', b='b.w')}, 9) >= 0.2),
+lists AS (SELECT conv_id, list(rank ORDER BY rank) AS ranks FROM c GROUP BY conv_id),
+step AS (SELECT conv_id, 0::BIGINT AS i, []::BIGINT[] AS canon, NULL::BIGINT AS rank, NULL::BIGINT AS of FROM lists
+  UNION ALL
+  SELECT s.conv_id, s.i + 1, CASE WHEN f.of IS NULL THEN list_append(s.canon, l.ranks[s.i + 1]) ELSE s.canon END, l.ranks[s.i + 1], f.of
+  FROM step s JOIN lists l USING (conv_id) CROSS JOIN LATERAL (SELECT min(n.a) AS of FROM near n WHERE n.conv_id = s.conv_id AND n.b = l.ranks[s.i + 1] AND list_contains(s.canon, n.a)) f
+  WHERE s.i < len(l.ranks))
+SELECT conv_id, rank, of::VARCHAR AS duplicate_of FROM step WHERE rank IS NOT NULL""",
+        "sentence_split": _nth(_SENTS.format(x="text"), "documents", "sentence"),
+        "long_split_pack": _nth(f"CASE WHEN len({_SENTS.format(x='t')}) <= 1 THEN [t] ELSE {_PACK} END", f"(SELECT doc_id, text AS t, {_TRIMMED.format(x='text')} AS s FROM documents WHERE length(text) > 2000)"),
+        "merge_short": _nth(_reduce("s", _SHORT.format(n=200)), _LISTS),
+        "merge_fragments": _nth(_reduce("s", _SHORT.format(n=60)), _LISTS),
+        "overlap_chunks": _nth(_reduce("s", _LAP), _LISTS),
+        "chunk_documents": f"""WITH {_CHUNKED.strip()}
+SELECT doc_id, i - 1 AS chunk_no, lpad((i - 1)::VARCHAR, 3, '0') AS chunk_id, s[i] AS content, '' AS section, '' AS section_role, 0::BIGINT AS "offset"
+FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM ov)""",
+        "section_roles": f"SELECT page_id, {_ROLES} AS role FROM (SELECT page_id, lower({_HTML}) AS h FROM pages)",
+        "paper_flag": f"SELECT doc_id, u <> '' AND strlen(u) <= 6000 AS is_paper FROM (SELECT doc_id, regexp_extract(lower(left(text, 6000)), '(?s)^.*?(?:{'|'.join(T.PAPER_WORDS)})') AS u FROM documents)",
+        "html_to_text": f"SELECT page_id, {_HTML} AS text FROM pages",
+        "context_window": "SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10) || '---' || chr(10)) AS context FROM conversations",
+        "mock_rerank": f"""{_base()}, {_q(QUERIES)}, {_scored()}, h AS ({_top('sc', 20)}), qt(query_id, ws) AS (VALUES {', '.join(f"({q}::BIGINT, {list(dict.fromkeys(t.split()))})" for q, t in QUERIES.items())}),
+n AS (SELECT query_id, doc_id, len(list_filter(ws, lambda w: contains(lower(text), w)))::DOUBLE / len(ws) AS score FROM h JOIN qt USING (query_id) JOIN documents USING (doc_id)) {_top('n', 8)}""",
+        "semantic_merge": f"""WITH l AS (SELECT label AS doc, list({{'c': vec_id::VARCHAR, 'v': embedding::DOUBLE[]}} ORDER BY vec_id) AS s FROM embeddings GROUP BY label),
+r AS (SELECT doc, {_reduce('s', "CASE WHEN list_cosine_similarity(o[-1].v, x[1].v) > 0.75 THEN o[:-2] || [{'c': o[-1].c || chr(10) || chr(10) || x[1].c, 'v': o[-1].v}] ELSE o || x END")} AS s FROM l)
+SELECT doc, i - 1 AS nth, s[i].c AS content FROM (SELECT doc, s, unnest(range(1, len(s) + 1)) AS i FROM r)""",
+        "synonym_rewrite": r"""SELECT DISTINCT conv_id, turn, variant FROM (SELECT conv_id, turn, unnest([text, CASE WHEN contains(lower(text), 'and') THEN regexp_replace(text, '(?i)and', 'plus') END,
+  CASE WHEN contains(lower(text), 'and') THEN regexp_replace(text, '(?i)and', 'with') END, CASE WHEN contains(lower(text), 'the') THEN regexp_replace(text, '(?i)the', 'ze') END]) AS variant FROM conversations) WHERE variant IS NOT NULL""",
+        "doc_listing_page": """WITH f AS (SELECT doc_id, source || '-' || doc_id AS name, strlen(text) AS total_chars FROM documents WHERE lang = 'en' AND contains(lower(source || '-' || doc_id), 'src1'))
+SELECT doc_id, name, total_chars, (SELECT count(*) FROM f) AS total FROM f ORDER BY total_chars DESC, doc_id LIMIT 20 OFFSET 20""",
+        "upload_summary": "SELECT lang, count(*) AS files, count(*) FILTER (length(text) >= 500) AS succeeded, count(*) FILTER (length(text) < 500) AS failed FROM documents GROUP BY lang",
+        "doc_checksum": "SELECT conv_id, sha256(string_agg(lpad(turn::VARCHAR, 3, '0') || text, '' ORDER BY turn)) AS checksum FROM conversations GROUP BY conv_id",
+        "remove_document": _base() + " SELECT term, count(*) AS df FROM post WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY term",
+        "eval_metrics": f"""{_batch()}, h AS ({_top('sc', 3)}), g AS (SELECT query_id, rank, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM h),
+e AS (SELECT query_id, coalesce(1e0 / min(rank) FILTER (good), 0) AS rr, coalesce(sum(1e0 / log2(rank + 1)) FILTER (good), 0) AS dcg, count(*) FILTER (good) AS k FROM g GROUP BY query_id),
+i AS (SELECT k, sum(1e0 / log2(j + 1)) AS ideal FROM (SELECT k, unnest(range(1, k + 1)) AS j FROM (SELECT DISTINCT k FROM e)) GROUP BY k)
+SELECT count(*) AS queries, round(avg(rr), 6) AS mrr, round(avg(CASE WHEN k > 0 THEN dcg / ideal ELSE 0 END), 6) AS ndcg_5,
+  round(avg(k::DOUBLE / (SELECT count(DISTINCT doc_id) FROM labels WHERE quality = 1)), 6) AS recall_10 FROM e LEFT JOIN i USING (k)""",
+    }
+
+
+_NAMES = (
+    token_counts, doc_frequency, top_terms_50, postings_lookup, inverted_index_stats, bm25_topk, bm25_corpus_stats, bm25_trim15, bm25_filtered, bm25_time_range,
+    bm25_boosted, bm25_batch_queries, cosine_topk, hybrid_rrf, hybrid_alpha_by_query_type, hybrid_dense_only_fallback, query_types, maxp_documents,
+    search_all_kbs, coarse_to_fine, coarse_sections, section_hint, snippet_jaccard_pairs, dedup_marks, snippets, sentence_split, long_split_pack, merge_short,
+    merge_fragments, overlap_chunks, chunk_documents, section_roles, paper_flag, paper_meta, html_to_text, context_window, mock_rerank, mock_embedding,
+    semantic_merge, synonym_rewrite, doc_listing_page, upload_summary, doc_checksum, remove_document, append_document, eval_metrics,
+)
+
+
+def queries() -> dict:
+    return {f.__name__: f for f in _NAMES}
