@@ -18,7 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import require, shared_dir, table
+from .common import require, shared_dir, shuffles_freed, table
 
 MIN_REVISIT = 1000
 CRLF = "\r\n"
@@ -101,7 +101,8 @@ def page_of(field: Column) -> Column:
 
 def op6_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
-    write_archive(table(spark, sf_dir, "pages"), path)
+    with shuffles_freed(spark):
+        write_archive(table(spark, sf_dir, "pages"), path)
     records = read_archive(spark, path)
     return records.select(
         page_of(header_field("WARC-Record-ID")).alias("page_id"),
