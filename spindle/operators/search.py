@@ -56,23 +56,25 @@ def query_table(spark: SparkSession, queries: dict[int, str] | Iterable[tuple[in
     return spark.createDataFrame(rows, "query_id long, term string")
 
 
-def bm25(postings: DataFrame, entries: DataFrame, queries: DataFrame, key: list[str], scope: list[str] = (), corpus: bool = False, boost: Column | None = None) -> DataFrame:
+def bm25(postings: DataFrame, entries: DataFrame, queries: DataFrame, key: list[str], scope: list[str] = (), corpus: bool = False, boost: Column | None = None, small: bool = True) -> DataFrame:
     """(query_id, key, score). entries: key, scope columns, length and what boost needs. scope: columns, such as a
-    collection, within which statistics are separate. corpus: statistics of all entries, not of candidates only."""
+    collection, within which statistics are separate. corpus: statistics of all entries, not of candidates only. small: queries come from
+    `query_table`, whose size is checked, so they and their statistics are broadcast; for a table of queries of any size, False."""
     by = ["query_id", *scope]
-    matched = postings.join(F.broadcast(queries), "term").join(entries, key)
+    hint = F.broadcast if small else (lambda df: df)
+    matched = postings.join(hint(queries), "term").join(entries, key)
     if corpus:
         stats = entries.groupBy(*scope).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("average"))
-        df = postings.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi").join(entries.select(*key, *[c for c in scope if c not in key]), key)
+        df = postings.join(hint(queries.select("term").distinct()), "term", "left_semi").join(entries.select(*key, *[c for c in scope if c not in key]), key)
         df = df.groupBy(*scope, "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        matched = matched.join(F.broadcast(df), [*scope, "term"])
-        matched = matched.join(F.broadcast(stats), list(scope)) if scope else matched.crossJoin(F.broadcast(stats))
+        matched = matched.join(hint(df), [*scope, "term"])
+        matched = matched.join(hint(stats), list(scope)) if scope else matched.crossJoin(hint(stats))
     else:
         # one row a candidate, then one row a query: both sums start on the map side
         own = matched.groupBy(*by, *[k for k in key if k not in scope]).agg(F.first("length").alias("length"))
         stats = own.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("average"))
         df = matched.groupBy(*by, "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        matched = matched.join(F.broadcast(df), [*by, "term"]).join(F.broadcast(stats), by)
+        matched = matched.join(hint(df), [*by, "term"]).join(hint(stats), by)
     part = S.bm25_term(F.col("tf").cast("double"), F.col("df"), F.col("n"), F.col("length"), F.col("average"))
     more = [F.first(boost).alias("boost")] if boost is not None else []
     out = matched.groupBy(*by, *[k for k in key if k not in scope]).agg(F.sum(part).alias("score"), *more).where("score > 0")
@@ -80,10 +82,10 @@ def bm25(postings: DataFrame, entries: DataFrame, queries: DataFrame, key: list[
     return out.withColumn("score", F.round(scored, S.DIGITS)).drop("boost")
 
 
-def trimmed(hits: DataFrame, ratio: float = TRIM, by: list[str] = ("query_id",)) -> DataFrame:
-    """Hits of at least ratio times the best score of their query."""
+def trimmed(hits: DataFrame, ratio: float = TRIM, by: list[str] = ("query_id",), small: bool = True) -> DataFrame:
+    """Hits of at least ratio times the best score of their query. small: the queries are few enough to broadcast a row each."""
     best = hits.groupBy(*by).agg(F.max("score").alias("best"))
-    return hits.join(F.broadcast(best), list(by)).where((F.col("score") >= ratio * F.col("best")) | (F.col("best") <= 0)).drop("best")
+    return hits.join(F.broadcast(best) if small else best, list(by)).where((F.col("score") >= ratio * F.col("best")) | (F.col("best") <= 0)).drop("best")
 
 
 def top(hits: DataFrame, k: int, tie: list[str], by: list[str] = ("query_id",), rank: str = "rank") -> DataFrame:

@@ -105,7 +105,7 @@ def bm25_batch_queries(spark, d):
     items = _t(spark, d, "benchmark")
     queries = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
     postings, lens = ix.index(_docs(spark, d), KEY)
-    return _out(se.top(se.bm25(postings, lens, queries, KEY), 3, KEY), "rank")
+    return _out(se.top(se.bm25(postings, lens, queries, KEY, small=False), 3, KEY), "rank")
 
 
 def _vectors(spark, d):
