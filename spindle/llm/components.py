@@ -23,6 +23,15 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v")))
 
 
+def contracted(edges: DataFrame, rounds: int) -> tuple[DataFrame, DataFrame]:
+    """After some rounds: links with the components of edges, nearer to stars; and (node, component), where equal names are surely
+    connected and different ones may be."""
+    now = edges.where("u <> v").distinct()
+    for _ in range(rounds):
+        now = written(_small_star(_large_star(now)).where("u <> v").distinct(), "links")
+    return now, now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (u, v: long, in any order): the smallest node that it reaches.
 

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, fresh, require, table, written
-from .components import components
+from .components import components, contracted
 
 #: Cells a partition and cells left out: first and second enumeration.
 COARSE, FINE = (2, 1), (5, 2)
@@ -188,30 +188,20 @@ def _blocks(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
-def sizes(docs: DataFrame, n: int, text: str = "text") -> DataFrame:
-    """(class, n_shingles) added to docs by a pandas UDF; class is null for an empty set."""
-    @F.pandas_udf("class long, n_shingles long")
-    def size(texts: pd.Series) -> pd.DataFrame:
-        out = [(_class_of(g) if len(g) else None, len(g)) for g in Shingler(n)(list(texts))]
-        return pd.DataFrame({"class": pd.array([c for c, _ in out], dtype="Int64"), "n_shingles": [s for _, s in out]})
-
-    return docs.withColumn("of", size(F.col(text)))
-
-
-def _signed(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(class, sig) of all texts, by the coarse enumeration."""
+def signed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key, tie, class, n_shingles, sigs) by row of docs (key, tie, text), written once: class is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for whole in batches:
             for batch in _blocks(whole):
-                grams = [g for g in shingle(batch.column(0).to_pylist()) if len(g)]
+                grams = list(shingle(batch.column(2).to_pylist()))
+                named = pa.array([_class_of(g) if len(g) else None for g in grams], pa.int64())
                 sigs = [signatures(g, percent, COARSE) for g in grams]
-                owner = np.repeat(np.array([_class_of(g) for g in grams], np.int64), [len(s) for s in sigs])
-                flat = np.concatenate([np.zeros(0, _U), *sigs]).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(flat)], ["class", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, pa.array([len(g) for g in grams], pa.int64()), _ints(sigs)], ["key", "tie", "class", "n_shingles", "sigs"])
 
-    return docs.select("text").mapInArrow(run, "class long, sig long")
+    rows = docs.select("key", "tie", "text").mapInArrow(run, "key long, tie long, class long, n_shingles long, sigs array<long>")
+    return written(rows, "named")
 
 
 def _repeated(signed: DataFrame) -> DataFrame:
@@ -294,19 +284,20 @@ def _hidden_pairs(seen: DataFrame, joined: DataFrame, percent: int) -> DataFrame
     order = Window.partitionBy("r", "x").orderBy("df", "e")
     ranked = shared.withColumns({"nth": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy("r", "x"))})
     prefix = ranked.where(F.col("nth") <= F.col("left") - least + 1)
-    mine = prefix.select("r", "e", F.col("x").alias("a"), "ok", "in", "n", "nd", "left")
-    loose = prefix.where("NOT ok").select("r", "e", F.col("x").alias("b"), *[F.col(k).alias(f"{k}_b") for k in ("in", "n", "nd", "left")])
+    # elements from this one on; at the first that two members share, no more than that can be shared
+    rest = F.col("left") - F.col("nth") + 1
+    mine = prefix.select("r", "e", F.col("x").alias("a"), "ok", "in", "n", "nd", rest.alias("rest"))
+    loose = prefix.where("NOT ok").select("r", "e", F.col("x").alias("b"), *[F.col(k).alias(f"{k}_b") for k in ("in", "n", "nd")], rest.alias("rest_b"))
     # |D(x) ^ D(y)| is at least |D(x)| + |D(y)| less twice what both can share
-    apart = F.col("nd") + F.col("nd_b") - 2 * F.least("left", "left_b")
+    apart = F.col("nd") + F.col("nd_b") - 2 * F.least("rest", "rest_b")
     near = apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_b"))
     found = mine.join(loose, ["r", "e"]).where(near & F.expr("in <> in_b AND (ok OR a < b)"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of classes that have links. docs: text and tie; named: their rows as (key, tie, class),
-    key: xxhash64 of the text."""
-    members, groups = _members(_signed(docs, n, percent), "coarse")
+    """(node, component) of classes that have links. docs: key, tie and text; named: `signed_rows` of them."""
+    members, groups = _members(named.select("class", F.explode("sigs").alias("sig")), "coarse")
     live = members.select("class").distinct()
     # one text for each class that shares a signature
     picked = named.join(live, "class").groupBy("class").agg(F.min_by("key", F.struct("tie", "key")).alias("key"), F.min("tie").alias("tie"))
@@ -319,8 +310,7 @@ def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) ->
                 sizes = pa.array([len(g) for g in got], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0), sizes, _ints([parity(g) for g in got]), _ints(got)], ["class", "n", "parity", "grams"])
 
-    texts = docs.select("text", F.xxhash64("text").alias("key"), "tie")
-    sets = written(texts.join(picked, ["key", "tie"]).select("class", "text").mapInArrow(grams, "class long, n long, parity array<long>, grams array<long>").dropDuplicates(["class"]), "sets")
+    sets = written(docs.join(picked, ["key", "tie"]).select("class", "text").mapInArrow(grams, "class long, n long, parity array<long>, grams array<long>").dropDuplicates(["class"]), "sets")
 
     def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -336,25 +326,24 @@ def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) ->
     seen = _differences(fine_members, fine_groups, sets, percent)
     direct = _compared(pairs, sets, percent).union(seen.where("ok").select(F.col("r").alias("a"), F.col("x").alias("b")))
     direct = written(direct.toDF("u", "v"), "direct")
-    joined = written(components(direct), "joined")
+    stars, joined = contracted(direct, 2)
     more = written(_compared(_hidden_pairs(seen, joined, percent), sets, percent).toDF("u", "v"), "more")
-    if more.isEmpty():
-        return joined
-    return components(written(joined.toDF("u", "v").union(more), "linked"))
+    return components(written(stars.union(more), "linked"))
 
 
 def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
-    """(key, tie, n_shingles, low) by row of docs: hash of the text, id (nulls last), size of the set, smallest id of the component."""
+    """(key, tie, n_shingles, component, low) by row of docs: hash of the text, id (nulls last), size of the set, the component's class (null
+    for an empty set) and smallest id."""
     tie = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    slim = docs.select(F.col(text).alias("text"), tie.alias("tie"))
-    of = sizes(slim, n).select(F.xxhash64("text").alias("key"), "tie", F.col("of.class").alias("class"), F.col("of.n_shingles").alias("n_shingles"))
-    named = written(of, "named")
+    slim = docs.select(F.xxhash64(text).alias("key"), tie.alias("tie"), F.col(text).alias("text"))
+    named = signed_rows(slim, n, percent)
     filled = named.where("class IS NOT NULL")
-    joined = class_components(slim, filled.select("key", "tie", "class"), n, percent)
+    joined = class_components(slim, filled, n, percent)
+    named = named.drop("sigs")
     ids = filled.groupBy("class").agg(F.min("tie").alias("first"))
     ids = ids.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = ids.groupBy("component").agg(F.min("first").alias("low"))
-    by_class = ids.join(lowest, "component").select("class", "low")
+    by_class = ids.join(lowest, "component").select("class", "component", "low")
     return named.join(by_class, "class", "left").withColumn("low", F.coalesce("low", "tie")).drop("class")
 
 
@@ -364,7 +353,7 @@ def with_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str
     for c in [c for c in docs.columns if c.lower() in ("n_shingles", "component_id")]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
     key, tie, low = fresh(docs, "key", "tie", "low")
-    named = _named(docs, n, percent, id_col, text).distinct().toDF(key, tie, "n_shingles", low)
+    named = _named(docs, n, percent, id_col, text).drop("component").distinct().toDF(key, tie, "n_shingles", low)
     rows = docs.withColumns({key: F.xxhash64(text), tie: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))})
     return rows.join(named, [key, tie]).withColumn("component_id", F.nullif(low, F.lit(NO_ID))).select(*docs.columns, "n_shingles", "component_id")
 
@@ -375,7 +364,8 @@ def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "d
     require(docs, id_col, text)
     key, tie = fresh(docs, "key", "tie")
     named = _named(docs, n, percent, id_col, text)
-    best = named.where("n_shingles > 0 AND tie = low").groupBy("low").agg(F.min("key").alias(key)).select(key, F.col("low").alias(tie))
+    best = named.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("tie", "key")).alias("x"))
+    best = best.select(F.col("x.key").alias(key), F.col("x.tie").alias(tie))
     rows = docs.withColumns({key: F.xxhash64(text), tie: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))})
     blank = ~F.coalesce(F.col(text).rlike(WORD), F.lit(False))
     with_words = rows.where(~blank).join(best, [key, tie], "left_semi").dropDuplicates([key, tie])
