@@ -118,7 +118,9 @@ def judge_urls(
         passes = passes & (F.col(f"bloom.w{i}").bitwiseAND(mask) == mask)
     possible = keys.withColumn(block, _block(F.col(key), blocks)).join(bloom, block).where(passes).select(key)
     hits = possible.join(want, key, "left_semi").select(key, F.lit(True).alias(hit))
-    out = seen.withColumn(key, open_key).join(hits, key, "left")
+    # rows that a rule decides get keys of their own that no host can have, so that they don't all meet in one task
+    own = F.coalesce(open_key, F.concat(F.lit("#"), F.xxhash64(*[F.col(c) for c in pages.columns]).cast("string")))
+    out = seen.withColumn(key, own).join(hits, key, "left")
     verdict = F.coalesce(F.col("verdict"), F.when(F.col(hit), F.lit("block")), F.lit("allow"))
     return out.withColumn("verdict", verdict).drop(key, hit)
 
