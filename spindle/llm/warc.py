@@ -73,7 +73,8 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", min_revisit
     lowest = F.lit(-(1 << 63))
     keepers = first.select("sha256", F.coalesce("keeper", lowest).alias("keeper"))
     kept = rows.select("sha256", F.coalesce("id", lowest).alias("keeper"), "body").join(keepers, ["sha256", "keeper"], "left_semi")
-    kept.groupBy("sha256").agg(F.first("body").alias("body")).write.option("compression", "zstd").parquet(f"{path}/payloads")
+    once = kept.groupBy("sha256", "keeper").agg(F.first("body").alias("body")).drop("keeper")  # no further shuffle of payloads
+    once.write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
