@@ -19,11 +19,11 @@ result. Extra columns are kept by `deduplicated`; clashing names are kept under
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,11 +104,9 @@ def _anchor_hashes(texts: DataFrame) -> DataFrame:
     return texts.select("t", "body").mapInArrow(run, "h long, t long")
 
 
-PIECE = "h long, digest binary, tie long, t long, first long, last long, at long, body binary"
-
-
 def _pieces(live: DataFrame) -> DataFrame:
-    """Pieces of live texts (tie, t, body, hs): the windows first..last of each anchor in hs, the anchor's place, and their bytes."""
+    """Pieces of live texts (tie, t, body, hs): the windows first..last of each anchor in hs, the anchor's place, and a digest of the
+    piece's bytes and of the anchor's place in it. With h, the hash of the anchor's bytes, that names a piece by 128 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,15 +125,27 @@ def _pieces(live: DataFrame) -> DataFrame:
                 at, first, last, h, seg = at[keep], first[keep], last[keep], h[keep], seg[keep]
                 number = np.array([w[0] for w in where])[seg]
                 shift = np.array([w[1] - w[2] for w in where])[seg]
-                body = [data[a : b + SPAN] for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-                # the place of the anchor is part of what must be equal
-                digest = [hashlib.blake2b(b, digest_size=16, salt=int(p).to_bytes(8, "little")).digest() for b, p in zip(body, at - first, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h), pa.array(digest, pa.binary()), pa.array(tie[number]), pa.array(t[number]), pa.array(first + shift), pa.array(last + shift), pa.array(at + shift), pa.array(body, pa.binary())],
-                    ["h", "digest", "tie", "t", "first", "last", "at", "body"],
-                )
+                digest = [xxhash.xxh3_64_intdigest(data[a : b + SPAN], p) for a, b, p in zip(first.tolist(), last.tolist(), (at - first).tolist(), strict=True)]
+                columns = (h, np.array(digest, _U).view(np.int64), tie[number], t[number], first + shift, last + shift, at + shift)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h", "digest", "tie", "t", "first", "last", "at"])
+
+    return live.select("tie", "t", "body", "hs").mapInArrow(run, "h long, digest long, tie long, t long, first long, last long, at long")
+
+
+def _suffixes(live: DataFrame, several: DataFrame) -> DataFrame:
+    """The bytes of pieces (tie, t, first, last, at, n): left of the anchor, and the suffix that begins there."""
+    wanted = several.groupBy("tie", "t").agg(F.collect_list(F.struct("first", "last", "at", "n")).alias("pieces"))
+    names = ["tie", "t", "first", "last", "at", "n", "left", "suffix"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tie, t, body, pieces in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                rows = [(tie, t, p["first"], p["last"], p["at"], p["n"], body[p["first"] : p["at"]], body[p["at"] : p["last"] + SPAN]) for p in pieces]
+                kinds = [pa.int64()] * 6 + [pa.binary()] * 2
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-    return live.select("tie", "t", "body", "hs").mapInArrow(run, PIECE)
+    joined = live.join(wanted, ["tie", "t"]).select("tie", "t", "body", "pieces")
+    return joined.mapInArrow(run, "tie long, t long, first long, last long, at long, n long, left binary, suffix binary")
 
 
 def _runs(starts: list[int]) -> Iterator[tuple[int, int]]:
@@ -197,8 +207,9 @@ def _covered(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
 def _window_repeats(kinds: DataFrame) -> DataFrame:
     """Covered bytes for anchor strings with very many kinds of piece: each window is a row, summed first on the map side."""
     start = F.explode(F.sequence("first", "last"))
-    windows = kinds.select("tie", "t", "body", "first", start.alias("start"))
-    windows = windows.select("tie", "t", "start", F.expr(f"substring(body, cast(start - first + 1 AS int), {SPAN})").alias("w")).select("tie", "t", "start", F.sha2("w", 256).alias("w"))
+    body = F.concat("left", "suffix")
+    windows = kinds.select("tie", "t", body.alias("body"), "first", F.explode(F.sequence("first", "last")).alias("start"))
+    windows = windows.select("tie", "t", "start", F.sha2(F.expr(f"substring(body, cast(start - first + 1 AS int), {SPAN})"), 256).alias("w"))
     best = windows.groupBy("w").agg(F.min(F.struct("tie", "t", "start")).alias("best"))
     again = windows.join(best, "w").where(F.struct("tie", "t", "start") != F.col("best"))
     return again.select("tie", "t", F.col("start").alias("lo"), (F.col("start") + SPAN).alias("hi"))
@@ -214,19 +225,12 @@ def covered_bytes(docs: DataFrame, firsts: DataFrame, max_kinds: int = MAX_KINDS
     pieces = written(_pieces(live), "pieces")
     kinds = pieces.groupBy("h", "digest").agg(F.min(F.struct("tie", "t", "first", "last", "at")).alias("x"))
     kinds = written(kinds.select("h", "digest", "x.*"), "kinds")
-    place = F.struct("tie", "t", "first")
-    firsts_of = kinds.select("h", "digest", F.struct("tie", "t", "first").alias("best"))
-    again = pieces.select("h", "digest", "tie", "t", "first", "last").join(firsts_of, ["h", "digest"]).where(place != F.col("best"))
+    best = kinds.select("h", "digest", F.struct("tie", "t", "first").alias("best"))
+    again = pieces.select("h", "digest", "tie", "t", "first", "last").join(best, ["h", "digest"]).where(F.struct("tie", "t", "first") != F.col("best"))
     out = again.select("tie", "t", F.col("first").alias("lo"), (F.col("last") + SPAN).alias("hi"))
     many = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = kinds.join(many, "h").select("h", "n", "tie", "t", "first", "last", "at")
-    bodies = pieces.select("h", "tie", "t", "first", "last", "body").dropDuplicates(["h", "tie", "t", "first", "last"])
-    several = written(several.join(bodies, ["h", "tie", "t", "first", "last"]), "several")
-    suffixes = several.where(F.col("n") <= max_kinds).select(
-        "tie", "t", "first", "last", "at",
-        F.expr("substring(body, 1, cast(at - first AS int))").alias("left"),
-        F.expr("substring(body, cast(at - first + 1 AS int), octet_length(body))").alias("suffix"),
-    )
+    several = written(_suffixes(live, kinds.join(many, "h")), "several")
+    suffixes = several.where(F.col("n") <= max_kinds)
     merged = sorted_groups(suffixes, "suffix", ["tie", "t", "first", "last", "at", "left"], K, shuffle_partitions(docs.sparkSession), _sorted_repeats, "tie long, t long, lo long, hi long")
     return out.union(merged).union(_window_repeats(several.where(F.col("n") > max_kinds))), live.select("tie", "t", "body")
 
