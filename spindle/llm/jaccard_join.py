@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, require, table, written
+from .common import WORD, forget, fresh, require, table, written
 from .components import components, contracted
 
 #: Cells a partition and cells left out: first and second enumeration.
@@ -201,7 +201,7 @@ def signed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, pa.array([len(g) for g in grams], pa.int64()), _ints(sigs)], ["key", "tie", "class", "n_shingles", "sigs"])
 
     rows = docs.select("key", "tie", "text").mapInArrow(run, "key long, tie long, class long, n_shingles long, sigs array<long>")
-    return written(rows, "named")
+    return written(rows, "signed")
 
 
 def _repeated(signed: DataFrame) -> DataFrame:
@@ -224,7 +224,15 @@ def _small_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.slice("all", F.col("at") + 2, F.lit(SMALL))).alias("b")).distinct()
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and parity words don't rule out."""
+    side = lambda k: profiles.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+    unlike = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (unlike * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
+    return written(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct(), "near")
+
+
+def _compared(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are linked."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,23 +242,23 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 ok = [linked(np.asarray(p.values).view(_U), np.asarray(q.values).view(_U), percent) for p, q in zip(x, y, strict=True)]
                 yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    # sizes and parity words rule most pairs out before their sets are fetched
-    side = lambda k: sets.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
-    unlike = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (unlike * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
-    left = written(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b"), "near")
     x = sets.select(F.col("class").alias("a"), F.col("grams").alias("x"))
     y = sets.select(F.col("class").alias("b"), F.col("grams").alias("y"))
-    return left.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _differences(members: DataFrame, groups: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For groups that stay large, each member x against one r: linked or not, and D(x) = x ^ r. r is the member that is in
-    most of these groups: of near copies the one with fewest changes of its own."""
+def _stars(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(r, x): in groups that stay large, each member x with one r, the member that is in most of these groups: of near copies
+    the one with fewest changes of its own."""
     large = members.join(groups.where(F.col("members") > SMALL), "sig").select("sig", "class")
     large = large.join(large.groupBy("class").agg(F.count(F.lit(1)).alias("shared")), "class")
     first = large.groupBy("sig").agg(F.max(F.struct("shared", "class")).alias("top"))
     stars = large.join(first, "sig").where("class <> top.class").select(F.col("top.class").alias("r"), F.col("class").alias("x")).distinct()
+    return written(stars, "stars")
+
+
+def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """For each (r, x): linked or not, and D(x) = x ^ r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -295,40 +303,62 @@ def _hidden_pairs(seen: DataFrame, joined: DataFrame, percent: int) -> DataFrame
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
-    """(node, component) of classes that have links. docs: key, tie and text; named: `signed_rows` of them."""
-    members, groups = _members(named.select("class", F.explode("sigs").alias("sig")), "coarse")
-    live = members.select("class").distinct()
-    # one text for each class that shares a signature
-    picked = named.join(live, "class").groupBy("class").agg(F.min_by("key", F.struct("tie", "key")).alias("key"), F.min("tie").alias("tie"))
+def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """docs with one text for each wanted class (and its columns)."""
+    picked = named.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("tie", "key")).alias("x"))
+    picked = picked.select("class", "x.tie", "x.key").join(wanted, "class")
+    return docs.join(picked, ["key", "tie"])
+
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profiles(texts: DataFrame, n: int, percent: int) -> DataFrame:
+    """(class, n, parity, fine): size, parity words and, for classes of crowded groups, the fine signatures."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for whole in batches:
             for batch in _blocks(whole):
-                got = list(shingle(batch.column(1).to_pylist()))
-                sizes = pa.array([len(g) for g in got], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), sizes, _ints([parity(g) for g in got]), _ints(got)], ["class", "n", "parity", "grams"])
+                grams = list(shingle(batch.column(1).to_pylist()))
+                fine = [signatures(g, percent, FINE) if c else g[:0] for g, c in zip(grams, batch.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int64()), _ints([parity(g) for g in grams]), _ints(fine)], ["class", "n", "parity", "fine"])
+
+    return texts.select("class", "text", "crowded").mapInArrow(run, "class long, n long, parity array<long>, fine array<long>")
+
 
-    sets = written(docs.join(picked, ["key", "tie"]).select("class", "text").mapInArrow(grams, "class long, n long, parity array<long>, grams array<long>").dropDuplicates(["class"]), "sets")
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(class, grams)."""
 
-    def finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(n)
         for whole in batches:
             for batch in _blocks(whole):
-                sigs = [signatures(np.asarray(g.values).view(_U), percent, FINE) for g in batch.column(1)]
-                owner = np.repeat(np.asarray(batch.column(0)), [len(s) for s in sigs])
-                yield pa.RecordBatch.from_arrays([pa.array(owner, pa.int64()), pa.array(np.concatenate([np.zeros(0, _U), *sigs]).view(np.int64))], ["class", "sig"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), _ints(list(shingle(batch.column(1).to_pylist())))], ["class", "grams"])
+
+    return texts.select("class", "text").mapInArrow(run, "class long, grams array<long>")
+
 
+def class_components(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of classes that have links, and `signed` without signatures. docs: key, tie and text; signed:
+    `signed_rows` of them. Wide tables go as soon as what follows has been written."""
+    members, groups = _members(signed.where("class IS NOT NULL").select("class", F.explode("sigs").alias("sig")), "coarse")
+    named = written(signed.drop("sigs"), "named")
+    forget(signed)
     crowded = members.join(groups.where(F.col("members") > SMALL), "sig", "left_semi").select("class").distinct()
-    fine = sets.join(crowded, "class", "left_semi").select("class", "grams").mapInArrow(finer, "class long, sig long")
-    fine_members, fine_groups = _members(fine, "fine")
+    live = members.select("class").distinct().join(crowded.withColumn("crowded", F.lit(True)), "class", "left")
+    wide = written(_profiles(_texts(docs, named, live), n, percent), "profiles")
+    fine_members, fine_groups = _members(wide.select("class", F.explode("fine").alias("sig")), "fine")
+    profiles = written(wide.select("class", "n", "parity"), "profiles")
+    forget(wide)
     pairs = _small_pairs(members, groups).union(_small_pairs(fine_members, fine_groups)).distinct()
-    seen = _differences(fine_members, fine_groups, sets, percent)
-    direct = _compared(pairs, sets, percent).union(seen.where("ok").select(F.col("r").alias("a"), F.col("x").alias("b")))
-    direct = written(direct.toDF("u", "v"), "direct")
-    stars, joined = contracted(direct, 2)
-    more = written(_compared(_hidden_pairs(seen, joined, percent), sets, percent).toDF("u", "v"), "more")
-    return components(written(stars.union(more), "linked"))
+    near, stars = _near(pairs, profiles, percent), _stars(fine_members, fine_groups)
+    used = near.select(F.col("a").alias("class")).union(near.select("b")).union(stars.select("r")).union(stars.select("x")).distinct()
+    sets = written(_sets(_texts(docs, named, used), n), "sets")
+    seen = _differences(stars, sets, percent)
+    direct = _compared(near, sets, percent).union(seen.where("ok").select(F.col("r").alias("a"), F.col("x").alias("b")))
+    hubs, joined = contracted(written(direct.toDF("u", "v"), "direct"), 2)
+    more = _compared(_near(_hidden_pairs(seen, joined, percent), profiles, percent), sets, percent).toDF("u", "v")
+    linked_classes = written(hubs.union(more), "linked")
+    forget(members, fine_members, sets, seen)
+    return components(linked_classes), named
 
 
 def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
@@ -336,10 +366,8 @@ def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> Dat
     for an empty set) and smallest id."""
     tie = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     slim = docs.select(F.xxhash64(text).alias("key"), tie.alias("tie"), F.col(text).alias("text"))
-    named = signed_rows(slim, n, percent)
+    joined, named = class_components(slim, signed_rows(slim, n, percent), n, percent)
     filled = named.where("class IS NOT NULL")
-    joined = class_components(slim, filled, n, percent)
-    named = named.drop("sigs")
     ids = filled.groupBy("class").agg(F.min("tie").alias("first"))
     ids = ids.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     lowest = ids.groupBy("component").agg(F.min("first").alias("low"))
