@@ -85,18 +85,24 @@ def segments(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, i
 
 
 def _anchor_hashes(texts: DataFrame) -> DataFrame:
-    """(h, t) for the anchors of texts (t, body), once for each text; for one that repeats within a text also (h, ~t)."""
+    """(h, t) for the anchors of texts (t, body), once for each text or segment; for one that repeats within a text, be it in
+    another segment, also (h, ~t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             t, bodies = np.asarray(batch.column(0)), batch.column(1).to_pylist()
+            text, before = -1, np.zeros(0, _U)  # the last segment's last text, and its hashes so far
             for data, where in segments(bodies):
                 at, _, _, h = anchors(data, [(a, b) for _, _, a, b in where])
+                number = np.array([w[0] for w in where])[np.searchsorted(np.array([w[2] for w in where]), at, "right") - 1]
+                met = (number == text) & np.isin(h, before) if where[0][0] == text else np.zeros(len(h), bool)
+                last = h[number == where[-1][0]]
+                text, before = where[-1][0], np.union1d(before, last) if where[-1][0] == text else last
                 # one text's anchors stand together
-                own = t[np.array([w[0] for w in where])][np.searchsorted(np.array([w[2] for w in where]), at, "right") - 1]
+                own = t[number]
                 order = np.lexsort((h, own))
-                h, own = h[order], own[order]
-                again = np.concatenate([[False], (h[1:] == h[:-1]) & (own[1:] == own[:-1])]) if len(h) else np.zeros(0, bool)
+                h, own, met = h[order], own[order], met[order]
+                again = met | np.concatenate([[False], (h[1:] == h[:-1]) & (own[1:] == own[:-1])]) if len(h) else np.zeros(0, bool)
                 own = np.where(again, ~own, own)
                 keep = np.concatenate([[True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])]) if len(h) else again
                 yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(own[keep])], ["h", "t"])

@@ -130,6 +130,21 @@ def test_suffix_dedup_matches_brute_force(spark, max_kinds):
         assert r["_kept"] == 5 and r.n_bytes == len(body)
 
 
+def test_suffix_dedup_finds_repeats_across_segments_of_one_text(spark):
+    rng = random.Random(16)
+    a, b, c = (rng.randbytes(n).hex() for n in (100, 60, 50))
+    make = lambda n: rng.randbytes(n // 2).hex()
+    long = make(1000) + a + make(300_000) + b + make(1000) + c + make(S.SEGMENT - 302_480) + b + make(40_000) + a + make(S.SEGMENT) + c + make(50)
+    edge = long.rindex(b)
+    assert edge < S.SEGMENT < edge + len(b) and long.rindex(c) > 2 * S.SEGMENT
+    rows = [(1, make(300)), (2, long), (3, make(300))]
+    want = brute_repeats([(i, t.encode()) for i, t in rows])
+    assert want[2, long.encode()][:2] == (len(a + b + c), 3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for r in S.deduplicated(docs).collect():
+        assert (r.n_removed, r.n_spans, bytes(r["kept"])) == want[r.doc_id, r.text.encode()], r.doc_id
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
