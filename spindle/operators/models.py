@@ -173,10 +173,17 @@ def merged_query(query: str, rewriter: Rewriter | None) -> str:
     return " ".join(rewriter.rewrite(query)) if rewriter else query
 
 
-def variants(queries: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS, query: str = "query") -> DataFrame:
-    """(columns, variant): synonym variants of many queries; the table of synonyms is a constant."""
+def variants(queries: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS, query: str = "query", reverse: bool = False) -> DataFrame:
+    """(columns, variant): synonym variants of many queries; the table of synonyms is a constant. reverse: where a query holds a term
+    and its synonym, also the synonym replaced by the term, as in SynonymRewriter."""
     low = F.lower(F.col(query))
-    found = [F.when(F.contains(low, F.lit(t)), F.regexp_replace(F.col(query), F.concat(F.lit("(?is)^(.*?)"), F.lit(re.escape(t))), F.concat(F.lit("$1"), F.lit(o)))) for t in sorted(synonyms) for o in synonyms[t]]
+    swap = lambda old, new: F.regexp_replace(F.col(query), F.concat(F.lit("(?is)^(.*?)"), F.lit(re.escape(old))), F.concat(F.lit("$1"), F.lit(new)))
+    found = []
+    for t in sorted(synonyms):
+        for o in synonyms[t]:
+            found.append(F.when(F.contains(low, F.lit(t)), swap(t, o)))
+            if reverse:
+                found.append(F.when(F.contains(low, F.lit(t)) & F.contains(low, F.lit(o)), swap(o, t)))
     every = F.array_distinct(F.array_compact(F.array(F.col(query), *found)))
     return queries.withColumn("variant", F.explode(every))
 

@@ -328,8 +328,8 @@ def remove_document(spark, d):
 
 
 def append_document(spark, d):
-    base = chunk.chunks(_docs(spark, d).where(F.char_length("text") > chunk.LONG), KEY)
-    more = _t(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("doc_id"), "text")
+    base = chunk.chunks(_docs(spark, d), KEY)
+    more = _turn_lists(spark, d).select("doc_id", F.array_join("p", "\n\n").alias("text"))
     out = chunk.appended(base, more, KEY)
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("content")).alias("chars"), F.max("chunk_no").cast("long").alias("last_no"))
 

@@ -11,6 +11,7 @@ from spindle.functions import text as T
 from spindle.operators import catalog, chunk, evaluate, models, paper, present
 from spindle.operators import index as ix
 from spindle.operators import search as se
+from spindle.plans import registry
 from spindle.sources import files
 from spindle.streaming.ingest import ingest_stream
 
@@ -98,6 +99,22 @@ def test_chunks(spark):
     assert sorted(r.chunk_no for r in more.where("doc_id = 1").collect()) == [0, 1, 2] and more.where("doc_id = 9").count() == 1
 
 
+def test_append_document_takes_all_documents_and_turns(spark, tmp_path):
+    spark.createDataFrame([(1, "s" * 300), (2, "l" * 3000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    turns = [(1, 1, "user", "b" * 250), (1, 0, "user", "a" * 250), (3, 0, "user", "c" * 9)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.doc_id: (r.chunks, r.last_no) for r in registry.append_document(spark, str(tmp_path)).collect()}
+    assert got == {1: (3, 2), 2: (1, 0), 3: (1, 0)}
+
+
+def test_reverse_variants_match_the_rewriter(spark):
+    synonyms = {"the": ["ze"], "and": ["plus", "with"]}
+    texts = ["the ze", "Plus AND with the", "none", "ze only"]
+    got = models.variants(spark.createDataFrame([(t,) for t in texts], "query string"), synonyms, reverse=True).collect()
+    want = {(t, v) for t in texts for v in models.SynonymRewriter(synonyms).rewrite(t)}
+    assert {(r.query, r.variant) for r in got} == want and len(got) == len(want)
+
+
 def test_section_roles(spark):
     for heading, role in (("## 2.1 Related Work", "related_work"), ("# Abstract", "abstract"), ("结论", "conclusion"), ("Other", ""), ("3. Experimental results", "experiments")):
         assert one(spark, heading, T.section_role) == role
