@@ -4,9 +4,8 @@ Each source's documents, in an order that depends on ids only, fill blocks of `b
 released at slot floor(j / w) and due at slot ceil((j + 1) / w); in every slot the released block with the
 earliest deadline goes next. So at every slot each source is less than one block from its weight. When a
 source has run out, a new phase begins: the others' weights are scaled up and counting starts again.
-Weights are multiples of 1 / PERIOD, so a phase repeats one pattern of PERIOD slots: the driver works out the
-patterns (phases x PERIOD rows at most, independent of the number of documents) and a join gives each
-document its slot.
+Weights are taken exactly, as ratios of whole numbers. The driver deals all blocks (three numbers a block, none a document; time in
+proportion to blocks, and to phases times sources) and a join gives each document its slot.
 
 Nulls and ties: null is a source of its own. A null or empty text has size 1. Repeated rows follow one another. A null id is
 ordered first. A weight for an unknown source is ignored; a source without a weight, or weight 0,
@@ -20,12 +19,13 @@ import heapq
 import math
 from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, require, table, utf8_length
+from .common import fresh, require, table, utf8_length, written
 
-PERIOD, BLOCK_BYTES, MAX_SOURCES, BUCKETS, TEMPERATURE = 4096, 64 * 1024, 1024, 256, 0.7
+PERIOD, BLOCK_BYTES, BUCKETS, TEMPERATURE = 4096, 64 * 1024, 256, 0.7
 
 
 def quanta(weights: dict, period: int = PERIOD) -> dict:
@@ -60,28 +60,56 @@ def pattern(shares: dict) -> list:
     return out
 
 
+def whole(weights: dict) -> dict:
+    """The weights as whole numbers in exactly the same ratios."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[x.denominator for x in exact.values()])
+    return {s: int(x * unit) for s, x in exact.items()}
+
+
+def dealt(left: dict, weights: dict) -> dict:
+    """One phase, up to the last block of the first source that runs out: by source the (slot, release, deadline) of its blocks.
+    weights: whole numbers; left: blocks, 1 at least."""
+    total = sum(weights.values())
+    ready = [(-(-total // w), str(s), s, 0, 0) for s, w in weights.items()]  # deadline, name, source, block, release
+    heapq.heapify(ready)
+    later: list = []
+    out: dict = {}
+    t = 0
+    while True:
+        while later and later[0][0] <= t:
+            release, due, name, s, j = heapq.heappop(later)
+            heapq.heappush(ready, (due, name, s, j, release))
+        due, name, s, j, release = heapq.heappop(ready)
+        if due < t + 1:
+            raise ArithmeticError("a deadline was missed")
+        out.setdefault(s, []).append((t, release, due))
+        t, j = t + 1, j + 1
+        if j == left[s]:
+            return out
+        heapq.heappush(later, (j * total // weights[s], -(-(j + 1) * total // weights[s]), name, s, j))
+
+
 def phases(blocks: dict, weights: dict, period: int = PERIOD) -> list[dict]:
-    """For each phase: first slot, and by source its share, first block, end block and slots of a period."""
+    """For each phase: first slot, number of slots (its period), and for each source that has blocks in it their number, first block,
+    end block and slots; and (slot, release, deadline) of each block in rows of `period` blocks."""
     left, done, slot, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
     left = {s: n for s, n in left.items() if n > 0}
+    exact = whole({s: weights[s] for s in left if weights.get(s, 0) > 0})
     while left:
-        live = {s: weights[s] for s in left if weights.get(s, 0) > 0} or dict.fromkeys(left, 1)
-        shares = quanta(live, period) if len(live) <= period else dict.fromkeys(live, 1)
-        order = pattern(shares)
-        at: dict = {s: [] for s in live}
-        for t, s in enumerate(order):
-            at[s].append(t)
-        when = lambda s: (left[s] - 1) // shares[s] * len(order) + at[s][(left[s] - 1) % shares[s]]
-        end = min(when(s) for s in live) + 1
-        part = {}
-        for s in live:
-            n = end // len(order) * shares[s] + sum(t < end % len(order) for t in at[s])
-            part[s] = (shares[s], done[s], done[s] + n, at[s])
+        live = {s: w for s, w in exact.items() if s in left} or dict.fromkeys(left, 1)
+        part, rows, end = {}, [], 0
+        for s, placed in dealt(left, live).items():
+            n = len(placed)
+            part[s] = (n, done[s], done[s] + n, [t for t, _, _ in placed])
+            rows += [(s, done[s] + i, [tuple(slot + x for x in p) for p in placed[i : i + period]]) for i in range(0, n, period)]
+            end += n
             done[s] += n
             left[s] -= n
-        out.append({"slot": slot, "period": len(order), "sources": part})
+            if not left[s]:
+                del left[s]
+        out.append({"slot": slot, "period": end, "sources": part, "rows": rows})
         slot += end
-        left = {s: n for s, n in left.items() if n > 0}
     return out
 
 
@@ -89,50 +117,46 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     """Adds mix_block (the source's block in which the document begins), mix_phase, mix_slot, mix_release and mix_deadline (both in slots).
 
     weights: by source; where None, a source's share of all bytes to the power TEMPERATURE. The running size of a source is summed in
-    two steps, within BUCKETS hash buckets and over their totals, so no task holds a whole source."""
+    two steps, within BUCKETS hash buckets and over their totals, so no task holds a whole source. period: blocks in a row of the
+    table of slots; without effect on the result."""
     require(docs, source, id_col, text)
     spark = docs.sparkSession
     names = ("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline")
     for c in [c for c in docs.columns if c.lower() in names]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
-    size, bucket, src, before, idx = fresh(docs, "size", "bucket", "src", "before", "idx")
+    size, bucket, src, before, piece, first, placed = fresh(docs, "size", "bucket", "src", "before", "piece", "first", "placed")
     order = F.xxhash64(id_col, F.lit("mix"))
     # null and text sources apart, as one never-null key
     key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
     rows = docs.withColumns({size: utf8_length(F.col(text)) + 1, src: key, bucket: F.pmod(F.shiftrightunsigned(order, 8), F.lit(BUCKETS)).cast("int")})
-    totals = rows.groupBy(src, bucket).agg(F.sum(size).alias("total")).collect()  # sources x BUCKETS rows at most
-    sizes: dict = {}
-    starts = []
-    for s, b, n in sorted(totals):
-        starts.append((s, b, sizes.get(s, 0)))
-        sizes[s] = sizes.get(s, 0) + n
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
+    totals = written(rows.groupBy(src, bucket).agg(F.sum(size).alias("total")), "totals")
+    sizes = {s: n for s, n in sorted(totals.groupBy(src).agg(F.sum("total")).collect())}  # a row a source
     given = {s: float(n) ** TEMPERATURE for s, n in sizes.items()} if weights is None else {("" if s is None else f"={s}"): w for s, w in weights.items()}
     blocks = {s: -(-n // block_bytes) for s, n in sizes.items()}
-    plan, slots = [], []
+    # rows of a piece: a phase's blocks among `period` consecutive ones of the source
+    pieces = []
     for p, ph in enumerate(phases(blocks, given, period)):
-        for s, (share, first, end, at) in sorted(ph["sources"].items()):
-            plan.append((s, p, first, end, share, ph["slot"], ph["period"]))
-            # a pattern is needed only as far as the phase goes
-            slots += [(s, p, j, t) for j, t in enumerate(at[: min(share, end - first)])]
-    offsets = spark.createDataFrame(starts, f"`{src}` string, `{bucket}` int, `{before}` long")
-    spans = spark.createDataFrame(plan, f"`{src}` string, mix_phase int, p_first long, p_end long, p_share long, p_slot long, p_period long")
-    lookup = spark.createDataFrame(slots, f"`{src}` string, mix_phase int, `{idx}` long, p_at long")
+        for s, start, x in ph["rows"]:
+            while x:
+                n = period - start % period
+                pieces.append((s, start // period, p, start, start + min(n, len(x)), *map(list, zip(*x[:n], strict=True))))
+                start, x = start + n, x[n:]
+    held = f"`{src}` string, `{piece}` long, mix_phase int, `{first}` long, p_end long, p_slot array<long>, p_release array<long>, p_due array<long>"
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * 3
+    columns = [pa.array(c, k) for c, k in zip(zip(*pieces, strict=True), kinds, strict=True)] if pieces else [pa.array([], k) for k in kinds]
+    lookup = spark.createDataFrame(pa.Table.from_arrays(columns, [src, piece, "mix_phase", first, "p_end", "p_slot", "p_release", "p_due"]), held)
+    sofar = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
+    offsets = totals.select(src, bucket, F.coalesce(F.sum("total").over(sofar), F.lit(0)).alias(before))
     within = Window.partitionBy(src, bucket).orderBy(order, id_col, size).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("mix_block", F.coalesce(F.sum(size).over(within), F.lit(0)))
-    rows = rows.join(F.broadcast(offsets), [src, bucket])
+    rows = rows.join(offsets, [src, bucket])
     rows = rows.withColumn("mix_block", F.expr(f"(mix_block + `{before}`) div {block_bytes}"))
-    # bounded: phases are at most as many as sources, and all their shares sum to a period each
-    rows = rows.join(F.broadcast(spans), (rows[src] == spans[src]) & (F.col("mix_block") >= F.col("p_first")) & (F.col("mix_block") < F.col("p_end"))).drop(spans[src])
-    j = F.col("mix_block") - F.col("p_first")
-    rows = rows.withColumn(idx, j % F.col("p_share"))
-    rows = rows.join(F.broadcast(lookup), [src, "mix_phase", idx])
-    return rows.withColumns({
-        "mix_slot": F.expr("p_slot + (mix_block - p_first) div p_share * p_period + p_at"),
-        "mix_release": F.expr("p_slot + (mix_block - p_first) * p_period div p_share"),
-        "mix_deadline": F.expr("p_slot + ((mix_block - p_first + 1) * p_period + p_share - 1) div p_share"),
-    }).select(*docs.columns, *names)
+    rows = rows.withColumn(piece, F.expr(f"mix_block div {period}"))
+    inside = (rows[src] == lookup[src]) & (rows[piece] == lookup[piece]) & (F.col("mix_block") >= F.col(first)) & (F.col("mix_block") < F.col("p_end"))
+    rows = rows.join(lookup, inside).drop(lookup[src], lookup[piece])
+    at = (F.col("mix_block") - F.col(first)).cast("int") + 1
+    rows = rows.withColumns({"mix_slot": F.element_at("p_slot", at), "mix_release": F.element_at("p_release", at), "mix_deadline": F.element_at("p_due", at)})
+    return rows.select(*docs.columns, *names)
 
 
 def in_order(mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:

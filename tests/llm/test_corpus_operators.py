@@ -42,6 +42,25 @@ def test_phases_place_every_block_once():
     assert min(t for t, s in slots if s == "d") == 714  # no weight: after all others
 
 
+def test_phases_keep_the_exact_weights():
+    weights = {"a": 0.7310001, "b": 0.2688, "c": 1 / 9000, "d": 1 / 70000}
+    total = sum(map(Fraction, weights.values()))
+    phase = mixing.phases({"a": 60_000, "b": 60_000, "c": 60_000, "d": 60_000}, weights)[0]
+    assert phase["period"] > 80_000 and sum(n for n, *_ in phase["sources"].values()) == phase["period"]
+    for s, (_, _, _, at) in phase["sources"].items():
+        w = Fraction(weights[s]) / total
+        # farthest from the weight just before and just after each of its blocks, and at the end
+        assert all(0 < w * t - j + 1 and j + 1 - w * (t + 1) < 1 for j, t in enumerate(at)) and abs(len(at) - w * phase["period"]) < 1
+
+
+def test_phases_with_very_many_sources(spark):
+    n = 1500
+    slots = [ph["slot"] + t for ph in mixing.phases(dict.fromkeys(range(n), 2), {s: 1 + s % 7 for s in range(n)}) for *_, at in ph["sources"].values() for t in at]
+    assert sorted(slots) == list(range(2 * n))
+    docs = spark.range(3000).selectExpr("id AS doc_id", f"cast(id % {n} AS string) AS source", "'x' AS text")
+    assert sorted(r.mix_slot for r in mixing.mix(docs, block_bytes=2).collect()) == list(range(3000))
+
+
 def test_mix_rows(spark):
     rows = [(i, "ab"[i % 3 == 0], "x" * 40, 1) for i in range(300)] + [(7, None, None, 1), (None, "a", "", 1), (5, "b", "y" * 5000, 1), (5, "b", "y" * 5000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_slot int")
