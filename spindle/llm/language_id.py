@@ -1,7 +1,7 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
 The network is trained in numpy by backpropagation through time on a bounded sample: at most PER_LANGUAGE documents
-of each language, PIECES pieces of PIECE characters from each. It labels every byte position of a text; the document's
+of each language and SAMPLE of all, PIECES pieces of PIECE characters from each. It labels every byte position of a text; the document's
 probabilities are the mean over all its positions. Texts are read in blocks of BLOCK bytes, both directions
 starting anew in each block, so any length takes memory in proportion to a batch of blocks only. Gates
 are clipped linear functions in place of sigmoid and tanh.
@@ -9,7 +9,7 @@ are clipped linear functions in place of sigmoid and tanh.
 Only text and language of the training documents enter the network: those whose crc32(id as text) mod 4 is not 2,
 with neither text nor language null. Nulls and ties: a null id is hashed as the empty text. A text that is null, empty or
 without a letter is `und` with score 0, and so is every text if there is nothing to train on. Between equal probabilities the first
-language by name is taken. Languages beyond the MAX_LANGUAGES most frequent are not learned. Repeated rows are
+language by name is taken. Every language is learned; beyond CLASSES of them units and steps grow with their number. Repeated rows are
 predicted alike. Extra columns are kept by `identify`; clashing names are kept under `_name`.
 """
 
@@ -21,12 +21,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, require, table
 
-PER_LANGUAGE, PIECES, PIECE, MAX_LANGUAGES = 300, 3, 160, 64
+PER_LANGUAGE, PIECES, PIECE, SAMPLE, CLASSES = 300, 3, 160, 19_200, 16
 HIDDEN, BLOCK, COLUMNS, STEPS, BATCH, SEED = 8, 256, 4096, 220, 128, 7
 UNKNOWN = "und"
 _LETTER = re.compile(r"[^\W\d_]")
@@ -113,7 +113,10 @@ class Network:
     def train(self, pieces: list[bytes], labels: list[int], steps: int = STEPS, batch: int = BATCH, length: int = 128, rate: float = 0.02) -> None:
         """Adam on random batches, each language as often as any other."""
         rng = np.random.default_rng(SEED)
-        by = [[p for p, k in zip(pieces, labels, strict=True) if k == i and p] for i in range(len(self.languages))]
+        by = [[] for _ in self.languages]
+        for p, k in zip(pieces, labels, strict=True):
+            if p:
+                by[k].append(p)
         live = [i for i, own in enumerate(by) if own]
         m = [np.zeros_like(w) for w in self.parameters()]
         v = [np.zeros_like(w) for w in self.parameters()]
@@ -171,8 +174,9 @@ class Network:
         sizes = np.minimum(BLOCK, counts[owner] - nth * BLOCK)
         out = np.zeros((len(texts), len(self.languages)))
         order = np.argsort(-sizes, kind="stable")
-        for i in range(0, len(order), COLUMNS):
-            own = order[i : i + COLUMNS]
+        width = max(1, COLUMNS * CLASSES // max(CLASSES, len(self.languages)))  # as many numbers however many languages
+        for i in range(0, len(order), width):
+            own = order[i : i + width]
             np.add.at(out, owner[own], self.block_sums(blocks[own], sizes[own]))
         return out / np.maximum(counts, 1)[:, None]
 
@@ -186,29 +190,31 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """A network trained on a sample of docs; None if no row can be used."""
     require(docs, id_col, text, lang)
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(id_col) & (F.length(text) > 0))
-    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # a row a language
     if not counts:
         return None
-    # a row is drawn by the hash of its id, at a rate that gives somewhat more than PER_LANGUAGE rows of its language
+    per = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
+    # a row is drawn by the hash of its id, at a rate that gives somewhat more than `per` rows of its language
     draw = F.xxhash64(id_col, F.lit("sample")) / F.lit(2.0**64) + 0.5
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col(lang) == r.lang, F.lit(min(1.0, 1.3 * PER_LANGUAGE / r.n))).otherwise(rate)
+    (rate,) = fresh(usable, "rate")
+    rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (1.3 * per + 10 * (per < PER_LANGUAGE)) / r.n)) for r in counts], f"`{lang}` string, `{rate}` double")
     at = [F.pmod(F.xxhash64(id_col, F.lit(i)), F.greatest(F.length(text) - PIECE, F.lit(0)) + 1) + 1 for i in range(PIECES)]
     pieces = F.array(*[F.substring(F.col(text), a.cast("int"), F.lit(PIECE)) for a in at])
-    drawn = usable.where(draw < rate).select(draw.alias("draw"), F.col(lang).alias("lang"), pieces.alias("pieces"))
-    rows = sorted(drawn.orderBy("draw", "lang").limit(2 * PER_LANGUAGE * len(counts)).collect())
-    languages, used = sorted(r.lang for r in counts), {}
+    usable = usable.join(F.broadcast(rates), lang)
+    drawn = usable.where(draw < F.col(rate)).select(draw.alias("draw"), F.col(lang).alias("lang"), pieces.alias("pieces"))
+    w = Window.partitionBy("lang").orderBy("draw", "pieces")
+    rows = sorted(drawn.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per).drop("nth").collect())
+    languages = sorted(r.lang for r in counts)
+    number = {name: i for i, name in enumerate(languages)}
     texts, labels = [], []
     for r in rows:
-        used[r.lang] = used.get(r.lang, 0) + 1
-        if used[r.lang] <= PER_LANGUAGE:
-            texts += [p.encode("utf-8", "surrogatepass") for p in r.pieces]
-            labels += [languages.index(r.lang)] * len(r.pieces)
+        texts += [p.encode("utf-8", "surrogatepass") for p in r.pieces]
+        labels += [number[r.lang]] * len(r.pieces)
     if not texts:
         return None
-    network = Network(languages)
-    network.train(texts, labels)
+    more = max(1.0, len(languages) / CLASSES)
+    network = Network(languages, round(HIDDEN * more**0.5))
+    network.train(texts, labels, steps=round(STEPS * more))
     return network
 
 

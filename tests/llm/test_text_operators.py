@@ -130,6 +130,18 @@ def test_language_held_out_accuracy(spark):
     assert len(got) > 150 and sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "STEPS", 1)
+    monkeypatch.setattr(language_id, "SAMPLE", 140)
+    seen = []
+    monkeypatch.setattr(language_id.Network, "train", lambda self, pieces, labels, steps: seen.append((labels, steps)))
+    docs = spark.range(1400).selectExpr("id AS doc_id", "repeat(concat('w', id % 70, ' '), 60) AS text", "concat('l', id % 70) AS lang")
+    net = language_id.train(docs)
+    assert net.languages == sorted(f"l{i}" for i in range(70)) and net.sides[0].hidden > language_id.HIDDEN
+    (labels, steps), = seen
+    assert set(labels) == set(range(70)) and len(labels) <= 140 * language_id.PIECES and steps == 4
+
+
 def test_language_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(ODD)] + [(None, "12 + 3", None, 0.5)], "doc_id long, text string, lang string, score double")
     net = language_id.train(docs)
