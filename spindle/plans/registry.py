@@ -335,10 +335,8 @@ def append_document(spark, d):
 
 
 def eval_metrics(spark, d):
-    hits = bm25_batch_queries(spark, d)
-    log = hits.groupBy(F.col("query_id").alias("query")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "doc_id"))), lambda x: x["doc_id"]).alias("hits"))
-    good = _t(spark, d, "labels").where("quality = 1").agg(F.collect_set("doc_id").alias("relevant"))
-    return evaluate.metrics(log, log.select("query").crossJoin(good))
+    good = _t(spark, d, "labels").where("quality = 1").select("doc_id")
+    return evaluate.metrics_of_ranked(bm25_batch_queries(spark, d), good)
 
 
 BASE = r"""

@@ -99,6 +99,17 @@ def test_chunks(spark):
     assert sorted(r.chunk_no for r in more.where("doc_id = 1").collect()) == [0, 1, 2] and more.where("doc_id = 9").count() == 1
 
 
+def test_metrics_of_ranked_hits_match_those_of_lists(spark, sf):
+    lists = {1: [5, 6, 7], 2: [8], 3: [9, 5, 1, 2, 3, 6, 7, 4, 8, 10, 11, 12], 4: [20]}
+    hits = spark.createDataFrame([(q, r, x) for q, own in lists.items() for r, x in enumerate(own, 1)], "query_id long, rank long, doc_id long")
+    log = spark.createDataFrame(list(lists.items()), "query long, hits array<long>")
+    for good in ([6, 7, 8, 12, 99, 6, None], [None]):
+        judged = spark.createDataFrame([(q, sorted({x for x in good if x})) for q in lists], "query long, relevant array<long>")
+        assert evaluate.metrics_of_ranked(hits, spark.createDataFrame([(x,) for x in good], "doc_id long")).first() == evaluate.metrics(log, judged).first()
+    plan = registry.eval_metrics(spark, sf)._jdf.queryExecution().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+
+
 def test_append_document_takes_all_documents_and_turns(spark, tmp_path):
     spark.createDataFrame([(1, "s" * 300), (2, "l" * 3000)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     turns = [(1, 1, "user", "b" * 250), (1, 0, "user", "a" * 250), (3, 0, "user", "c" * 9)]
