@@ -7,13 +7,20 @@ choices are enumerated. A set goes to the bands in which a partner can lie and e
 partitions, in a fixed order, as its own h asks for. Every pair of linked sets shares a signature; sets with
 too many empty cells also emit their h + 1 smallest elements, as prefix filtering does.
 
-Three steps keep groups from being squared, and lose no link:
+Four steps keep groups from being squared, and lose no link:
 1. Equal sets are one class from the start.
-2. Signatures in at most SMALL classes give all their pairs. Classes of larger groups get a second, finer enumeration.
-3. Groups that are large even then hold mostly near copies. Each member x is compared with one member r of the
-   group only, giving D(x) = x ^ r. If D(x) and D(y) are disjoint and x, y are linked, both are linked to r.
-   Else x and y share an element of D, and are found by a join on the rarest elements of D, whose prefix
-   length follows from the overlap that a link would need.
+2. Signatures in at most SMALL classes give all their pairs. Classes of larger groups are crowded. Of two linked sets each has at most
+   h elements that the other lacks, so a crowded class with more than h elements that no other crowded class has is linked
+   with none of them (documents that merely share a passage go here).
+3. The crowded classes that are left get a second, finer enumeration, with pairs of small groups as before.
+4. Groups that are large even then hold mostly near copies. Their members are compared with a centre M: one member r, with the elements
+   flipped in which most members differ from r. With D(x) = x ^ M, n(x) = |x| and c = (1 - J) / (1 + J), x and y are linked if and only if
+   2 |D(x) & D(y)| >= w(x) + w(y), where w(x) = |D(x)| - c n(x). If that sum is 0 or less, then both are linked with the
+   member of the least w, so links with it are all that is needed. Else x and y share elements of D, which few members have by
+   the choice of M, and are found by a join on the rarest of them; how many of them is given by the overlap that a link needs.
+
+Signatures and elements travel packed: a task sends, for each part of the hash domain, the low halves of its hashes by
+class in one row. What a task holds more than SMALL times goes on without being gathered again, so no part grows with a group.
 
 Nulls and ties: null, empty and blank texts have an empty set and link with nothing; their component is their own id.
 Fewer than n words are one shingle. Repeated texts and ids keep their rows. A null id has a component: the smallest id of its class
@@ -24,16 +31,15 @@ by `with_components`; clashing names are kept under `_name`.
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, forget, fresh, require, table, written
+from .common import WORD, forget, fresh, require, shuffle_partitions, table, written
 from .components import components, contracted
 
 #: Cells a partition and cells left out: first and second enumeration.
@@ -41,6 +47,9 @@ COARSE, FINE = (2, 1), (5, 2)
 BAND_RATIO, SMALL = 2.0, 16
 #: Bytes that are hashed together; longs of the parity words that rule pairs out.
 BLOCK, PARITY = 1 << 20, 16
+#: Values that a task packs at a time, and classes that it remembers; values of one part of the domain; least number of parts; parts
+#: that one task merges, one after the other; values of a direct row.
+FLUSH, MET, PART_VALUES, MIN_PARTS, PARTS_A_TASK, CHUNK = 1 << 20, 100_000, 1 << 21, 16, 4, 1 << 16
 NO_ID = (1 << 63) - 1
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -179,7 +188,7 @@ def _ints(chunks: list[np.ndarray]) -> pa.Array:
 
 
 def _class_of(grams: np.ndarray) -> int:
-    """Name of a set as a signed 64-bit word; 0 is not used for sets with elements."""
+    """Name of a set as a signed 64-bit word."""
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
@@ -188,8 +197,8 @@ def _blocks(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
-def signed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """(key, tie, class, n_shingles, sigs) by row of docs (key, tie, text), written once: class is null for an empty set."""
+def named_rows(docs: DataFrame, n: int) -> DataFrame:
+    """(key, tie, class, n_shingles) by row of docs (key, tie, text), written once: class is null for an empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
@@ -197,31 +206,156 @@ def signed_rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for batch in _blocks(whole):
                 grams = list(shingle(batch.column(2).to_pylist()))
                 named = pa.array([_class_of(g) if len(g) else None for g in grams], pa.int64())
-                sigs = [signatures(g, percent, COARSE) for g in grams]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, pa.array([len(g) for g in grams], pa.int64()), _ints(sigs)], ["key", "tie", "class", "n_shingles", "sigs"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, pa.array([len(g) for g in grams], pa.int64())], ["key", "tie", "class", "n_shingles"])
 
-    rows = docs.select("key", "tie", "text").mapInArrow(run, "key long, tie long, class long, n_shingles long, sigs array<long>")
-    return written(rows, "signed")
+    return written(docs.select("key", "tie", "text").mapInArrow(run, "key long, tie long, class long, n_shingles long"), "named")
 
 
-def _repeated(signed: DataFrame) -> DataFrame:
-    """Signatures that more than one class has, first on the map side."""
-    ends = signed.groupBy("sig").agg(F.min("class").alias("lo"), F.max("class").alias("hi"))
-    return ends.where("lo <> hi").select("sig")
+Values = Callable[[np.ndarray], np.ndarray]
+_PACKED = pa.schema([("part", pa.int32()), ("direct", pa.bool_()), *[(c, pa.binary()) for c in ("classes", "counts", "low", "marks")]])
 
 
-def _members(signed: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
-    """(sig, class) of repeated signatures, once each; and (sig, members) by signature."""
-    members = written(signed.join(_repeated(signed), "sig", "left_semi").distinct(), name)
-    return members, members.groupBy("sig").agg(F.count(F.lit(1)).alias("members"))
+def _gathered(batches: Iterator[pa.RecordBatch], n: int, values: Values) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """About FLUSH values at a time: classes, and for each value, ascending, it and its class's place. Column 0 holds texts; a class
+    that the task has met lately is left out."""
+    shingle, met, held, size = Shingler(n), {}, [], 0
 
+    def flush() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        value = np.concatenate([v for _, v in held])
+        of = np.repeat(np.arange(len(held)), [len(v) for _, v in held])
+        order = np.argsort(value, kind="stable")
+        return np.array([c for c, _ in held], np.int64), value[order], of[order]
 
-def _small_pairs(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """All pairs of the groups of at most SMALL classes: less than SMALL rows for each member."""
-    small = members.join(groups.where(F.col("members") <= SMALL), "sig")
-    lists = small.groupBy("sig").agg(F.array_sort(F.collect_set("class")).alias("all"))
-    firsts = lists.select(F.posexplode("all").alias("at", "a"), "all")
-    return firsts.select("a", F.explode(F.slice("all", F.col("at") + 2, F.lit(SMALL))).alias("b")).distinct()
+    for whole in batches:
+        for batch in _blocks(whole):
+            for grams in shingle(batch.column(0).to_pylist()):
+                if not len(grams) or (name := _class_of(grams)) in met:
+                    continue
+                if len(met) >= MET:
+                    met.clear()
+                met[name] = None
+                own = values(grams)
+                if len(own):
+                    held.append((name, own))
+                    size += len(own)
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+    if held:
+        yield flush()
+
+
+def _packed(texts: DataFrame, n: int, values: Values, parts: int, most: int, tell: bool) -> DataFrame:
+    """Rows of _PACKED, dealt and sorted by part: classes and how many values each has in this part, the values' low halves, and marks,
+    values that more than `most` classes of a task have: with tell these go on as direct rows (class and value), else as marks only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for classes, value, of in _gathered(batches, n, values):
+            edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
+            size = np.diff(np.append(edge, len(value)))
+            often = np.repeat(size > most, size)
+            part = (((value >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int64)
+            low = (value & _U(0xFFFFFFFF)).astype(np.uint32)
+            rows = []
+            if tell:
+                whole, who = (part[often] << 32) | low[often], classes[of[often]]
+                rows += [(int(i // CHUNK % parts), True, who[i : i + CHUNK].tobytes(), b"", whole[i : i + CHUNK].tobytes(), b"") for i in range(0, len(who), CHUNK)]
+            first = edge[size > most]
+            marked, marks = part[first], low[first]
+            few = np.flatnonzero(~often)
+            few = few[np.lexsort((of[few], part[few]))]
+            at, own, low = part[few], of[few], low[few]
+            begin, end = np.searchsorted(at, np.arange(parts)), np.searchsorted(at, np.arange(parts), "right")
+            m_begin, m_end = np.searchsorted(marked, np.arange(parts)), np.searchsorted(marked, np.arange(parts), "right")
+            for p in np.flatnonzero((end > begin) | (m_end > m_begin)).tolist():
+                o = own[begin[p] : end[p]]
+                new = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else o
+                counts = np.diff(np.append(new, len(o))).astype(np.uint32)
+                rows.append((p, False, classes[o[new]].tobytes(), counts.tobytes(), low[begin[p] : end[p]].tobytes(), marks[m_begin[p] : m_end[p]].tobytes()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), _PACKED.types, strict=True)], schema=_PACKED)
+
+    packed = texts.select("text").mapInArrow(run, "part int, direct boolean, classes binary, counts binary, low binary, marks binary")
+    return packed.repartition(max(parts // PARTS_A_TASK, shuffle_partitions(texts.sparkSession)), "part").sortWithinPartitions("part")
+
+
+def _by_part(batches: Iterator[pa.RecordBatch], direct: Callable, finish: Callable) -> Iterator[pa.RecordBatch]:
+    """finish(part, values' low halves, their classes, marks) for each part, of (value, class) once each and sorted; direct(classes, values)."""
+
+    def close(part: int, rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        low = np.concatenate([np.frombuffer(r["low"], np.uint32) for r in rows])
+        own = np.concatenate([np.repeat(np.frombuffer(r["classes"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in rows])
+        marks = np.unique(np.concatenate([np.frombuffer(r["marks"], np.uint32) for r in rows]))
+        order = np.lexsort((own, low))
+        low, own = low[order], own[order]
+        once = np.concatenate([[True], (low[1:] != low[:-1]) | (own[1:] != own[:-1])]) if len(low) else np.zeros(0, bool)
+        return finish(part, low[once], own[once], marks)
+
+    part, rows = None, []
+    for batch in batches:
+        for r in batch.to_pylist():
+            if r["direct"]:
+                yield from direct(np.frombuffer(r["classes"], np.int64), np.frombuffer(r["low"], np.int64))
+                continue
+            if r["part"] != part:
+                if rows:
+                    yield from close(part, rows)
+                part, rows = r["part"], []
+            rows.append(r)
+    if rows:
+        yield from close(part, rows)
+
+
+def _longs(*columns: np.ndarray | None) -> pa.RecordBatch:
+    """A batch of long columns a, b, sig; None: nulls."""
+    n = max(len(c) for c in columns if c is not None)
+    return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in columns], ["a", "b", "sig"])
+
+
+def _parts(values: int) -> int:
+    return max(MIN_PARTS, values // PART_VALUES)
+
+
+def shared_signatures(texts: DataFrame, n: int, percent: int, shape: tuple[int, int], total: int, small: int) -> DataFrame:
+    """From the texts' classes: pairs (a, b, null) of classes that share a signature of at most `small` classes, and (class, null, sig) for each
+    signature of more classes. total: elements of all sets, about."""
+
+    def finish(part: int, low: np.ndarray, own: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        edge = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+        size = np.diff(np.append(edge, len(low)))
+        large = (size > small) | np.isin(low[edge], marks)
+        inside = np.repeat(large, size)
+        if inside.any():
+            yield _longs(own[inside], None, (part << 32) | low[inside].astype(np.int64))
+        pairs = []
+        for k in range(2, small + 1):
+            start = edge[(size == k) & ~large]
+            if len(start):
+                group = own[start[:, None] + np.arange(k)]
+                pairs += [np.stack([group[:, i], group[:, j]]) for i, j in itertools.combinations(range(k), 2)]
+        if pairs:
+            both = np.unique(np.concatenate(pairs, 1), axis=1)
+            yield _longs(both[0], both[1], None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_part(batches, lambda classes, sigs: [_longs(classes, None, sigs)], finish)
+
+    parts = _parts(total * (100 - percent) // percent * len(list(itertools.combinations(range(shape[0]), shape[1]))) // (shape[1] + 1))
+    return _packed(texts, n, lambda g: signatures(g, percent, shape), parts, small, True).mapInArrow(run, "a long, b long, sig long")
+
+
+def own_elements(texts: DataFrame, n: int, total: int) -> DataFrame:
+    """(class, own): how many elements of each class of the texts no other of them has; classes without any are left out."""
+
+    def finish(part: int, low: np.ndarray, own: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
+        alone = np.concatenate([[True], low[1:] != low[:-1]]) & np.concatenate([low[1:] != low[:-1], [True]]) if len(low) else np.zeros(0, bool)
+        names, counts = np.unique(own[alone & ~np.isin(low, marks)], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(counts, pa.int64())], ["class", "own"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _by_part(batches, lambda classes, values: [], finish)
+
+    counted = _packed(texts, n, lambda g: g, _parts(total), 1, False).mapInArrow(run, "class long, own long")
+    return counted.groupBy("class").agg(F.sum("own").alias("own"))
 
 
 def _near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
@@ -247,18 +381,16 @@ def _compared(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _stars(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(r, x): in groups that stay large, each member x with one r, the member that is in most of these groups: of near copies
-    the one with fewest changes of its own."""
-    large = members.join(groups.where(F.col("members") > SMALL), "sig").select("sig", "class")
-    large = large.join(large.groupBy("class").agg(F.count(F.lit(1)).alias("shared")), "class")
-    first = large.groupBy("sig").agg(F.max(F.struct("shared", "class")).alias("top"))
-    stars = large.join(first, "sig").where("class <> top.class").select(F.col("top.class").alias("r"), F.col("class").alias("x")).distinct()
-    return written(stars, "stars")
+def _stars(large: DataFrame) -> DataFrame:
+    """(r, x): in groups that stay large (sig, class), each member x with one r, the member that is in most of these groups: of near copies
+    the one with fewest changes of its own. r is a member too."""
+    counted = large.join(large.groupBy("class").agg(F.count(F.lit(1)).alias("shared")), "class")
+    first = counted.groupBy("sig").agg(F.max(F.struct("shared", "class")).alias("top"))
+    return written(large.join(first, "sig").select(F.col("top.class").alias("r"), F.col("class").alias("x")).distinct(), "stars")
 
 
 def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """For each (r, x): linked or not, and D(x) = x ^ r."""
+    """For each (r, x): linked or not, and x ^ r."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -276,52 +408,68 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return written(seen.mapInArrow(run, "r long, x long, ok boolean, n long, d array<long>"), "differences")
 
 
-def _hidden_pairs(seen: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of members that differ from their group's r alike and are not in one component (node, component) yet."""
-    at = seen.join(joined.withColumnRenamed("node", "x"), "x", "left").withColumn("in", F.coalesce("component", "x"))
-    # where one component holds the whole group there is nothing left to find
-    split = at.groupBy("r").agg(F.min("in").alias("lo"), F.max("in").alias("hi")).where("lo <> hi").select("r")
-    parts = at.join(split, "r", "left_semi").select("r", "x", "ok", "in", "n", F.size("d").alias("nd"), F.explode("d").alias("e"))
+def _centred(seen: DataFrame, percent: int) -> DataFrame:
+    """(r, x, n, d, w): d = x ^ M with the centre M, which is r with the elements flipped in which more than half of its members differ from it
+    (fewer than twice the mean size of d), and w times 100 + percent."""
+    members = seen.groupBy("r").agg(F.count(F.lit(1)).alias("members"))
+    often = seen.select("r", F.explode("d").alias("e")).groupBy("r", "e").agg(F.count(F.lit(1)).alias("k"))
+    flips = often.join(members, "r").where("2 * k > members").groupBy("r").agg(F.collect_list("e").alias("flip"))
+    none = F.array().cast("array<long>")
+    at = seen.join(flips, "r", "left").withColumn("flip", F.coalesce("flip", none))
+    d = F.when(F.size("flip") == 0, F.col("d")).otherwise(F.concat(F.array_except("d", "flip"), F.array_except("flip", "d")))
+    at = at.select("r", "x", "n", d.alias("d"))
+    return written(at.withColumn("w", F.size("d") * (100 + percent) - F.col("n") * (100 - percent)), "centred")
+
+
+def _centre_links(centred: DataFrame) -> DataFrame:
+    """(u, v): each member whose w and the least one sum to 0 or less, with the member of that least w. They are linked."""
+    least = centred.groupBy("r").agg(F.min(F.struct("w", "x")).alias("least"))
+    return centred.join(least, "r").where("w + least.w <= 0 AND x <> least.x").select(F.col("least.x").alias("u"), F.col("x").alias("v")).distinct()
+
+
+def _hidden_pairs(centred: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of one centre's members that may be linked and are not in one component (node, component) yet."""
+    at = centred.join(joined.withColumnRenamed("node", "x"), "x", "left").withColumn("in", F.coalesce("component", "x"))
+    # where one component holds all members there is nothing left to find
+    split = at.groupBy("r").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.min("w").alias("low")).where("lo <> hi").select("r", "low")
+    parts = at.join(split, "r").select("r", "x", "in", "w", "low", F.explode("d").alias("e"))
     often = parts.groupBy("r", "e").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.count(F.lit(1)).alias("df"))
     shared = parts.join(often.where("lo <> hi").select("r", "e", "df"), ["r", "e"])
-    # overlap of D that a link needs at least: |D(x)| - h for any partner; for a member linked to r, whose partner is not,
-    # (|D(x)| + |D(y)| - h) / 2 with |D(y)| > c (n(y) + n(r)) and h <= c (n(x) + n(y)), c = (1 - J) / (1 + J)
-    c = (100 - percent) / (100 + percent)
-    h = F.floor(F.col("n") * (100 - percent) / percent)
-    least = F.greatest(F.lit(1), F.col("nd") - h, F.when(F.col("ok"), F.ceil(F.col("nd") * ((1 - c) / 2) - 1e-6)).otherwise(1))
+    # common elements of D that a link needs: half of w(x) + w(y), and 1. For a far member (w(x) + low > 0) w(y) is low at least; a near one is
+    # in a component with all near ones, so only far partners matter, with w(y) > -low
+    unit = 2 * (100 + percent)
+    far = F.col("w") + F.col("low") > 0
+    needs = F.when(far, F.ceil((F.col("w") + F.col("low")) / unit)).otherwise(F.floor((F.col("w") - F.col("low")) / unit) + 1)
     order = Window.partitionBy("r", "x").orderBy("df", "e")
-    ranked = shared.withColumns({"nth": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy("r", "x"))})
-    prefix = ranked.where(F.col("nth") <= F.col("left") - least + 1)
+    ranked = shared.withColumns({"nth": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy("r", "x")), "far": far})
+    prefix = ranked.where(F.col("nth") <= F.col("left") - F.greatest(F.lit(1), needs) + 1)
     # elements from this one on; at the first that two members share, no more than that can be shared
     rest = F.col("left") - F.col("nth") + 1
-    mine = prefix.select("r", "e", F.col("x").alias("a"), "ok", "in", "n", "nd", rest.alias("rest"))
-    loose = prefix.where("NOT ok").select("r", "e", F.col("x").alias("b"), *[F.col(k).alias(f"{k}_b") for k in ("in", "n", "nd")], rest.alias("rest_b"))
-    # |D(x) ^ D(y)| is at least |D(x)| + |D(y)| less twice what both can share
-    apart = F.col("nd") + F.col("nd_b") - 2 * F.least("rest", "rest_b")
-    near = apart * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_b"))
-    found = mine.join(loose, ["r", "e"]).where(near & F.expr("in <> in_b AND (ok OR a < b)"))
+    mine = prefix.select("r", "e", F.col("x").alias("a"), "in", "w", "far", rest.alias("rest"))
+    other = prefix.where("far").select("r", "e", F.col("x").alias("b"), F.col("in").alias("in_b"), F.col("w").alias("w_b"), rest.alias("rest_b"))
+    near = unit * F.least("rest", "rest_b") >= F.col("w") + F.col("w_b")
+    found = mine.join(other, ["r", "e"]).where(near & F.expr("in <> in_b AND (NOT far OR a < b)"))
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """docs with one text for each wanted class (and its columns)."""
+    """One text for each wanted class (and its columns), written."""
     picked = named.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("tie", "key")).alias("x"))
     picked = picked.select("class", "x.tie", "x.key").join(wanted, "class")
-    return docs.join(picked, ["key", "tie"])
+    return written(docs.join(picked, ["key", "tie"]).drop("key", "tie"), "texts")
 
 
-def _profiles(texts: DataFrame, n: int, percent: int) -> DataFrame:
-    """(class, n, parity, fine): size, parity words and, for classes of crowded groups, the fine signatures."""
+def _profiles(texts: DataFrame, n: int) -> DataFrame:
+    """(class, n, parity): size and parity words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
         for whole in batches:
             for batch in _blocks(whole):
                 grams = list(shingle(batch.column(1).to_pylist()))
-                fine = [signatures(g, percent, FINE) if c else g[:0] for g, c in zip(grams, batch.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int64()), _ints([parity(g) for g in grams]), _ints(fine)], ["class", "n", "parity", "fine"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(g) for g in grams], pa.int64()), _ints([parity(g) for g in grams])], ["class", "n", "parity"])
 
-    return texts.select("class", "text", "crowded").mapInArrow(run, "class long, n long, parity array<long>, fine array<long>")
+    return texts.select("class", "text").mapInArrow(run, "class long, n long, parity array<long>")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -336,29 +484,35 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("class", "text").mapInArrow(run, "class long, grams array<long>")
 
 
-def class_components(docs: DataFrame, signed: DataFrame, n: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(node, component) of classes that have links, and `signed` without signatures. docs: key, tie and text; signed:
-    `signed_rows` of them. Wide tables go as soon as what follows has been written."""
-    members, groups = _members(signed.where("class IS NOT NULL").select("class", F.explode("sigs").alias("sig")), "coarse")
-    named = written(signed.drop("sigs"), "named")
-    forget(signed)
-    crowded = members.join(groups.where(F.col("members") > SMALL), "sig", "left_semi").select("class").distinct()
-    live = members.select("class").distinct().join(crowded.withColumn("crowded", F.lit(True)), "class", "left")
-    wide = written(_profiles(_texts(docs, named, live), n, percent), "profiles")
-    fine_members, fine_groups = _members(wide.select("class", F.explode("fine").alias("sig")), "fine")
-    profiles = written(wide.select("class", "n", "parity"), "profiles")
-    forget(wide)
-    pairs = _small_pairs(members, groups).union(_small_pairs(fine_members, fine_groups)).distinct()
-    near, stars = _near(pairs, profiles, percent), _stars(fine_members, fine_groups)
-    used = near.select(F.col("a").alias("class")).union(near.select("b")).union(stars.select("r")).union(stars.select("x")).distinct()
-    sets = written(_sets(_texts(docs, named, used), n), "sets")
+def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
+    """(node, component) of classes that have links. docs: key, tie and text; named: `named_rows` of them. Wide tables go as soon
+    as what follows has been written."""
+    total = named.agg(F.sum("n_shingles")).first()[0] or 0
+    coarse = written(shared_signatures(docs, n, percent, COARSE, total, SMALL), "coarse")
+    pairs = coarse.where("b IS NOT NULL").select("a", "b")
+    live = pairs.select(F.col("a").alias("class"), F.lit(False).alias("crowded")).union(pairs.select("b", F.lit(False)))
+    live = live.union(coarse.where("b IS NULL").select("a", F.lit(True))).groupBy("class").agg(F.bool_or("crowded").alias("crowded"))
+    texts = _texts(docs, named, live)
+    profiles = written(_profiles(texts, n), "profiles")
+    crowd, size = texts.where("crowded"), profiles.select("class", "n")
+    total = crowd.select("class").join(size, "class").agg(F.sum("n")).first()[0] or 0
+    alone = own_elements(crowd, n, total).join(size, "class").where(F.col("own") > F.floor(F.col("n") * (100 - percent) / percent))
+    dense = written(crowd.join(alone, "class", "left_anti").select("class", "text"), "dense")
+    fine = written(shared_signatures(dense, n, percent, FINE, total, SMALL), "fine")
+    near = _near(pairs.union(fine.where("b IS NOT NULL").select("a", "b")).distinct(), profiles, percent)
+    stars = _stars(fine.where("b IS NULL").select("sig", F.col("a").alias("class")))
+    used = near.select(F.col("a").alias("class")).union(near.select("b")).union(stars.select("x")).distinct()
+    sets = written(_sets(texts.join(used, "class", "left_semi"), n), "sets")
+    forget(texts, dense, coarse, fine)
     seen = _differences(stars, sets, percent)
-    direct = _compared(near, sets, percent).union(seen.where("ok").select(F.col("r").alias("a"), F.col("x").alias("b")))
+    centred = _centred(seen, percent)
+    direct = _compared(near, sets, percent).union(seen.where("ok AND r <> x").select(F.col("r").alias("a"), F.col("x").alias("b"))).union(_centre_links(centred))
     hubs, joined = contracted(written(direct.toDF("u", "v"), "direct"), 2)
-    more = _compared(_near(_hidden_pairs(seen, joined, percent), profiles, percent), sets, percent).toDF("u", "v")
+    forget(seen)
+    more = _compared(_near(_hidden_pairs(centred, joined, percent), profiles, percent), sets, percent).toDF("u", "v")
     linked_classes = written(hubs.union(more), "linked")
-    forget(members, fine_members, sets, seen)
-    return components(linked_classes), named
+    forget(sets, centred, profiles)
+    return components(linked_classes)
 
 
 def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
@@ -366,7 +520,8 @@ def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> Dat
     for an empty set) and smallest id."""
     tie = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     slim = docs.select(F.xxhash64(text).alias("key"), tie.alias("tie"), F.col(text).alias("text"))
-    joined, named = class_components(slim, signed_rows(slim, n, percent), n, percent)
+    named = named_rows(slim, n)
+    joined = class_components(slim, named, n, percent)
     filled = named.where("class IS NOT NULL")
     ids = filled.groupBy("class").agg(F.min("tie").alias("first"))
     ids = ids.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
