@@ -22,9 +22,12 @@ def bm25_term(tf: Column, df: Column, n: Column, length: Column, average: Column
     return F.when(length > 0, idf * tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * norm))).otherwise(F.lit(0.0))
 
 
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if their sizes differ, or one is empty or all zeros."""
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
     return F.when((F.size(a) == F.size(b)) & (norms > 0), dot(a, b) / norms).otherwise(F.lit(0.0))
 

@@ -35,3 +35,14 @@ def checksum(chunked: DataFrame, key: list[str], order: str, name: Column, conte
     """SHA-256 over id and content of a document's chunks, in order."""
     parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.concat(name, F.col(content)).alias("s"))))
     return chunked.groupBy(*key).agg(F.sha2(F.array_join(F.transform(parts, lambda x: x["s"]), ""), 256).alias("checksum"))
+
+
+def preview(chunked: DataFrame, doc: Column, order: str = "chunk_no", chunks: int = 3) -> DataFrame:
+    """The first chunks of a document."""
+    return chunked.where(doc).orderBy(order).limit(chunks)
+
+
+def snapshot(documents: DataFrame, chunked: DataFrame, key: list[str]) -> DataFrame:
+    """Documents with the number of their chunks and characters; those without chunks count 0."""
+    sizes = chunked.groupBy(*key).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("content")).alias("chars"))
+    return documents.join(sizes, key, "left").fillna(0, ["chunks", "chars"])

@@ -9,7 +9,6 @@ from spindle.functions.text import SENTENCE_END, is_heading, section_role, sente
 
 SHORT, LONG, FRAGMENT, OVERLAP = 200, 2000, 60, 200
 _last = lambda a: F.element_at(a, -1)
-_but_last = lambda a: F.slice(a, F.lit(1), F.size(a) - 1)
 
 
 def _fold(items: Column, merge) -> Column:
@@ -19,18 +18,35 @@ def _fold(items: Column, merge) -> Column:
     return F.aggregate(rest, start, merge)
 
 
+def _runs(items: Column, joins, join) -> Column:
+    """Neighbours in an array joined to runs: join(last, x) gives the longer run where joins(last, x). The run that is open stands
+    apart from those that are closed, so the array is copied once a run and not once an element."""
+    rest = F.slice(items, F.lit(2), F.greatest(F.size(items) - 1, F.lit(0)))
+    start = F.struct(F.slice(items, 1, 0).alias("closed"), F.try_element_at(items, F.lit(1)).alias("last"))
+
+    def add(s, x):
+        grown = F.struct(s["closed"].alias("closed"), join(s["last"], x).alias("last"))
+        return F.when(joins(s["last"], x), grown).otherwise(F.struct(F.concat(s["closed"], F.array(s["last"])).alias("closed"), x.alias("last")))
+
+    runs = F.aggregate(rest, start, add, lambda s: F.concat(s["closed"], F.array(s["last"])))
+    return F.when(F.size(items) == 0, items).otherwise(runs)
+
+
 def packed(text: Column, limit: int = LONG) -> Column:
     """Sentences packed greedily to pieces of at most limit characters, joining blanks not counted; text of one sentence stays as it is."""
-    parts = sentences(text)
-    trimmed = F.filter(F.transform(parts, stripped), lambda s: s != "")
-    fits = lambda out, s: F.char_length(_last(out)) + F.char_length(s) <= limit
-    joined = _fold(trimmed, lambda out, s: F.when(fits(out, s), F.concat(_but_last(out), F.array(F.concat_ws(" ", _last(out), s)))).otherwise(F.concat(out, F.array(s))))
-    return F.when(F.size(parts) <= 1, F.array(text)).otherwise(joined)
+    fits = lambda last, x: F.char_length(last) + F.char_length(x) <= limit
+
+    def pack(parts):
+        trimmed = F.filter(F.transform(parts, stripped), lambda x: x != "")
+        return F.when(F.size(parts) <= 1, F.array(text)).otherwise(_runs(trimmed, fits, lambda last, x: F.concat_ws(" ", last, x)))
+
+    # within transform the sentences have a name, so they are split once
+    return F.element_at(F.transform(F.array(sentences(text)), pack), 1)
 
 
 def merged_short(items: Column, limit: int) -> Column:
     """Contents shorter than limit are joined to the one before by a blank line; the first stays. items: array of strings."""
-    return _fold(items, lambda out, s: F.when(F.char_length(s) < limit, F.concat(_but_last(out), F.array(F.concat_ws("\n\n", _last(out), s)))).otherwise(F.concat(out, F.array(s))))
+    return _runs(items, lambda last, x: F.char_length(x) < limit, lambda last, x: F.concat_ws("\n\n", last, x))
 
 
 def _tail(before: Column, size: int) -> Column:
@@ -80,17 +96,17 @@ def chunks(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """(key, chunk_no, chunk_id, content, section, section_role, offset). A document's array is folded within its row; nothing is shuffled."""
     kind = "array<struct<content:string,section:string,offset:int>>"
     row = lambda c, s, o: F.struct(c.alias("content"), s.alias("section"), o.alias("offset"))
-    join = lambda out, x: F.concat(_but_last(out), F.array(row(F.concat_ws("\n\n", _last(out)["content"], x["content"]), _last(out)["section"], _last(out)["offset"])))
-    short = lambda limit: lambda out, x: F.when(F.char_length(x["content"]) < limit, join(out, x)).otherwise(F.concat(out, F.array(x)))
+    join = lambda last, x: row(F.concat_ws("\n\n", last["content"], x["content"]), last["section"], last["offset"])
+    short = lambda items, limit: _runs(items, lambda last, x: F.char_length(x["content"]) < limit, join)
 
     body = docs.select(*key, stripped(F.col(text)).alias("body")).where("body <> ''")
     paras = body.select(*key, paragraphs(F.col("body")).alias("p"), headings(F.col("body")).alias("h"))
     at = lambda p: F.coalesce(F.try_element_at(F.filter("h", lambda h: h["offset"] <= p["offset"]), F.lit(-1))["heading"], F.lit(""))
     placed = paras.select(*key, F.transform("p", lambda p: row(p["content"], F.lit(""), p["offset"])).cast(kind).alias("p"), "h")
-    merged = placed.select(*key, _fold(F.col("p"), short(SHORT)).alias("p"), "h")
+    merged = placed.select(*key, short(F.col("p"), SHORT).alias("p"), "h")
     located = merged.select(*key, F.transform("p", lambda p: row(p["content"], at(p), p["offset"])).alias("p"))
     split = F.flatten(F.transform("p", lambda p: F.transform(F.when(F.char_length(p["content"]) > LONG, packed(p["content"])).otherwise(F.array(p["content"])), lambda c: row(c, p["section"], p["offset"]))))
-    parts = located.select(*key, split.alias("p")).select(*key, _fold(F.col("p"), short(FRAGMENT)).alias("p"))
+    parts = located.select(*key, split.alias("p")).select(*key, short(F.col("p"), FRAGMENT).alias("p"))
 
     def lap(out, x):
         tail = _tail(_last(out)["content"], OVERLAP)
@@ -122,14 +138,13 @@ def appended(chunked: DataFrame, new_docs: DataFrame, key: list[str], text: str
 
 
 def semantic_merge(rows: DataFrame, key: list[str], order: str, content: str = "content", vector: str = "vector", threshold: float = 0.75) -> DataFrame:
-    """(key, nth, content): neighbours are joined while their vector is closer than threshold to that of the chunk that began the run."""
+    """(key, nth, content): neighbours are joined while their vector is closer than threshold to that of the chunk that began the run.
+    key: a document, whose chunks are folded in one row."""
     from spindle.functions.score import cosine
 
     item = F.struct(F.col(order).alias("o"), F.col(content).alias("content"), F.col(vector).alias("vector"))
     lists = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["content"].alias("content"), x["vector"].alias("vector"))).alias("p"))
 
-    def add(out, x):
-        joined = F.struct(F.concat_ws("\n\n", _last(out)["content"], x["content"]).alias("content"), _last(out)["vector"].alias("vector"))
-        return F.when(cosine(_last(out)["vector"], x["vector"]) > threshold, F.concat(_but_last(out), F.array(joined))).otherwise(F.concat(out, F.array(x)))
-
-    return lists.select(*key, F.posexplode(_fold(F.col("p"), add)).alias("nth", "c")).select(*key, "nth", "c.content")
+    near = lambda last, x: cosine(last["vector"], x["vector"]) > threshold
+    join = lambda last, x: F.struct(F.concat_ws("\n\n", last["content"], x["content"]).alias("content"), last["vector"].alias("vector"))
+    return lists.select(*key, F.posexplode(_runs(F.col("p"), near, join)).alias("nth", "c")).select(*key, "nth", "c.content")

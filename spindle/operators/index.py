@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spindle.functions.text import tokens
@@ -31,10 +31,19 @@ def document_frequency(counts: DataFrame, scope: list[str] = ()) -> DataFrame:
     return counts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def indexed(texts: DataFrame, key: list[str], text: str = "text", n: int = TOP_TERMS) -> DataFrame:
+    """(key, term, tf, r, length): the n most frequent terms of each text by rank r, ties by term, with the text's length (all tokens, indexed
+    or not). Texts are dealt by key once; counting and ranking need no further shuffle."""
+    counts = term_counts(texts.select(*key, text).repartition(*key), key, text)
+    of = Window.partitionBy(*key)
+    ranked = counts.withColumns({"r": F.row_number().over(of.orderBy(F.desc("tf"), "term")), "length": F.sum("tf").over(of).cast("double")})
+    return ranked.where(F.col("r") <= n)
+
+
 def index(texts: DataFrame, key: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Postings (key, term, tf) of top terms, and entries (key, length)."""
-    counts = term_counts(texts, key, text)
-    return top_terms(counts, key), lengths(counts, key)
+    rows = indexed(texts, key, text)
+    return rows.drop("r", "length"), rows.where("r = 1").select(*key, "length")
 
 
 def write_postings(postings: DataFrame, path: str, partition: list[str] = ()) -> None:
@@ -44,6 +53,18 @@ def write_postings(postings: DataFrame, path: str, partition: list[str] = ()) ->
     out.write.mode("overwrite").partitionBy(*partition).parquet(path)
 
 
+def write_index(texts: DataFrame, key: list[str], path: str, text: str = "text") -> None:
+    """Postings and entries of texts below path. Searches read them instead of the texts."""
+    indexed(texts, key, text).write.mode("overwrite").parquet(f"{path}/ranked")
+    rows = texts.sparkSession.read.parquet(f"{path}/ranked")
+    write_postings(rows.drop("r", "length"), f"{path}/postings")
+    rows.where("r = 1").select(*key, "length").write.mode("overwrite").parquet(f"{path}/entries")
+
+
+def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/entries")
+
+
 def without_documents(rows: DataFrame, removed: DataFrame, key: list[str]) -> DataFrame:
     """Rows of documents that are not removed; applied to chunks, sections and postings alike."""
     return rows.join(removed.select(*key).distinct(), key, "left_anti")

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +94,21 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str = "content", batch_t
     return rows.withColumn("vector", run(F.col(text)))
 
 
-def reranked(hits: DataFrame, reranker: Reranker, query: str = "query", text: str = "text", tie: list[str] = (), n: int = 100, batch: int = 20) -> DataFrame:
-    """The n best hits of each query with the model's scores, best first; if the model fails, the scores they had. One query's hits, n at most, are a group."""
+def candidates(limit: int, asked: int = 0) -> int:
+    """Hits that a reranker sees: as many as asked for, else twice the limit and 20 at least."""
+    return asked if asked > 0 else max(2 * limit, 20)
+
+
+def reranked(hits: DataFrame, reranker: Reranker, query: str = "query", text: str = "text", tie: list[str] = (), n: int = 100, batch: int = 20,
+             vector: str | None = None, query_vector: list[float] | None = None) -> DataFrame:
+    """The n best hits of each query with the model's scores, best first. If the model fails: their vectors' cosine with query_vector where there are some, else
+    the scores they had. One query's hits, n at most, are a group."""
+    goal = None if query_vector is None else np.array(query_vector, np.float64)
+
+    def cosine(v: object) -> float:
+        v = np.zeros(0) if v is None else np.asarray(v, np.float64)
+        length = np.linalg.norm(v) * np.linalg.norm(goal) if len(v) == len(goal) else 0.0
+        return float(v @ goal / length) if length > 0 else 0.0
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["score", *tie], ascending=[False, *[True] * len(tie)], kind="stable").head(n)
@@ -103,10 +117,13 @@ def reranked(hits: DataFrame, reranker: Reranker, query: str = "query", text: st
             for i in range(0, len(group), batch):
                 part = group.iloc[i : i + batch]
                 got = reranker.rerank(part[query].iloc[0], part[text].fillna("").tolist())
-                new += [*got, *[0.0] * (len(part) - len(got))][: len(part)]
+                if len(got) != len(part):
+                    raise ValueError("the model gave another number of scores")
+                new += got
             group = group.assign(score=new)
-        except Exception:  # any failure of an outside model leaves the order as it was
-            pass
+        except Exception:  # any failure of an outside model
+            if goal is not None and group[vector].notna().any():
+                group = group.assign(score=[cosine(v) for v in group[vector]])
         return group.sort_values(["score", *tie], ascending=[False, *[True] * len(tie)], kind="stable")
 
     return hits.groupBy("query_id").applyInPandas(run, hits.schema)
@@ -187,5 +204,3 @@ def variants(queries: DataFrame, synonyms: dict[str, list[str]] = SYNONYMS, quer
     every = F.array_distinct(F.array_compact(F.array(F.col(query), *found)))
     return queries.withColumn("variant", F.explode(every))
 
-
-Parser = Callable[[str, bytes], str]

@@ -103,6 +103,32 @@ def context(chunked: DataFrame, key: list[str], order: str, content: str, around
     return chunked.withColumn("context", F.array_join(F.collect_list(content).over(w), "\n---\n"))
 
 
+def rendered(chunked: DataFrame, key: list[str], chunk_no: int, around: int, order: str = "chunk_no") -> DataFrame:
+    """(key, text): a chunk with up to `around` neighbours on either side. Where the document has sections, chunks of one section follow each other under one
+    heading; else each is headed by its number in brackets. around 0: the chunk alone."""
+    if around <= 0:
+        return chunked.where(F.col(order) == chunk_no).select(*key, F.col("content").alias("text"))
+    named = chunked.groupBy(*key).agg(F.bool_or(F.col("section") != "").alias("named"))
+    near = chunked.where(F.col(order).between(chunk_no - around, chunk_no + around))
+    rows = near.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("no"), "section", "content"))).alias("c")).join(named, key)
+    before = lambda i: F.when(i == 0, F.lit("")).otherwise(F.get(F.col("c"), i - 1)["section"])
+    head = lambda x, i: F.when((x["section"] != before(i)) & (x["section"] != ""), F.concat(F.lit("## "), x["section"], F.lit("\n"))).otherwise(F.lit(""))
+    sectioned = F.array_join(F.transform("c", lambda x, i: F.concat(head(x, i), x["content"])), "\n\n")
+    number = lambda x: F.when(x["no"] < 1000, F.lpad(x["no"].cast("string"), 3, "0")).otherwise(x["no"].cast("string"))
+    plain = F.array_join(F.transform("c", lambda x: F.concat(F.lit("["), number(x), F.lit("]\n"), x["content"])), "\n\n---\n\n")
+    return rows.select(*key, F.when(F.col("named"), sectioned).otherwise(plain).alias("text"))
+
+
+def read_section(section_rows: DataFrame, doc: Column, section_id: str) -> DataFrame:
+    """One section of a document, from `chunk.sections`."""
+    return section_rows.where(doc & (F.col("section_id") == section_id))
+
+
+def first_with(chunked: DataFrame, kb: str, doc: Column, chunk_no: int, order: str = "chunk_no") -> DataFrame:
+    """A chunk from the first collection by name that has it."""
+    return chunked.where(doc & (F.col(order) == chunk_no)).orderBy(kb).limit(1)
+
+
 def read_chunk(chunked: DataFrame, doc: Column, chunk_no: int, around: int = 0, order: str = "chunk_no") -> DataFrame:
     """The rows of one chunk and its neighbours; around is at most 5."""
     c = max(0, min(5, around))

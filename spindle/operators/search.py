@@ -16,6 +16,8 @@ from spindle.functions import score as S
 from spindle.functions.text import query_terms
 
 TRIM, BOOST, MAX_QUERY_TERMS = 0.15, 1.1, 200_000
+#: Terms up to which a lookup names them in its filter; query vectors up to which they are broadcast; score ranges that ranks are counted in.
+MAX_NAMED_TERMS, MAX_SENT_VECTORS, RANGES = 1000, 10_000, 1024
 
 
 @dataclass(frozen=True)
@@ -59,22 +61,30 @@ def query_table(spark: SparkSession, queries: dict[int, str] | Iterable[tuple[in
 def bm25(postings: DataFrame, entries: DataFrame, queries: DataFrame, key: list[str], scope: list[str] = (), corpus: bool = False, boost: Column | None = None, small: bool = True) -> DataFrame:
     """(query_id, key, score). entries: key, scope columns, length and what boost needs. scope: columns, such as a
     collection, within which statistics are separate. corpus: statistics of all entries, not of candidates only. small: queries come from
-    `query_table`, whose size is checked, so they and their statistics are broadcast; for a table of queries of any size, False."""
+    `query_table`, whose size is checked, so they and their statistics are broadcast, and their terms prune the scan of postings that are sorted by
+    term; for a table of queries of any size, False. Entries with a column query_id are candidates of that query only."""
     by = ["query_id", *scope]
     hint = F.broadcast if small else (lambda df: df)
-    matched = postings.join(hint(queries), "term").join(entries, key)
+    if small:
+        terms = sorted({r.term for r in queries.select("term").collect()})
+        if len(terms) <= MAX_NAMED_TERMS:
+            postings = postings.where(F.col("term").isin(*terms))
+    own_entries = [*key, "query_id"] if "query_id" in entries.columns else key
+    matched = postings.join(hint(queries), "term").join(entries, own_entries)
     if corpus:
         stats = entries.groupBy(*scope).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("average"))
         df = postings.join(hint(queries.select("term").distinct()), "term", "left_semi").join(entries.select(*key, *[c for c in scope if c not in key]), key)
         df = df.groupBy(*scope, "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        matched = matched.join(hint(df), [*scope, "term"])
-        matched = matched.join(hint(stats), list(scope)) if scope else matched.crossJoin(hint(stats))
+        # with a scope, statistics grow with the number of collections, and are joined as they come
+        matched = matched.join(df if scope else hint(df), [*scope, "term"])
+        matched = matched.join(stats, list(scope)) if scope else matched.crossJoin(F.broadcast(stats))
     else:
         # one row a candidate, then one row a query: both sums start on the map side
         own = matched.groupBy(*by, *[k for k in key if k not in scope]).agg(F.first("length").alias("length"))
         stats = own.groupBy(*by).agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("average"))
         df = matched.groupBy(*by, "term").agg(F.count(F.lit(1)).cast("double").alias("df"))
-        matched = matched.join(hint(df), [*by, "term"]).join(hint(stats), by)
+        sent = hint if not scope else (lambda x: x)
+        matched = matched.join(sent(df), [*by, "term"]).join(sent(stats), by)
     part = S.bm25_term(F.col("tf").cast("double"), F.col("df"), F.col("n"), F.col("length"), F.col("average"))
     more = [F.first(boost).alias("boost")] if boost is not None else []
     out = matched.groupBy(*by, *[k for k in key if k not in scope]).agg(F.sum(part).alias("score"), *more).where("score > 0")
@@ -94,10 +104,28 @@ def top(hits: DataFrame, k: int, tie: list[str], by: list[str] = ("query_id",),
     return hits.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def ranked(hits: DataFrame, tie: list[str], rank: str, by: str = "query_id") -> DataFrame:
+    """Adds the rank from 0 of each hit, best first. Hits are counted in RANGES ranges of their score (a part of the query's best), so that no task
+    sorts all hits of a query: ranks are those within a range, plus the hits in better ranges."""
+    best = hits.groupBy(by).agg(F.max("score").alias("best"))
+    at = hits.join(best, by).withColumn("range", F.floor((1 - F.col("score") / F.col("best")) * RANGES)).drop("best")
+    counts = at.groupBy(by, "range").agg(F.count(F.lit(1)).alias("n"))
+    better = Window.partitionBy(by).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # RANGES rows
+    before = counts.select(by, "range", F.coalesce(F.sum("n").over(better), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(by, "range").orderBy(F.desc("score"), *tie))
+    return at.withColumn(rank, nth).join(before, [by, "range"]).withColumn(rank, F.col(rank) - 1 + F.col("before")).drop("range", "before")
+
+
 def dense(vectors: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
-    """(query_id, key, score): cosine of every vector with every query vector (query_id, vector); queries are few."""
-    near = S.cosine(F.col("embedding"), F.col("vector"))
-    return vectors.crossJoin(F.broadcast(queries)).select("query_id", *key, F.round(near, S.DIGITS).alias("score")).where("score > 0")
+    """(query_id, key, score): cosine of every vector with every query vector (query_id, vector). Up to MAX_SENT_VECTORS queries are sent to all
+    tasks; more are compared in blocks of both tables."""
+    length = lambda c: F.sqrt(S.dot(F.col(c), F.col(c)))
+    asked = queries.withColumn("q_length", length("vector"))
+    asked = F.broadcast(asked) if queries.limit(MAX_SENT_VECTORS + 1).count() <= MAX_SENT_VECTORS else asked
+    both = vectors.withColumn("v_length", length("embedding")).crossJoin(asked)
+    fits = (F.size("embedding") == F.size("vector")) & (F.col("v_length") * F.col("q_length") > 0)
+    near = F.when(fits, S.dot(F.col("embedding"), F.col("vector")) / (F.col("v_length") * F.col("q_length"))).otherwise(F.lit(0.0))
+    return both.select("query_id", *key, F.round(near, S.DIGITS).alias("score")).where("score > 0")
 
 
 def hybrid(sparse: DataFrame, dense_hits: DataFrame, alpha: Column | float, key: list[str], candidates_only: bool = True) -> DataFrame:
@@ -106,11 +134,10 @@ def hybrid(sparse: DataFrame, dense_hits: DataFrame, alpha: Column | float, key:
     if candidates_only:
         found = sparse.select("query_id").distinct().withColumn("found", F.lit(True))
         in_sparse = sparse.select("query_id", *key).withColumn("mine", F.lit(True))
-        dense_hits = dense_hits.join(F.broadcast(found), "query_id", "left").join(in_sparse, ["query_id", *key], "left")
+        dense_hits = dense_hits.join(found, "query_id", "left").join(in_sparse, ["query_id", *key], "left")
         dense_hits = dense_hits.where(F.col("found").isNull() | F.col("mine")).drop("found", "mine")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), *key)
-    a = sparse.withColumn("sparse_rank", F.row_number().over(w) - 1).drop("score")
-    b = dense_hits.withColumn("dense_rank", F.row_number().over(w) - 1).drop("score")
+    a = ranked(sparse, key, "sparse_rank").drop("score")
+    b = ranked(dense_hits, key, "dense_rank").drop("score")
     both = a.join(b, ["query_id", *key], "full_outer")
     weight = alpha if isinstance(alpha, Column) else F.lit(float(alpha))
     return both.withColumn("score", F.round(S.rrf(weight, F.col("sparse_rank"), F.col("dense_rank")), S.DIGITS)).where("score > 0")
@@ -141,4 +168,4 @@ def in_top_sections(entries: DataFrame, sections: DataFrame, queries: DataFrame,
     postings, lens = index(sections, [doc, section])
     best = top(bm25(postings, lens, queries, [doc, section]), keep, [doc, section]).select("query_id", doc, section).withColumn("hit", F.lit(True))
     every = entries.crossJoin(F.broadcast(queries.select("query_id").distinct()))
-    return every.join(F.broadcast(best), ["query_id", doc, section], "left").where(F.col("hit") | (F.col(section) == "")).drop("hit")
+    return every.join(best, ["query_id", doc, section], "left").where(F.col("hit") | (F.col(section) == "")).drop("hit")

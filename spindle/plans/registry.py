@@ -13,14 +13,23 @@ from spindle.functions import text as T
 from spindle.operators import catalog, chunk, evaluate, models, paper, present
 from spindle.operators import index as ix
 from spindle.operators import search as se
+from spindle.sources import store
 
 QUERY = "idiot worthless the"
 QUERIES = {1: "the and tion", 2: "idiot clown moron", 3: "licensed under the apache license"}
-KEY = ["doc_id"]
+KEY, TURN = ["doc_id"], ["conv_id", "turn"]
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return store.spread(df) if name in ("documents", "pages", "conversations") else df
+
+
+def _index(spark: SparkSession, d: str, name: str = "documents") -> tuple[DataFrame, DataFrame]:
+    """Postings and entries of a table, indexed once and read by every search."""
+    key = KEY if name == "documents" else TURN
+    make = lambda out: ix.write_index(spark.read.parquet(f"{d}/{name}.parquet").select(*key, "text"), key, out)
+    return ix.read_index(spark, store.made_once(spark, f"{d}/{name}.parquet", f"index_{name}", make))
 
 
 def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -44,21 +53,21 @@ def doc_frequency(spark, d):
 
 
 def top_terms_50(spark, d):
-    return ix.top_terms(ix.term_counts(_docs(spark, d), KEY), KEY)
+    return ix.index(_docs(spark, d), KEY)[0]
 
 
 def postings_lookup(spark, d):
-    postings, _ = ix.index(_docs(spark, d), KEY)
-    return postings.join(F.broadcast(se.query_table(spark, {1: QUERY})), "term").select("doc_id").distinct()
+    postings, _ = _index(spark, d)
+    return postings.where(F.col("term").isin(*T.query_terms(QUERY))).select("doc_id").distinct()
 
 
 def inverted_index_stats(spark, d):
-    return ix.statistics(ix.index(_docs(spark, d), KEY)[0], "doc_id")
+    return ix.statistics(_index(spark, d)[0], "doc_id")
 
 
 def _bm25(spark, d, queries, where=None, corpus=False, boost=None, columns=()):
     docs = _docs(spark, d, *columns)
-    postings, lens = ix.index(docs, KEY)
+    postings, lens = _index(spark, d)
     if where is not None or boost is not None:
         docs = _dated(docs) if "added_at" in str(where) else docs
         lens = lens.join((docs if where is None else docs.where(where)).drop("text") if boost is None else docs, "doc_id")
@@ -84,7 +93,7 @@ def bm25_trim15(spark, d):
 def bm25_filtered(spark, d):
     where = se.SearchFilter(source_type="en", tags=("SRC1", "src2", "src3")).column(source_type="lang", tags="tags")
     docs = _docs(spark, d, "lang", "source").withColumn("tags", F.array("source"))
-    postings, lens = ix.index(docs, KEY)
+    postings, lens = _index(spark, d)
     lens = lens.join(docs.where(where).select("doc_id"), "doc_id")
     return _out(se.top(se.bm25(postings, lens, se.query_table(spark, QUERIES), KEY), 8, KEY), "rank")
 
@@ -96,7 +105,7 @@ def bm25_time_range(spark, d):
 
 def bm25_boosted(spark, d):
     docs = _docs(spark, d, "source")
-    postings, lens = ix.index(docs, KEY)
+    postings, lens = _index(spark, d)
     lens = lens.join(docs.select("doc_id", F.when(F.col("source") == "src1", F.lit(se.BOOST)).otherwise(F.lit(1.0)).alias("weight")), "doc_id")
     return _out(se.top(se.bm25(postings, lens, se.query_table(spark, QUERIES), KEY, boost=F.col("weight")), 8, KEY), "rank")
 
@@ -104,7 +113,7 @@ def bm25_boosted(spark, d):
 def bm25_batch_queries(spark, d):
     items = _t(spark, d, "benchmark")
     queries = items.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(T.tokens("text"))).alias("term"))
-    postings, lens = ix.index(_docs(spark, d), KEY)
+    postings, lens = _index(spark, d)
     return _out(se.top(se.bm25(postings, lens, queries, KEY, small=False), 3, KEY), "rank")
 
 
@@ -122,7 +131,9 @@ def _query_vectors(spark, d, ids):
 
 
 def cosine_topk(spark, d):
-    return _out(se.top(se.dense(_vectors(spark, d), _query_vectors(spark, d, {1: 7, 2: 11}), KEY), 10, KEY), "rank")
+    v = _vectors(spark, d)
+    asked = v.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    return _out(se.top(se.dense(v, asked, KEY), 10, KEY), "rank")
 
 
 def _hybrid(spark, d, queries, alpha, vectors):
@@ -153,15 +164,12 @@ def query_types(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", S.query_type(F.col("text")).alias("kind"), S.alpha_of(S.query_type(F.col("text"))).alias("alpha"))
 
 
-TURN = ["conv_id", "turn"]
-
-
 def _turns(spark, d):
     return _t(spark, d, "conversations").select("conv_id", "turn", "role", "text")
 
 
 def _turn_hits(spark, d, queries):
-    postings, lens = ix.index(_turns(spark, d), TURN)
+    postings, lens = _index(spark, d, "conversations")
     return se.bm25(postings, lens, se.query_table(spark, queries), TURN)
 
 
@@ -174,7 +182,7 @@ def maxp_documents(spark, d):
 
 def search_all_kbs(spark, d):
     docs = _docs(spark, d, "lang")
-    postings, lens = ix.index(docs, KEY)
+    postings, lens = _index(spark, d)
     lens = lens.join(docs.select("doc_id", F.col("lang").alias("kb")), "doc_id")
     hits = se.search_all(postings, lens, se.query_table(spark, QUERIES), KEY, "kb", KEY, 10)
     return _out(hits, "kb", "rank")
@@ -185,8 +193,8 @@ def coarse_to_fine(spark, d):
     sections = chunk_sections(turns)
     queries = se.query_table(spark, {1: QUERIES[1]})
     entries = se.in_top_sections(turns.select("conv_id", "turn", "role"), sections, queries, "conv_id", "role")
-    postings, lens = ix.index(turns, TURN)
-    lens = lens.join(entries.select(*TURN), TURN)
+    postings, lens = _index(spark, d, "conversations")
+    lens = lens.join(entries.select("query_id", *TURN), TURN)
     return _long(se.top(se.bm25(postings, lens, queries, TURN), 8, TURN).select("query_id", *TURN, F.round("score", 6).alias("score"), "rank"), "rank")
 
 
@@ -294,7 +302,7 @@ def mock_embedding(spark, d):
 
 
 def semantic_merge(spark, d):
-    rows = _t(spark, d, "embeddings").select(F.col("label").alias("doc"), "vec_id", F.col("vec_id").cast("string").alias("content"), F.col("embedding").cast("array<double>").alias("vector"))
+    rows = _t(spark, d, "embeddings").select(F.expr("vec_id div 8").alias("doc"), "vec_id", F.col("vec_id").cast("string").alias("content"), F.col("embedding").cast("array<double>").alias("vector"))
     return chunk.semantic_merge(rows, ["doc"], "vec_id").select("doc", F.col("nth").cast("long").alias("nth"), "content")
 
 
@@ -322,7 +330,7 @@ def doc_checksum(spark, d):
 
 
 def remove_document(spark, d):
-    postings, _ = ix.index(_docs(spark, d), KEY)
+    postings, _ = _index(spark, d)
     gone = _t(spark, d, "labels").where("toxic = 1").select("doc_id")
     return ix.document_frequency(ix.without_documents(postings, gone, KEY))
 
@@ -451,7 +459,8 @@ sc AS (SELECT query_id, doc_id, round(sum({PART}), 9) AS score FROM m JOIN fr US
         "bm25_time_range": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT * FROM lens WHERE TIMESTAMP '2024-01-01' + to_hours(doc_id) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00'")} {_top('sc', 8)}""",
         "bm25_boosted": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT lens.*, CASE WHEN source = 'src1' THEN 1.1e0 ELSE 1e0 END AS boost FROM lens JOIN documents USING (doc_id)", boost='any_value(boost)')} {_top('sc', 8)}""",
         "bm25_batch_queries": f"{_batch()} {_top('sc', 3)}",
-        "cosine_topk": f"WITH {_dense({1: 7, 2: 11}).strip()} {_top('dn', 10)}",
+        "cosine_topk": f"""WITH qv AS (SELECT vec_id::BIGINT AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 100 = 0),
+dn AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) AS score FROM embeddings, qv WHERE round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) > 0) {_top('dn', 10)}""",
         "hybrid_rrf": _hybrid_sql({1: QUERIES[1], 2: QUERIES[2]}, "0.5e0", {1: 7, 2: 11}),
         "hybrid_alpha_by_query_type": _hybrid_sql(ASKED, "CASE query_id WHEN 2 THEN 0.4e0 WHEN 1 THEN 0.5e0 END", {1: 7, 2: 11}),
         "hybrid_dense_only_fallback": _hybrid_sql({1: "zzzzqqq nosuchterm"}, "0.5e0", {1: 7}),
@@ -497,7 +506,7 @@ FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM ov)""",
         "context_window": "SELECT conv_id, turn, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), chr(10) || '---' || chr(10)) AS context FROM conversations",
         "mock_rerank": f"""{_base()}, {_q(QUERIES)}, {_scored()}, h AS ({_top('sc', 20)}), qt(query_id, ws) AS (VALUES {', '.join(f"({q}::BIGINT, {list(dict.fromkeys(t.split()))})" for q, t in QUERIES.items())}),
 n AS (SELECT query_id, doc_id, len(list_filter(ws, lambda w: contains(lower(text), w)))::DOUBLE / len(ws) AS score FROM h JOIN qt USING (query_id) JOIN documents USING (doc_id)) {_top('n', 8)}""",
-        "semantic_merge": f"""WITH l AS (SELECT label AS doc, list({{'c': vec_id::VARCHAR, 'v': embedding::DOUBLE[]}} ORDER BY vec_id) AS s FROM embeddings GROUP BY label),
+        "semantic_merge": f"""WITH l AS (SELECT vec_id // 8 AS doc, list({{'c': vec_id::VARCHAR, 'v': embedding::DOUBLE[]}} ORDER BY vec_id) AS s FROM embeddings GROUP BY vec_id // 8),
 r AS (SELECT doc, {_reduce('s', "CASE WHEN list_cosine_similarity(o[-1].v, x[1].v) > 0.75 THEN o[:-2] || [{'c': o[-1].c || chr(10) || chr(10) || x[1].c, 'v': o[-1].v}] ELSE o || x END")} AS s FROM l)
 SELECT doc, i - 1 AS nth, s[i].c AS content FROM (SELECT doc, s, unnest(range(1, len(s) + 1)) AS i FROM r)""",
         "synonym_rewrite": r"""SELECT DISTINCT conv_id, turn, variant FROM (SELECT conv_id, turn, unnest([text, CASE WHEN contains(lower(text), 'and') THEN regexp_replace(text, '(?i)and', 'plus') END,

@@ -15,9 +15,8 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, key: list[str],
 
     def batch(df: DataFrame, number: int) -> None:
         # a batch that is run again after a failure writes the same folder again
-        chunked = chunks(df, key, text)
-        chunked.write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
-        postings, _ = index(chunked, [*key, "chunk_no"], "content")
+        chunks(df, key, text).write.mode("overwrite").parquet(f"{out}/chunks/batch={number}")
+        postings, _ = index(spark.read.parquet(f"{out}/chunks/batch={number}"), [*key, "chunk_no"], "content")
         postings.write.mode("overwrite").parquet(f"{out}/postings/batch={number}")
 
     return docs.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
