@@ -3,8 +3,8 @@ r"""Benchmark decontamination with a generalised suffix automaton over item word
 The automaton of all items' word sequences is built once and sent to the tasks; each task streams the words of its
 texts through it and follows the length of the longest suffix that occurs in some item. Where that length
 reaches WINDOW words (or all words of a shorter item) the words are hit. Items are split into slices of
-at most MAX_ITEM_WORDS words, each with an automaton of its own, so what is broadcast is bounded; one slice is
-the usual case, and more slices are further passes whose hits are joined by document.
+at most MAX_ITEM_WORDS words, some 100 MB in a task. One slice is the usual case; each further slice is a pass of its own, with
+its automaton alone in memory, that writes the hits of the texts that have some, and these are joined by text.
 
 Nulls and ties: a null or empty text has no words and no hits; a null item, or one without words, has no windows.
 Items that repeat an id or a text count by distinct id. A null item_id is never listed, its windows hit. Repeated documents
@@ -14,9 +14,9 @@ clashing names are kept under `_name`.
 
 from __future__ import annotations
 
-import hashlib
 import math
 import re
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -24,9 +24,9 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, require, table
+from .common import fresh, require, table, written
 
-WINDOW, MAX_ITEM_WORDS = 10, 2_000_000
+WINDOW, MAX_ITEM_WORDS = 10, 500_000
 #: ASCII bytes outside words become blanks and A-Z lower case; bytes from 0x80 on belong to words.
 _FOLD = bytes(32 if c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 128 else c + 32 if 65 <= c < 91 else c for c in range(256))
 _SPAN = re.compile(rb"[^ ]+")
@@ -46,7 +46,8 @@ class Automaton:
 
     def __init__(self, items: list[tuple[int | None, list[bytes]]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
-        self.step: list[dict[int, int]] = [{}]
+        step: list[dict[int, int]] = [{}]
+        self.step = step
         self.link, self.length = [-1], [0]
         self.names: list[str | None] = []
         paths = []
@@ -59,23 +60,27 @@ class Automaton:
                 last = self._extend(last, c)
             paths.append(ids)
             self.names.append(None if name is None else str(name))
-        #: by state: items in which its strings occur, for strings of a window or more
-        self.items: list[set[int]] = [set() for _ in self.step]
+        #: by state: the items in which its strings occur, for strings of a window or more; one item as its number
+        self.items: dict[int, int | tuple[int, ...]] = {}
         #: by state: items shorter than a window that are its longest string
         self.whole: dict[int, set[int]] = {}
         for n, ids in enumerate(paths):
             state = 0
             for c in ids:
-                at = state = self.step[state][c]
-                while self.length[at] >= window and n not in self.items[at]:
-                    self.items[at].add(n)
+                at = state = step[state][c]
+                while self.length[at] >= window and n != (held := self.items.get(at)) and not (isinstance(held, tuple) and held[-1] == n):
+                    self.items[at] = n if held is None else (*(held if isinstance(held, tuple) else (held,)), n)
                     at = self.link[at]
             if len(ids) < window:
                 self.whole.setdefault(state, set()).add(n)
         #: by state: the nearest state at or above it along the links that is in `whole`, else 0
-        self.short = [0] * len(self.step)
-        for at in sorted(range(1, len(self.step)), key=self.length.__getitem__):
+        self.short = array("q", bytes(8 * len(step)))
+        for at in sorted(range(1, len(step)), key=self.length.__getitem__):
             self.short[at] = at if at in self.whole else self.short[self.link[at]]
+        #: for the search, all steps in one table, by state and word
+        self.next = {state << 32 | c: to for state, own in enumerate(step) for c, to in own.items()}
+        self.step = []
+        self.link, self.length = array("q", self.link), array("q", self.length)
 
     def _extend(self, last: int, c: int) -> int:
         """The state of (string of last) + c; the usual online step, sharing what earlier items made."""
@@ -115,24 +120,27 @@ class Automaton:
         get, window = self.vocabulary.get, self.window
         runs: list[tuple[int, int]] = []
         found: set[int] = set()
-        step, link, length, short = self.step, self.link, self.length, self.short
+        step, link, length, short = self.next, self.link, self.length, self.short
         state = size = 0
         for i, c in enumerate(map(get, seq)):
             if c is None:
                 state = size = 0
                 continue
-            while state and c not in step[state]:
+            to = step.get(state << 32 | c)
+            while to is None and state:
                 state = link[state]
                 size = length[state]
-            if c in step[state]:
-                state = step[state][c]
+                to = step.get(state << 32 | c)
+            if to is not None:
+                state = to
                 size += 1
             hit = 0
             if size >= window:
                 at = state
                 while length[link[at]] >= window:
                     at = link[at]
-                found |= self.items[at]
+                held = self.items[at]
+                found.update(held if isinstance(held, tuple) else (held,))
                 hit = window
             at = short[state] if length[short[state]] <= size else short[link[state]]
             while at:
@@ -171,20 +179,26 @@ def _search(held: Broadcast, text: Column) -> Column:
     return search(text)
 
 
-def hit_words(docs: DataFrame, items: DataFrame, text: str = "text", max_words: int = MAX_ITEM_WORDS) -> DataFrame:
-    """Adds hits: n_words, runs (from, to, from, to ...: ascending word positions) and items (ids, sorted)."""
+def hit_words(docs: DataFrame, items: DataFrame, text: str = "text", max_words: int = MAX_ITEM_WORDS, out: str = "hits") -> DataFrame:
+    """Adds the column `out`: n_words, runs (from, to, from, to ...: ascending word positions) and items (ids, sorted)."""
     require(docs, text)
-    for c in [c for c in docs.columns if c.lower() == "hits"]:
+    for c in [c for c in docs.columns if c.lower() == out.lower()]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
-    spark, parts = docs.sparkSession, []
+    spark, found, more = docs.sparkSession, None, []
     for automaton in automata(items, max_words=max_words):
-        parts.append(_search(spark.sparkContext.broadcast(automaton), F.col(text)))
-    if len(parts) == 1:
-        return docs.withColumn("hits", parts[0])
+        held = spark.sparkContext.broadcast(automaton)
+        if found is None:
+            found = docs.withColumn(out, _search(held, F.col(text)))
+            continue
+        own = docs.select(F.sha2(text, 256).alias("of"), _search(held, F.col(text)).alias("x")).where("size(x.runs) > 0")
+        more.append(written(own.select("of", "x.runs", "x.items").dropDuplicates(["of"]), "hits"))
+        held.destroy()
+    if not more:
+        return found
 
     @F.pandas_udf("array<int>")
     def merged(runs: pd.Series) -> pd.Series:
-        out = []
+        joined = []
         for flat in runs:
             own: list[int] = []
             for a, b in sorted(zip(flat[::2], flat[1::2], strict=True)):
@@ -192,18 +206,25 @@ def hit_words(docs: DataFrame, items: DataFrame, text: str = "text", max_words:
                     own[-1] = max(own[-1], b)
                 else:
                     own += [a, b]
-            out.append(own)
-        return pd.Series(out)
-
-    names = fresh(docs, *[f"part{i}" for i in range(len(parts))])
-    found = docs.withColumns(dict(zip(names, parts, strict=True)))
-    ids = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
-    runs = merged(F.flatten(F.array(*[F.col(f"{n}.runs") for n in names])))
-    return found.withColumn("hits", F.struct(F.col(f"{names[0]}.n_words").alias("n_words"), runs.alias("runs"), ids.alias("items"))).drop(*names)
-
-
-def n_hit() -> Column:
-    odd = F.transform("hits.runs", lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
+            joined.append(own)
+        return pd.Series(joined)
+
+    of, runs, ids = fresh(found, "of", "runs", "ids")
+    every = more[0]
+    for x in more[1:]:
+        every = every.union(x)
+    every = every.groupBy("of").agg(F.flatten(F.collect_list("runs")), F.flatten(F.collect_list("items"))).toDF(of, runs, ids)  # a row a slice at most
+    none = lambda c, kind: F.coalesce(F.col(c), F.array().cast(kind))
+    first = F.col(out)
+    # null texts get keys of their own, so that they don't all meet in one task
+    key = F.coalesce(F.sha2(text, 256), F.concat(F.lit("#"), F.xxhash64(*docs.columns).cast("string")))
+    both = found.withColumn(of, key).join(every, of, "left")
+    new = F.struct(first["n_words"].alias("n_words"), merged(F.concat(first["runs"], none(runs, "array<int>"))).alias("runs"), F.array_sort(F.array_distinct(F.concat(first["items"], none(ids, "array<string>")))).alias("items"))
+    return both.withColumn(out, new).select(*found.columns)
+
+
+def n_hit(hits: str = "hits") -> Column:
+    odd = F.transform(F.col(hits)["runs"], lambda x, i: F.when(i % 2 == 1, x).otherwise(-x))
     return F.aggregate(odd, F.lit(0).cast("long"), lambda a, x: a + x)
 
 
@@ -222,16 +243,14 @@ def without_spans(text: str, runs: list[int], min_words: int = 1) -> str:
 def decontaminated(docs: DataFrame, items: DataFrame, text: str = "text", min_words: int = 1, max_coverage: float = 0.5) -> DataFrame:
     """docs without hit spans of at least min_words words, and without the documents of whose words more than
     max_coverage are hit. Columns stay; `n_chars`, if there is one, follows the text."""
-    held = fresh(docs, "kept_text")[0]
+    held, hits = fresh(docs, "kept_text", "hits")
 
     @F.pandas_udf("string")
     def cut(texts: pd.Series, hits: pd.DataFrame) -> pd.Series:
         return pd.Series([t if t is None or not len(r) else without_spans(t, list(r), min_words) for t, r in zip(texts, hits["runs"], strict=True)])
 
-    if any(c.lower() == "hits" for c in docs.columns):
-        raise ValueError("docs has a column named hits")
-    found = hit_words(docs, items, text)
-    out = found.where(n_hit() <= max_coverage * F.col("hits.n_words")).withColumn(held, cut(F.col(text), F.col("hits")))
+    found = hit_words(docs, items, text, out=hits)
+    out = found.where(n_hit(hits) <= max_coverage * F.col(hits)["n_words"]).withColumn(held, cut(F.col(text), F.col(hits)))
     new = {text: F.col(held)}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col(held).eqNullSafe(F.col(text)), F.col("n_chars")).otherwise(F.char_length(held).cast(docs.schema["n_chars"].dataType))

@@ -45,7 +45,7 @@ from .components import components, contracted
 #: Cells a partition and cells left out: first and second enumeration.
 COARSE, FINE = (2, 1), (5, 2)
 BAND_RATIO, SMALL = 2.0, 16
-#: Bytes that are hashed together; longs of the parity words that rule pairs out.
+#: Bytes that are hashed together; least number of longs of the parity words that rule pairs out.
 BLOCK, PARITY = 1 << 20, 16
 #: Values that a task packs at a time, and classes that it remembers; values of one part of the domain; least number of parts; parts
 #: that one task merges, one after the other; values of a direct row.
@@ -170,9 +170,10 @@ def signatures(grams: np.ndarray, percent: int, shape: tuple[int, int]) -> np.nd
 
 
 def parity(grams: np.ndarray) -> np.ndarray:
-    """64 * PARITY bits, each the parity of the elements that fall on it: two sets differ in at least as many elements as bits."""
-    bit = (grams & _U(64 * PARITY - 1)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=64 * PARITY) & 1).astype(np.uint8)
+    """A power of two of bits, as many as elements or more, each the parity of the elements that fall on it: two sets differ in at least as many
+    elements as bits. Of sizes that allow a link one has at most twice the bits of the other; its halves, xored, are its parity over half the bits."""
+    bits = max(64 * PARITY, 1 << (len(grams) - 1).bit_length()) if len(grams) else 64 * PARITY
+    odd = (np.bincount((grams & _U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(_U)
 
 
@@ -361,7 +362,10 @@ def own_elements(texts: DataFrame, n: int, total: int) -> DataFrame:
 def _near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that sizes and parity words don't rule out."""
     side = lambda k: profiles.select(F.col("class").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
-    unlike = F.aggregate(F.zip_with("pa", "pb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
+    xor = lambda x, y: F.zip_with(x, y, lambda p, q: p.bitwiseXOR(q))
+    m = F.least(F.size("pa"), F.size("pb"))
+    folded = lambda p: F.when(F.size(p) == m, F.col(p)).otherwise(xor(F.slice(p, F.lit(1), m), F.slice(p, m + 1, m)))
+    unlike = F.aggregate(xor(folded("pa"), folded("pb")), F.lit(0), lambda s, v: s + F.bit_count(v))
     near = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (unlike * (100 + percent) <= (100 - percent) * (F.col("na") + F.col("nb")))
     return written(pairs.join(side("a"), "a").join(side("b"), "b").where(near).select("a", "b").distinct(), "near")
 
@@ -382,11 +386,25 @@ def _compared(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _stars(large: DataFrame) -> DataFrame:
-    """(r, x): in groups that stay large (sig, class), each member x with one r, the member that is in most of these groups: of near copies
-    the one with fewest changes of its own. r is a member too."""
+    """(r, x, strength): in groups that stay large (sig, class), each member x with one r, the member that is in most of these groups: of near copies
+    the one with fewest changes of its own. r is a member too. strength: groups that r is in."""
     counted = large.join(large.groupBy("class").agg(F.count(F.lit(1)).alias("shared")), "class")
     first = counted.groupBy("sig").agg(F.max(F.struct("shared", "class")).alias("top"))
-    return written(large.join(first, "sig").select(F.col("top.class").alias("r"), F.col("class").alias("x")).distinct(), "stars")
+    stars = large.join(first, "sig").select(F.col("top.class").alias("r"), F.col("class").alias("x"), F.col("top.shared").alias("strength"))
+    return written(stars.distinct(), "stars")
+
+
+def _fewer_stars(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(r, x) with fewer centres: one that is linked with a stronger centre, whose member it is, gives it its own members. So a group of near copies that
+    picks a centre for each of its signatures is compared with few of them; centres that are not linked keep apart."""
+    own = stars.where("r = x").select(F.col("r").alias("c"), F.col("strength").alias("s"))
+    met = stars.where("r <> x").join(own, F.col("x") == F.col("c")).where("struct(strength, r) > struct(s, c)")
+    tied = written(_compared(met.select(F.col("r").alias("a"), F.col("x").alias("b")), sets, percent), "centres")
+    best = tied.join(own, F.col("a") == F.col("c")).groupBy(F.col("b").alias("r")).agg(F.max(F.struct("s", "a")).alias("to")).select("r", F.col("to.a").alias("to"))
+    for _ in range(2):
+        best = best.join(best.toDF("to", "next"), "to", "left").select("r", F.coalesce("next", "to").alias("to"))
+    merged = stars.join(best, "r", "left").select(F.coalesce("to", "r").alias("r"), "x")
+    return written(merged.distinct(), "stars")
 
 
 def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -432,17 +450,18 @@ def _hidden_pairs(centred: DataFrame, joined: DataFrame, percent: int) -> DataFr
     at = centred.join(joined.withColumnRenamed("node", "x"), "x", "left").withColumn("in", F.coalesce("component", "x"))
     # where one component holds all members there is nothing left to find
     split = at.groupBy("r").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.min("w").alias("low")).where("lo <> hi").select("r", "low")
-    parts = at.join(split, "r").select("r", "x", "in", "w", "low", F.explode("d").alias("e"))
-    often = parts.groupBy("r", "e").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.count(F.lit(1)).alias("df"))
-    shared = parts.join(often.where("lo <> hi").select("r", "e", "df"), ["r", "e"])
     # common elements of D that a link needs: half of w(x) + w(y), and 1. For a far member (w(x) + low > 0) w(y) is low at least; a near one is
     # in a component with all near ones, so only far partners matter, with w(y) > -low
     unit = 2 * (100 + percent)
     far = F.col("w") + F.col("low") > 0
-    needs = F.when(far, F.ceil((F.col("w") + F.col("low")) / unit)).otherwise(F.floor((F.col("w") - F.col("low")) / unit) + 1)
+    needs = F.greatest(F.lit(1), F.when(far, F.ceil((F.col("w") + F.col("low")) / unit)).otherwise(F.floor((F.col("w") - F.col("low")) / unit) + 1))
+    able = at.join(split, "r").withColumns({"needs": needs, "far": far}).where(F.size("d") >= F.col("needs"))
+    parts = able.select("r", "x", "in", "w", "needs", "far", F.explode("d").alias("e"))
+    often = parts.groupBy("r", "e").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.count(F.lit(1)).alias("df"))
+    shared = parts.join(often.where("lo <> hi").select("r", "e", "df"), ["r", "e"])
     order = Window.partitionBy("r", "x").orderBy("df", "e")
-    ranked = shared.withColumns({"nth": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy("r", "x")), "far": far})
-    prefix = ranked.where(F.col("nth") <= F.col("left") - F.greatest(F.lit(1), needs) + 1)
+    ranked = shared.withColumns({"nth": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy("r", "x"))})
+    prefix = ranked.where(F.col("nth") <= F.col("left") - F.col("needs") + 1)
     # elements from this one on; at the first that two members share, no more than that can be shared
     rest = F.col("left") - F.col("nth") + 1
     mine = prefix.select("r", "e", F.col("x").alias("a"), "in", "w", "far", rest.alias("rest"))
@@ -504,7 +523,7 @@ def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) ->
     used = near.select(F.col("a").alias("class")).union(near.select("b")).union(stars.select("x")).distinct()
     sets = written(_sets(texts.join(used, "class", "left_semi"), n), "sets")
     forget(texts, dense, coarse, fine)
-    seen = _differences(stars, sets, percent)
+    seen = _differences(_fewer_stars(stars, sets, percent), sets, percent)
     centred = _centred(seen, percent)
     direct = _compared(near, sets, percent).union(seen.where("ok AND r <> x").select(F.col("r").alias("a"), F.col("x").alias("b"))).union(_centre_links(centred))
     hubs, joined = contracted(written(direct.toDF("u", "v"), "direct"), 2)

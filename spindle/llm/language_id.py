@@ -29,7 +29,12 @@ from .common import fresh, require, table
 PER_LANGUAGE, PIECES, PIECE, SAMPLE, CLASSES = 300, 3, 160, 19_200, 16
 HIDDEN, BLOCK, COLUMNS, STEPS, BATCH, SEED = 8, 256, 4096, 220, 128, 7
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_WORDLIKE = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of category L is in the text; what \\w matches besides letters and digits (such as fractions) is none."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
 
 
 class Direction:
@@ -224,7 +229,7 @@ def _predict(held: Broadcast, text: Column) -> Column:
         network = held.value
         for texts in parts:
             names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
-            use = [i for i, t in enumerate(texts) if network is not None and t is not None and _LETTER.search(t)]
+            use = [i for i, t in enumerate(texts) if network is not None and t is not None and has_letter(t)]
             # as many texts at a time as make up a few batches of blocks
             start = 0
             while start < len(use):

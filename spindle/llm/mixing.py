@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import fresh, require, table, utf8_length, written
 
-PERIOD, BLOCK_BYTES, BUCKETS, TEMPERATURE = 4096, 64 * 1024, 256, 0.7
+PERIOD, BLOCK_BYTES, BUCKETS, BUCKET_BYTES, TEMPERATURE = 4096, 64 * 1024, 256, 256 << 20, 0.7
 
 
 def quanta(weights: dict, period: int = PERIOD) -> dict:
@@ -117,19 +117,27 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     """Adds mix_block (the source's block in which the document begins), mix_phase, mix_slot, mix_release and mix_deadline (both in slots).
 
     weights: by source; where None, a source's share of all bytes to the power TEMPERATURE. The running size of a source is summed in
-    two steps, within BUCKETS hash buckets and over their totals, so no task holds a whole source. period: blocks in a row of the
+    two steps, within hash buckets and over their totals, so no task holds a whole source: BUCKETS of them, and more once one
+    would hold over BUCKET_BYTES (which changes no result). period: blocks in a row of the
     table of slots; without effect on the result."""
     require(docs, source, id_col, text)
     spark = docs.sparkSession
     names = ("mix_block", "mix_phase", "mix_slot", "mix_release", "mix_deadline")
     for c in [c for c in docs.columns if c.lower() in names]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
-    size, bucket, src, before, piece, first, placed = fresh(docs, "size", "bucket", "src", "before", "piece", "first", "placed")
+    size, bucket, src, before, piece, first, end, slots, releases, dues = fresh(docs, "size", "bucket", "src", "before", "piece", "first", "end", "slots", "releases", "dues")
     order = F.xxhash64(id_col, F.lit("mix"))
     # null and text sources apart, as one never-null key
     key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
-    rows = docs.withColumns({size: utf8_length(F.col(text)) + 1, src: key, bucket: F.pmod(F.shiftrightunsigned(order, 8), F.lit(BUCKETS)).cast("int")})
-    totals = written(rows.groupBy(src, bucket).agg(F.sum(size).alias("total")), "totals")
+    sized = docs.withColumns({size: utf8_length(F.col(text)) + 1, src: key})
+    buckets, largest = BUCKETS, None
+    while largest is None or largest > BUCKET_BYTES and buckets < 1 << 24:
+        buckets = buckets if largest is None else buckets * 2 ** math.ceil(math.log2(largest / BUCKET_BYTES))
+        # by the top bits, so that more buckets keep the order of documents
+        rows = sized.withColumn(bucket, F.shiftrightunsigned(order, 64 - int(math.log2(buckets))).cast("int"))
+        totals = written(rows.groupBy(src, bucket).agg(F.sum(size).alias("total"), F.max(size).alias("one")), "totals")
+        # buckets that one document fills can't be split
+        largest = totals.agg(F.max(F.col("total") - F.col("one"))).first()[0] or 0
     sizes = {s: n for s, n in sorted(totals.groupBy(src).agg(F.sum("total")).collect())}  # a row a source
     given = {s: float(n) ** TEMPERATURE for s, n in sizes.items()} if weights is None else {("" if s is None else f"={s}"): w for s, w in weights.items()}
     blocks = {s: -(-n // block_bytes) for s, n in sizes.items()}
@@ -141,10 +149,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
                 n = period - start % period
                 pieces.append((s, start // period, p, start, start + min(n, len(x)), *map(list, zip(*x[:n], strict=True))))
                 start, x = start + n, x[n:]
-    held = f"`{src}` string, `{piece}` long, mix_phase int, `{first}` long, p_end long, p_slot array<long>, p_release array<long>, p_due array<long>"
+    held = f"`{src}` string, `{piece}` long, mix_phase int, `{first}` long, `{end}` long, `{slots}` array<long>, `{releases}` array<long>, `{dues}` array<long>"
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()] + [pa.list_(pa.int64())] * 3
     columns = [pa.array(c, k) for c, k in zip(zip(*pieces, strict=True), kinds, strict=True)] if pieces else [pa.array([], k) for k in kinds]
-    lookup = spark.createDataFrame(pa.Table.from_arrays(columns, [src, piece, "mix_phase", first, "p_end", "p_slot", "p_release", "p_due"]), held)
+    lookup = spark.createDataFrame(pa.Table.from_arrays(columns, [src, piece, "mix_phase", first, end, slots, releases, dues]), held)
     sofar = Window.partitionBy(src).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
     offsets = totals.select(src, bucket, F.coalesce(F.sum("total").over(sofar), F.lit(0)).alias(before))
     within = Window.partitionBy(src, bucket).orderBy(order, id_col, size).rowsBetween(Window.unboundedPreceding, -1)
@@ -152,10 +160,10 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     rows = rows.join(offsets, [src, bucket])
     rows = rows.withColumn("mix_block", F.expr(f"(mix_block + `{before}`) div {block_bytes}"))
     rows = rows.withColumn(piece, F.expr(f"mix_block div {period}"))
-    inside = (rows[src] == lookup[src]) & (rows[piece] == lookup[piece]) & (F.col("mix_block") >= F.col(first)) & (F.col("mix_block") < F.col("p_end"))
+    inside = (rows[src] == lookup[src]) & (rows[piece] == lookup[piece]) & (F.col("mix_block") >= F.col(first)) & (F.col("mix_block") < F.col(end))
     rows = rows.join(lookup, inside).drop(lookup[src], lookup[piece])
     at = (F.col("mix_block") - F.col(first)).cast("int") + 1
-    rows = rows.withColumns({"mix_slot": F.element_at("p_slot", at), "mix_release": F.element_at("p_release", at), "mix_deadline": F.element_at("p_due", at)})
+    rows = rows.withColumns({"mix_slot": F.element_at(slots, at), "mix_release": F.element_at(releases, at), "mix_deadline": F.element_at(dues, at)})
     return rows.select(*docs.columns, *names)
 
 

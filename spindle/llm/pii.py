@@ -14,7 +14,10 @@ clashing names are kept under `_name`. Offsets count code points, the end is exc
 
 from __future__ import annotations
 
+import functools
+import itertools
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -146,30 +149,45 @@ def features(text: str, a: int, b: int, tokens: int) -> list[int]:
 
 
 class Region:
-    """Token edges of a piece of text and its candidate segments: (from token, to token, feature numbers)."""
+    """Token edges of a piece of text, and its candidate segments (from token, to token, feature numbers), by their first token."""
 
     def __init__(self, text: str, start: int = 0, end: int | None = None):
         end = len(text) if end is None else end
-        edges = [start]
+        self.text, self.edges = text, array("q", [start])
         for m in TOKEN.finditer(text, start, end):
-            edges.append(m.end())
-        self.edges, self.segments = edges, []
-        kinds = ["s" if text[a].isspace() else "w" if text[a].isalnum() else "p" for a in edges[:-1]]
-        hot = [bool(TRIGGER.search(text, a, b)) for a, b in zip(edges, edges[1:], strict=False)]
-        sums = np.concatenate([[0], np.cumsum(hot)]).tolist()
-        for i, a in enumerate(edges[:-1]):
-            if kinds[i] == "s" or (kinds[i] == "p" and text[a] not in "+("):
-                continue
-            words = False
-            for j in range(i + 1, min(i + MAX_TOKENS, len(edges) - 1) + 1):
-                last = edges[j - 1]
-                if kinds[j - 1] == "s" and (edges[j] - last > 1 or words):
-                    break  # words are not joined over blanks
-                words = words or (kinds[j - 1] == "w" and any(c.isalpha() for c in text[last : edges[j]]))
-                if words and " " in text[a : edges[j]]:
-                    break
-                if kinds[j - 1] == "w" and sums[j] > sums[i]:
-                    self.segments.append((i, j, features(text, a, edges[j], j - i)))
+            self.edges.append(m.end())
+
+    def candidates(self) -> Iterator[tuple[int, int, list[int]]]:
+        text, edges = self.text, self.edges
+        count = len(edges) - 1
+
+        def token(i: int) -> tuple[str, bool]:
+            a, b = edges[i], edges[i + 1]
+            return "s" if text[a].isspace() else "w" if text[a].isalnum() else "p", bool(TRIGGER.search(text, a, b))
+
+        ahead: list[tuple[str, bool]] = []  # tokens i to i + MAX_TOKENS
+        for i in range(count):
+            while len(ahead) < MAX_TOKENS and i + len(ahead) < count:
+                ahead.append(token(i + len(ahead)))
+            a = edges[i]
+            if ahead[0][0] == "w" or (ahead[0][0] == "p" and text[a] in "+("):
+                words = trigger = False
+                for j, (kind, hot) in enumerate(ahead, i + 1):
+                    last = edges[j - 1]
+                    if kind == "s" and (edges[j] - last > 1 or words):
+                        break  # words are not joined over blanks
+                    words = words or (kind == "w" and any(c.isalpha() for c in text[last : edges[j]]))
+                    if words and " " in text[a : edges[j]]:
+                        break
+                    trigger = trigger or hot
+                    if kind == "w" and trigger:
+                        yield i, j, features(text, a, edges[j], j - i)
+            ahead.pop(0)
+
+    @functools.cached_property
+    def segments(self) -> list[tuple[int, int, list[int]]]:
+        """All candidates at once, for pieces of bounded length."""
+        return list(self.candidates())
 
 
 class SemiMarkov:
@@ -177,41 +195,41 @@ class SemiMarkov:
         self.weights = np.zeros((len(KINDS), FEATURES))
         self.weights[:, 0] = -4.0
 
-    def scores(self, region: Region) -> np.ndarray:
+    def scores(self, segments: list[tuple[int, int, list[int]]]) -> np.ndarray:
         """Segments by kinds."""
-        return np.stack([self.weights[:, f].sum(1) for _, _, f in region.segments]) if region.segments else np.zeros((0, len(KINDS)))
+        return np.stack([self.weights[:, f].sum(1) for _, _, f in segments]) if segments else np.zeros((0, len(KINDS)))
 
     def best(self, region: Region) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities: (from token, to token, kind)."""
-        if not region.segments:
-            return []
-        s = self.scores(region)
-        kind, top = s.argmax(1), s.max(1)
-        n = len(region.edges) - 1
-        by_end: dict[int, list[int]] = {}
-        for k, (_, j, _) in enumerate(region.segments):
-            if top[k] > 0:
-                by_end.setdefault(j, []).append(k)
-        value, back = [0.0] * (n + 1), [-1] * (n + 1)
-        for j in range(1, n + 1):
-            value[j] = value[j - 1]
-            for k in by_end.get(j, ()):
-                v = value[region.segments[k][0]] + top[k]
-                if v > value[j]:
-                    value[j], back[j] = v, k
+        """The best segmentation's entities: (from token, to token, kind). Candidates are scored as the program passes them and not
+        kept; what grows with the region is a value, a token number and a kind for each token."""
+        n, done = len(region.edges) - 1, 0
+        value, back, kinds = array("d", bytes(8 * n + 8)), array("q", b"\xff" * (8 * n + 8)), array("b", bytes(n + 1))
+        candidates = region.candidates()
+        while some := list(itertools.islice(candidates, 4096)):
+            s = self.scores(some)
+            for (i, j, _), k, top in zip(some, s.argmax(1).tolist(), s.max(1).tolist(), strict=True):
+                while done < i:
+                    done += 1
+                    if value[done] <= value[done - 1]:
+                        value[done], back[done] = value[done - 1], -1
+                if top > 0 and value[i] + top > value[j]:
+                    value[j], back[j], kinds[j] = value[i] + top, i, k
+        while done < n:
+            done += 1
+            if value[done] <= value[done - 1]:
+                value[done], back[done] = value[done - 1], -1
         out, j = [], n
         while j:
             if back[j] < 0:
                 j -= 1
             else:
-                i = region.segments[back[j]][0]
-                out.append((i, j, int(kind[back[j]])))
-                j = i
+                out.append((back[j], j, kinds[j]))
+                j = back[j]
         return out[::-1]
 
     def expected(self, region: Region) -> tuple[float, np.ndarray]:
         """Log of the partition sum, and the probability of each (segment, kind)."""
-        s, n = self.scores(region), len(region.edges) - 1
+        s, n = self.scores(region.segments), len(region.edges) - 1
         lse = np.logaddexp.reduce(s, axis=1) if len(s) else s
         ends: list[list[int]] = [[] for _ in range(n + 1)]
         starts: list[list[int]] = [[] for _ in range(n + 1)]

@@ -1,11 +1,12 @@
-r"""Quality rules whose cutoffs come with a guarantee.
+r"""Quality rules with a cutoff that comes with a guarantee.
 
-Each rule rejects a text whose measure is above a cutoff. Labelled documents are the holdout: in each stratum
-(language) and for each rule the cutoff is lowered step by step, and each step is kept only if the exact
-binomial bound shows that good documents are rejected at a rate of at most ALPHA / rules. Steps go
-in a fixed order, so the first that fails ends the sequence and no correction is needed along it; over
-strata and rules Bonferroni divides DELTA. Together: with probability 1 - DELTA no stratum loses
-more than ALPHA of its good documents to these rules. A stratum with too few labels gets no cutoff.
+Each rule measures a share of the text that is junk; a text's severity is the largest of its measures, each as a part of its rule's SCALE. A
+text goes if its severity is above the cutoff of its stratum (language). Labelled good documents that pass the base rules are the
+holdout: in each stratum the cutoff is lowered step by step, for all rules at once, and a step is kept only if the exact binomial bound
+shows that good documents are rejected at a rate of at most ALPHA. Steps go in a fixed order, so the first that fails ends
+the sequence and no correction is needed along it. Bonferroni divides DELTA by the number of strata that are tested; those are the
+largest ones that have enough labels to show anything at that level, which depends on their sizes only. Together: with probability
+1 - DELTA no stratum loses more than ALPHA of its good documents to these rules. A stratum with too few labels gets no cutoff.
 
 Nulls and ties: a null text has no words and fails the base rules. A null language is a stratum of its own. Repeated labels
 count once, the lowest quality holds; labels of null are left out. An empty label table gives no cutoffs.
@@ -24,10 +25,14 @@ from pyspark.sql import functions as F
 
 from .common import fresh, require, table, written
 
-ALPHA, DELTA, STEPS, MAX_STRATA = 0.03, 0.05, 200, 256
+ALPHA, DELTA, STEPS = 0.03, 0.05, 200
+#: Strata up to which their cutoffs are broadcast (a name and a number each).
+SMALL_STRATA = 100_000
 #: Fixed values of the contract.
 SYMBOLS, MIN_WORDS, MAX_REPEAT_PERCENT = b"#*$%&|<>", 50, 50
-RULES = ("junk_share", "upper_share", "dup_line_share", "repeat_share")
+#: Rules, and the share at which each is at its worst.
+SCALE = {"junk_share": 0.2, "upper_share": 1.0, "dup_line_share": 1.0, "repeat_share": 1.0}
+RULES = tuple(SCALE)
 COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 MEASURES = COUNTS + "".join(f", {r} double" for r in RULES)
 
@@ -97,40 +102,49 @@ def lowest_cutoff(rejected_at: dict[int, int], n: int, alpha: float, delta: floa
     return best
 
 
+def step() -> Column:
+    """Severity in steps, upwards: a cutoff of s rejects what is above s."""
+    return F.ceil(F.least(F.greatest(*[F.col(r) / scale for r, scale in SCALE.items()]), F.lit(1.0)) * STEPS).cast("int")
+
+
+def good_ids(labels: DataFrame) -> DataFrame:
+    kept = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    return kept.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+
+
+def tested_strata(sizes: list[int], alpha: float, delta: float) -> int:
+    """The most strata, largest first, of which each can show a rate of at most alpha at level delta / their number."""
+    return max((m for m, n in enumerate(sorted(sizes, reverse=True), 1) if binomial_tail(0, n, alpha) <= delta / m), default=0)
+
+
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff): the counts are sums over all labelled good documents by stratum, rule and step, a table of
-    at most MAX_STRATA * rules * STEPS rows; strata beyond the MAX_STRATA most frequent get no cutoffs."""
-    good = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    )
-    step = lambda r: F.ceil(F.least(F.col(r), F.lit(1.0)) * STEPS).cast("int")
-    long = measured.join(good, "doc_id", "left_semi").select(
-        F.col(stratum).alias("stratum"), F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), step(r).alias("step")) for r in RULES])).alias("x")
-    )
-    hist = long.groupBy("stratum", "x.rule", "x.step").agg(F.count(F.lit(1)).alias("n"))
-    sizes = hist.where(F.col("rule") == RULES[0]).groupBy("stratum").agg(F.sum("n").alias("total"))
-    sizes = sizes.orderBy(F.desc("total"), "stratum").limit(MAX_STRATA).withColumnRenamed("stratum", "of")
-    rows = hist.join(F.broadcast(sizes), F.col("stratum").eqNullSafe(F.col("of"))).select("stratum", "rule", "step", "n", "total").collect()
-    by: dict = {}
-    for s, rule, at, n, total in rows:
-        by.setdefault((s, rule), (total, {}))[1][at] = n
-    tests = max(1, len(by))
-    found = [(s, rule, c / STEPS) for (s, rule), (total, at) in sorted(by.items(), key=str) if (c := lowest_cutoff(at, total, alpha / len(RULES), delta / tests)) is not None]
-    return measured.sparkSession.createDataFrame(found, "stratum string, rule string, cutoff double")
+    """(stratum, cutoff in steps) of strata that have one. Counts are sums over all labelled good documents by stratum and step; each
+    stratum, of at most STEPS rows then, is a group of its own."""
+    good = measured.where(~base_failed()).join(good_ids(labels), "doc_id", "left_semi")
+    hist = written(good.groupBy(F.col(stratum).cast("string").alias("stratum"), step().alias("step")).agg(F.count(F.lit(1)).alias("n")), "steps")
+    # strata by their number of labels: a row for each size that occurs
+    sizes = hist.groupBy("stratum").agg(F.sum("n").alias("total")).where(F.pow(F.lit(1 - alpha), "total") <= delta).groupBy("total").agg(F.count(F.lit(1)).alias("strata"))
+    m = tested_strata([r.total for r in sizes.collect() for _ in range(r.strata)], alpha, delta)
+
+    def lowest(rows: pd.DataFrame) -> pd.DataFrame:
+        n, found = int(rows["n"].sum()), None
+        if m and binomial_tail(0, n, alpha) <= delta / m:
+            found = lowest_cutoff(dict(zip(rows["step"].tolist(), rows["n"].tolist(), strict=True)), n, alpha, delta / m)
+        name = rows["stratum"].iloc[0]
+        name = None if pd.isna(name) else name
+        return pd.DataFrame({"stratum": pd.Series([name] if found is not None else [], dtype=object), "cutoff": pd.Series([found] if found is not None else [], dtype="int32")})
+
+    return written(hist.groupBy("stratum").applyInPandas(lowest, "stratum string, cutoff int"), "cutoffs")
 
 
 def judged(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
     """Adds base_failed and kept to rows that have the measures."""
-    limits = {(s, r): c for s, r, c in cuts.collect()}  # at most MAX_STRATA * rules rows
-    wide = [(s, *[limits.get((s, r)) for r in RULES]) for s in sorted({s for s, _ in limits}, key=str)]
-    at = measured.sparkSession.createDataFrame(wide, "cut_stratum string, " + ", ".join(f"cut_{r} double" for r in RULES))
-    out = measured.join(F.broadcast(at), F.col(stratum).eqNullSafe(F.col("cut_stratum")), "left")
-    over = F.lit(False)
-    for r in RULES:
-        over = over | F.coalesce(F.col(r) > F.col(f"cut_{r}") + 1e-9, F.lit(False))
+    of, limit = fresh(measured, "cut_of", "cut_at")
+    cuts = cuts.toDF(of, limit)
+    cuts = F.broadcast(cuts) if cuts.count() <= SMALL_STRATA else cuts
+    out = measured.join(cuts, F.col(stratum).cast("string").eqNullSafe(F.col(of)), "left")
     out = out.withColumn("base_failed", base_failed())
-    return out.withColumn("kept", ~F.col("base_failed") & ~over).drop("cut_stratum", *[f"cut_{r}" for r in RULES])
+    return out.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(step() > F.col(limit), F.lit(False))).drop(of, limit)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -143,9 +157,9 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with the measures, base_failed and kept. Cutoffs are fitted on the measures of all labelled rows; texts aren't shuffled for that."""
-    fit = written(measured(docs.select("doc_id", "lang", "text")).drop("text"), "measures")
-    return judged(measured(docs), cutoffs(fit, labels))
+    """docs with the measures, base_failed and kept. Texts are measured once and written with their measures."""
+    rows = written(measured(docs), "measures")
+    return judged(rows, cutoffs(rows, labels))
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,14 +184,14 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     length(regexp_replace(b, '[^A-Z]', '', 'g'))::DOUBLE / greatest(strlen(regexp_replace(b, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')), 1) AS upper_share,
     n_dup_lines::DOUBLE / greatest(len(ls), 1) AS dup_line_share, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_share FROM c),
 good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
-steps AS (SELECT lang, rule, ceil(least(v, 1) * 200)::INT AS step FROM (UNPIVOT (SELECT lang, junk_share, upper_share, dup_line_share, repeat_share FROM m JOIN good USING (doc_id)) ON junk_share, upper_share, dup_line_share, repeat_share INTO NAME rule VALUE v)),
-total AS (SELECT lang, rule, count(*) AS n FROM steps GROUP BY ALL),
-above AS (SELECT t.lang, t.rule, s, t.n, (SELECT count(*) FROM steps x WHERE x.lang IS NOT DISTINCT FROM t.lang AND x.rule = t.rule AND x.step > s) AS k FROM total t, range(0, 201) r(s)),
-tail AS (SELECT lang, rule, s, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.0075e0) + (n - i) * ln(1 - 0.0075e0))) AS p
+sev AS (SELECT *, ceil(least(greatest(junk_share / 0.2e0, upper_share, dup_line_share, repeat_share), 1) * 200)::INT AS step FROM m),
+steps AS (SELECT lang, step FROM sev JOIN good USING (doc_id) WHERE NOT base_failed),
+total AS (SELECT lang, count(*) AS n FROM steps GROUP BY ALL),
+tested AS (SELECT max(r) AS m FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM total) WHERE pow(0.97e0, n) <= 0.05e0 / r),
+above AS (SELECT t.lang, s, t.n, (SELECT count(*) FROM steps x WHERE x.lang IS NOT DISTINCT FROM t.lang AND x.step > s) AS k FROM total t, range(0, 201) r(s)),
+tail AS (SELECT lang, s, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.03e0) + (n - i) * ln(0.97e0))) AS p
   FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM above WHERE k < n) GROUP BY ALL),
-cut AS (SELECT lang, rule, min(s)::DOUBLE / 200 + 1e-9 AS c FROM tail WHERE p <= 0.05e0 / (SELECT count(*) FROM total) GROUP BY ALL),
-over AS (SELECT DISTINCT m.doc_id FROM m JOIN cut ON m.lang IS NOT DISTINCT FROM cut.lang
-  WHERE CASE rule WHEN 'junk_share' THEN junk_share WHEN 'upper_share' THEN upper_share WHEN 'dup_line_share' THEN dup_line_share ELSE repeat_share END > c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM over) AS kept,
-  junk_share, upper_share, dup_line_share, repeat_share FROM m
+cut AS (SELECT lang, min(s) AS c FROM tail WHERE p <= 0.05e0 / (SELECT m FROM tested) GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(step <= c, true) AS kept,
+  junk_share, upper_share, dup_line_share, repeat_share FROM sev LEFT JOIN cut ON sev.lang IS NOT DISTINCT FROM cut.lang
 """

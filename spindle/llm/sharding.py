@@ -1,11 +1,13 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced together.
 
-Equal texts form a group. Groups are hashed to a fixed number of buckets; a group that holds more than
-1/BUCKETS of all bytes, tokens or rows is split by document id into chunks below that. Buckets and
-chunks are the items that are packed: largest first, each into the shard where the dot product of its
+Equal texts form a group, and a group stays in one shard. Only a group of more bytes, tokens or rows than a shard's fair share is split, by
+document id, since these could not be balanced otherwise. Groups are hashed to a fixed number of buckets; a group that holds more than
+1/BUCKETS of all bytes, tokens or rows stands apart from its bucket. Buckets, and groups that stand apart, are the items that are
+packed: largest first, each into the shard where the dot product of its
 (bytes, tokens, rows) vector with the shard's residual capacity is highest. Their number is bounded by
 parameters, so the packing runs on the driver over at most a few thousand vectors at any input size.
-Law `bytes`: sizes are near equal. A last pass moves items while that narrows the spread of bytes.
+Law `bytes`: sizes are near equal. A last pass moves items while that narrows the spread of bytes. Slots follow `order`
+where it is given, and else a hash of the ids.
 
 Nulls and ties: a null text is a group of its own, of no bytes and no tokens. Rows that repeat each keep a
 slot; their order among equal ids is by text hash and otherwise free. A null id sorts first. An empty
@@ -15,12 +17,13 @@ table gives an empty result. Other columns are kept by `shard`; clashing names a
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, fresh, require, table, utf8_length
+from .common import WORD, fresh, require, table, utf8_length, written
 
-SHARDS, BUCKETS = 16, 4096
+#: Rows that share a window when slots are numbered, about.
+SHARDS, BUCKETS, WINDOW_ROWS = 16, 4096, 50_000
 DIMS = ("bytes", "tokens", "rows")
 
 
@@ -47,48 +50,65 @@ def pack(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """Adds size, text_crc32, law, shard, slot and grown_shard to the rows of docs."""
-    require(docs, id_col, text)
+def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, id_col: str = "doc_id", text: str = "text", order: tuple[str, str] | None = None) -> DataFrame:
+    """Adds size, text_crc32, law, shard, slot and grown_shard to the rows of docs. order: two columns, which are dropped: rows take slots
+    by the first (long; some WINDOW_ROWS rows for each value) and then the second."""
+    require(docs, id_col, text, *(order or ()))
     spark = docs.sparkSession
     names = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    for c in [c for c in docs.columns if c.lower() in names]:
+    for c in [c for c in docs.columns if c.lower() in names and c not in (order or ())]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
-    grp, toks, bucket, chunk, item, offset = fresh(docs, "grp", "toks", "bucket", "chunk", "item", "offset")
+    grp, parts, block, place, offset = fresh(docs, "grp", "parts", "block", "place", "offset")
     body = F.coalesce(F.col(text), F.lit(""))
-    rows = docs.withColumns({
+    sized = docs.withColumns({
         "size": utf8_length(F.col(text)) + 1,
-        "text_crc32": F.crc32(F.encode(body, "UTF-8")).cast("long"),
-        grp: F.when(F.col(text).isNull(), F.lit("null")).otherwise(F.sha2(body, 256)),
-        toks: F.regexp_count(body, F.lit(WORD)).cast("long"),
+        grp: F.when(F.col(text).isNull(), F.unhex(F.lit("00"))).otherwise(F.unhex(F.md5(body))),
     })
-    groups = rows.groupBy(grp).agg(F.sum("size").alias("bytes"), F.sum(toks).alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    dims = (F.sum("size").alias("bytes"), F.sum("toks").alias("tokens"), F.count(F.lit(1)).alias("rows"))
+    spread = F.pmod(F.xxhash64(id_col), F.lit(64 * shards)).alias("spread")  # chunks of split groups are made of these
+    tokens = sized.select(grp, "size", spread, F.regexp_count(body, F.lit(WORD)).cast("long").alias("toks"))
+    groups = written(tokens.groupBy(grp, "spread").agg(*dims), "groups")
     total = groups.agg(*[F.sum(d).alias(d) for d in DIMS]).first()
-    limit = {d: max(1, -(-(total[d] or 0) // buckets)) for d in DIMS}
-    parts = F.greatest(*[F.ceil(F.col(d) / F.lit(limit[d])) for d in DIMS])
-    # a group over a limit has a 1/buckets share of a dimension, so there are at most 3 * buckets of them
-    big = groups.where(parts > 1).select(grp, F.least(parts, F.col("rows")).cast("int").alias(chunk)).where(F.col(chunk) > 1)
-    spread = F.pmod(F.xxhash64(F.col(id_col)), F.col(chunk)).cast("int")
-    key = F.pmod(F.xxhash64(F.col(grp)), F.lit(buckets)).cast("int")
-    rows = rows.join(F.broadcast(big), grp, "left").withColumns({
-        bucket: F.when(F.col(chunk).isNull(), key).otherwise(F.lit(-1)),
-        item: F.when(F.col(chunk).isNull(), key.cast("string")).otherwise(F.concat_ws("/", grp, spread.cast("string"))),
-    })
-    sums = rows.groupBy(item).agg(F.sum("size").alias("bytes"), F.sum(toks).alias("tokens"), F.count(F.lit(1)).alias("rows"))
-    items = sorted(sums.collect())  # bounded: buckets, and chunks of groups over a limit
+    whole = groups.groupBy(grp).agg(*[F.sum(d).alias(d) for d in DIMS])
+    apart = F.lit(False)
+    for d in DIMS:  # each limit is passed by fewer than `buckets` groups
+        apart = apart | (F.col(d) * buckets > (total[d] or 0))
+    shares = F.greatest(*[F.col(d) * shards / F.lit(max(1, total[d] or 0)) for d in DIMS])
+    pieces = F.when(shares <= 1, F.lit(1)).otherwise(F.ceil(shares * 4))  # chunks of a quarter of a shard
+    big = written(whole.where(apart).select(grp, pieces.cast("int").alias(parts)), "big")
+
+    def item(spread: Column) -> Column:
+        """Name of a row's item: its group's bucket, or its group, or that group's chunk."""
+        bucket = F.pmod(F.xxhash64(grp), F.lit(buckets)).cast("string")
+        chunk = F.pmod(spread, F.coalesce(F.col(parts), F.lit(1))).cast("string")
+        return F.when(F.col(parts).isNull(), bucket).otherwise(F.concat_ws("/", F.hex(grp), chunk))
+
+    named = groups.join(F.broadcast(big), grp, "left").withColumn("item", item(F.col("spread")))
+    items = sorted(named.groupBy("item").agg(*[F.sum(d).alias(d) for d in DIMS]).collect())  # bounded: buckets, big groups and their chunks
     placed = pack(np.array([r[1:] for r in items], np.float64).reshape(-1, 3), shards)
-    starts, plan = [0] * shards, []
-    for (name, _, _, n), s in zip(items, placed.tolist(), strict=True):
-        plan.append((name, s, starts[s]))
-        starts[s] += n
-    where = spark.createDataFrame(plan, f"`{item}` string, shard int, `{offset}` long")
-    nth = F.row_number().over(Window.partitionBy(item).orderBy(id_col, grp))
+    (at,) = fresh(sized, "at")
+    where = spark.createDataFrame([(r[0], s) for r, s in zip(items, placed.tolist(), strict=True)], f"`{at}` string, shard int")
+    blocks = max(1, -(-(total["rows"] or 0) // WINDOW_ROWS))
+    rows = sized.join(F.broadcast(big), grp, "left").withColumn(at, item(F.pmod(F.xxhash64(id_col), F.lit(64 * shards)))).join(F.broadcast(where), at)
+    if order:
+        rows = rows.withColumnsRenamed({order[0]: block, order[1]: place})
+    else:
+        rows = rows.withColumns({block: F.pmod(F.xxhash64(id_col, F.lit("slot")), F.lit(blocks)), place: F.lit(0).cast("long")})
+    rows = rows.drop(at, parts)
+    sums = rows.groupBy("shard", block).agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy(block).rowsBetween(Window.unboundedPreceding, -1)  # a row a block
+    offsets = sums.select("shard", block, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(offset))
+    nth = F.row_number().over(Window.partitionBy("shard", block).orderBy(place, id_col, grp))
     return (
-        rows.join(F.broadcast(where), item)
-        .withColumn("slot", F.col(offset) + nth - 1)
-        .withColumn("law", F.lit("bytes"))
-        .withColumn("grown_shard", F.lit(None).cast("int"))
-        .drop(grp, toks, bucket, chunk, item, offset)
+        rows.withColumn("slot", nth)
+        .join(offsets, ["shard", block])
+        .withColumns({
+            "slot": (F.col(offset) + F.col("slot") - 1).cast("long"),
+            "law": F.lit("bytes"),
+            "text_crc32": F.crc32(F.encode(body, "UTF-8")).cast("long"),
+            "grown_shard": F.lit(None).cast("int"),
+        })
+        .select(*[c for c in docs.columns if c not in (order or ())], *names)
     )
 
 

@@ -25,9 +25,10 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Hosts whose pages make up the list in the registered query.
-LISTED_HOSTS = ("spam-farm.example.org", "cheap-pills.example.com", "casino-win.example.net")
-BITS_PER_URL, BLOCK_BITS, PROBES = 16, 256, 8
+#: The list of the registered query: pages of hosts that have one of these labels, and, as a stand-in for single reported pages, pages whose id is
+#: divisible by REPORTED.
+LISTED_LABELS, REPORTED = ("spam-farm", "cheap-pills", "casino-win", "adult-x"), 100
+BITS_PER_URL, BLOCK_BITS, PROBES, SALTS = 16, 256, 8, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -87,23 +88,24 @@ def bloom_blocks(listed: DataFrame, key: str, blocks: int) -> DataFrame:
 
 
 def judge_urls(
-    pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", max_broadcast_mb: int = 32
+    pages: DataFrame, listed: DataFrame, rules=RULES, url: str = "url", max_broadcast_mb: int = 32, bits_per_url: float = BITS_PER_URL
 ) -> DataFrame:
     """Adds host, path, rule and verdict. listed: one column of canonical URLs, the list to block.
 
     The filter is broadcast only if its number of blocks, counted from the list, proves it under
     max_broadcast_mb; beyond that it is joined by a shuffle on the block number. The exact join goes through
-    distinct URLs of the possible hits, so a URL that many rows repeat is joined once."""
+    distinct URLs of the possible hits, so a URL that many rows repeat is tested once; its rows are dealt
+    over SALTS keys when they get its verdict."""
     require(pages, url)
     names = ("host", "path", "rule", "verdict")
     clash = [c for c in pages.columns if c.lower() in names]
     for c in clash:
         pages = pages.withColumnRenamed(c, fresh(pages, "_" + c)[0])
-    block, key, hit = fresh(pages, "block", "canon", "on_list")
+    block, key, hit, salt, bloom_words = fresh(pages, "block", "canon", "on_list", "salt", "bloom")
     want = listed.select(F.col(listed.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct()
-    blocks = max(1, -(-want.count() * BITS_PER_URL // BLOCK_BITS))
+    blocks = max(1, int(-(-want.count() * bits_per_url // BLOCK_BITS)))
     words = [f"w{i}" for i in range(BLOCK_BITS // 64)]
-    bloom = bloom_blocks(want, key, blocks).select(F.col("block").alias(block), F.struct(*words).alias("bloom"))
+    bloom = bloom_blocks(want, key, blocks).select(F.col("block").alias(block), F.struct(*words).alias(bloom_words))
     small = blocks * (8 + 8 * len(words)) <= max_broadcast_mb << 20
     bloom = F.broadcast(bloom) if small else bloom
 
@@ -115,22 +117,23 @@ def judge_urls(
     keys = seen.select(open_key.alias(key)).where(F.col(key).isNotNull()).distinct()
     passes = F.lit(True)
     for i, mask in enumerate(_words(F.col(key))):
-        passes = passes & (F.col(f"bloom.w{i}").bitwiseAND(mask) == mask)
+        passes = passes & (F.col(f"{bloom_words}.w{i}").bitwiseAND(mask) == mask)
     possible = keys.withColumn(block, _block(F.col(key), blocks)).join(bloom, block).where(passes).select(key)
-    hits = possible.join(want, key, "left_semi").select(key, F.lit(True).alias(hit))
+    hits = possible.join(want, key, "left_semi").select(key, F.lit(True).alias(hit), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(salt))
     # rows that a rule decides get keys of their own that no host can have, so that they don't all meet in one task
-    own = F.coalesce(open_key, F.concat(F.lit("#"), F.xxhash64(*[F.col(c) for c in pages.columns]).cast("string")))
-    out = seen.withColumn(key, own).join(hits, key, "left")
+    mixed = F.xxhash64(*[F.col(c) for c in pages.columns])
+    own = F.coalesce(open_key, F.concat(F.lit("#"), mixed.cast("string")))
+    out = seen.withColumns({key: own, salt: F.pmod(mixed, F.lit(SALTS)).cast("int")}).join(hits, [key, salt], "left")
     verdict = F.coalesce(F.col("verdict"), F.when(F.col(hit), F.lit("block")), F.lit("allow"))
-    return out.withColumn("verdict", verdict).drop(key, hit)
+    return out.withColumn("verdict", verdict).drop(key, hit, salt)
 
 
-def listed_urls(pages: DataFrame, hosts=LISTED_HOSTS, url: str = "url") -> DataFrame:
-    """Canonical URLs of the pages that listed hosts serve."""
-    bare = F.regexp_replace(host_of(F.col(url)), r"^(www|m)\.", "")
-    on = F.lit(False)
-    for h in hosts:
-        on = on | (bare == h) | bare.endswith("." + h)
+def listed_urls(pages: DataFrame, labels=LISTED_LABELS, reported: int = REPORTED, id_col: str = "page_id", url: str = "url") -> DataFrame:
+    """Canonical URLs of the pages that hosts with a listed label serve, under any domain, and of the reported pages."""
+    dotted = F.concat(F.lit("."), host_of(F.col(url)), F.lit("."))
+    on = F.coalesce(F.col(id_col) % reported == 0, F.lit(False))
+    for x in labels:
+        on = on | dotted.contains(f".{x}.")
     return pages.where(on).select(canonical(host_of(F.col(url)), path_of(F.col(url))).alias("canonical")).distinct()
 
 
@@ -150,7 +153,7 @@ c AS (
   SELECT *, CASE WHEN host = '' THEN NULL ELSE
       regexp_replace(regexp_replace(host, '^(www|m)\.', ''), ':(80|443)$', '') ||
       regexp_replace(regexp_replace(path, '(/index)?\.html?$', ''), '/+$', '') END AS canon,
-    '.' || regexp_replace(host, '^(www|m)\.', '') AS bare,
+    '.' || host || '.' AS dotted,
     CASE
       WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND starts_with(path, '/en/') THEN 'www.example.com/en/'
       WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/') THEN 'example.com/en/'
@@ -160,7 +163,7 @@ c AS (
   FROM p),
 listed AS (
   SELECT DISTINCT canon FROM c
-  WHERE bare LIKE '%.spam-farm.example.org' OR bare LIKE '%.cheap-pills.example.com' OR bare LIKE '%.casino-win.example.net')
+  WHERE dotted LIKE '%.spam-farm.%' OR dotted LIKE '%.cheap-pills.%' OR dotted LIKE '%.casino-win.%' OR dotted LIKE '%.adult-x.%' OR page_id % 100 = 0)
 SELECT page_id, host, path, rule,
   CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow'
        WHEN rule IS NOT NULL THEN 'block'

@@ -6,8 +6,8 @@ records; every payload is hashed again as it is read and a mismatch fails the jo
 payloads of at least `min_revisit` bytes the one with the largest id is the `response`; the others are
 `revisit` records that name it. Smaller ones are all responses.
 
-Nulls and ties: a null html is an empty payload. A null id sorts below all others and gets an empty
-record id. Rows that repeat the largest id and its payload are all responses. A null url gives an empty
+Nulls and ties: a null html is an empty payload. A null id sorts below all others and gets a
+record id made of the payload's digest. Rows that repeat the largest id and its payload are all responses. A null url gives an empty
 WARC-Target-URI. An empty table gives an empty archive. Extra columns are not archived.
 """
 
@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import require, shared_dir, shuffles_freed, table
 
-MIN_REVISIT = 1000
+#: DATE: WARC-Date of all records, since pages have none.
+MIN_REVISIT, DATE = 1000, "1970-01-01T00:00:00Z"
 CRLF = "\r\n"
 
 
@@ -31,7 +32,8 @@ def _header(kind: Column, record_id: Column, url: Column, digest: Column, size:
     return F.concat(
         F.lit("WARC/1.1" + CRLF),
         line("WARC-Type", kind),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(record_id.cast("string"), F.lit("")), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(record_id.cast("string"), F.concat(F.lit("null:"), digest)), F.lit(">"))),
+        line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", clean),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), digest)),
         line("Content-Type", F.lit("text/html; charset=utf-8")),
@@ -50,8 +52,8 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", min_revisit
     """Writes `path`/headers and `path`/payloads. key, `url` and `html` are read.
 
     What is shuffled to find equal payloads is a digest and an id a row, summed on the map side, so a payload
-    that a third of all rows share is one row from each task. Payload bytes are shuffled once, and
-    only by the rows that hold the largest id of their digest."""
+    that a third of all rows share is one row from each task. Payload bytes are shuffled once, to meet the largest
+    id of their digest: those of a frequent payload spread over (digest, id) and only one of them is kept."""
     require(pages, key, "url", "html")
     body = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     rows = pages.select(F.col(key).cast("long").alias("id"), "url", body.alias("body")).select(

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from spindle.llm import jaccard_join as J
-from spindle.llm import mixing, sharding, warc
+from spindle.llm import mixing, quality, sharding, warc
 from spindle.llm import suffix_dedup as S
 from spindle.llm.components import components
 from spindle.llm.front_coded import LoserTree, common_prefix
@@ -261,6 +261,17 @@ def test_components_of_paths_and_stars(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def split_and_large(rows):
+    """Texts in several shards, and texts that hold more than a shard's share of bytes, words or rows."""
+    of, size, words, count = defaultdict(set), Counter(), Counter(), Counter()
+    for r in rows:
+        of[r.text].add(r.shard)
+        size[r.text] += r.size
+        words[r.text] += len((r.text or "").split())
+        count[r.text] += 1
+    return {t for t, s in of.items() if len(s) > 1}, {t for c in (size, words, count) for t, n in c.items() if n > sum(c.values()) / 16}
+
+
 def test_shards(spark):
     rng = random.Random(10)
     rows = [(i, "same text" if i % 3 == 0 else "t" * rng.randint(0, 400), "x") for i in range(3000)] + [(None, None, "x"), (3, "same text", "x"), (9000, "z" * 9000, "x")]
@@ -276,8 +287,49 @@ def test_shards(spark):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     assert max(map(len, slots.values())) < 1.3 * min(map(len, slots.values()))
     assert sharding.shard(docs.limit(0)).count() == 0
-    small = {r.text: r.shard for r in sharding.shard(docs.where("doc_id < 40")).collect()}
-    assert small
+    split, large = split_and_large(got)
+    assert split == large == {"same text"}
+    skewed = docs.union(spark.range(4000, 9000).selectExpr("id", "'copied text' AS text", "'x'"))
+    got = sharding.shard(skewed).collect()
+    split, large = split_and_large(got)
+    assert split == large == {"same text", "copied text"}
+    by = Counter()
+    for r in got:
+        by[r.shard] += r.size
+    assert max(by.values()) < 1.1 * min(by.values())
+    few = sharding.shard(docs.where("doc_id < 40 AND doc_id % 3 > 0")).collect()
+    assert split_and_large(few)[0] == set()
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_shards_of_documents(spark, size):
+    """The query's rows against a plain pass over them: groups whole, slots gapless, sizes near equal."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").collect()}
+    got = sharding.op10_sharding(spark, f"/root/testdata/{size}").collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    of, slots, by, group = defaultdict(set), defaultdict(list), Counter(), Counter()
+    for r in got:
+        text = docs[r.doc_id]
+        of[text].add(r.shard)
+        slots[r.shard].append(r.slot)
+        by[r.shard] += r.size
+        group[text] += r.size
+        assert r.size == len((text or "").encode()) + 1 and r.law == "bytes" and r.grown_shard is None
+    share = sum(by.values()) / 16
+    assert all(len(s) == 1 for s in of.values())  # no text has more than a shard's share here
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert max(by.values()) <= max(1.05 * share, *group.values())
+
+
+def test_slots_follow_an_order(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "WINDOW_ROWS", 100)
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('t', cast(id % 50 AS int)) AS text", "id div 100 AS block", "(id * 37) % 1000 AS at")
+    rows = sharding.shard(docs, order=("block", "at"))
+    assert rows.columns[:2] == ["doc_id", "text"] and "block" not in rows.columns and "at" not in rows.columns
+    by = defaultdict(list)
+    for r in sorted(rows.collect(), key=lambda r: r.slot):
+        by[r.shard].append((r.doc_id // 100, r.doc_id * 37 % 1000))
+    assert sum(map(len, by.values())) == 3000 and all(x == sorted(x) for x in by.values())
 
 
 def test_packing_follows_residual_capacity():
@@ -289,18 +341,88 @@ def test_packing_follows_residual_capacity():
     assert spread[0] < 1.001 and spread.max() < 1.1
 
 
-def test_pipeline_stages(spark, sf):
+def brute_quality(docs, labels):
+    """ids that the rule keeps, from measures of each text and binomial cutoffs for each language."""
+    good = {i for i in {r.doc_id for r in labels} if min((r.quality for r in labels if r.doc_id == i and r.quality is not None), default=0) == 1}
+    seen = {r.doc_id: quality.measures(r.text) for r in docs}
+    base = {i: m[0] < 50 or 2 * m[4] > m[0] for i, m in seen.items()}
+    step = {i: int(np.ceil(min(1.0, max(m[5] / 0.2, *m[6:])) * 200)) for i, m in seen.items()}
+    by = defaultdict(list)
+    for r in docs:
+        if r.doc_id in good and not base[r.doc_id]:
+            by[r.lang].append(step[r.doc_id])
+    m = quality.tested_strata([len(x) for x in by.values()], 0.03, 0.05)
+    cut = {lang: quality.lowest_cutoff(Counter(x), len(x), 0.03, 0.05 / max(m, 1)) if m else None for lang, x in by.items()}
+    return {r.doc_id for r in docs if not base[r.doc_id] and (cut.get(r.lang) is None or step[r.doc_id] <= cut[r.lang])}
+
+
+def test_pipeline_stages(spark, tmp_path):
+    """Each stage on what the one before wrote, against a plain version of it."""
+    sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, order = docs.columns, {}
     for name, stage in corpus_pipeline.STAGES:
         before = docs.collect()
-        out = stage(spark, docs, sf)
-        docs = spark.createDataFrame(out.collect(), out.schema)
+        stage(spark, docs, sf).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
         after = docs.collect()
-        if name == "near_duplicates":
+        ids = sorted(r.doc_id for r in after)
+        assert docs.columns[: len(columns)] == columns
+        if name == "quality_rules":
+            assert set(ids) == brute_quality(before, spark.read.parquet(f"{sf}/labels.parquet").collect()) and len(ids) == len(set(ids))
+        elif name == "near_duplicates":
             want, _ = brute_components([(r.doc_id, r.text) for r in before], 5, 80)
-            assert {r.doc_id for r in after} == {i for i, c in want.items() if i == c}
-        elif name in ("mix", "shard"):
-            assert sorted(r.doc_id for r in after) == sorted(r.doc_id for r in before)
+            assert ids == sorted({c for c in want.values()})
+        elif name == "decontaminate":
+            fold = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+            grams, texts = defaultdict(set), {r.doc_id: r.text for r in after}
+            for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+                w = fold(r.text)
+                for i in range(max(1, len(w) - 9) if w else 0):
+                    grams[min(10, len(w))].add(tuple(w[i : i + 10]))
+            for r in before:
+                w = fold(r.text)
+                hit = {p for n, own in grams.items() for i in range(len(w) - n + 1) if tuple(w[i : i + n]) in own for p in range(i, i + n)}
+                assert (r.doc_id in texts) == (len(hit) <= 0.5 * len(w))
+                if r.doc_id in texts:
+                    assert fold(texts[r.doc_id]) == [x for i, x in enumerate(w) if i not in hit] and (hit or texts[r.doc_id] == r.text)
+        elif name == "mix":
+            assert sorted(map(str, after)) == sorted(map(str, before))
+            slots = {r.doc_id: r.mix_slot for r in mixing.mix(spark.createDataFrame(before, docs.schema)).collect()}
+            files = docs.select("doc_id", "_metadata.file_name", "_metadata.row_index").collect()
+            placed = [r.doc_id for r in sorted(files, key=lambda r: (r.file_name, r.row_index))]
+            assert [slots[i] for i in placed] == sorted(slots.values()) and placed != sorted(placed)
+            order = {i: n for n, i in enumerate(placed)}
         else:
-            assert 0 < len(after) <= len(before)
-    assert {"shard", "slot"} <= set(docs.columns)
+            assert ids == sorted(r.doc_id for r in before)
+            of, by = defaultdict(set), defaultdict(list)
+            for r in after:
+                of[r.text].add(r.shard)
+                by[r.shard].append((r.slot, order[r.doc_id]))
+            assert len(by) == 16 and all(len(s) == 1 for s in of.values())
+            # the slots of a shard follow the mixture, so they would differ without the stage before
+            assert all([s for s, _ in x] == list(range(len(x))) and x == sorted(x, key=lambda p: p[1]) for x in map(sorted, by.values()))
+
+
+def test_pipeline_stages_on_odd_rows(spark, tmp_path):
+    words = " ".join(f"w{i}" for i in range(80))
+    taken = ["size", "law", "hits", "kept_text", "n_words", "mix_slot", "p_first", "p_slot", "cut_stratum", "key", "tie", "component_id", "block", "item", "bucket", "file_number", "toks", "kept"]
+    rows = [(1, words), (1, words), (2, words), (3, None), (None, "other " + words[::-1]), (None, None), (4, ""), (5, "z" * 200_000), (6, "long words " * 50_000), (7, " ".join(f"v{i}" for i in range(70)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in taken)
+    docs = spark.createDataFrame([(i, t, None, "ab"[n % 2] if n % 3 else None, len(t or ""), *range(len(taken))) for n, (i, t) in enumerate(rows)], schema)
+    sf = "/root/testdata/sf0.001"
+    left = {"quality_rules": [1, 1, 2, 7, None], "near_duplicates": [1, 3, 4, 5, 6, 7, None, None], "decontaminate": [1, 1, 2, 3, 4, 5, 6, 7, None, None], "mix": [1, 1, 2, 3, 4, 5, 6, 7, None, None], "shard": [1, 1, 2, 3, 4, 5, 6, 7, None, None]}
+    for name, stage in corpus_pipeline.STAGES:
+        for given, want in ((docs, left[name]), (docs.limit(0), [])):
+            out = stage(spark, given, sf)
+            got = out.collect()
+            assert sorted((r.doc_id for r in got), key=str) == sorted(want, key=str), name
+            if name == "shard":
+                assert all((r["_size"], r["_law"], r["hits"]) == (0, 1, 2) for r in got)
+            else:
+                assert out.columns == docs.columns and all(tuple(r)[5:] == tuple(range(len(taken))) for r in got), name
+
+
+def test_pipeline_writes_where_the_session_says(spark, sf):
+    out = corpus_pipeline.run(spark, sf)
+    assert all(f"{spark.conf.get('spark.checkpoint.dir')}/pipeline-" in f for f in out.inputFiles()) and out.count() > 50

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -59,6 +60,34 @@ def test_quality_rows(spark):
     assert len(rows) == 5 and all(r["kept"] == (not r.base_failed) for r in rows)
     assert sorted(r["_kept"] for r in rows) == [1, 2, 3, 9, 9] and {r.doc_id: r["kept"] for r in rows}[1]
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
+    clash = quality.judge(docs.withColumns({"cut_of": F.lit("x"), "cut_at": F.lit(7), "cut_stratum": F.lit("y"), "step": F.lit(3)}), labels).collect()
+    assert [(r.cut_of, r.cut_at, r.cut_stratum, r.step) for r in clash] == [("x", 7, "y", 3)] * 5
+
+
+def test_tested_strata():
+    assert quality.tested_strata([], 0.03, 0.05) == quality.tested_strata([98, 5], 0.03, 0.05) == 0
+    assert quality.tested_strata([99, 98], 0.03, 0.05) == 1 and quality.tested_strata([5, 130, 130], 0.03, 0.05) == 2
+
+
+def test_each_stratum_gets_its_cutoff(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    rows = [(s * 100 + i, f"l{s}", words) for s in range(3) for i in range(400 if s < 2 else 20)] + [(9000 + s, f"l{s}", "#" * 200 + words) for s in range(3)]
+    docs = spark.createDataFrame([(n, lang, text) for n, (_, lang, text) in enumerate(rows)], "doc_id long, lang string, text string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    cuts = {r.stratum: r.cutoff for r in quality.cutoffs(quality.measured(docs), labels).collect()}
+    assert set(cuts) == {"l0", "l1"}
+    m = quality.tested_strata([401, 401], quality.ALPHA, quality.DELTA)
+    assert m == 2 and cuts["l0"] == quality.lowest_cutoff({0: 400, 200: 1}, 401, quality.ALPHA, quality.DELTA / m)
+    out = quality.judge(docs, labels).where("lang <> 'l2'").collect()
+    assert all(r["kept"] == (not r.text.startswith("#")) for r in out)
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_quality_query_rejects_by_its_method(spark, size):
+    """At sf0.01 one language has labels enough for a cutoff; at sf0.001 none has."""
+    rows = quality.op1_quality_rules(spark, f"/root/testdata/{size}").collect()
+    gone = sum(not r["kept"] and not r.base_failed for r in rows)
+    assert (gone > 0) == (size == "sf0.01")
 
 
 def brute_hits(text, items):
@@ -101,8 +130,16 @@ def test_decontaminated_rows_and_slices(spark):
     many = decontaminate.hit_words(docs, items, max_words=3).selectExpr("doc_id", "hits.*").collect()
     assert sorted(map(str, one)) == sorted(map(str, many))
     assert decontaminate.hit_words(docs, items.limit(0)).where("size(hits.runs) > 0").count() == 0
-    with pytest.raises(ValueError):
-        decontaminate.decontaminated(docs.withColumn("hits", F.lit(1)), items)
+    clash = decontaminate.decontaminated(docs.withColumn("hits", F.lit(1)), items)
+    assert clash.columns == ["doc_id", "text", "n_chars", "hits"] and {r.doc_id: (r.text, r.n_chars) for r in clash.collect()} == {i: (r.text, r.n_chars) for i, r in rows.items()}
+
+
+def test_decontamination_of_a_long_text(spark):
+    item = " ".join(f"q{i}" for i in range(12))
+    text = ("plain words here " * 60_000 + item + " ") * 2 + "x" * 100_000
+    got = decontaminate.hit_words(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).first().hits
+    n = 3 * 60_000
+    assert got.n_words == 2 * (n + 12) + 1 and got.runs == [n, n + 12, 2 * n + 12, 2 * n + 24] and got["items"] == ["5"]
 
 
 def test_network_gradients_and_pooling():
@@ -151,6 +188,7 @@ def test_language_rows(spark):
         letters = any(c.isalpha() for c in r.text or "")
         assert (r.lang_pred == "und") == (not letters) and 0 <= r.score <= 1 and r["_score"] == 0.5
     assert language_id.train(docs.limit(0)) is None
+    assert not language_id.has_letter("½ ² 4 _ ٣ 。") and language_id.has_letter("½ª") and language_id.has_letter("12 字")
     assert {r.lang_pred for r in language_id.identify(docs, None).collect()} == {"und"}
 
 
@@ -184,7 +222,7 @@ def test_segmentation_is_the_best_and_probabilities_sum():
     rng = np.random.default_rng(1)
     field.weights = rng.normal(0, 1.5, field.weights.shape)
     region = pii.Region("a 12 b.3@c 4")
-    scores = field.scores(region)
+    scores = field.scores(region.segments)
     segs = [(i, j, k, scores[n, k]) for n, (i, j, _) in enumerate(region.segments) for k in range(len(pii.KINDS))]
     best, total = 0.0, []
 
@@ -214,6 +252,19 @@ def test_pii_rows(spark):
     assert pii.masked("a b", [(0, 1, "ip")]) == "<ip> b"
 
 
+def test_personal_data_takes_little_memory_in_a_long_region():
+    """Digits with blanks are one region with a candidate of many lengths at each of them."""
+    field = pii.SemiMarkov()
+    field.weights[0, 0] = 0.1
+    text, peaks = "4 " * 6_000, []
+    for n in (3_000, 12_000):
+        tracemalloc.start()
+        assert len(field.best(pii.Region(text[:n]))) > n // 100
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] - peaks[0] < 9_000 * 60
+
+
 def brute_url(url, listed):
     host = path = ""
     if url is not None and "://" in url:
@@ -245,6 +296,26 @@ def test_url_filter_matches_brute_force(spark):
     assert url_filter.judge_urls(pages.limit(0), table.limit(0)).count() == 0
 
 
+def test_false_positives_of_the_filter_change_no_verdict(spark):
+    """Half a bit a listed url: most urls pass the filter, and a url that a third of all rows repeat is judged like any other."""
+    urls = [f"http://x.org/{i}" for i in range(600)] + ["http://x.org/2"] * 300
+    listed = {f"x.org/{i}" for i in range(0, 600, 2)}
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    table = spark.createDataFrame([(x,) for x in listed], "canonical string")
+    bloom = url_filter.bloom_blocks(table, "canonical", 1).first()
+    words = url_filter._words(F.lit("x.org/1"))
+    assert all(spark.range(1).select(w.bitwiseAND(F.lit(bloom[f"w{i}"])) == w).first()[0] for i, w in enumerate(words))  # not listed, but passes
+    got = url_filter.judge_urls(pages, table, bits_per_url=0.5).collect()
+    assert len(got) == 900 and all((r.verdict == "block") == (r.url[7:] in listed) for r in got)
+
+
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_the_list_decides_rows(spark, size):
+    rows = url_filter.op4_url_filter(spark, f"/root/testdata/{size}").where("rule IS NULL").groupBy("verdict").count().collect()
+    by = {r.verdict: r["count"] for r in rows}
+    assert by["block"] >= 8 and by["allow"] > 100
+
+
 def test_items_digest(spark, sf):
     got = {r.doc_id: r for r in decontaminate.op5_decontaminate(spark, sf).collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
