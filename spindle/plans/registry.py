@@ -213,18 +213,20 @@ def section_hint(spark, d):
 
 
 def _shown(spark, d):
-    hits = se.top(_turn_hits(spark, d, QUERIES), 60, TURN).join(_turns(spark, d), TURN)
-    return _long(hits, "rank")
+    """All turns, as if one query showed each conversation's turns in order."""
+    return _turns(spark, d).withColumn("query_id", F.lit(1).cast("long")).withColumn("rank", F.col("turn").cast("long"))
+
+
+ALIKE = 0.08
 
 
 def snippet_jaccard_pairs(spark, d):
-    pairs = present.similar_pairs(_shown(spark, d), ["query_id", "conv_id"], "rank", "text", 0.2)
+    pairs = present.similar_pairs(_shown(spark, d), ["query_id", "conv_id"], "rank", "text", ALIKE)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
 def dedup_marks(spark, d):
-    rows = _turns(spark, d).withColumn("query_id", F.lit(1).cast("long")).withColumn("rank", F.col("turn").cast("long"))
-    return present.duplicate_marks(rows, ["query_id", "conv_id"], "rank", "turn", "text", 0.2).select("conv_id", "rank", "duplicate_of")
+    return present.duplicate_marks(_shown(spark, d), ["query_id", "conv_id"], "rank", "turn", "text", ALIKE).select("conv_id", "rank", "duplicate_of")
 
 
 def snippets(spark, d):
@@ -443,7 +445,6 @@ def _batch():
 
 def oracle_sql() -> dict[str, str]:
     top_q = f"{_TURNS}, {_q(QUERIES)}, {_scored('conv_id, turn')}"
-    shown = top_q + f", sh AS ({_top('sc', 60, 'conv_id, turn')}), hw AS (SELECT sh.*, role, text, {_WORDS.format(x='text')} AS w FROM sh JOIN conversations USING (conv_id, turn))"
     return {
         "token_counts": _base() + " SELECT * FROM tf_all",
         "doc_frequency": _base() + " SELECT term, count(*) AS df FROM tf_all GROUP BY term",
@@ -481,10 +482,11 @@ SELECT * FROM fine""",
         "coarse_sections": "SELECT conv_id, role, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY ALL",
         "section_hint": f"""{top_q}, h AS ({_top('sc', 40, 'conv_id, turn')}), c AS (SELECT h.*, role, count(*) OVER (PARTITION BY query_id, conv_id, role) AS n FROM h JOIN conversations USING (conv_id, turn))
 SELECT query_id, conv_id, turn, CASE WHEN role <> '' AND n >= 2 THEN n || ' hits in section ' || role || '; read the whole section' ELSE '' END AS section_hint FROM c""",
-        "snippet_jaccard_pairs": f"""{shown}, j AS (SELECT a.query_id, a.conv_id, a.rank AS rank_a, b.rank AS rank_b, {_JAC.format(a='a.w', b='b.w')} AS similarity FROM hw a JOIN hw b ON a.query_id = b.query_id AND a.conv_id = b.conv_id AND a.rank < b.rank)
-SELECT query_id, conv_id, rank_a, rank_b, round(similarity, 6) AS similarity FROM j WHERE round(similarity, 9) >= 0.2""",
+        "snippet_jaccard_pairs": f"""WITH hw AS (SELECT 1::BIGINT AS query_id, conv_id, turn::BIGINT AS rank, {_WORDS.format(x='text')} AS w FROM conversations),
+j AS (SELECT a.query_id, a.conv_id, a.rank AS rank_a, b.rank AS rank_b, {_JAC.format(a='a.w', b='b.w')} AS similarity FROM hw a JOIN hw b ON a.conv_id = b.conv_id AND a.rank < b.rank)
+SELECT query_id, conv_id, rank_a, rank_b, round(similarity, 6) AS similarity FROM j WHERE round(similarity, 9) >= {ALIKE}""",
         "dedup_marks": f"""WITH RECURSIVE c AS (SELECT conv_id, turn AS rank, {_WORDS.format(x='text')} AS w FROM conversations),
-near AS (SELECT a.conv_id, a.rank AS a, b.rank AS b FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.rank < b.rank WHERE round({_JAC.format(a='a.w', b='b.w')}, 9) >= 0.2),
+near AS (SELECT a.conv_id, a.rank AS a, b.rank AS b FROM c a JOIN c b ON a.conv_id = b.conv_id AND a.rank < b.rank WHERE round({_JAC.format(a='a.w', b='b.w')}, 9) >= {ALIKE}),
 lists AS (SELECT conv_id, list(rank ORDER BY rank) AS ranks FROM c GROUP BY conv_id),
 step AS (SELECT conv_id, 0::BIGINT AS i, []::BIGINT[] AS canon, NULL::BIGINT AS rank, NULL::BIGINT AS of FROM lists
   UNION ALL
