@@ -20,16 +20,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(df) if name in ("documents", "pages") else df
 
 
+#: While a table is written: shuffle files go as soon as a write has ended, instead of when the driver collects its garbage; and Arrow batches, which both
+#: sides of a Python worker hold, are small, since rows can be wide (texts, sets).
+WRITING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+}
+
+
 @contextlib.contextmanager
 def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    """Within this, the shuffle files of a write go as soon as it has ended, instead of when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+    before = {name: spark.conf.get(name, None) for name in WRITING}
+    for name, value in WRITING.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

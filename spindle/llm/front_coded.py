@@ -98,7 +98,7 @@ class LoserTree:
             self.top, self.top_shared = c, cl
 
 
-def splitters(strings: DataFrame, column: str, parts: int, prefix: int, sample: int = 64) -> list[bytes]:
+def splitters(strings: DataFrame, column: str, parts: int, prefix: int, sample: int = 16) -> list[bytes]:
     """At most parts - 1 ascending prefixes, from a sample of about sample strings for each part."""
     drawn = strings.select(F.substring(F.col(column), 1, prefix).alias("s"), F.xxhash64(column).alias("h"))
     found = sorted(bytes(r.s) for r in drawn.orderBy("h").limit(parts * sample).collect())

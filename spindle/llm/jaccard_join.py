@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,10 +47,10 @@ from .components import components, contracted
 COARSE, FINE = (2, 1), (5, 2)
 BAND_RATIO, SMALL = 2.0, 16
 #: Bytes that are hashed together; least number of longs of the parity words that rule pairs out.
-BLOCK, PARITY = 1 << 20, 16
-#: Values that a task packs at a time, and classes that it remembers; values of one part of the domain; least number of parts; parts
-#: that one task merges, one after the other; values of a direct row.
-FLUSH, MET, PART_VALUES, MIN_PARTS, PARTS_A_TASK, CHUNK = 1 << 20, 100_000, 1 << 21, 16, 4, 1 << 16
+BLOCK, PARITY = 1 << 18, 16
+#: Values that a task packs at a time (more where there are very many parts), and classes that it remembers; values of one part of the domain;
+#: least number of parts; parts that one task merges, one after the other; values of a direct row.
+FLUSH, MET, PART_VALUES, MIN_PARTS, PARTS_A_TASK, CHUNK = 1 << 18, 50_000, 1 << 20, 16, 4, 1 << 16
 NO_ID = (1 << 63) - 1
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
@@ -188,9 +189,20 @@ def _ints(chunks: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(sizes.astype(np.int32)), pa.array(flat))
 
 
-def _class_of(grams: np.ndarray) -> int:
-    """Name of a set as a signed 64-bit word."""
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+@dataclass(frozen=True)
+class Names:
+    """Names of sets: signed 64-bit hashes. Those that two different sets of the corpus share, some tens of them among 10^10 sets, are replaced by a
+    second hash, so a name stands for 128 bits. bits: of the first hash; fewer of them in tests."""
+
+    shared: frozenset[int] = frozenset()
+    bits: int = 64
+
+    def check(self, grams: np.ndarray) -> int:
+        return xxhash.xxh3_64_intdigest(grams.tobytes(), 1) - (1 << 63)
+
+    def of(self, grams: np.ndarray) -> int:
+        name = (xxhash.xxh3_64_intdigest(grams.tobytes()) >> (64 - self.bits)) - (1 << 63)
+        return self.check(grams) if name in self.shared else name
 
 
 def _blocks(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
@@ -198,26 +210,38 @@ def _blocks(batch: pa.RecordBatch, step: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, step)
 
 
-def named_rows(docs: DataFrame, n: int) -> DataFrame:
-    """(key, tie, class, n_shingles) by row of docs (key, tie, text), written once: class is null for an empty set."""
+def named_rows(docs: DataFrame, n: int, bits: int = 64) -> tuple[DataFrame, Names]:
+    """(key, tie, class, n_shingles) by row of docs (key, tie, text), written once: class is null for an empty set; and what classes are named by."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for whole in batches:
-            for batch in _blocks(whole):
-                grams = list(shingle(batch.column(2).to_pylist()))
-                named = pa.array([_class_of(g) if len(g) else None for g in grams], pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, pa.array([len(g) for g in grams], pa.int64())], ["key", "tie", "class", "n_shingles"])
+    def rows(names: Names) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shingle = Shingler(n)
+            for whole in batches:
+                for batch in _blocks(whole):
+                    grams = list(shingle(batch.column(2).to_pylist()))
+                    named = pa.array([names.of(g) if len(g) else None for g in grams], pa.int64())
+                    check = pa.array([names.check(g) if len(g) else None for g in grams], pa.int64())
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), named, check, pa.array([len(g) for g in grams], pa.int64())], ["key", "tie", "class", "check", "n_shingles"])
+
+        return written(docs.select("key", "tie", "text").mapInArrow(run, "key long, tie long, class long, check long, n_shingles long"), "named")
 
-    return written(docs.select("key", "tie", "text").mapInArrow(run, "key long, tie long, class long, n_shingles long"), "named")
+    names = Names(bits=bits)
+    named = rows(names)
+    ends = named.where("class IS NOT NULL").groupBy("class").agg(F.min("check").alias("lo"), F.max("check").alias("hi"))
+    shared = [r["class"] for r in ends.where("lo <> hi").select("class").collect()]
+    if shared:
+        forget(named)
+        names = Names(frozenset(shared), bits)
+        named = rows(names)
+    return named.drop("check"), names
 
 
 Values = Callable[[np.ndarray], np.ndarray]
 _PACKED = pa.schema([("part", pa.int32()), ("direct", pa.bool_()), *[(c, pa.binary()) for c in ("classes", "counts", "low", "marks")]])
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], n: int, values: Values) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """About FLUSH values at a time: classes, and for each value, ascending, it and its class's place. Column 0 holds texts; a class
+def _gathered(batches: Iterator[pa.RecordBatch], n: int, names: Names, values: Values, most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """About `most` values at a time: classes, and for each value, ascending, it and its class's place. Column 0 holds texts; a class
     that the task has met lately is left out."""
     shingle, met, held, size = Shingler(n), {}, [], 0
 
@@ -230,7 +254,7 @@ def _gathered(batches: Iterator[pa.RecordBatch], n: int, values: Values) -> Iter
     for whole in batches:
         for batch in _blocks(whole):
             for grams in shingle(batch.column(0).to_pylist()):
-                if not len(grams) or (name := _class_of(grams)) in met:
+                if not len(grams) or (name := names.of(grams)) in met:
                     continue
                 if len(met) >= MET:
                     met.clear()
@@ -239,19 +263,19 @@ def _gathered(batches: Iterator[pa.RecordBatch], n: int, values: Values) -> Iter
                 if len(own):
                     held.append((name, own))
                     size += len(own)
-                if size >= FLUSH:
+                if size >= most:
                     yield flush()
                     held, size = [], 0
     if held:
         yield flush()
 
 
-def _packed(texts: DataFrame, n: int, values: Values, parts: int, most: int, tell: bool) -> DataFrame:
+def _packed(texts: DataFrame, n: int, names: Names, values: Values, parts: int, most: int, tell: bool) -> DataFrame:
     """Rows of _PACKED, dealt and sorted by part: classes and how many values each has in this part, the values' low halves, and marks,
     values that more than `most` classes of a task have: with tell these go on as direct rows (class and value), else as marks only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for classes, value, of in _gathered(batches, n, values):
+        for classes, value, of in _gathered(batches, n, names, values, max(FLUSH, min(8 * parts, 8 * FLUSH))):
             edge = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]]))
             size = np.diff(np.append(edge, len(value)))
             often = np.repeat(size > most, size)
@@ -316,7 +340,7 @@ def _parts(values: int) -> int:
     return max(MIN_PARTS, values // PART_VALUES)
 
 
-def shared_signatures(texts: DataFrame, n: int, percent: int, shape: tuple[int, int], total: int, small: int) -> DataFrame:
+def shared_signatures(texts: DataFrame, n: int, names: Names, percent: int, shape: tuple[int, int], total: int, small: int) -> DataFrame:
     """From the texts' classes: pairs (a, b, null) of classes that share a signature of at most `small` classes, and (class, null, sig) for each
     signature of more classes. total: elements of all sets, about."""
 
@@ -341,10 +365,10 @@ def shared_signatures(texts: DataFrame, n: int, percent: int, shape: tuple[int,
         yield from _by_part(batches, lambda classes, sigs: [_longs(classes, None, sigs)], finish)
 
     parts = _parts(total * (100 - percent) // percent * len(list(itertools.combinations(range(shape[0]), shape[1]))) // (shape[1] + 1))
-    return _packed(texts, n, lambda g: signatures(g, percent, shape), parts, small, True).mapInArrow(run, "a long, b long, sig long")
+    return _packed(texts, n, names, lambda g: signatures(g, percent, shape), parts, small, True).mapInArrow(run, "a long, b long, sig long")
 
 
-def own_elements(texts: DataFrame, n: int, total: int) -> DataFrame:
+def own_elements(texts: DataFrame, n: int, names: Names, total: int) -> DataFrame:
     """(class, own): how many elements of each class of the texts no other of them has; classes without any are left out."""
 
     def finish(part: int, low: np.ndarray, own: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -355,7 +379,7 @@ def own_elements(texts: DataFrame, n: int, total: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_part(batches, lambda classes, values: [], finish)
 
-    counted = _packed(texts, n, lambda g: g, _parts(total), 1, False).mapInArrow(run, "class long, own long")
+    counted = _packed(texts, n, names, lambda g: g, _parts(total), 1, False).mapInArrow(run, "class long, own long")
     return counted.groupBy("class").agg(F.sum("own").alias("own"))
 
 
@@ -503,11 +527,11 @@ def _sets(texts: DataFrame, n: int) -> DataFrame:
     return texts.select("class", "text").mapInArrow(run, "class long, grams array<long>")
 
 
-def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) -> DataFrame:
+def class_components(docs: DataFrame, named: DataFrame, names: Names, n: int, percent: int) -> DataFrame:
     """(node, component) of classes that have links. docs: key, tie and text; named: `named_rows` of them. Wide tables go as soon
     as what follows has been written."""
     total = named.agg(F.sum("n_shingles")).first()[0] or 0
-    coarse = written(shared_signatures(docs, n, percent, COARSE, total, SMALL), "coarse")
+    coarse = written(shared_signatures(docs, n, names, percent, COARSE, total, SMALL), "coarse")
     pairs = coarse.where("b IS NOT NULL").select("a", "b")
     live = pairs.select(F.col("a").alias("class"), F.lit(False).alias("crowded")).union(pairs.select("b", F.lit(False)))
     live = live.union(coarse.where("b IS NULL").select("a", F.lit(True))).groupBy("class").agg(F.bool_or("crowded").alias("crowded"))
@@ -515,9 +539,9 @@ def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) ->
     profiles = written(_profiles(texts, n), "profiles")
     crowd, size = texts.where("crowded"), profiles.select("class", "n")
     total = crowd.select("class").join(size, "class").agg(F.sum("n")).first()[0] or 0
-    alone = own_elements(crowd, n, total).join(size, "class").where(F.col("own") > F.floor(F.col("n") * (100 - percent) / percent))
+    alone = own_elements(crowd, n, names, total).join(size, "class").where(F.col("own") > F.floor(F.col("n") * (100 - percent) / percent))
     dense = written(crowd.join(alone, "class", "left_anti").select("class", "text"), "dense")
-    fine = written(shared_signatures(dense, n, percent, FINE, total, SMALL), "fine")
+    fine = written(shared_signatures(dense, n, names, percent, FINE, total, SMALL), "fine")
     near = _near(pairs.union(fine.where("b IS NOT NULL").select("a", "b")).distinct(), profiles, percent)
     stars = _stars(fine.where("b IS NULL").select("sig", F.col("a").alias("class")))
     used = near.select(F.col("a").alias("class")).union(near.select("b")).union(stars.select("x")).distinct()
@@ -534,13 +558,13 @@ def class_components(docs: DataFrame, named: DataFrame, n: int, percent: int) ->
     return components(linked_classes)
 
 
-def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> DataFrame:
+def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str, bits: int = 64) -> DataFrame:
     """(key, tie, n_shingles, component, low) by row of docs: hash of the text, id (nulls last), size of the set, the component's class (null
     for an empty set) and smallest id."""
     tie = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
     slim = docs.select(F.xxhash64(text).alias("key"), tie.alias("tie"), F.col(text).alias("text"))
-    named = named_rows(slim, n)
-    joined = class_components(slim, named, n, percent)
+    named, names = named_rows(slim, n, bits)
+    joined = class_components(slim, named, names, n, percent)
     filled = named.where("class IS NOT NULL")
     ids = filled.groupBy("class").agg(F.min("tie").alias("first"))
     ids = ids.join(joined.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
@@ -549,13 +573,13 @@ def _named(docs: DataFrame, n: int, percent: int, id_col: str, text: str) -> Dat
     return named.join(by_class, "class", "left").withColumn("low", F.coalesce("low", "tie")).drop("class")
 
 
-def with_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def with_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text: str = "text", bits: int = 64) -> DataFrame:
     """Adds n_shingles and component_id, the smallest id among documents that links and equal sets reach."""
     require(docs, id_col, text)
     for c in [c for c in docs.columns if c.lower() in ("n_shingles", "component_id")]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
     key, tie, low = fresh(docs, "key", "tie", "low")
-    named = _named(docs, n, percent, id_col, text).drop("component").distinct().toDF(key, tie, "n_shingles", low)
+    named = _named(docs, n, percent, id_col, text, bits).drop("component").distinct().toDF(key, tie, "n_shingles", low)
     rows = docs.withColumns({key: F.xxhash64(text), tie: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))})
     return rows.join(named, [key, tie]).withColumn("component_id", F.nullif(low, F.lit(NO_ID))).select(*docs.columns, "n_shingles", "component_id")
 

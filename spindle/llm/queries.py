@@ -26,5 +26,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": url_filter.SQL,
         "op5_decontaminate": decontaminate.SQL,
         "op6_warc_archive": warc.SQL,
+        "op8_suffix_dedup": suffix_dedup.SQL,
         "op9_jaccard_join": jaccard_join.SQL,
     }

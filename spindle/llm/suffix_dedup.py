@@ -19,7 +19,7 @@ result. Extra columns are kept by `deduplicated`; clashing names are kept under
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +31,8 @@ from .common import fresh, require, shuffle_partitions, table, written
 from .front_coded import sorted_groups
 
 SPAN, K, SEGMENT, MAX_KINDS = 100, 32, 1 << 20, 20_000
+#: Bytes of suffixes, and of what stands left of them, that one task merges, about.
+PART_BYTES = 64 << 20
 NO_ID = (1 << 63) - 1
 _U = np.uint64
 _TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=_U)
@@ -237,7 +239,9 @@ def covered_bytes(docs: DataFrame, firsts: DataFrame, max_kinds: int = MAX_KINDS
     many = kinds.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = written(_suffixes(live, kinds.join(many, "h")), "several")
     suffixes = several.where(F.col("n") <= max_kinds)
-    merged = sorted_groups(suffixes, "suffix", ["tie", "t", "first", "last", "at", "left"], K, shuffle_partitions(docs.sparkSession), _sorted_repeats, "tie long, t long, lo long, hi long")
+    size = several.agg(F.sum(F.octet_length("suffix") + F.octet_length("left"))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), size // PART_BYTES)
+    merged = sorted_groups(suffixes, "suffix", ["tie", "t", "first", "last", "at", "left"], K, parts, _sorted_repeats, "tie long, t long, lo long, hi long")
     return out.union(merged).union(_window_repeats(several.where(F.col("n") > max_kinds))), live.select("tie", "t", "body")
 
 
@@ -261,9 +265,26 @@ def kept_bytes(body: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, body[end:]])
 
 
-def _cut(docs: DataFrame, max_kinds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _named(docs: DataFrame, text_hash: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, DataFrame]:
+    """docs (tie, body) with the texts' names t, and (t, tie) of each name's first document. A name is a hash of 64 bits; names that texts
+    of different MD5 share, some tens of them among 10^10 texts, are replaced by a hash of the MD5."""
+    digest = F.md5("body")
+    check = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    docs = docs.withColumn("t", text_hash(F.col("body")))
+
+    def firsts() -> DataFrame:
+        return written(docs.groupBy("t").agg(F.min("tie").alias("tie"), F.min(check).alias("lo"), F.max(check).alias("hi")), "firsts")
+
+    found = firsts()
+    shared = [r.t for r in found.where("lo <> hi").select("t").collect()]
+    if shared:
+        docs = docs.withColumn("t", F.when(F.col("t").isin(shared), F.xxhash64(digest)).otherwise(F.col("t")))
+        found = firsts()
+    return docs.select("tie", "t", "body"), found.select("t", "tie")
+
+
+def _cut(docs: DataFrame, firsts: DataFrame, max_kinds: int) -> tuple[DataFrame, DataFrame]:
     """Texts' first documents (t, first_tie), and (t, n_removed, n_spans, kept) of those texts that lose bytes but not all."""
-    firsts = written(docs.groupBy("t").agg(F.min("tie").alias("tie")), "firsts")
     runs, live = covered_bytes(docs, firsts, max_kinds)
     by_text = runs.groupBy("tie", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("runs"))
 
@@ -283,19 +304,21 @@ def _cut(docs: DataFrame, max_kinds: int) -> tuple[DataFrame, DataFrame, DataFra
 
 
 def _slim(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    body = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("tie"), F.xxhash64(body).alias("t"), body.alias("body"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("tie"), F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8").alias("body"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_kinds: int = MAX_KINDS) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text: str = "text", max_kinds: int = MAX_KINDS, text_hash: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the bytes that stay; they may cut a character)."""
     require(docs, id_col, text)
     for c in [c for c in docs.columns if c.lower() in ("n_bytes", "n_removed", "n_spans", "kept")]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
-    firsts, cut = _cut(_slim(docs, id_col, text), max_kinds)
-    t, tie, body, first_tie = fresh(docs, "t", "tie", "body", "first_tie")
+    slim, first = _named(_slim(docs, id_col, text), text_hash)
+    firsts, cut = _cut(slim, first, max_kinds)
+    # by text: its SHA-256 stands for it where rows get their verdict
+    digest, t, tie, body, first_tie = fresh(docs, "digest", "t", "tie", "body", "first_tie")
+    by_text = slim.select(F.sha2("body", 256).alias(digest), F.col("t").alias(t)).distinct()
     raw = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
-    rows = docs.withColumns({body: raw, t: F.xxhash64(raw), tie: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))})
+    rows = docs.withColumns({body: raw, digest: F.sha2(raw, 256), tie: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))}).join(by_text, digest)
     rows = rows.join(firsts.toDF(t, first_tie), t).join(cut.dropDuplicates(["t"]).withColumnRenamed("t", t), t, "left").withColumn("n_bytes", F.octet_length(body).cast("long"))
     return _verdict(rows, F.col(tie) > F.col(first_tie), F.col("kept"), F.col(body), F.lit(b"")).select(*docs.columns, "n_bytes", "n_removed", "n_spans", "kept")
 
@@ -311,10 +334,27 @@ def _verdict(rows: DataFrame, copy: Column, kept: Column, whole: Column, nothing
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _slim(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text")
-    firsts, cut = _cut(docs, MAX_KINDS)
+    docs, first = _named(_slim(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text"))
+    firsts, cut = _cut(docs, first, MAX_KINDS)
     rows = docs.select("tie", "t", F.octet_length("body").cast("long").alias("n_bytes"), F.sha2("body", 256).alias("whole"))
     cut = cut.select("t", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept")).dropDuplicates(["t"])
     rows = rows.join(firsts.join(cut, "t", "left"), "t")
     out = _verdict(rows, F.col("tie") > F.col("first_tie"), F.col("kept"), F.col("whole"), F.sha2(F.lit(b""), 256))
     return out.select(F.nullif("tie", F.lit(NO_ID)).alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
+SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 200) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS i FROM d WHERE n >= 100)),
+first AS (SELECT s, min({'doc_id': doc_id, 'i': i}) AS f FROM w GROUP BY s HAVING count(*) > 1),
+again AS (SELECT doc_id, i FROM w JOIN first USING (s) WHERE {'doc_id': doc_id, 'i': i} <> f),
+marked AS (SELECT *, sum(CASE WHEN i <= before + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT *, lag(i, 1, -101) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM again)),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM marked GROUP BY doc_id, run),
+gaps AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS since FROM runs),
+cut AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN cut USING (doc_id)
+"""

@@ -164,6 +164,15 @@ def test_suffix_dedup_finds_repeats_across_segments_of_one_text(spark):
         assert (r.n_removed, r.n_spans, bytes(r["kept"])) == want[r.doc_id, r.text.encode()], r.doc_id
 
 
+def test_suffix_dedup_tells_texts_of_one_hash_apart(spark):
+    rng = random.Random(17)
+    texts = [rng.randbytes(150).hex() for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(texts + texts[:3])] + [(20, texts[4][50:200] + "!" + texts[5])]
+    want = brute_repeats([(i, t.encode()) for i, t in rows])
+    for r in S.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), text_hash=lambda c: F.length(c).cast("long")).collect():
+        assert (r.n_removed, r.n_spans, bytes(r["kept"])) == want[r.doc_id, r.text.encode()], r.doc_id
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -247,6 +256,16 @@ def test_jaccard_components_match_brute_force(spark, small, monkeypatch):
         assert kept == {i for i, c in want.items() if i == c}
 
 
+def test_jaccard_tells_sets_of_one_name_apart(spark):
+    rng = random.Random(18)
+    texts = [" ".join(f"w{rng.randrange(500)}" for _ in range(40)) for _ in range(60)]
+    texts += [f"{t} more" for t in texts[:20]]
+    rows = list(enumerate(texts))
+    want, _ = brute_components(rows, 4, 85)
+    got = J.with_components(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85, bits=4).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 60
+
+
 def test_jaccard_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (4, "other words are here now"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.n_shingles) for r in J.with_components(docs, 4, 85).collect()), key=str)
@@ -426,3 +445,26 @@ def test_pipeline_stages_on_odd_rows(spark, tmp_path):
 def test_pipeline_writes_where_the_session_says(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert all(f"{spark.conf.get('spark.checkpoint.dir')}/pipeline-" in f for f in out.inputFiles()) and out.count() > 50
+
+
+def test_mixed_rows_against_a_plain_schedule(spark):
+    """The query's rows: blocks from running sizes in the order of hashed ids, and in the first phase less than one block from the weights."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "source", F.expr("coalesce(octet_length(text), 0) + 1").alias("size"), F.xxhash64("doc_id", F.lit("mix")).alias("h")).collect()
+    got = {r.doc_id: r for r in mixing.op2_mix_sources(spark, "/root/testdata/sf0.01").collect()}
+    by = defaultdict(list)
+    for r in docs:
+        by[r.source].append((r.h % (1 << 64), r.doc_id, r["size"]))
+    blocks = {}
+    for s, own in by.items():
+        at = 0
+        for _, i, size in sorted(own):
+            assert got[i].mix_block == at // mixing.BLOCK_BYTES
+            blocks[s, got[i].mix_block] = (got[i].mix_slot, got[i].mix_phase)
+            at += size
+    assert len({slot for slot, _ in blocks.values()}) == len(blocks) and len(got) == len(docs)
+    weight = {s: float(sum(x[2] for x in own)) ** mixing.TEMPERATURE for s, own in by.items()}
+    total = sum(map(Fraction, weight.values()))
+    for (s, b), (slot, phase) in blocks.items():
+        if phase == 0:
+            w = Fraction(weight[s]) / total
+            assert b + 1 - w * (slot + 1) < 1 and w * slot - b < 1

@@ -252,6 +252,27 @@ def test_pii_rows(spark):
     assert pii.masked("a b", [(0, 1, "ip")]) == "<ip> b"
 
 
+def test_the_field_finds_what_patterns_miss(spark):
+    """Written-out entities of other draws than those it learned from: recall of kinds that no pattern covers, and false spans."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    field, rng = pii.train(docs), np.random.default_rng(77)
+    want = found = wrong = base = clean = 0
+    for _ in range(1500):
+        entity, kind = pii._written(rng)
+        text = f"some words before {'token = ' if kind == 'secret' else ''}{entity} and some after"
+        a = text.index(entity) + (kind == "secret")
+        spans = pii.spans_of(text, field)
+        if kind is None:
+            clean += 1
+            wrong += len(spans[1]) > len(spans[0])
+        elif (a, a + len(entity) - 2 * (kind == "secret"), kind) in spans[0]:
+            base += 1
+        else:
+            want += 1
+            found += (a, a + len(entity) - 2 * (kind == "secret"), kind) in spans[1]
+    assert want > 150 and base > 150 and found / want > 0.9 and wrong / clean < 0.1
+
+
 def test_personal_data_takes_little_memory_in_a_long_region():
     """Digits with blanks are one region with a candidate of many lengths at each of them."""
     field = pii.SemiMarkov()
