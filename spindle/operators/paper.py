@@ -60,7 +60,8 @@ def paper_meta(text: str | None) -> tuple[str, list[str], str, bool]:
     title = re.sub(r"^[#\s]+", "", lines[top]) if top >= 0 else ""
     authors = _names(lines[top + 1 : min(start, top + 21)]) if top >= 0 and start > 0 else []
     body = "\n".join(lines[start + 1 : end]) if end > start >= 0 else ""
-    abstract = "\n\n".join(" ".join(p.split("\n")) for p in re.split(r"\n{2,}", body.strip("\n")) if p)
+    # lines are joined by blanks; each empty line between them is a break
+    abstract = re.sub(r"\n+", lambda m: "\n\n" * (len(m[0]) - 1) or " ", body.strip("\n"))
     return title, authors, abstract.strip(), True
 
 

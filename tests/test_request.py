@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from spindle.operators import catalog, chunk, models, present, request
+from spindle.operators import catalog, chunk, models, paper, present, request
 from spindle.operators import index as ix
 from spindle.operators import search as se
 from spindle.sources import files, store
@@ -167,5 +167,10 @@ def test_office_files_keep_repeats_numbers_and_order(spark, tmp_path):
     assert rows["bad.txt"].text is None and rows["bad.txt"].error == "not UTF-8" and rows["broken.docx"].error and json.dumps(rows["broken.docx"].error)
 
 
+def test_abstracts_keep_their_breaks():
+    text = "A Title\n\nJane Roe\n\n# Abstract\n\nFirst line\nsecond line.\n\nNew part.\n\n\nLast part.\n\n# 1. Introduction\nText"
+    assert paper.paper_meta(text)[2] == "First line second line.\n\nNew part.\n\n\n\nLast part."
+
+
 def test_shared_folder(spark):
     assert store.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
