@@ -28,38 +28,6 @@ from .common import fresh, require, table, utf8_length, written
 PERIOD, BLOCK_BYTES, BUCKETS, BUCKET_BYTES, TEMPERATURE = 4096, 64 * 1024, 256, 256 << 20, 0.7
 
 
-def quanta(weights: dict, period: int = PERIOD) -> dict:
-    """Blocks a period for each source, by largest remainder, 1 at least; their sum is the period."""
-    total = sum(weights.values())
-    exact = {s: Fraction(w) / Fraction(total) * period for s, w in weights.items()}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], str(s))):
-        if sum(out.values()) < period:
-            out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s], str(s)))] -= 1
-    return out
-
-
-def pattern(shares: dict) -> list:
-    """Source by slot of one period, earliest deadline first among released blocks."""
-    period = sum(shares.values())
-    release = [[] for _ in range(period)]
-    for s, n in shares.items():
-        for j in range(n):
-            release[j * period // n].append((-(-(j + 1) * period // n), str(s), j, s))
-    ready: list = []
-    out = []
-    for t in range(period):
-        for x in release[t]:
-            heapq.heappush(ready, x)
-        due, _, _, s = heapq.heappop(ready)
-        if due < t + 1:
-            raise ArithmeticError("a deadline was missed")
-        out.append(s)
-    return out
-
-
 def whole(weights: dict) -> dict:
     """The weights as whole numbers in exactly the same ratios."""
     exact = {s: Fraction(w) for s, w in weights.items()}

@@ -19,19 +19,6 @@ from spindle.llm.components import components
 from spindle.llm.front_coded import LoserTree, common_prefix
 
 
-def test_pattern_keeps_every_source_within_one_block():
-    rng = random.Random(1)
-    for _ in range(40):
-        weights = {s: rng.randint(1, 1000) for s in range(rng.randint(1, 12))}
-        shares = mixing.quanta(weights, 256)
-        assert sum(shares.values()) == 256
-        order, seen = mixing.pattern(shares), Counter()
-        for t, s in enumerate(order):
-            seen[s] += 1
-            for k, n in shares.items():
-                assert abs(seen[k] - Fraction(n * (t + 1), 256)) < 1
-
-
 def test_phases_place_every_block_once():
     blocks = {"a": 700, "b": 13, "c": 1, "d": 90}
     slots = []
