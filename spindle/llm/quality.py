@@ -4,7 +4,8 @@ Each rule measures a share of the text that is junk; a text's severity is the la
 text goes if its severity is above the cutoff of its stratum (language). Labelled good documents that pass the base rules are the
 holdout: in each stratum the cutoff is lowered step by step, for all rules at once, and a step is kept only if the exact binomial bound
 shows that good documents are rejected at a rate of at most ALPHA. Steps go in a fixed order, so the first that fails ends
-the sequence and no correction is needed along it. Bonferroni divides DELTA by the number of strata that are tested; those are the
+the sequence and no correction is needed along it. Of the steps that are kept the highest is used that rejects as many labelled bad documents
+as the lowest does, so good ones are not given up for nothing; without bad ones nothing is rejected. Bonferroni divides DELTA by the number of strata that are tested; those are the
 largest ones that have enough labels to show anything at that level, which depends on their sizes only. Together: with probability
 1 - DELTA no stratum loses more than ALPHA of its good documents to these rules. A stratum with too few labels gets no cutoff.
 
@@ -107,9 +108,10 @@ def step() -> Column:
     return F.ceil(F.least(F.greatest(*[F.col(r) / scale for r, scale in SCALE.items()]), F.lit(1.0)) * STEPS).cast("int")
 
 
-def good_ids(labels: DataFrame) -> DataFrame:
-    kept = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-    return kept.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
+def judged_ids(labels: DataFrame) -> DataFrame:
+    """(doc_id, good) of labelled documents."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
+    return known.groupBy("doc_id").agg((F.min("quality") == 1).alias("good"))
 
 
 def tested_strata(sizes: list[int], alpha: float, delta: float) -> int:
@@ -118,23 +120,29 @@ def tested_strata(sizes: list[int], alpha: float, delta: float) -> int:
 
 
 def cutoffs(measured: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """(stratum, cutoff in steps) of strata that have one. Counts are sums over all labelled good documents by stratum and step; each
+    """(stratum, cutoff in steps) of strata that have one. Counts are sums over all labelled documents by stratum and step; each
     stratum, of at most STEPS rows then, is a group of its own."""
-    good = measured.where(~base_failed()).join(good_ids(labels), "doc_id", "left_semi")
-    hist = written(good.groupBy(F.col(stratum).cast("string").alias("stratum"), step().alias("step")).agg(F.count(F.lit(1)).alias("n")), "steps")
+    of, at = fresh(measured, "stratum", "step")
+    (good,) = fresh(measured, "good")
+    known = measured.where(~base_failed()).join(judged_ids(labels).toDF("doc_id", good), "doc_id")
+    hist = known.groupBy(F.col(stratum).cast("string").alias(of), step().alias(at)).agg(F.count_if(F.col(good)).alias("n"), F.count_if(~F.col(good)).alias("bad"))
+    hist = written(hist.toDF("stratum", "step", "n", "bad"), "steps")
     # strata by their number of labels: a row for each size that occurs
     sizes = hist.groupBy("stratum").agg(F.sum("n").alias("total")).where(F.pow(F.lit(1 - alpha), "total") <= delta).groupBy("total").agg(F.count(F.lit(1)).alias("strata"))
     m = tested_strata([r.total for r in sizes.collect() for _ in range(r.strata)], alpha, delta)
 
-    def lowest(rows: pd.DataFrame) -> pd.DataFrame:
+    def chosen(rows: pd.DataFrame) -> pd.DataFrame:
         n, found = int(rows["n"].sum()), None
         if m and binomial_tail(0, n, alpha) <= delta / m:
             found = lowest_cutoff(dict(zip(rows["step"].tolist(), rows["n"].tolist(), strict=True)), n, alpha, delta / m)
+        if found is not None:
+            worse = rows["step"][(rows["bad"] > 0) & (rows["step"] > found)]
+            found = int(worse.min()) - 1 if len(worse) else STEPS
         name = rows["stratum"].iloc[0]
         name = None if pd.isna(name) else name
         return pd.DataFrame({"stratum": pd.Series([name] if found is not None else [], dtype=object), "cutoff": pd.Series([found] if found is not None else [], dtype="int32")})
 
-    return written(hist.groupBy("stratum").applyInPandas(lowest, "stratum string, cutoff int"), "cutoffs")
+    return written(hist.groupBy("stratum").applyInPandas(chosen, "stratum string, cutoff int"), "cutoffs")
 
 
 def judged(measured: DataFrame, cuts: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -183,15 +191,17 @@ m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_fail
     (n_symbols + length(regexp_replace(b, '[^!]', '', 'g')))::DOUBLE / greatest(word_chars, 1) AS junk_share,
     length(regexp_replace(b, '[^A-Z]', '', 'g'))::DOUBLE / greatest(strlen(regexp_replace(b, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')), 1) AS upper_share,
     n_dup_lines::DOUBLE / greatest(len(ls), 1) AS dup_line_share, n_repeat_words::DOUBLE / greatest(n_words, 1) AS repeat_share FROM c),
-good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = 1),
+known AS (SELECT doc_id, min(quality) = 1 AS good FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY doc_id),
 sev AS (SELECT *, ceil(least(greatest(junk_share / 0.2e0, upper_share, dup_line_share, repeat_share), 1) * 200)::INT AS step FROM m),
-steps AS (SELECT lang, step FROM sev JOIN good USING (doc_id) WHERE NOT base_failed),
+steps AS (SELECT lang, step FROM sev JOIN known USING (doc_id) WHERE NOT base_failed AND good),
+bad AS (SELECT lang, step FROM sev JOIN known USING (doc_id) WHERE NOT base_failed AND NOT good),
 total AS (SELECT lang, count(*) AS n FROM steps GROUP BY ALL),
 tested AS (SELECT max(r) AS m FROM (SELECT n, row_number() OVER (ORDER BY n DESC) AS r FROM total) WHERE pow(0.97e0, n) <= 0.05e0 / r),
 above AS (SELECT t.lang, s, t.n, (SELECT count(*) FROM steps x WHERE x.lang IS NOT DISTINCT FROM t.lang AND x.step > s) AS k FROM total t, range(0, 201) r(s)),
 tail AS (SELECT lang, s, sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.03e0) + (n - i) * ln(0.97e0))) AS p
   FROM (SELECT *, unnest(range(0, k + 1)) AS i FROM above WHERE k < n) GROUP BY ALL),
-cut AS (SELECT lang, min(s) AS c FROM tail WHERE p <= 0.05e0 / (SELECT m FROM tested) GROUP BY ALL)
+low AS (SELECT lang, min(s) AS c FROM tail WHERE p <= 0.05e0 / (SELECT m FROM tested) GROUP BY ALL),
+cut AS (SELECT lang, coalesce((SELECT min(step) FROM bad WHERE bad.lang IS NOT DISTINCT FROM low.lang AND step > low.c) - 1, 200) AS c FROM low)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(step <= c, true) AS kept,
   junk_share, upper_share, dup_line_share, repeat_share FROM sev LEFT JOIN cut ON sev.lang IS NOT DISTINCT FROM cut.lang
 """

@@ -358,7 +358,10 @@ def brute_quality(docs, labels):
         if r.doc_id in good and not base[r.doc_id]:
             by[r.lang].append(step[r.doc_id])
     m = quality.tested_strata([len(x) for x in by.values()], 0.03, 0.05)
-    cut = {lang: quality.lowest_cutoff(Counter(x), len(x), 0.03, 0.05 / max(m, 1)) if m else None for lang, x in by.items()}
+    low = {lang: quality.lowest_cutoff(Counter(x), len(x), 0.03, 0.05 / max(m, 1)) if m else None for lang, x in by.items()}
+    known = {r.doc_id for r in labels if r.quality is not None} - good
+    bad = lambda lang: [step[r.doc_id] for r in docs if r.lang == lang and r.doc_id in known and not base[r.doc_id] and step[r.doc_id] > low[lang]]
+    cut = {lang: None if c is None else min(bad(lang), default=201) - 1 for lang, c in low.items()}
     return {r.doc_id for r in docs if not base[r.doc_id] and (cut.get(r.lang) is None or step[r.doc_id] <= cut[r.lang])}
 
 

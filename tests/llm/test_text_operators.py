@@ -73,13 +73,14 @@ def test_each_stratum_gets_its_cutoff(spark):
     words = " ".join(f"w{i}" for i in range(60))
     rows = [(s * 100 + i, f"l{s}", words) for s in range(3) for i in range(400 if s < 2 else 20)] + [(9000 + s, f"l{s}", "#" * 200 + words) for s in range(3)]
     docs = spark.createDataFrame([(n, lang, text) for n, (_, lang, text) in enumerate(rows)], "doc_id long, lang string, text string")
-    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    labels = docs.select("doc_id", F.when(F.col("text").startswith("#"), 0).otherwise(1).alias("quality"))
     cuts = {r.stratum: r.cutoff for r in quality.cutoffs(quality.measured(docs), labels).collect()}
-    assert set(cuts) == {"l0", "l1"}
-    m = quality.tested_strata([401, 401], quality.ALPHA, quality.DELTA)
-    assert m == 2 and cuts["l0"] == quality.lowest_cutoff({0: 400, 200: 1}, 401, quality.ALPHA, quality.DELTA / m)
+    # just below the bad document, though cutoffs down to 0 are shown to hold
+    assert cuts == {"l0": 199, "l1": 199} and quality.tested_strata([400, 400], quality.ALPHA, quality.DELTA) == 2
+    assert quality.lowest_cutoff({0: 400}, 400, quality.ALPHA, quality.DELTA / 2) == 0
     out = quality.judge(docs, labels).where("lang <> 'l2'").collect()
     assert all(r["kept"] == (not r.text.startswith("#")) for r in out)
+    assert {r.cutoff for r in quality.cutoffs(quality.measured(docs), labels.withColumn("quality", F.lit(1))).collect()} == {quality.STEPS}
 
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
