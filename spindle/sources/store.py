@@ -30,13 +30,18 @@ _made: dict[tuple, str] = {}
 
 
 def made_once(spark: SparkSession, source: str, name: str, make: Callable[[str], None]) -> str:
-    """The folder of tables that make(folder) wrote from the files at source: made again in another application, or when the files' sizes or times
-    have changed."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(source)
-    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    """The folder of tables that make(folder) wrote from the files at source: made again in another application or shared folder, when the files' sizes or times
+    have changed, or when the folder is gone."""
+
+    def place(name: str) -> tuple:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    path, files = place(source)
     state = (files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime())
-    key = (spark.sparkContext.applicationId, source, name, *state)
-    if key not in _made:
+    key = (spark.sparkContext.applicationId, shared_dir(spark), source, name, *state)
+    found, held = place(_made[key]) if key in _made else (None, None)
+    if found is None or not held.exists(found):
         out = f"{shared_dir(spark)}/spindle-{uuid.uuid4().hex}/{name}"
         make(out)
         _made[key] = out
