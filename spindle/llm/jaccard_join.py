@@ -369,18 +369,36 @@ def shared_signatures(texts: DataFrame, n: int, names: Names, percent: int, shap
 
 
 def own_elements(texts: DataFrame, n: int, names: Names, total: int) -> DataFrame:
-    """(class, own): how many elements of each class of the texts no other of them has; classes without any are left out."""
+    """(class, own): how many elements of each class of the texts no other of them has; classes without any are left out. Counts by part of the
+    elements travel packed by part of the classes, and are summed there."""
+    parts = _parts(total)
 
     def finish(part: int, low: np.ndarray, own: np.ndarray, marks: np.ndarray) -> Iterator[pa.RecordBatch]:
         alone = np.concatenate([[True], low[1:] != low[:-1]]) & np.concatenate([low[1:] != low[:-1], [True]]) if len(low) else np.zeros(0, bool)
-        names, counts = np.unique(own[alone & ~np.isin(low, marks)], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(counts, pa.int64())], ["class", "own"])
+        classes, counts = np.unique(own[alone & ~np.isin(low, marks)], return_counts=True)
+        to = ((((classes.view(_U) ^ _U(1 << 63)) >> _U(32)) * _U(parts)) >> _U(32)).astype(np.int32)  # ascending, as classes are
+        begin, end = np.searchsorted(to, np.arange(parts)), np.searchsorted(to, np.arange(parts), "right")
+        some = np.flatnonzero(end > begin).tolist()
+        yield pa.RecordBatch.from_arrays([
+            pa.array(some, pa.int32()),
+            pa.array([classes[begin[p] : end[p]].tobytes() for p in some], pa.binary()),
+            pa.array([counts[begin[p] : end[p]].astype(np.uint32).tobytes() for p in some], pa.binary()),
+        ], ["part", "classes", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _by_part(batches, lambda classes, values: [], finish)
 
-    counted = _packed(texts, n, names, lambda g: g, _parts(total), 1, False).mapInArrow(run, "class long, own long")
-    return counted.groupBy("class").agg(F.sum("own").alias("own"))
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (r for batch in batches for r in batch.to_pylist())
+        for _, own in itertools.groupby(rows, lambda r: r["part"]):
+            held = [(np.frombuffer(r["classes"], np.int64), np.frombuffer(r["counts"], np.uint32)) for r in own]
+            classes, at = np.unique(np.concatenate([c for c, _ in held]), return_inverse=True)
+            sums = np.bincount(at, weights=np.concatenate([k for _, k in held])).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(sums, pa.int64())], ["class", "own"])
+
+    counted = _packed(texts, n, names, lambda g: g, parts, 1, False).mapInArrow(run, "part int, classes binary, counts binary")
+    dealt = counted.repartition(max(parts // PARTS_A_TASK, shuffle_partitions(texts.sparkSession)), "part").sortWithinPartitions("part")
+    return dealt.mapInArrow(summed, "class long, own long")
 
 
 def _near(pairs: DataFrame, profiles: DataFrame, percent: int) -> DataFrame:

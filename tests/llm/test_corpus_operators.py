@@ -253,6 +253,16 @@ def test_jaccard_tells_sets_of_one_name_apart(spark):
     assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) == 60
 
 
+def test_own_elements_match_brute_force(spark):
+    rng = random.Random(19)
+    texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(rng.randint(1, 60))) for _ in range(80)] + ["all of one kind here"] * 3
+    grams = {J.Names().of(g): set(g.tolist()) for g in J.Shingler(2)(texts)}
+    want = {c: sum(all(e not in o for d, o in grams.items() if d != c) for e in own) for c, own in grams.items()}
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    got = {r["class"]: r.own for r in J.own_elements(docs, 2, J.Names(), 3000).collect()}
+    assert got == {c: k for c, k in want.items() if k}
+
+
 def test_jaccard_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d e"), (4, "a b c d e"), (4, "a b c d e"), (4, "other words are here now"), (None, None)], "doc_id long, text string")
     got = sorted(((r.doc_id, r.component_id, r.n_shingles) for r in J.with_components(docs, 4, 85).collect()), key=str)
