@@ -30,9 +30,10 @@ WRITING = {
 
 
 @contextlib.contextmanager
-def shuffles_freed(spark: SparkSession) -> Iterator[None]:
-    before = {name: spark.conf.get(name, None) for name in WRITING}
-    for name, value in WRITING.items():
+def held(spark: SparkSession, conf: dict[str, str]) -> Iterator[None]:
+    """Settings of the session for what runs inside."""
+    before = {name: spark.conf.get(name, None) for name in conf}
+    for name, value in conf.items():
         spark.conf.set(name, value)
     try:
         yield
@@ -41,6 +42,10 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
             spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
+def shuffles_freed(spark: SparkSession) -> contextlib.AbstractContextManager:
+    return held(spark, WRITING)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: later stages read it instead of computing it again,
     and a lost executor costs only the tasks that it ran."""
@@ -84,3 +89,15 @@ def utf8_length(text: Column) -> Column:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: CTEs for DuckDB, which has no crc32: crcs (s, crc) of the texts s (ASCII) that `of` selects.
+CRC32_SQL = """
+crc_table AS (
+  SELECT list(v ORDER BY i) AS tab FROM (
+    SELECT i, list_reduce(list_prepend(i::UBIGINT, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v
+    FROM range(256) r(i))),
+crcs AS (
+  SELECT s, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(s) + 1), lambda k: ascii(s[k])::UBIGINT)),
+    lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255::UBIGINT)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS crc
+  FROM ({of}), crc_table)"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, mixing, pii, quality, sentencepiece_bpe, sharding, suffix_dedup, url_filter, warc
+from . import decontaminate, jaccard_join, language_id, merkle, mixing, pii, quality, sentencepiece_bpe, sharding, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_sharding": sharding.op10_sharding,
+        "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op12_sentencepiece": sentencepiece_bpe.op12_sentencepiece,
     }
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op6_warc_archive": warc.SQL,
         "op8_suffix_dedup": suffix_dedup.SQL,
         "op9_jaccard_join": jaccard_join.SQL,
+        "op11_merkle_manifest": merkle.SQL,
     }
