@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, merkle, mixing, pii, quality, sentencepiece_bpe, sharding, suffix_dedup, url_filter, warc
+from . import decontaminate, jaccard_join, language_id, merkle, mixing, pii, prefix_trie, quality, sentencepiece_bpe, sharding, suffix_dedup, url_filter, warc
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_sharding": sharding.op10_sharding,
         "op11_merkle_manifest": merkle.op11_merkle_manifest,
         "op12_sentencepiece": sentencepiece_bpe.op12_sentencepiece,
+        "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     }
 
 
@@ -31,4 +32,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_suffix_dedup": suffix_dedup.SQL,
         "op9_jaccard_join": jaccard_join.SQL,
         "op11_merkle_manifest": merkle.SQL,
+        "op13_prefix_trie": prefix_trie.SQL,
     }
