@@ -119,7 +119,7 @@ def burst(rows: DataFrame, limit: int) -> tuple[DataFrame, list[DataFrame]]:
             settled.append(opened)
             break
         salted = opened.withColumn("salt", F.pmod(F.xxhash64("lo"), F.lit(SALTS)))
-        sides = large.select("head", "bottom", F.col("lo").alias("head_lo"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long").alias("salt"))
+        sides = large.select("head", "bottom", F.col("lo").alias("head_lo"), F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")).alias("salt"))
         met = written(salted.join(sides, ["head", "salt"], "left").drop("salt"), "burst")
         ended = met.where("size(ids) = bottom").select("head", "ends")
         heads.append(written(large.join(ended, "head", "left"), "heads"))

@@ -2,13 +2,12 @@ r"""Encoding and decoding with a SentencePiece model of the merge type.
 
 Encoding is exact and doesn't keep a queue of merges. A merge model has one encoding of each text, and a row of pieces is that encoding if and only if each two
 neighbours are compatible: merging the text of both gives back the two. So a text is covered from the left with the longest piece that starts at a
-position (an Aho-Corasick automaton gives them all in one pass); the piece must be compatible with the one before, which is found by merging the two again, once for each pair;
+position (an Aho-Corasick automaton gives the longest, a table the next shorter one that starts alike); the piece must be compatible with the one before, which is found by merging the two again, once for each pair;
 where no piece fits, the position goes into a bitfield of failed positions, the piece before is taken back and a shorter one is tried there.
 Pieces that merging never makes are left out of the automaton.
 
 No piece reaches across some places (from any character to a word's leading space, around characters that no piece has, and between neighbours that no piece has
-side by side), so a text is cut there first and the encodings of units are kept in a task, at most UNITS of them. Units can be of any length; matches are found BLOCK positions at a time.
-A character that no piece has becomes its bytes.
+side by side), so a text is cut there first and the encodings of units are kept in a task, at most UNITS of them. Units can be of any length. A character that no piece has becomes its bytes.
 
 Decoding joins the pieces, turns their space signs into spaces and takes the one of the first piece away; each byte piece that isn't part of UTF-8 becomes U+FFFD.
 
@@ -32,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import fresh, require, table
 
 SPACE = "▁"
-#: UNITS: encodings kept in a task, of units of at most UNIT_CHARS characters. PAIRS: pairs of pieces whose compatibility is kept. BLOCK: see above.
-UNITS, UNIT_CHARS, PAIRS, BLOCK = 1_000_000, 200, 1_000_000, 4096
+#: UNITS: encodings kept in a task, of units of at most UNIT_CHARS characters. PAIRS: pairs of pieces whose compatibility is kept.
+UNITS, UNIT_CHARS, PAIRS = 800_000, 200, 1_000_000
 #: Kinds of pieces and fields of the model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -68,8 +67,6 @@ class Model:
     """The pieces of a model file, by id and by text, and what encoding needs of them."""
 
     def __init__(self, data: bytes):
-        import ahocorasick
-
         parts = list(_fields(data))
         trainer, normal = (dict(_fields(next((v for f, v in parts if f == n), b""))) for n in (2, 3))
         pieces = [dict(_fields(v)) for f, v in parts if f == 1]
@@ -86,21 +83,32 @@ class Model:
         self.shown = [unknown if k == UNKNOWN else b"" if k == CONTROL else bytes([int(t[3:5], 16)]) if k == BYTE else t.replace(SPACE, " ").encode() for t, k in zip(texts, kinds, strict=True)]
         self.leads = {i for t, i in self.ids.items() if t.startswith(SPACE)}
         self.silent = {i for i, k in enumerate(kinds) if k == CONTROL}
+        self.known: dict[str, bytes] = {}  # and those kept before it was last full
+        self.older: dict[str, bytes] = {}
+        self.fitting: dict[tuple[str, str], bool] = {}
+
+    def for_encoding(self) -> Model:
+        """Makes the automaton and what goes with it, once."""
+        if hasattr(self, "automaton"):
+            return self
+        import ahocorasick
+
         letters = {c for t in self.ids for c in t}
         self.side_by_side = {t[i : i + 2] for t in self.ids for i in range(len(t) - 1)}
         self.longest = max(map(len, self.ids))
         self.automaton = ahocorasick.Automaton()
-        for t in letters | {t for t in self.ids if len(self.merged(t)) == 1}:
-            self.automaton.add_word(t, (len(t), t))
+        made = letters | {t for t in self.ids if len(self.merged(t)) == 1}
+        for t in made:
+            self.automaton.add_word(t, t)
         self.automaton.make_automaton()
+        # the next shorter piece that starts alike
+        self.shorter = {t: next((t[:n] for n in range(len(t) - 1, 0, -1) if t[:n] in made), None) for t in made}
         known = "[" + "".join(map(re.escape, sorted(letters - {SPACE}))) + "]+"
         # without a piece that has a space sign after another character, no merge crosses the place before a space sign
         inner = any(SPACE in t.lstrip(SPACE) for t in self.ids)
         spaced = f"(?:{SPACE}|{known})+" if inner else f"{SPACE}*{known}|{SPACE}+"
         self.units = re.compile(f"{spaced}|[^{known[1:-2]}{SPACE}]+")
-        self.known: dict[str, bytes] = {}  # and those kept before it was last full
-        self.older: dict[str, bytes] = {}
-        self.fitting: dict[tuple[str, str], bool] = {}
+        return self
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short text by its merges: again and again the best-scored pair, of equals the first."""
@@ -120,42 +128,36 @@ class Model:
             found = self.fitting[left, right] = self.merged(left + right) == [left, right]
         return found
 
-    def matches(self, text: str, begin: int) -> list[list[tuple[int, str]]]:
-        """For each of BLOCK positions from begin: (size, piece) of those that start there, shortest first."""
-        count = min(BLOCK, len(text) - begin)
-        out: list[list] = [[] for _ in range(count)]
-        for last, found in self.automaton.iter(text, begin, min(len(text), begin + BLOCK + self.longest)):
-            at = last + 1 - found[0] - begin
-            if at < count:
-                out[at].append(found)
-        return out
-
     def pieces_of(self, text: str) -> list[str]:
         """The encoding of a text whose characters all stand in pieces."""
         out: list[str] = []
         failed = bytearray(len(text) // 8 + 1)
-        blocks = {0: self.matches(text, 0)}
-        at, below, size = 0, self.longest + 1, len(text)
-        while at < size:
-            block = at // BLOCK
-            if block not in blocks:
-                for other in [b for b in blocks if abs(b - block) > 1]:
-                    del blocks[other]
-                blocks[block] = self.matches(text, block * BLOCK)
-            left = out[-1] if out else None
-            for length, piece in reversed(blocks[block][at - block * BLOCK]):
-                end = at + length
-                if length < below and not failed[end >> 3] >> (end & 7) & 1 and (left is None or self.fits(left, piece)):
-                    out.append(piece)
-                    at, below = end, self.longest + 1
-                    break
+        longest_first, shorter, fitting, reach, size = self.automaton.iter_long, self.shorter, self.fitting, self.longest, len(text)
+        at, left = 0, None
+        piece = next(longest_first(text[:reach]))[1]
+        while True:
+            while piece is not None:
+                end = at + len(piece)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if left is None:
+                        break
+                    fits = fitting.get((left, piece))
+                    if self.fits(left, piece) if fits is None else fits:
+                        break
+                piece = shorter[piece]
             else:
                 if left is None:
                     raise ArithmeticError("a text has no encoding")
                 failed[at >> 3] |= 1 << (at & 7)
-                below = len(out.pop())
-                at -= below
-        return out
+                piece = shorter[out.pop()]
+                at -= len(left)
+                left = out[-1] if out else None
+                continue
+            out.append(piece)
+            if end == size:
+                return out
+            at, left = end, piece
+            piece = next(longest_first(text[at : at + reach]))[1]
 
     def kept(self, unit: str, ids: bytes) -> bytes:
         if len(unit) <= UNIT_CHARS:
@@ -233,7 +235,7 @@ def encoded(docs: DataFrame, model: bytes, text: str = "text", ids: str = "token
     require(docs, text)
 
     def made():
-        m = _model(model)
+        m = _model(model).for_encoding()
 
         def of(texts):
             each = [m.encode(t.as_py(), end) for t in texts]
@@ -251,7 +253,12 @@ def decoded(tokens: DataFrame, model: bytes, ids: str = "token_ids", text: str =
 
     def made():
         m = _model(model)
-        return lambda column: pa.array([None if x is None else m.decode(x) for x in column.to_pylist()], pa.string())
+
+        def of(column):
+            ids, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            return pa.array([m.decode(ids[a:b].tolist()) if valid else None for a, b, valid in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)], pa.string())
+
+        return of
 
     return _added(_named(tokens, text), ids, text, "string", pa.string(), made)
 
