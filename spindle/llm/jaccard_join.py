@@ -17,7 +17,8 @@ Four steps keep groups from being squared, and lose no link:
    flipped in which most members differ from r. With D(x) = x ^ M, n(x) = |x| and c = (1 - J) / (1 + J), x and y are linked if and only if
    2 |D(x) & D(y)| >= w(x) + w(y), where w(x) = |D(x)| - c n(x). If that sum is 0 or less, then both are linked with the
    member of the least w, so links with it are all that is needed. Else x and y share elements of D, which few members have by
-   the choice of M, and are found by a join on the rarest of them; how many of them is given by the overlap that a link needs.
+   the choice of M, and are found by a join on the rarest of them; how many of them is given by the overlap that a link needs. The join compares sketches of D
+   too: pairs in which D(x) and D(y) differ too much for a link are not made. What is left of order m^2 is that comparison, among members that share one rare element.
 
 Signatures and elements travel packed: a task sends, for each part of the hash domain, the low halves of its hashes by
 class in one row. What a task holds more than SMALL times goes on without being gathered again, so no part grows with a group.
@@ -46,8 +47,8 @@ from .components import components, contracted
 #: Cells a partition and cells left out: first and second enumeration.
 COARSE, FINE = (2, 1), (5, 2)
 BAND_RATIO, SMALL = 2.0, 16
-#: Bytes that are hashed together; least number of longs of the parity words that rule pairs out.
-BLOCK, PARITY = 1 << 18, 16
+#: Bytes that are hashed together; least number of longs of the parity words that rule pairs out; longs of the sketches that a join compares.
+BLOCK, PARITY, SKETCH = 1 << 18, 16, 16
 #: Values that a task packs at a time (more where there are very many parts), and classes that it remembers; values of one part of the domain;
 #: least number of parts; parts that one task merges, one after the other; values of a direct row.
 FLUSH, MET, PART_VALUES, MIN_PARTS, PARTS_A_TASK, CHUNK = 1 << 18, 50_000, 1 << 20, 16, 4, 1 << 16
@@ -469,7 +470,7 @@ def _differences(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _centred(seen: DataFrame, percent: int) -> DataFrame:
-    """(r, x, n, d, w): d = x ^ M with the centre M, which is r with the elements flipped in which more than half of its members differ from it
+    """(r, x, n, d, w, sketch of d): d = x ^ M with the centre M, which is r with the elements flipped in which more than half of its members differ from it
     (fewer than twice the mean size of d), and w times 100 + percent."""
     members = seen.groupBy("r").agg(F.count(F.lit(1)).alias("members"))
     often = seen.select("r", F.explode("d").alias("e")).groupBy("r", "e").agg(F.count(F.lit(1)).alias("k"))
@@ -478,7 +479,21 @@ def _centred(seen: DataFrame, percent: int) -> DataFrame:
     at = seen.join(flips, "r", "left").withColumn("flip", F.coalesce("flip", none))
     d = F.when(F.size("flip") == 0, F.col("d")).otherwise(F.concat(F.array_except("d", "flip"), F.array_except("flip", "d")))
     at = at.select("r", "x", "n", d.alias("d"))
-    return written(at.withColumn("w", F.size("d") * (100 + percent) - F.col("n") * (100 - percent)), "centred")
+    return written(_sketched(at.withColumn("w", F.size("d") * (100 + percent) - F.col("n") * (100 - percent))), "centred")
+
+
+def _sketched(centred: DataFrame) -> DataFrame:
+    """Adds s0, s1, ...: SKETCH longs of the parities of d, in which two differ in no more bits than their d in elements."""
+    names = [f"s{i}" for i in range(SKETCH)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = [np.asarray(x.values).view(_U) for x in batch.column(0)]
+            bits = np.array([np.packbits((np.bincount((_mixed(x) & _U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1).astype(np.uint8)).view(np.int64) for x in d]).reshape(-1, SKETCH)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(bits[:, i]) for i in range(SKETCH)]], [*batch.schema.names, *names])
+
+    kinds = ", ".join(f"{c} {t}" for c, t in centred.select("d", "r", "x", "n", "w").dtypes)
+    return centred.select("d", "r", "x", "n", "w").mapInArrow(run, kinds + "".join(f", {c} long" for c in names))
 
 
 def _centre_links(centred: DataFrame) -> DataFrame:
@@ -488,7 +503,9 @@ def _centre_links(centred: DataFrame) -> DataFrame:
 
 
 def _hidden_pairs(centred: DataFrame, joined: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one centre's members that may be linked and are not in one component (node, component) yet."""
+    """Pairs (a, b) of one centre's members that may be linked and are not in one component (node, component) yet. Members that share a rare element are
+    many where copies of a text are changed in few ways; the join itself compares their sketches, so that pairs whose D differ too much aren't made."""
+    sketch = [f"s{i}" for i in range(SKETCH)]
     at = centred.join(joined.withColumnRenamed("node", "x"), "x", "left").withColumn("in", F.coalesce("component", "x"))
     # where one component holds all members there is nothing left to find
     split = at.groupBy("r").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.min("w").alias("low")).where("lo <> hi").select("r", "low")
@@ -498,7 +515,7 @@ def _hidden_pairs(centred: DataFrame, joined: DataFrame, percent: int) -> DataFr
     far = F.col("w") + F.col("low") > 0
     needs = F.greatest(F.lit(1), F.when(far, F.ceil((F.col("w") + F.col("low")) / unit)).otherwise(F.floor((F.col("w") - F.col("low")) / unit) + 1))
     able = at.join(split, "r").withColumns({"needs": needs, "far": far}).where(F.size("d") >= F.col("needs"))
-    parts = able.select("r", "x", "in", "w", "needs", "far", F.explode("d").alias("e"))
+    parts = able.select("r", "x", "in", "n", "w", "needs", "far", *sketch, F.explode("d").alias("e"))
     often = parts.groupBy("r", "e").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.count(F.lit(1)).alias("df"))
     shared = parts.join(often.where("lo <> hi").select("r", "e", "df"), ["r", "e"])
     order = Window.partitionBy("r", "x").orderBy("df", "e")
@@ -506,10 +523,13 @@ def _hidden_pairs(centred: DataFrame, joined: DataFrame, percent: int) -> DataFr
     prefix = ranked.where(F.col("nth") <= F.col("left") - F.col("needs") + 1)
     # elements from this one on; at the first that two members share, no more than that can be shared
     rest = F.col("left") - F.col("nth") + 1
-    mine = prefix.select("r", "e", F.col("x").alias("a"), "in", "w", "far", rest.alias("rest"))
-    other = prefix.where("far").select("r", "e", F.col("x").alias("b"), F.col("in").alias("in_b"), F.col("w").alias("w_b"), rest.alias("rest_b"))
+    mine = prefix.select("r", "e", F.col("x").alias("a"), "in", "n", "w", "far", rest.alias("rest"), *sketch)
+    other = prefix.where("far").select("r", "e", F.col("x").alias("b"), F.col("in").alias("in_b"), F.col("n").alias("n_b"), F.col("w").alias("w_b"), rest.alias("rest_b"), *[F.col(c).alias(f"{c}_b") for c in sketch])
+    # of linked sets |x ^ y| = |D(x) ^ D(y)| <= c (n(x) + n(y))
+    unlike = sum((F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b"))) for c in sketch), F.lit(0))
+    alike = unlike * (100 + percent) <= (100 - percent) * (F.col("n") + F.col("n_b"))
     near = unit * F.least("rest", "rest_b") >= F.col("w") + F.col("w_b")
-    found = mine.join(other, ["r", "e"]).where(near & F.expr("in <> in_b AND (NOT far OR a < b)"))
+    found = mine.join(other, ["r", "e"]).where(near & F.expr("in <> in_b AND (NOT far OR a < b)") & alike)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -517,7 +537,8 @@ def _texts(docs: DataFrame, named: DataFrame, wanted: DataFrame) -> DataFrame:
     """One text for each wanted class (and its columns), written."""
     picked = named.join(wanted.select("class"), "class", "left_semi").groupBy("class").agg(F.min(F.struct("tie", "key")).alias("x"))
     picked = picked.select("class", "x.tie", "x.key").join(wanted, "class")
-    return written(docs.join(picked, ["key", "tie"]).drop("key", "tie"), "texts")
+    # rows that repeat id and text are one
+    return written(docs.join(picked, ["key", "tie"]).dropDuplicates(["key", "tie"]).drop("key", "tie"), "texts")
 
 
 def _profiles(texts: DataFrame, n: int) -> DataFrame:
