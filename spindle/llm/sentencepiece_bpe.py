@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import fresh, require, table
 
 SPACE = "▁"
-#: UNITS: encodings kept in a task, of units of at most UNIT_CHARS characters. PAIRS: pairs of pieces whose compatibility is kept.
-UNITS, UNIT_CHARS, PAIRS = 800_000, 200, 1_000_000
+#: UNITS: encodings kept in a task, of units of at most UNIT_CHARS characters. PAIRS: pairs of pieces whose compatibility is kept. ROWS: texts at a time.
+UNITS, UNIT_CHARS, PAIRS, ROWS = 500_000, 200, 300_000, 1000
 #: Kinds of pieces and fields of the model file (fixed values of its format).
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
@@ -223,7 +223,7 @@ def _added(df: DataFrame, source: str, column: str, kind: str, arrow: pa.DataTyp
 
     def run(batches):
         made_of = made()
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             new = made_of(batch.column(at))
             yield pa.RecordBatch.from_arrays([*batch.columns, new.cast(arrow)], names=[*batch.schema.names, column])
 
@@ -255,7 +255,7 @@ def decoded(tokens: DataFrame, model: bytes, ids: str = "token_ids", text: str =
         m = _model(model)
 
         def of(column):
-            ids, ends = column.values.to_numpy(), column.offsets.to_numpy()
+            ids, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
             return pa.array([m.decode(ids[a:b].tolist()) if valid else None for a, b, valid in zip(ends, ends[1:], column.is_valid().to_pylist(), strict=False)], pa.string())
 
         return of
