@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
@@ -18,6 +18,12 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def once(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows with further columns, each computed once a row: without the generator the optimiser writes an expression wherever its column is used, in lambdas for
+    each element."""
+    return rows.select("*", F.inline(F.array(F.struct(*columns))))
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-cased words, single CJK characters, and pairs of neighbouring CJK characters."""
     low = F.lower(_col(text))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.functions.text import SENTENCE_END, is_heading, section_role, sentences, stripped
+from spindle.functions.text import SENTENCE_END, is_heading, once, section_role, sentences, stripped
 
 SHORT, LONG, FRAGMENT, OVERLAP = 200, 2000, 60, 200
 _last = lambda a: F.element_at(a, -1)
@@ -65,57 +65,57 @@ def overlapped(items: Column, size: int = OVERLAP) -> Column:
     return _fold(items, add)
 
 
-def paragraphs(text: Column) -> Column:
-    """array<struct<content, offset>>: blank-line paragraphs with byte offsets in the text with LF line ends."""
-    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n\n")
-    empty = F.array().cast("array<struct<content:string,offset:int>>")
-
-    def add(state, p):
-        lead = F.regexp_extract(p, r"(?U)^\s*", 0)
-        one = F.struct(stripped(p).alias("content"), (state["at"] + F.octet_length(lead)).cast("int").alias("offset"))
-        out = F.when(stripped(p) == "", state["out"]).otherwise(F.concat(state["out"], F.array(one)))
-        return F.struct(out.alias("out"), (state["at"] + F.octet_length(p) + 2).cast("int").alias("at"))
-
-    return F.aggregate(parts, F.struct(empty.alias("out"), F.lit(0).alias("at")), add, lambda s: s["out"])
+def paragraphs(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
+    """(key, nth, content, section, offset): blank-line paragraphs, the nearest heading line at or before their start (as of it; "" before the first), and byte
+    offsets in the text with LF line ends. Lines are exploded once and sorted once by document; offsets and headings are running values over that
+    order, so a document of many headings takes time in proportion to its lines."""
+    lines = docs.select(*key, F.posexplode(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")).alias("i", "line"))
+    lines = once(lines, stripped(F.col("line")).alias("bare"))
+    so_far = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    placed = lines.withColumns({
+        "gap": F.count_if(F.col("line") == "").over(so_far),
+        "start": F.sum(F.octet_length("line") + 1).over(so_far) - F.octet_length("line") - 1,
+        "section": F.last(F.when(is_heading(F.col("bare")), F.col("bare")), ignorenulls=True).over(so_far),
+    }).where("line <> ''")
+    lead = F.octet_length(F.regexp_extract("line", r"(?U)^\s*", 0))
+    written = F.when(F.col("bare") != "", F.col("i"))
+    grouped = placed.groupBy(*key, "gap").agg(
+        F.array_sort(F.collect_list(F.struct("i", "line"))).alias("lines"),
+        F.min_by(F.struct((F.col("start") + lead).alias("offset"), F.coalesce("section", F.lit("")).alias("section")), written).alias("first"),
+    )
+    content = stripped(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    return grouped.where("first IS NOT NULL").select(*key, F.col("gap").alias("nth"), content.alias("content"), "first.section", "first.offset")
 
 
-def headings(text: Column) -> Column:
-    """array<struct<offset, heading>> of heading lines, byte offsets as in `paragraphs`."""
-    lines = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), "\n")
-    empty = F.array().cast("array<struct<offset:int,heading:string>>")
+def _joined(rows: DataFrame, key: list[str], order: list[str], limit: int) -> DataFrame:
+    """(key, nth, content, section, offset): contents shorter than limit are joined to the one before by a blank line; the first stays. A run's number is
+    the count of contents that begin one, so no row is folded."""
+    of = Window.partitionBy(*key).orderBy(*order)
+    begins = (F.row_number().over(of) == 1) | (F.char_length("content") >= limit)
+    runs = rows.withColumn("begins", begins).withColumn("run", F.count_if("begins").over(of.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.struct(*order)
+    parts = runs.groupBy(*key, "run").agg(F.array_sort(F.collect_list(F.struct(*order, "content"))).alias("parts"), F.min_by(F.struct("section", "offset"), at).alias("first"))
+    return parts.select(*key, F.col("run").alias("nth"), F.array_join(F.transform("parts", lambda x: x["content"]), "\n\n").alias("content"), "first.section", "first.offset")
 
-    def add(state, line):
-        one = F.struct(state["at"].alias("offset"), stripped(line).alias("heading"))
-        out = F.when(is_heading(stripped(line)), F.concat(state["out"], F.array(one))).otherwise(state["out"])
-        return F.struct(out.alias("out"), (state["at"] + F.octet_length(line) + 1).cast("int").alias("at"))
 
-    return F.aggregate(lines, F.struct(empty.alias("out"), F.lit(0).alias("at")), add, lambda s: s["out"])
+def numbered(no: Column) -> Column:
+    """A chunk's id: its number with three digits, more where it needs them."""
+    return F.when(no < 1000, F.lpad(no.cast("string"), 3, "0")).otherwise(no.cast("string"))
 
 
 def chunks(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """(key, chunk_no, chunk_id, content, section, section_role, offset). A document's array is folded within its row; nothing is shuffled."""
-    kind = "array<struct<content:string,section:string,offset:int>>"
-    row = lambda c, s, o: F.struct(c.alias("content"), s.alias("section"), o.alias("offset"))
-    join = lambda last, x: row(F.concat_ws("\n\n", last["content"], x["content"]), last["section"], last["offset"])
-    short = lambda items, limit: _runs(items, lambda last, x: F.char_length(x["content"]) < limit, join)
-
-    body = docs.select(*key, stripped(F.col(text)).alias("body")).where("body <> ''")
-    paras = body.select(*key, paragraphs(F.col("body")).alias("p"), headings(F.col("body")).alias("h"))
-    at = lambda p: F.coalesce(F.try_element_at(F.filter("h", lambda h: h["offset"] <= p["offset"]), F.lit(-1))["heading"], F.lit(""))
-    placed = paras.select(*key, F.transform("p", lambda p: row(p["content"], F.lit(""), p["offset"])).cast(kind).alias("p"), "h")
-    merged = placed.select(*key, short(F.col("p"), SHORT).alias("p"), "h")
-    located = merged.select(*key, F.transform("p", lambda p: row(p["content"], at(p), p["offset"])).alias("p"))
-    split = F.flatten(F.transform("p", lambda p: F.transform(F.when(F.char_length(p["content"]) > LONG, packed(p["content"])).otherwise(F.array(p["content"])), lambda c: row(c, p["section"], p["offset"]))))
-    parts = located.select(*key, split.alias("p")).select(*key, short(F.col("p"), FRAGMENT).alias("p"))
-
-    def lap(out, x):
-        tail = _tail(_last(out)["content"], OVERLAP)
-        return F.concat(out, F.array(row(F.when(tail != "", F.concat(tail, F.lit("\n\n"), x["content"])).otherwise(x["content"]), x["section"], x["offset"])))
-
-    out = parts.select(*key, F.posexplode(_fold(F.col("p"), lap)).alias("chunk_no", "c"))
-    number = F.lpad(F.col("chunk_no").cast("string"), 3, "0")
-    chunk_id = F.when(F.col("chunk_no") < 1000, number).otherwise(F.col("chunk_no").cast("string"))
-    return out.select(*key, "chunk_no", chunk_id.alias("chunk_id"), "c.content", "c.section", section_role("c.section").alias("section_role"), "c.offset")
+    """(key, chunk_no, chunk_id, content, section, section_role, offset). Lines of a document are dealt by its key, once; all further steps (running
+    values, runs, groups) stay in that partitioning. Key columns are never null."""
+    body = once(docs.select(*key, text), stripped(F.col(text)).alias("_body")).where("_body <> ''").select(*key, F.col("_body").alias("text"))
+    merged = _joined(paragraphs(body, key), key, ["nth"], SHORT)
+    pieces = F.when(F.char_length("content") > LONG, packed(F.col("content"))).otherwise(F.array("content"))
+    split = merged.select(*key, "nth", "section", "offset", F.posexplode(pieces).alias("part", "content"))
+    parts = _joined(split, key, ["nth", "part"], FRAGMENT)
+    rows = parts.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("nth", "content", "section", "offset"))).alias("parts"))
+    # overlap: each content begins with the tail of the one before, which has its own; only texts are folded
+    rows = once(rows, overlapped(F.transform("parts", lambda x: x["content"])).alias("contents"))
+    out = rows.select(*key, F.posexplode(F.arrays_zip("parts", "contents")).alias("chunk_no", "c"))
+    return out.select(*key, "chunk_no", numbered(F.col("chunk_no")).alias("chunk_id"), F.col("c.contents").alias("content"), "c.parts.section", section_role("c.parts.section").alias("section_role"), "c.parts.offset")
 
 
 def sections(chunked: DataFrame, key: list[str]) -> DataFrame:
@@ -130,21 +130,40 @@ def sections(chunked: DataFrame, key: list[str]) -> DataFrame:
 
 
 def appended(chunked: DataFrame, new_docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
-    """Chunks with those of further text added behind: numbers go on from each document's last."""
+    """Chunks with those of further text added behind: numbers go on from each document's last. chunked: a stored table, which is read twice."""
     last = chunked.groupBy(*key).agg((F.max("chunk_no") + 1).alias("base"))
     more = chunks(new_docs, key, text).join(last, key, "left").withColumn("chunk_no", F.col("chunk_no") + F.coalesce("base", F.lit(0))).drop("base")
-    more = more.withColumn("chunk_id", F.when(F.col("chunk_no") < 1000, F.lpad(F.col("chunk_no").cast("string"), 3, "0")).otherwise(F.col("chunk_no").cast("string")))
-    return chunked.unionByName(more)
+    return chunked.unionByName(more.withColumn("chunk_id", numbered(F.col("chunk_no"))))
+
+
+def boundary_merged(old: DataFrame, new: DataFrame, key: list[str], width: int = 5, threshold: float = 0.75) -> DataFrame:
+    """(key, chunk_no, was, content, changed): what an append does to stored chunks. old, new: (key, chunk_no, content, vector), each numbered from 0. The last
+    `width` old and the first `width` new chunks of a document are joined where neighbours are alike (see `semantic_merge`); the rest of the new ones follow. Only rows from
+    the first changed number on come back, so the old rows from there are replaced: changed is the number from which on. A document without old chunks keeps its
+    new ones as they are; one without new chunks has no rows. was: the number of a row's first part, counted on from the old ones."""
+    ends = new.select(*key).distinct().join(old.groupBy(*key).agg((F.max("chunk_no") + 1).alias("size")), key, "left")
+    ends = ends.select(*key, F.greatest(F.coalesce("size", F.lit(0)) - width, F.lit(0)).alias("changed"), F.coalesce("size", F.lit(0)).alias("size"))
+    tail = old.join(ends, key).where("chunk_no >= changed").select(*key, "changed", "size", "chunk_no", "content", "vector")
+    head = new.join(ends, key).select(*key, "changed", "size", (F.col("chunk_no") + F.col("size")).alias("chunk_no"), "content", "vector")
+    inside = (F.col("size") > 0) & (F.col("chunk_no") < F.col("size") + width)
+    both = tail.unionByName(head)
+    merged = semantic_merge(both.where(inside), [*key, "changed", "size"], "chunk_no", "content", "vector", threshold)
+    counts = merged.groupBy(*key).agg(F.count(F.lit(1)).alias("merged"))
+    rest = head.where(~inside).join(counts, key, "left")
+    # of the bounded window, so many rows are left; what follows it moves up
+    moved = F.when(F.col("size") > 0, F.col("chunk_no") - (F.col("size") + width) + F.col("changed") + F.col("merged")).otherwise(F.col("chunk_no"))
+    out = merged.select(*key, (F.col("changed") + F.col("nth")).alias("chunk_no"), F.col("first").alias("was"), "content", "changed")
+    return out.unionByName(rest.select(*key, moved.alias("chunk_no"), F.col("chunk_no").alias("was"), "content", "changed"))
 
 
 def semantic_merge(rows: DataFrame, key: list[str], order: str, content: str = "content", vector: str = "vector", threshold: float = 0.75) -> DataFrame:
-    """(key, nth, content): neighbours are joined while their vector is closer than threshold to that of the chunk that began the run.
+    """(key, nth, first, content): neighbours are joined while their vector is closer than threshold to that of the chunk that began the run; first: its order.
     key: a document, whose chunks are folded in one row."""
     from spindle.functions.score import cosine
 
     item = F.struct(F.col(order).alias("o"), F.col(content).alias("content"), F.col(vector).alias("vector"))
-    lists = rows.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: F.struct(x["content"].alias("content"), x["vector"].alias("vector"))).alias("p"))
+    lists = rows.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("p"))
 
     near = lambda last, x: cosine(last["vector"], x["vector"]) > threshold
-    join = lambda last, x: F.struct(F.concat_ws("\n\n", last["content"], x["content"]).alias("content"), last["vector"].alias("vector"))
-    return lists.select(*key, F.posexplode(_runs(F.col("p"), near, join)).alias("nth", "c")).select(*key, "nth", "c.content")
+    join = lambda last, x: F.struct(last["o"].alias("o"), F.concat_ws("\n\n", last["content"], x["content"]).alias("content"), last["vector"].alias("vector"))
+    return lists.select(*key, F.posexplode(_runs(F.col("p"), near, join)).alias("nth", "c")).select(*key, "nth", F.col("c.o").alias("first"), "c.content")

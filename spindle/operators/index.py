@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spindle.functions.text import tokens
+from spindle.functions.text import once, tokens
 
 TOP_TERMS = 50
 
@@ -31,13 +31,25 @@ def document_frequency(counts: DataFrame, scope: list[str] = ()) -> DataFrame:
     return counts.groupBy(*scope, "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def counted(texts: DataFrame, key: list[str], text: str = "text", n: int = TOP_TERMS) -> DataFrame:
+    """(key, length, top): all tokens of a text, and its n most frequent terms (term, tf), ties by term. Tokens are sorted within the row and their runs counted,
+    so nothing is shuffled; texts without a token are left out."""
+    rows = once(texts.select(*key, text), F.array_sort(tokens(text)).alias("_t")).where(F.size("_t") > 0)
+    first = F.filter(F.sequence(F.lit(1), F.size("_t")), lambda i: (i == 1) | (F.element_at("_t", i) != F.element_at("_t", F.greatest(i - 1, F.lit(1)))))
+    rows = once(rows.drop(*{text} - {*key}), F.concat(first, F.array(F.size("_t") + 1)).alias("_at"))
+    runs = F.transform(
+        F.sequence(F.lit(1), F.size("_at") - 1),
+        lambda j: F.struct((F.element_at("_at", j) - F.element_at("_at", j + 1)).alias("less"), F.element_at("_t", F.element_at("_at", j)).alias("term")),
+    )
+    best = F.transform(F.slice(F.array_sort(runs), 1, n), lambda x: F.struct(x["term"].alias("term"), (-x["less"]).cast("long").alias("tf")))
+    return once(rows, best.alias("top")).select(*key, F.size("_t").cast("double").alias("length"), "top")
+
+
 def indexed(texts: DataFrame, key: list[str], text: str = "text", n: int = TOP_TERMS) -> DataFrame:
     """(key, term, tf, r, length): the n most frequent terms of each text by rank r, ties by term, with the text's length (all tokens, indexed
-    or not). Texts are dealt by key once; counting and ranking need no further shuffle."""
-    counts = term_counts(texts.select(*key, text).repartition(*key), key, text)
-    of = Window.partitionBy(*key)
-    ranked = counts.withColumns({"r": F.row_number().over(of.orderBy(F.desc("tf"), "term")), "length": F.sum("tf").over(of).cast("double")})
-    return ranked.where(F.col("r") <= n)
+    or not)."""
+    rows = counted(texts, key, text, n).select(*key, "length", F.posexplode("top").alias("r", "t"))
+    return rows.select(*key, "t.term", "t.tf", (F.col("r") + 1).alias("r"), "length")
 
 
 def index(texts: DataFrame, key: list[str], text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -48,17 +60,20 @@ def index(texts: DataFrame, key: list[str], text: str = "text") -> tuple[DataFra
 
 def write_postings(postings: DataFrame, path: str, partition: list[str] = ()) -> None:
     """Postings sorted by term in each file, so that row-group statistics prune a term lookup."""
+    by_term(postings, partition).write.mode("overwrite").partitionBy(*partition).parquet(path)
+
+
+def by_term(postings: DataFrame, partition: list[str] = ()) -> DataFrame:
     n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    out = postings.repartitionByRange(n, *partition, "term").sortWithinPartitions(*partition, "term")
-    out.write.mode("overwrite").partitionBy(*partition).parquet(path)
+    return postings.repartitionByRange(n, *partition, "term").sortWithinPartitions(*partition, "term")
 
 
 def write_index(texts: DataFrame, key: list[str], path: str, text: str = "text") -> None:
-    """Postings and entries of texts below path. Searches read them instead of the texts."""
-    indexed(texts, key, text).write.mode("overwrite").parquet(f"{path}/ranked")
-    rows = texts.sparkSession.read.parquet(f"{path}/ranked")
-    write_postings(rows.drop("r", "length"), f"{path}/postings")
-    rows.where("r = 1").select(*key, "length").write.mode("overwrite").parquet(f"{path}/entries")
+    """Postings and entries of texts below path. Searches read them instead of the texts. Only postings are shuffled."""
+    counted(texts, key, text).write.mode("overwrite").parquet(f"{path}/counted")
+    rows = texts.sparkSession.read.parquet(f"{path}/counted")
+    write_postings(rows.select(*key, F.inline("top")), f"{path}/postings")
+    rows.drop("top").write.mode("overwrite").parquet(f"{path}/entries")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -61,7 +61,8 @@ class SearchRequest:
 @dataclass(frozen=True)
 class Catalog:
     """postings (doc_id, chunk_no, term, tf), entries (doc_id, chunk_no, length, section, section_role), documents (doc_id, source_type, tags, added_at,
-    is_paper), chunks (doc_id, chunk_no, content), sections (doc_id, section, text) for coarse searches, vectors (doc_id, chunk_no, embedding)."""
+    is_paper), chunks (doc_id, chunk_no, content), sections (doc_id, section, text) for coarse searches, vectors (doc_id, chunk_no, embedding), section_index: postings
+    and entries of the sections, made for each search where they are not stored."""
 
     postings: DataFrame
     entries: DataFrame
@@ -69,6 +70,7 @@ class Catalog:
     chunks: DataFrame
     sections: DataFrame | None = None
     vectors: DataFrame | None = None
+    section_index: tuple[DataFrame, DataFrame] | None = None
 
 
 def search(catalog: Catalog, asked: SearchRequest, rewriter: models.Rewriter | None = None, embedder: models.Embedder | None = None, reranker: models.Reranker | None = None) -> DataFrame:
@@ -78,7 +80,7 @@ def search(catalog: Catalog, asked: SearchRequest, rewriter: models.Rewriter | N
     terms = se.query_table(spark, {1: models.merged_query(asked.query, rewriter)})
     entries = catalog.entries.join(catalog.documents, "doc_id").where(asked.filter.column())
     if asked.coarse and catalog.sections is not None:
-        entries = se.in_top_sections(entries, catalog.sections, terms, "doc_id", "section")
+        entries = se.in_top_sections(entries, catalog.sections, terms, "doc_id", "section", stored=catalog.section_index)
     boost = F.when(F.col("is_paper") & (F.col("section_role") == "abstract"), F.lit(se.BOOST)).otherwise(F.lit(1.0))
     hits = se.bm25(catalog.postings, entries, terms, KEY, boost=boost)
     vector = embedder.embed([asked.query])[0] if embedder is not None and catalog.vectors is not None else None

@@ -160,12 +160,13 @@ def search_all(postings: DataFrame, entries: DataFrame, queries: DataFrame, key:
     return top(once, limit, [*dedup, kb])
 
 
-def in_top_sections(entries: DataFrame, sections: DataFrame, queries: DataFrame, doc: str, section: str, keep: int = 3) -> DataFrame:
+def in_top_sections(entries: DataFrame, sections: DataFrame, queries: DataFrame, doc: str, section: str, keep: int = 3, stored: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query_id, entry columns): coarse to fine. entries pass if their section is empty or among the query's `keep` best.
-    sections: (doc, section, text)."""
+    sections: (doc, section, text); stored: their postings and entries, where there is an index. The sections that hit, a few a query, are joined to their entries; only
+    entries without a section meet every query."""
     from spindle.operators.index import index
 
-    postings, lens = index(sections, [doc, section])
-    best = top(bm25(postings, lens, queries, [doc, section]), keep, [doc, section]).select("query_id", doc, section).withColumn("hit", F.lit(True))
-    every = entries.crossJoin(F.broadcast(queries.select("query_id").distinct()))
-    return every.join(best, ["query_id", doc, section], "left").where(F.col("hit") | (F.col(section) == "")).drop("hit")
+    postings, lens = stored or index(sections, [doc, section])
+    best = top(bm25(postings, lens, queries, [doc, section]), keep, [doc, section]).where(F.col(section) != "").select("query_id", doc, section)
+    loose = entries.where(F.col(section) == "").crossJoin(F.broadcast(queries.select("query_id").distinct()))
+    return entries.join(best, [doc, section]).select("query_id", *entries.columns).unionByName(loose.select("query_id", *entries.columns))

@@ -14,6 +14,8 @@ from spindle.operators import catalog, chunk, evaluate, models, paper, present
 from spindle.operators import index as ix
 from spindle.operators import search as se
 from spindle.sources import store
+from spindle.sources.segments import Store
+from spindle.sources.store import made_once
 
 QUERY = "idiot worthless the"
 QUERIES = {1: "the and tion", 2: "idiot clown moron", 3: "licensed under the apache license"}
@@ -29,7 +31,7 @@ def _index(spark: SparkSession, d: str, name: str = "documents") -> tuple[DataFr
     """Postings and entries of a table, indexed once and read by every search."""
     key = KEY if name == "documents" else TURN
     make = lambda out: ix.write_index(spark.read.parquet(f"{d}/{name}.parquet").select(*key, "text"), key, out)
-    return ix.read_index(spark, store.made_once(spark, f"{d}/{name}.parquet", f"index_{name}", make))
+    return ix.read_index(spark, made_once(spark, f"{d}/{name}.parquet", f"index_{name}", make))
 
 
 def _docs(spark: SparkSession, d: str, *columns: str) -> DataFrame:
@@ -337,13 +339,54 @@ def remove_document(spark, d):
     return ix.document_frequency(ix.without_documents(postings, gone, KEY))
 
 
+def _store(spark, d, changed=True):
+    """A store of all documents, of which every hundredth is replaced and every hundredth removed if changed: three commits."""
+    docs = lambda: _docs(spark, d, "lang")
+
+    def make(out):
+        store = Store(spark, out)
+        store.ingest(docs())
+        if changed:
+            store.ingest(docs().where("doc_id % 100 = 1").withColumn("text", F.concat("text", F.lit(" idiot clown the "), "lang")))
+            store.remove(docs().where("doc_id % 100 = 2"))
+
+    return Store(spark, made_once(spark, f"{d}/documents.parquet", f"store_{changed}", make))
+
+
+def store_search(spark, d):
+    at = _store(spark, d).catalog()
+    hits = se.top(se.bm25(at.postings, at.entries, se.query_table(spark, QUERIES), ["doc_id", "chunk_no"]), 10, ["doc_id", "chunk_no"])
+    return _long(hits.select("query_id", "doc_id", "chunk_no", F.round("score", 6).alias("score"), "rank"), "rank", "chunk_no")
+
+
+def store_documents(spark, d):
+    return _long(_store(spark, d).table("documents").select("doc_id", "total_chars", "chunk_count"), "total_chars", "chunk_count")
+
+
+def store_digests(spark, d):
+    return _store(spark, d, False).digests().where("table_name IN ('chunks', 'postings')").drop("segment")
+
+
+def sectioned_chunks(spark, d):
+    made = _docs(spark, d, "lang").where("text IS NOT NULL").select("doc_id", F.expr(_HEADED).alias("text"))
+    return _long(chunk.chunks(made, KEY).drop("chunk_id"), "chunk_no", "offset")
+
+
 def append_document(spark, d):
-    base = chunk.chunks(_docs(spark, d), KEY)
+    base = _store(spark, d, False).table("chunks")
     more = _turn_lists(spark, d).select("doc_id", F.array_join("p", "\n\n").alias("text"))
     out = chunk.appended(base, more, KEY)
     return out.groupBy("doc_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("content")).alias("chars"), F.max("chunk_no").cast("long").alias("last_no"))
 
 
+def append_boundary(spark, d):
+    rows = _t(spark, d, "embeddings").select(
+        F.expr("vec_id div 16").alias("doc"), F.expr("cast(vec_id % 16 AS int)").alias("i"), F.col("vec_id").cast("string").alias("content"), F.col("embedding").cast("array<double>").alias("vector"))
+    old = rows.where("i < 10").withColumnRenamed("i", "chunk_no")
+    new = rows.where("i >= 10").withColumn("chunk_no", F.col("i") - 10).drop("i")
+    return _long(chunk.boundary_merged(old, new, ["doc"]).select("doc", "chunk_no", "content"), "chunk_no")
+
+
 def eval_metrics(spark, d):
     good = _t(spark, d, "labels").where("quality = 1").select("doc_id")
     return evaluate.metrics_of_ranked(bm25_batch_queries(spark, d), good)
@@ -432,11 +475,43 @@ _HTML = r"""trim(regexp_replace(replace(replace(replace(replace(replace(regexp_r
 _WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({x}), '\s+'), lambda w: w <> ''))"
 _VERBS = ", ".join(f"'{v}'" for v in S.VERBS)
 _JAC = "len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
-_CHUNKED = f"""
-ps AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM documents),
-sp AS (SELECT doc_id, CASE WHEN length(b) <= 2000 OR len({_SENTS.format(x='b')}) <= 1 THEN [b] ELSE {_PACK.replace('(s,', '(' + _TRIMMED.format(x='b') + ',')} END AS s FROM ps WHERE b <> ''),
-fr AS (SELECT doc_id, {_reduce('s', _SHORT.format(n=60))} AS s FROM sp),
-ov AS (SELECT doc_id, {_reduce('s', _LAP)} AS s FROM fr)"""
+def _chunked(source, p=""):
+    """CTEs of chunks of texts without headings: {p}ov (doc_id, s)."""
+    return f"""
+{p}ps AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS b FROM {source}),
+{p}sp AS (SELECT doc_id, CASE WHEN length(b) <= 2000 OR len({_SENTS.format(x='b')}) <= 1 THEN [b] ELSE {_PACK.replace('(s,', '(' + _TRIMMED.format(x='b') + ',')} END AS s FROM {p}ps WHERE b <> ''),
+{p}fr AS (SELECT doc_id, {_reduce('s', _SHORT.format(n=60))} AS s FROM {p}sp),
+{p}ov AS (SELECT doc_id, {_reduce('s', _LAP)} AS s FROM {p}fr)"""
+
+
+_CHUNK_ROWS = "SELECT doc_id, i - 1 AS chunk_no, lpad((i - 1)::VARCHAR, 3, '0') AS chunk_id, s[i] AS content FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM {0}ov)"
+_CHANGED_DOCS = "(SELECT doc_id, CASE WHEN doc_id % 100 = 1 THEN text || ' idiot clown the ' || lang ELSE text END AS text FROM documents WHERE doc_id % 100 <> 2)"
+#: A text with headings, CRLF, blank lines, blanks at line starts and CJK, from each document.
+_HEADED = ("chr(32) || '## 1. Introduction' || chr(13) || chr(10) || left(text, 700) || chr(13) || chr(10) || chr(13) || chr(10) || chr(10) || '# 方法 ' || coalesce(lang, '') || chr(10) || chr(10) || chr(32) || chr(9) || "
+           "substr(text, 701, 2600) || chr(10) || '### Results' || chr(10) || '结果很好。more' || chr(10) || chr(10) || substr(text, 3301, 500) || chr(10) || chr(10) || chr(10) || chr(10) || 'short' || chr(13) || chr(10) || chr(13) || chr(10) || "
+           "'####### none' || chr(10) || chr(10) || '## References' || chr(13) || chr(10) || chr(13) || chr(10) || right(text, 400)")
+_ITEM_SHORT = "CASE WHEN length(x[1].c) < {n} THEN o[:-2] || [{{'c': o[-1].c || chr(10) || chr(10) || x[1].c, 's': o[-1].s, 'o': o[-1].o}}] ELSE o || x END"
+def _sectioned(source):
+    """SQL of chunks (doc_id, chunk_no, content, section, section_role, offset) of any texts."""
+    return f"""WITH b AS (SELECT doc_id, replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), chr(13) || chr(10), chr(10)) AS b FROM {source} WHERE text IS NOT NULL),
+pp AS (SELECT doc_id, p[i] AS p, i, strlen(array_to_string(p[:i - 1], chr(10) || chr(10))) + CASE WHEN i > 1 THEN 2 ELSE 0 END AS pos FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM (SELECT doc_id, string_split(b, chr(10) || chr(10)) AS p FROM b))),
+pa AS (SELECT doc_id, i, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS c, pos + strlen(regexp_extract(p, '^\\s*')) AS o FROM pp WHERE regexp_replace(p, '^\\s+|\\s+$', '', 'g') <> ''),
+ll AS (SELECT doc_id, l[i] AS l, strlen(array_to_string(l[:i - 1], chr(10))) + CASE WHEN i > 1 THEN 1 ELSE 0 END AS o FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(b, chr(10)) AS l FROM b))),
+hd AS (SELECT doc_id, o, regexp_replace(l, '^\\s+|\\s+$', '', 'g') AS h FROM ll WHERE regexp_matches(regexp_replace(l, '^\\s+|\\s+$', '', 'g'), '^#{{1,6}} ')),
+se AS (SELECT pa.doc_id, pa.i, pa.c, pa.o, coalesce(arg_max(hd.h, hd.o), '') AS s FROM pa LEFT JOIN hd ON hd.doc_id = pa.doc_id AND hd.o <= pa.o GROUP BY ALL),
+m1 AS (SELECT doc_id, {_reduce("list({'c': c, 's': s, 'o': o} ORDER BY i)", _ITEM_SHORT.format(n=200))} AS p FROM se GROUP BY doc_id),
+un AS (SELECT doc_id, i, p[i].c AS c, p[i].s AS sec, p[i].o AS o FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM m1)),
+pk AS (SELECT doc_id, i, sec, o, CASE WHEN length(c) <= 2000 OR len({_SENTS.format(x='c')}) <= 1 THEN [c] ELSE {_PACK.replace('(s,', '(' + _TRIMMED.format(x='c') + ',')} END AS cs FROM un),
+un2 AS (SELECT doc_id, i, sec, o, cs[j] AS c, j FROM (SELECT *, unnest(range(1, len(cs) + 1)) AS j FROM pk)),
+m2 AS (SELECT doc_id, {_reduce("list({'c': c, 's': sec, 'o': o} ORDER BY i, j)", _ITEM_SHORT.format(n=60))} AS p FROM un2 GROUP BY doc_id),
+lap AS (SELECT doc_id, p, {_reduce('list_transform(p, lambda y: y.c)', _LAP)} AS t FROM m2),
+f AS (SELECT doc_id, i - 1 AS chunk_no, t[i] AS content, p[i].s AS section, p[i].o AS "offset" FROM (SELECT doc_id, p, t, unnest(range(1, len(p) + 1)) AS i FROM lap))
+SELECT doc_id, chunk_no, content, section, {_ROLES} AS section_role, "offset" FROM (SELECT *, regexp_replace(lower(trim(regexp_replace(trim(section), '^#+', ''))), '^[0-9ivxabc()][0-9ivxabc(]*[ .)]\\s*', '') AS h FROM f)"""
+
+
+def _digest_sql(name, columns, source):
+    text = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in sorted(columns))
+    return f"SELECT '{name}' AS table_name, count(*) AS rows, coalesce(sum(('0x' || left(sha256({text}), 15))::BIGINT), 0)::VARCHAR AS digest FROM {source}"
 
 
 def _batch():
@@ -499,9 +574,24 @@ SELECT conv_id, rank, of::VARCHAR AS duplicate_of FROM step WHERE rank IS NOT NU
         "merge_short": _nth(_reduce("s", _SHORT.format(n=200)), _LISTS),
         "merge_fragments": _nth(_reduce("s", _SHORT.format(n=60)), _LISTS),
         "overlap_chunks": _nth(_reduce("s", _LAP), _LISTS),
-        "chunk_documents": f"""WITH {_CHUNKED.strip()}
-SELECT doc_id, i - 1 AS chunk_no, lpad((i - 1)::VARCHAR, 3, '0') AS chunk_id, s[i] AS content, '' AS section, '' AS section_role, 0::BIGINT AS "offset"
-FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM ov)""",
+        "chunk_documents": f"""WITH {_chunked('documents').strip()} SELECT *, '' AS section, '' AS section_role, 0::BIGINT AS "offset" FROM ({_CHUNK_ROWS.format('')})""",
+        "sectioned_chunks": _sectioned(f"(SELECT doc_id, {_HEADED} AS text FROM documents)"),
+        "store_search": f"""WITH RECURSIVE {_chunked(_CHANGED_DOCS, 'c').strip()}, ch AS ({_CHUNK_ROWS.format('c')}),
+fine AS (SELECT doc_id, chunk_no, content AS text FROM ch), {BASE.format(key='doc_id, chunk_no', table='fine').strip()}, {_q(QUERIES)}, {_scored('doc_id, chunk_no')} {_top('sc', 10, 'doc_id, chunk_no')}""",
+        "store_documents": f"""WITH {_chunked(_CHANGED_DOCS).strip()}, n AS (SELECT doc_id, len(s) AS chunk_count FROM ov)
+SELECT doc_id, strlen(text) AS total_chars, coalesce(chunk_count, 0) AS chunk_count FROM {_CHANGED_DOCS} LEFT JOIN n USING (doc_id)""",
+        "store_digests": f"""WITH RECURSIVE {_chunked('documents', 'c').strip()}, ch AS (SELECT *, '' AS section, '' AS section_role, 0 AS "offset" FROM ({_CHUNK_ROWS.format('c')})),
+fine AS (SELECT doc_id, chunk_no, content AS text FROM ch), {BASE.format(key='doc_id, chunk_no', table='fine').strip()}
+{_digest_sql('chunks', ['doc_id', 'chunk_no', 'chunk_id', 'content', 'section', 'section_role', '"offset"'], 'ch')}
+UNION ALL {_digest_sql('postings', ['doc_id', 'chunk_no', 'term', 'tf'], 'post')}""",
+        "append_document": f"""WITH {_chunked('documents').strip()}, more AS ({_sectioned("(SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)")}),
+al AS (SELECT doc_id, content FROM ({_CHUNK_ROWS.format('')}) UNION ALL SELECT doc_id, content FROM more)
+SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars, count(*) - 1 AS last_no FROM al GROUP BY doc_id""",
+        "append_boundary": f"""WITH v AS (SELECT vec_id // 16 AS doc, vec_id % 16 AS i, vec_id::VARCHAR AS c, embedding::DOUBLE[] AS v FROM embeddings),
+n AS (SELECT doc, list({{'c': c, 'v': v}} ORDER BY i) AS a, count(*) FILTER (i < 10) AS old FROM v GROUP BY doc HAVING count(*) FILTER (i >= 10) > 0),
+w AS (SELECT doc, a, old, greatest(old - 5, 0) AS changed, a[greatest(old - 5, 0) + 1:old + 5] AS s FROM n),
+m AS (SELECT doc, changed, list_transform({_reduce('s', "CASE WHEN list_cosine_similarity(o[-1].v, x[1].v) > 0.75 THEN o[:-2] || [{'c': o[-1].c || chr(10) || chr(10) || x[1].c, 'v': o[-1].v}] ELSE o || x END")} || coalesce(a[old + 6:], []), lambda y: y.c) AS p FROM w)
+SELECT doc, changed + i - 1 AS chunk_no, p[i] AS content FROM (SELECT doc, changed, p, unnest(range(1, len(p) + 1)) AS i FROM m)""",
         "section_roles": f"SELECT page_id, {_ROLES} AS role FROM (SELECT page_id, lower({_HTML}) AS h FROM pages)",
         "paper_flag": f"SELECT doc_id, u <> '' AND strlen(u) <= 6000 AS is_paper FROM (SELECT doc_id, regexp_extract(lower(left(text, 6000)), '(?s)^.*?(?:{'|'.join(T.PAPER_WORDS)})') AS u FROM documents)",
         "html_to_text": f"SELECT page_id, {_HTML} AS text FROM pages",
@@ -532,6 +622,7 @@ _NAMES = (
     search_all_kbs, coarse_to_fine, coarse_sections, section_hint, snippet_jaccard_pairs, dedup_marks, snippets, sentence_split, long_split_pack, merge_short,
     merge_fragments, overlap_chunks, chunk_documents, section_roles, paper_flag, paper_meta, html_to_text, context_window, mock_rerank, mock_embedding,
     semantic_merge, synonym_rewrite, doc_listing_page, upload_summary, doc_checksum, remove_document, append_document, eval_metrics,
+    sectioned_chunks, store_search, store_documents, store_digests, append_boundary,
 )
 
 

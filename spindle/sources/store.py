@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from spindle.sources.commits import CommitLog
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset one is made, in local mode only."""
@@ -26,23 +29,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
-_made: dict[tuple, str] = {}
-
-
 def made_once(spark: SparkSession, source: str, name: str, make: Callable[[str], None]) -> str:
-    """The folder of tables that make(folder) wrote from the files at source: made again in another application or shared folder, when the files' sizes or times
-    have changed, or when the folder is gone."""
+    """The folder of tables that make(folder) wrote from the files at source. A commit in the shared folder says which files it was made from, by name, size and time: while
+    they are the same, other sessions read it too; else, or when the folder is gone, it is made again. Of two that make it at once, both have made their own and
+    the later commit is read from then on."""
 
     def place(name: str) -> tuple:
         path = spark._jvm.org.apache.hadoop.fs.Path(name)
         return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
     path, files = place(source)
-    state = (files.getContentSummary(path).getLength(), files.getFileStatus(path).getModificationTime())
-    key = (spark.sparkContext.applicationId, shared_dir(spark), source, name, *state)
-    found, held = place(_made[key]) if key in _made else (None, None)
-    if found is None or not held.exists(found):
+    found = files.listStatus(path) if files.getFileStatus(path).isDirectory() else [files.getFileStatus(path)]
+    state = sorted([s.getPath().getName(), s.getLen(), s.getModificationTime()] for s in found)
+    log = CommitLog(spark, f"{shared_dir(spark)}/spindle-made/{hashlib.sha256(f'{name} {path}'.encode()).hexdigest()[:24]}")
+    _, made = log.read()
+    if made.get("files") != state or not (held := place(made["at"]))[1].exists(held[0]):
         out = f"{shared_dir(spark)}/spindle-{uuid.uuid4().hex}/{name}"
         make(out)
-        _made[key] = out
-    return _made[key]
+        log.update(lambda _, old: {"files": state, "at": out})
+        return out
+    return made["at"]
