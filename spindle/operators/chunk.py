@@ -151,7 +151,7 @@ def boundary_merged(old: DataFrame, new: DataFrame, key: list[str], width: int =
     counts = merged.groupBy(*key).agg(F.count(F.lit(1)).alias("merged"))
     rest = head.where(~inside).join(counts, key, "left")
     # of the bounded window, so many rows are left; what follows it moves up
-    moved = F.when(F.col("size") > 0, F.col("chunk_no") - (F.col("size") + width) + F.col("changed") + F.col("merged")).otherwise(F.col("chunk_no"))
+    moved = F.when(F.col("size") > 0, F.col("chunk_no") - (F.col("size") + width) + F.col("changed") + F.coalesce("merged", F.lit(0))).otherwise(F.col("chunk_no"))
     out = merged.select(*key, (F.col("changed") + F.col("nth")).alias("chunk_no"), F.col("first").alias("was"), "content", "changed")
     return out.unionByName(rest.select(*key, moved.alias("chunk_no"), F.col("chunk_no").alias("was"), "content", "changed"))
 

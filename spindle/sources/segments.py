@@ -11,6 +11,7 @@ import math
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -248,7 +249,7 @@ class Store:
                 rows = self.spark.read.schema(schema).option("parquet.page.verify-checksum.enabled", "true").parquet(f"{self.path}/{name}/segment={t['at']}")
                 try:
                     found = rows.agg(*digest(schema.names)).first()
-                except PySparkException:  # a file that can't be decoded
+                except (PySparkException, Py4JJavaError):  # a file that can't be decoded
                     found = None
                 if found is None or (found["rows"], found["digest"]) != (t["rows"], t["digest"]):
                     bad.append((s["seq"], name))
