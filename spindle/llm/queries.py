@@ -26,6 +26,7 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality.SQL,
+        "op2_mix_sources": mixing.SQL,
         "op4_url_filter": url_filter.SQL,
         "op5_decontaminate": decontaminate.SQL,
         "op6_warc_archive": warc.SQL,
