@@ -515,12 +515,12 @@ def _hidden_pairs(centred: DataFrame, joined: DataFrame, percent: int) -> DataFr
     far = F.col("w") + F.col("low") > 0
     needs = F.greatest(F.lit(1), F.when(far, F.ceil((F.col("w") + F.col("low")) / unit)).otherwise(F.floor((F.col("w") - F.col("low")) / unit) + 1))
     able = at.join(split, "r").withColumns({"needs": needs, "far": far}).where(F.size("d") >= F.col("needs"))
-    parts = able.select("r", "x", "in", "n", "w", "needs", "far", *sketch, F.explode("d").alias("e"))
+    parts = able.select("r", "x", "in", "n", "w", "needs", "far", F.explode("d").alias("e"))
     often = parts.groupBy("r", "e").agg(F.min("in").alias("lo"), F.max("in").alias("hi"), F.count(F.lit(1)).alias("df"))
     shared = parts.join(often.where("lo <> hi").select("r", "e", "df"), ["r", "e"])
     order = Window.partitionBy("r", "x").orderBy("df", "e")
     ranked = shared.withColumns({"nth": F.row_number().over(order), "left": F.count(F.lit(1)).over(Window.partitionBy("r", "x"))})
-    prefix = ranked.where(F.col("nth") <= F.col("left") - F.col("needs") + 1)
+    prefix = ranked.where(F.col("nth") <= F.col("left") - F.col("needs") + 1).join(able.select("r", "x", *sketch), ["r", "x"])
     # elements from this one on; at the first that two members share, no more than that can be shared
     rest = F.col("left") - F.col("nth") + 1
     mine = prefix.select("r", "e", F.col("x").alias("a"), "in", "n", "w", "far", rest.alias("rest"), *sketch)
