@@ -46,3 +46,40 @@ def snapshot(documents: DataFrame, chunked: DataFrame, key: list[str]) -> DataFr
     """Documents with the number of their chunks and characters; those without chunks count 0."""
     sizes = chunked.groupBy(*key).agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.char_length("content")).alias("chars"))
     return documents.join(sizes, key, "left").fillna(0, ["chunks", "chars"])
+
+
+def _row_digest(columns: list[str]) -> Column:
+    shown = [F.col(f"`{c}`").cast("string") for c in columns]
+    return F.sha2(F.concat(*[F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)) for c in shown]), 256)
+
+
+def listing_tree(documents: DataFrame, key: str, depth: int = 2) -> DataFrame:
+    """(prefix, rows, digest): checksums of a listing as a tree. A document's place is the SHA-256 of its key; leaves (prefixes of `depth` hexadecimal digits)
+    digest their rows in the order of places, nodes their children in order; the empty prefix has the checksum of the whole list. Sixteen times as many documents want one
+    level more, so that a leaf stays small. Equal listings have equal trees, and a change shows in one node a level."""
+    rows = documents.select(F.sha2(F.col(key).cast("string"), 256).alias("place"), _row_digest(sorted(documents.columns)).alias("d"))
+    joined = lambda by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, "d"))), lambda x: x["d"]), ""), 256)
+    level = rows.groupBy(F.substring("place", 1, depth).alias("prefix")).agg(F.count(F.lit(1)).alias("rows"), joined("place").alias("digest"))
+    out = level
+    for k in range(depth - 1, -1, -1):
+        below = level.withColumnRenamed("digest", "d")
+        level = below.groupBy(F.substring("prefix", 1, k).alias("up")).agg(F.sum("rows").alias("rows"), joined("prefix").alias("digest")).withColumnRenamed("up", "prefix")
+        out = out.unionByName(level)
+    return out
+
+
+def listing_changes(old: DataFrame, new: DataFrame, key: str, depth: int = 2) -> DataFrame:
+    """(key, change): documents that are added, removed or changed between two listings. Their trees are compared level by level, only below nodes that
+    differ; rows are compared only in leaves that do."""
+    a, b = listing_tree(old, key, depth), listing_tree(new, key, depth)
+    differ = None
+    for k in range(depth + 1):
+        own = lambda t, d, k=k: t.where(F.length("prefix") == k).select("prefix", F.col("digest").alias(d))
+        both = own(a, "x").join(own(b, "y"), "prefix", "full")
+        if differ is not None:
+            both = both.withColumn("up", F.substring("prefix", 1, k - 1)).join(differ.withColumnRenamed("prefix", "up"), "up", "left_semi")
+        differ = both.where(~F.col("x").eqNullSafe(F.col("y"))).select("prefix")
+    leaf = F.substring(F.sha2(F.col(key).cast("string"), 256), 1, depth)
+    side = lambda t, d: t.select(key, leaf.alias("prefix"), _row_digest(sorted(t.columns)).alias(d)).join(differ, "prefix", "left_semi").drop("prefix")
+    rows = side(old, "x").join(side(new, "y"), key, "full").where(~F.col("x").eqNullSafe(F.col("y")))
+    return rows.select(key, F.when(F.col("x").isNull(), F.lit("added")).when(F.col("y").isNull(), F.lit("removed")).otherwise(F.lit("changed")).alias("change"))

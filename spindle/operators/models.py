@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -94,6 +95,69 @@ def embedded(rows: DataFrame, embedder: Embedder, text: str = "content", batch_t
     return rows.withColumn("vector", run(F.col(text)))
 
 
+def embedded_new(texts: DataFrame, embedder: Embedder, batch_tokens: int = 6000) -> DataFrame:
+    """(digest, vector) of texts (digest, text). Requests of about batch_tokens are filled across a partition's Arrow batches."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[tuple[str, str]] = []
+        size = 0
+
+        def asked() -> pd.DataFrame:
+            vectors = embedder.embed([t for _, t in held])
+            if len(vectors) != len(held):
+                raise ValueError("the model gave another number of vectors")
+            return pd.DataFrame({"digest": [d for d, _ in held], "vector": [list(map(float, v)) for v in vectors]})
+
+        for part in parts:
+            for digest, text in zip(part["digest"], part["text"], strict=True):
+                if held and size + len(text) // 4 > batch_tokens:
+                    yield asked()
+                    held, size = [], 0
+                held.append((digest, text))
+                size += len(text) // 4
+        if held:
+            yield asked()
+
+    return texts.select("digest", "text").mapInPandas(run, "digest string, vector array<double>")
+
+
+class VectorCache:
+    """Vectors by the SHA-256 of their text, in folders below path that a commit log names. A text is asked for once, whatever document it stands in."""
+
+    def __init__(self, spark, path: str):
+        from spindle.sources.commits import CommitLog
+
+        self.spark, self.path, self.log = spark, path, CommitLog(spark, f"{path}/_versions")
+
+    def vectors(self) -> DataFrame:
+        """(digest, vector). Where two writers asked for one text at once, one of its vectors."""
+        folders = self.log.read()[1].get("folders", [])
+        if not folders:
+            return self.spark.createDataFrame([], "digest string, vector array<double>")
+        rows = self.spark.read.schema("digest string, vector array<double>").parquet(*[f"{self.path}/{f}" for f in folders])
+        return rows if len(folders) == 1 else rows.groupBy("digest").agg(F.min("vector").alias("vector"))
+
+    def embedded(self, rows: DataFrame, embedder: Embedder, text: str = "content", batch_tokens: int = 6000) -> DataFrame:
+        """Adds vector (null for a null text). Only texts that no stored vector has go to the model; the first answer sets the dimension, and another one is an error."""
+        digest = F.sha2(F.col(text), 256)
+        asked = rows.where(F.col(text).isNotNull()).groupBy(digest.alias("digest")).agg(F.first(text).alias("text"))
+        missing = asked.join(self.vectors(), "digest", "left_anti")
+        folder = uuid.uuid4().hex
+        embedded_new(missing, embedder, batch_tokens).write.parquet(f"{self.path}/{folder}")
+        sizes = self.spark.read.parquet(f"{self.path}/{folder}").agg(F.count(F.lit(1)), F.min(F.size("vector")), F.max(F.size("vector"))).first()
+        if sizes[0]:
+            def change(_: int, state: dict) -> dict:
+                dim = state.setdefault("dim", sizes[1])
+                if (dim, dim) != (sizes[1], sizes[2]):
+                    raise ValueError(f"vectors of {sizes[1]} to {sizes[2]} numbers, not {dim}")
+                return {**state, "folders": [*state.get("folders", []), folder]}
+
+            self.log.update(change)
+        key = "_digest"
+        held = self.vectors().withColumnRenamed("digest", key)
+        return rows.withColumn(key, digest).join(held, key, "left").drop(key)
+
+
 def candidates(limit: int, asked: int = 0) -> int:
     """Hits that a reranker sees: as many as asked for, else twice the limit and 20 at least."""
     return asked if asked > 0 else max(2 * limit, 20)

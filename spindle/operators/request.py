@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spindle.functions import score as S
@@ -102,11 +102,20 @@ def search(catalog: Catalog, asked: SearchRequest, rewriter: models.Rewriter | N
     return shown.join(marks, ["query_id", "doc_id", "rank"], "left").select("rank", *KEY, "score", "section", "snippet", "section_hint", "duplicate_of").orderBy("rank")
 
 
+def _logged(used: se.SearchFilter) -> Column:
+    """The filter of a search as its log entry keeps it; null where none was asked for."""
+    if used == se.SearchFilter():
+        return F.lit(None).cast("struct<doc: string, source_type: string, section: string, tags: array<string>, added_after: string, added_before: string>")
+    parts = [F.lit(None if getattr(used, n) is None else str(getattr(used, n))).cast("string").alias(n) for n in ("doc", "source_type", "section", "added_after", "added_before")]
+    tags = F.array(*[F.lit(t) for t in used.tags]).cast("array<string>").alias("tags")
+    return F.struct(*parts[:3], tags, *parts[3:])
+
+
 def log_entry(hits: DataFrame, asked: SearchRequest, name: str = "chunk_no") -> DataFrame:
     """What a search log keeps of one search: number of hits, ids and scores of the first LOGGED, and the filter."""
     first = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("rank", F.col(name).cast("string").alias("id"), "score"))), 1, LOGGED), lambda x: x)
     rows = hits.agg(F.count(F.lit(1)).cast("int").alias("hit_count"), first.alias("first"))  # at most MAX_LIMIT hits
     return rows.select(
         F.lit(asked.query).alias("query"), "hit_count", F.transform("first", lambda x: x["id"]).alias("hit_ids"), F.transform("first", lambda x: x["score"]).alias("top_scores"),
-        F.lit(None).cast("array<string>").alias("judged_hits"), F.current_timestamp().alias("timestamp"),
+        F.lit(None).cast("array<string>").alias("judged_hits"), F.current_timestamp().alias("timestamp"), _logged(asked.filter).alias("filter"),
     )

@@ -128,6 +128,18 @@ def dense(vectors: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
     return both.select("query_id", *key, F.round(near, S.DIGITS).alias("score")).where("score > 0")
 
 
+def candidate_dense(sparse: DataFrame, vectors: DataFrame, queries: DataFrame, key: list[str]) -> DataFrame:
+    """(query_id, key, score): cosine of each query (query_id, vector) with the entries that its keyword search found, whose vectors are joined before anything is compared;
+    only a query that found none is compared with all vectors. sparse: stored hits, which are read several times."""
+    length = lambda c: F.sqrt(S.dot(F.col(c), F.col(c)))
+    met = sparse.select("query_id", *key).join(vectors, key).join(queries, "query_id")
+    fits = (F.size("embedding") == F.size("vector")) & (length("embedding") * length("vector") > 0)
+    near = F.when(fits, S.dot(F.col("embedding"), F.col("vector")) / (length("embedding") * length("vector"))).otherwise(F.lit(0.0))
+    out = met.select("query_id", *key, F.round(near, S.DIGITS).alias("score")).where("score > 0")
+    lone = queries.join(sparse.select("query_id").distinct(), "query_id", "left_anti")
+    return out if lone.isEmpty() else out.unionByName(dense(vectors, lone, key))
+
+
 def hybrid(sparse: DataFrame, dense_hits: DataFrame, alpha: Column | float, key: list[str], candidates_only: bool = True) -> DataFrame:
     """(query_id, key, score, sparse_rank, dense_rank): fusion of two rankings. candidates_only: the dense side ranks entries
     that the sparse side found; for a query for which it found none, all entries."""

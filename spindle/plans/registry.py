@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions import score as S
 from spindle.functions import text as T
-from spindle.operators import catalog, chunk, evaluate, models, paper, present
+from spindle.operators import catalog, chunk, evaluate, models, paper, present, request
 from spindle.operators import index as ix
 from spindle.operators import search as se
 from spindle.sources import store
@@ -138,10 +138,21 @@ def cosine_topk(spark, d):
     return _out(se.top(se.dense(v, asked, KEY), 10, KEY), "rank")
 
 
+def _fused(spark, d, hits, asked, alpha):
+    sparse = store.kept(hits, "sparse")
+    return se.top(se.trimmed(se.hybrid(sparse, se.candidate_dense(sparse, _vectors(spark, d), asked, KEY), alpha, KEY)), 20, KEY)
+
+
 def _hybrid(spark, d, queries, alpha, vectors):
-    sparse = _bm25(spark, d, queries)
-    dense = se.dense(_vectors(spark, d), _query_vectors(spark, d, vectors), KEY)
-    return se.top(se.trimmed(se.hybrid(sparse, dense, alpha, KEY)), 20, KEY)
+    return _fused(spark, d, _bm25(spark, d, queries), _query_vectors(spark, d, vectors), alpha)
+
+
+def hybrid_batch(spark, d):
+    """Of every hundredth document: its own indexed terms and its vector, against all documents."""
+    postings, lens = _index(spark, d)
+    asked = _vectors(spark, d).where("doc_id % 100 = 0").select(F.col("doc_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    terms = postings.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "term").join(asked.select("query_id"), "query_id")
+    return _out(_fused(spark, d, se.bm25(postings, lens, terms, KEY, small=False), asked, 0.5), "rank")
 
 
 def hybrid_rrf(spark, d):
@@ -194,7 +205,9 @@ def coarse_to_fine(spark, d):
     turns = _turns(spark, d)
     sections = chunk_sections(turns)
     queries = se.query_table(spark, {1: QUERIES[1]})
-    entries = se.in_top_sections(turns.select("conv_id", "turn", "role"), sections, queries, "conv_id", "role")
+    make = lambda out: ix.write_index(sections, ["conv_id", "role"], out)
+    stored = ix.read_index(spark, made_once(spark, f"{d}/conversations.parquet", "index_sections", make))
+    entries = se.in_top_sections(turns.select("conv_id", "turn", "role"), sections, queries, "conv_id", "role", stored=stored)
     postings, lens = _index(spark, d, "conversations")
     lens = lens.join(entries.select("query_id", *TURN), TURN)
     return _long(se.top(se.bm25(postings, lens, queries, TURN), 8, TURN).select("query_id", *TURN, F.round("score", 6).alias("score"), "rank"), "rank")
@@ -387,6 +400,36 @@ def append_boundary(spark, d):
     return _long(chunk.boundary_merged(old, new, ["doc"]).select("doc", "chunk_no", "content"), "chunk_no")
 
 
+def listing_checksum(spark, d):
+    listed = _listing(spark, d).select("doc_id", "name", "lang", "total_chars")
+    return catalog.listing_tree(listed, "doc_id")
+
+
+def listing_changes(spark, d):
+    """Between the first and the last version of a store."""
+    held = _store(spark, d)
+    return catalog.listing_changes(held.table("documents", 1), held.table("documents", 3), "doc_id")
+
+
+def store_snapshot(spark, d):
+    held = _store(spark, d, False)
+    return catalog.snapshot(held.table("documents").select("doc_id"), held.table("chunks"), KEY)
+
+
+def store_preview(spark, d):
+    return _long(catalog.preview(_store(spark, d, False).table("chunks"), F.col("doc_id") == 7).select("doc_id", "chunk_no", "content"), "chunk_no")
+
+
+def request_search(spark, d):
+    hits = request.search(_store(spark, d).catalog(), request.SearchRequest.of(QUERIES[2], limit=12))
+    return _long(hits.select("doc_id", "chunk_no", F.round("score", 6).alias("score"), "rank"), "rank", "chunk_no")
+
+
+def synonyms_both_ways(spark, d):
+    asked = _t(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("query"))
+    return models.variants(asked, {"the": ["on"], "de": ["la"]}, reverse=True).select("conv_id", "turn", "variant")
+
+
 def eval_metrics(spark, d):
     good = _t(spark, d, "labels").where("quality = 1").select("doc_id")
     return evaluate.metrics_of_ranked(bm25_batch_queries(spark, d), good)
@@ -438,15 +481,18 @@ de AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding
 dn AS (SELECT * FROM de WHERE score > 0)"""
 
 
-def _hybrid_sql(queries, alpha, ids):
-    return f"""{_base()}, {_q(queries)}, {_scored()}, {_dense(ids)},
+_FUSED = """,
 dc AS (SELECT dn.* FROM dn WHERE (query_id, doc_id) IN (SELECT query_id, doc_id FROM sc) OR query_id NOT IN (SELECT query_id FROM sc)),
 a AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS r1 FROM sc),
 b AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) - 1 AS r2 FROM dc),
 f AS (SELECT query_id, doc_id, round(coalesce(({alpha}) / (60 + r1::DOUBLE), 0e0) + coalesce((1e0 - ({alpha})) / (60 + r2::DOUBLE), 0e0), 9) AS score
   FROM a FULL JOIN b USING (query_id, doc_id)),
-{_trim('f')}
-{_top('tr', 20)}"""
+{trim}
+{top}"""
+
+
+def _hybrid_sql(queries, alpha, ids):
+    return f"{_base()}, {_q(queries)}, {_scored()}, {_dense(ids)}" + _FUSED.format(alpha=alpha, trim=_trim("f"), top=_top("tr", 20))
 
 
 _SENT = r"regexp_extract_all({x}, '([^.!?。！？]*[.!?。！？]|[^.!?。！？]+$)', 1)"
@@ -584,6 +630,23 @@ SELECT doc_id, strlen(text) AS total_chars, coalesce(chunk_count, 0) AS chunk_co
 fine AS (SELECT doc_id, chunk_no, content AS text FROM ch), {BASE.format(key='doc_id, chunk_no', table='fine').strip()}
 {_digest_sql('chunks', ['doc_id', 'chunk_no', 'chunk_id', 'content', 'section', 'section_role', '"offset"'], 'ch')}
 UNION ALL {_digest_sql('postings', ['doc_id', 'chunk_no', 'term', 'tf'], 'post')}""",
+        "hybrid_batch": f"""{_base()}, q AS (SELECT doc_id AS query_id, term FROM post WHERE doc_id % 100 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)), {_scored()},
+qv AS (SELECT vec_id::BIGINT AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 100 = 0),
+de AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) AS score FROM embeddings, qv),
+dn AS (SELECT * FROM de WHERE score > 0){_FUSED.format(alpha='0.5e0', trim=_trim('f'), top=_top('tr', 20))}""",
+        "listing_checksum": """WITH l AS (SELECT sha256(doc_id::VARCHAR) AS place, CASE WHEN doc_id IS NULL THEN '-' ELSE strlen(doc_id::VARCHAR) || ':' || doc_id END || coalesce(strlen(lang) || ':' || lang, '-')
+  || coalesce(strlen(source || '-' || doc_id) || ':' || source || '-' || doc_id, '-') || coalesce(strlen(strlen(text)::VARCHAR) || ':' || strlen(text), '-') AS t FROM documents),
+a AS (SELECT left(place, 2) AS prefix, count(*) AS rows, sha256(string_agg(sha256(t), '' ORDER BY place, sha256(t))) AS digest FROM l GROUP BY left(place, 2)),
+b AS (SELECT left(prefix, 1) AS up, sum(rows)::BIGINT AS rows, sha256(string_agg(digest, '' ORDER BY prefix)) AS digest FROM a GROUP BY up)
+SELECT * FROM a UNION ALL SELECT up, rows, digest FROM b UNION ALL SELECT '', sum(rows)::BIGINT, sha256(string_agg(digest, '' ORDER BY up)) FROM b HAVING count(*) > 0""",
+        "listing_changes": "SELECT doc_id, CASE doc_id % 100 WHEN 1 THEN 'changed' ELSE 'removed' END AS change FROM documents WHERE doc_id % 100 IN (1, 2)",
+        "store_snapshot": f"""WITH {_chunked('documents').strip()}, n AS (SELECT doc_id, len(s) AS chunks, list_sum(list_transform(s, lambda x: length(x)))::BIGINT AS chars FROM ov)
+SELECT doc_id, coalesce(chunks, 0) AS chunks, coalesce(chars, 0) AS chars FROM documents LEFT JOIN n USING (doc_id)""",
+        "store_preview": f"""WITH {_chunked('documents').strip()} SELECT doc_id, chunk_no, content FROM ({_CHUNK_ROWS.format('')}) WHERE doc_id = 7 ORDER BY chunk_no LIMIT 3""",
+        "request_search": f"""WITH RECURSIVE {_chunked(_CHANGED_DOCS, 'c').strip()}, ch AS ({_CHUNK_ROWS.format('c')}), fine AS (SELECT doc_id, chunk_no, content AS text FROM ch),
+{BASE.format(key='doc_id, chunk_no', table='fine').strip()}, {_q({1: QUERIES[2]})}, {_scored('doc_id, chunk_no')}, {_trim('sc')}, h AS ({_top('tr', 12, 'doc_id, chunk_no')}) SELECT doc_id, chunk_no, score, rank FROM h""",
+        "synonyms_both_ways": r"""SELECT DISTINCT conv_id, turn, variant FROM (SELECT conv_id, turn, unnest([text, CASE WHEN contains(l, 'the') THEN regexp_replace(text, '(?i)the', 'on') END, CASE WHEN contains(l, 'the') AND contains(l, 'on') THEN regexp_replace(text, '(?i)on', 'the') END,
+  CASE WHEN contains(l, 'de') THEN regexp_replace(text, '(?i)de', 'la') END, CASE WHEN contains(l, 'de') AND contains(l, 'la') THEN regexp_replace(text, '(?i)la', 'de') END]) AS variant FROM (SELECT *, lower(text) AS l FROM conversations)) WHERE variant IS NOT NULL""",
         "append_document": f"""WITH {_chunked('documents').strip()}, more AS ({_sectioned("(SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)")}),
 al AS (SELECT doc_id, content FROM ({_CHUNK_ROWS.format('')}) UNION ALL SELECT doc_id, content FROM more)
 SELECT doc_id, count(*) AS chunks, sum(length(content))::BIGINT AS chars, count(*) - 1 AS last_no FROM al GROUP BY doc_id""",
@@ -623,6 +686,7 @@ _NAMES = (
     merge_fragments, overlap_chunks, chunk_documents, section_roles, paper_flag, paper_meta, html_to_text, context_window, mock_rerank, mock_embedding,
     semantic_merge, synonym_rewrite, doc_listing_page, upload_summary, doc_checksum, remove_document, append_document, eval_metrics,
     sectioned_chunks, store_search, store_documents, store_digests, append_boundary,
+    hybrid_batch, listing_checksum, listing_changes, store_snapshot, store_preview, request_search, synonyms_both_ways,
 )
 
 

@@ -17,7 +17,8 @@ from spindle.functions.text import html_to_text, slug
 
 #: Extensions that a directory is searched for.
 EXTENSIONS = ("md", "txt", "pdf", "docx", "odt", "epub", "html", "xlsx", "pptx")
-LOG_SCHEMA = "query string, hit_count int, hit_ids array<string>, top_scores array<double>, judged_hits array<string>, timestamp timestamp"
+LOG_SCHEMA = "query string, hit_count int, hit_ids array<string>, top_scores array<double>, judged_hits array<string>, timestamp timestamp, "
+LOG_SCHEMA += "filter struct<doc: string, source_type: string, section: string, tags: array<string>, added_after: string, added_before: string>"
 _PARTS = {"docx": r"word/document\.xml", "odt": r"content\.xml", "pptx": r"ppt/slides/slide\d+\.xml", "epub": r".*\.x?html"}
 _BLOCKS = ("p", "h", "h1", "h2", "h3", "h4", "h5", "h6", "li", "title")
 _local = lambda node: node.tag.rpartition("}")[2] if isinstance(node.tag, str) else ""

@@ -29,6 +29,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df by way of a table in the shared folder, for what is read several times."""
+    path = f"{shared_dir(df.sparkSession)}/spindle-{uuid.uuid4().hex}/{name}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def made_once(spark: SparkSession, source: str, name: str, make: Callable[[str], None]) -> str:
     """The folder of tables that make(folder) wrote from the files at source. A commit in the shared folder says which files it was made from, by name, size and time: while
     they are the same, other sessions read it too; else, or when the folder is gone, it is made again. Of two that make it at once, both have made their own and
