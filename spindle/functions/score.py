@@ -15,6 +15,17 @@ VERBS = (
 ALPHA = {"conceptual": 0.4, "factual": 0.6, "balanced": 0.5}
 
 
+def idf(df: Column, n: Column) -> Column:
+    """A term's weight; above 0, as df is at most n."""
+    return F.log(1.0 + (n - df + 0.5) / (df + 0.5))
+
+
+def saturation(tf: Column, length: Column, average: Column) -> Column:
+    """A term's part of a BM25 score without its weight: below K1 + 1."""
+    norm = F.when(average > 0, length / average).otherwise(F.lit(1.0))
+    return F.when(length > 0, tf * (K1 + 1.0) / (tf + K1 * (1.0 - B + B * norm))).otherwise(F.lit(0.0))
+
+
 def bm25_term(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
     """One term's part of a BM25 score."""
     idf = F.log(1.0 + (n - df + 0.5) / (df + 0.5))

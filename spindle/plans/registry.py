@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions import score as S
 from spindle.functions import text as T
-from spindle.operators import catalog, chunk, evaluate, models, paper, present, request
+from spindle.operators import catalog, chunk, evaluate, models, paper, present, pruned, request
 from spindle.operators import index as ix
 from spindle.operators import search as se
 from spindle.sources import store
@@ -88,6 +88,24 @@ def bm25_corpus_stats(spark, d):
     return _out(se.top(_bm25(spark, d, QUERIES, corpus=True), 20, KEY), "rank")
 
 
+def _impacts(spark, d):
+    make = lambda out: pruned.write_impacts(*_index(spark, d), KEY, out)
+    return pruned.Impacts.read(spark, made_once(spark, f"{d}/documents.parquet", "impacts_documents", make))
+
+
+def bm25_pruned(spark, d):
+    return _out(se.top(pruned.best(_impacts(spark, d), QUERIES, KEY, 20), 20, KEY), "rank")
+
+
+def document_search(spark, d):
+    """Documents by their best passage, with what the store knows of each."""
+    at = _store(spark, d).catalog()
+    key = ["doc_id", "chunk_no"]
+    hits = se.top(se.trimmed(se.bm25(at.postings, at.entries, se.query_table(spark, QUERIES), key)), 24, key)
+    docs = se.max_passage(hits.drop("rank"), "doc_id", ["chunk_no"], 8).join(at.documents, "doc_id", "left")
+    return _long(docs.select("query_id", "doc_id", F.round("score", 6).alias("score"), "lang", "chunk_count", "rank"), "chunk_count", "rank")
+
+
 def bm25_trim15(spark, d):
     return _out(se.trimmed(_bm25(spark, d, QUERIES)))
 
@@ -576,6 +594,13 @@ def oracle_sql() -> dict[str, str]:
         "bm25_corpus_stats": f"""{_base()}, {_q(QUERIES)}, m AS (SELECT * FROM post JOIN q USING (term) JOIN lens USING (doc_id)),
 st AS (SELECT count(*)::DOUBLE AS n, avg(length) AS average FROM lens), fr AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY term),
 sc AS (SELECT query_id, doc_id, round(sum({PART}), 9) AS score FROM m JOIN fr USING (term), st GROUP BY ALL) {_top('sc', 20)}""",
+        "bm25_pruned": f"""{_base()}, {_q(QUERIES)}, m AS (SELECT * FROM post JOIN q USING (term) JOIN lens USING (doc_id)),
+st AS (SELECT count(*)::DOUBLE AS n, avg(length) AS average FROM lens), fr AS (SELECT term, count(*)::DOUBLE AS df FROM post GROUP BY term),
+sc AS (SELECT query_id, doc_id, round(sum({PART}), 9) AS score FROM m JOIN fr USING (term), st GROUP BY ALL) {_top('sc', 20)}""",
+        "document_search": f"""WITH RECURSIVE {_chunked(_CHANGED_DOCS, 'c').strip()}, ch AS ({_CHUNK_ROWS.format('c')}), fine AS (SELECT doc_id, chunk_no, content AS text FROM ch),
+{BASE.format(key='doc_id, chunk_no', table='fine').strip()}, {_q(QUERIES)}, {_scored('doc_id, chunk_no')}, {_trim('sc')}, h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, chunk_no) AS r FROM tr) WHERE r <= 24),
+g AS (SELECT query_id, doc_id, max(score) AS score FROM h GROUP BY ALL), b AS ({_top('g', 8)}), n AS (SELECT doc_id, count(*) AS chunk_count FROM ch GROUP BY doc_id)
+SELECT b.*, lang, chunk_count FROM b JOIN documents USING (doc_id) JOIN n USING (doc_id)""",
         "bm25_trim15": f"{_base()}, {_q(QUERIES)}, {_scored()}, {_trim('sc')} SELECT query_id, doc_id, round(score, 6) AS score FROM tr",
         "bm25_filtered": f"{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT lens.* FROM lens JOIN documents USING (doc_id) WHERE lang = 'en' AND source IN ('src1', 'src2', 'src3')")} {_top('sc', 8)}",
         "bm25_time_range": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT * FROM lens WHERE TIMESTAMP '2024-01-01' + to_hours(doc_id) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00'")} {_top('sc', 8)}""",
@@ -687,6 +712,7 @@ _NAMES = (
     semantic_merge, synonym_rewrite, doc_listing_page, upload_summary, doc_checksum, remove_document, append_document, eval_metrics,
     sectioned_chunks, store_search, store_documents, store_digests, append_boundary,
     hybrid_batch, listing_checksum, listing_changes, store_snapshot, store_preview, request_search, synonyms_both_ways,
+    bm25_pruned, document_search,
 )
 
 
