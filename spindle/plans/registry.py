@@ -399,8 +399,23 @@ def store_digests(spark, d):
 
 
 def sectioned_chunks(spark, d):
+    return _long(_headed_chunks(spark, d).drop("chunk_id"), "chunk_no", "offset")
+
+
+def _headed_chunks(spark, d):
     made = _docs(spark, d, "lang").where("text IS NOT NULL").select("doc_id", F.expr(_HEADED).alias("text"))
-    return _long(chunk.chunks(made, KEY).drop("chunk_id"), "chunk_no", "offset")
+    return chunk.chunks(made, KEY)
+
+
+def section_reading(spark, d):
+    """The second section of every document."""
+    rows = present.read_section(chunk.sections(_headed_chunks(spark, d), KEY), F.lit(True), "S01")
+    return _long(rows.select("doc_id", "section", "offset", "content"), "offset")
+
+
+def rendered_context(spark, d):
+    """The second chunk of every document with its neighbours, under their headings."""
+    return present.rendered(_headed_chunks(spark, d), KEY, 1, 1)
 
 
 def append_document(spark, d):
@@ -647,6 +662,12 @@ SELECT conv_id, rank, of::VARCHAR AS duplicate_of FROM step WHERE rank IS NOT NU
         "overlap_chunks": _nth(_reduce("s", _LAP), _LISTS),
         "chunk_documents": f"""WITH {_chunked('documents').strip()} SELECT *, '' AS section, '' AS section_role, 0::BIGINT AS "offset" FROM ({_CHUNK_ROWS.format('')})""",
         "sectioned_chunks": _sectioned(f"(SELECT doc_id, {_HEADED} AS text FROM documents)"),
+        "section_reading": f"""WITH c AS ({_sectioned(f"(SELECT doc_id, {_HEADED} AS text FROM documents)")}),
+s AS (SELECT doc_id, section, min(chunk_no) AS first, arg_min("offset", chunk_no)::BIGINT AS "offset", string_agg(content, chr(10) || chr(10) ORDER BY chunk_no) AS content FROM c GROUP BY doc_id, section)
+SELECT doc_id, section, "offset", content FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS n FROM s) WHERE n = 2""",
+        "rendered_context": f"""WITH c AS ({_sectioned(f"(SELECT doc_id, {_HEADED} AS text FROM documents)")}),
+n AS (SELECT *, lag(section, 1, '') OVER (PARTITION BY doc_id ORDER BY chunk_no) AS before FROM c WHERE chunk_no <= 2)
+SELECT doc_id, string_agg(CASE WHEN section <> before AND section <> '' THEN '## ' || section || chr(10) ELSE '' END || content, chr(10) || chr(10) ORDER BY chunk_no) AS text FROM n GROUP BY doc_id""",
         "store_search": f"""WITH RECURSIVE {_chunked(_CHANGED_DOCS, 'c').strip()}, ch AS ({_CHUNK_ROWS.format('c')}),
 fine AS (SELECT doc_id, chunk_no, content AS text FROM ch), {BASE.format(key='doc_id, chunk_no', table='fine').strip()}, {_q(QUERIES)}, {_scored('doc_id, chunk_no')} {_top('sc', 10, 'doc_id, chunk_no')}""",
         "store_documents": f"""WITH {_chunked(_CHANGED_DOCS).strip()}, n AS (SELECT doc_id, len(s) AS chunk_count FROM ov)
@@ -712,7 +733,7 @@ _NAMES = (
     semantic_merge, synonym_rewrite, doc_listing_page, upload_summary, doc_checksum, remove_document, append_document, eval_metrics,
     sectioned_chunks, store_search, store_documents, store_digests, append_boundary,
     hybrid_batch, listing_checksum, listing_changes, store_snapshot, store_preview, request_search, synonyms_both_ways,
-    bm25_pruned, document_search,
+    bm25_pruned, document_search, section_reading, rendered_context,
 )
 
 
