@@ -144,8 +144,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     for c in [c for c in docs.columns if c.lower() in names]:
         docs = docs.withColumnRenamed(c, fresh(docs, "_" + c)[0])
     size, bucket, src, before, piece, first, end, slots, releases, dues = fresh(docs, "size", "bucket", "src", "before", "piece", "first", "end", "slots", "releases", "dues")
-    # 60 bits that depend on the id alone
-    order = F.conv(F.substring(F.sha2(F.concat(F.lit("mix"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))), 256), 1, 15), 16, 10).cast("long")
+    order = F.xxhash64(id_col, F.lit("mix"))
     # null and text sources apart, as one never-null key
     key = F.when(F.col(source).isNull(), F.lit("")).otherwise(F.concat(F.lit("="), F.col(source).cast("string")))
     sized = docs.withColumns({size: utf8_length(F.col(text)) + 1, src: key})
@@ -153,7 +152,7 @@ def mix(docs: DataFrame, weights: dict | None = None, block_bytes: int = BLOCK_B
     while largest is None or largest > BUCKET_BYTES and buckets < 1 << 24:
         buckets = buckets if largest is None else buckets * 2 ** math.ceil(math.log2(largest / BUCKET_BYTES))
         # by the top bits, so that more buckets keep the order of documents
-        rows = sized.withColumn(bucket, F.shiftright(order, 60 - int(math.log2(buckets))).cast("int"))
+        rows = sized.withColumn(bucket, F.shiftrightunsigned(order, 64 - int(math.log2(buckets))).cast("int"))
         totals = written(rows.groupBy(src, bucket).agg(F.sum(size).alias("total"), F.max(size).alias("one")), "totals")
         # buckets that one document fills can't be split
         largest = totals.agg(F.max(F.col("total") - F.col("one"))).first()[0] or 0
@@ -188,11 +187,34 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs).drop("text")
 
 
+#: The constants of XXH64.
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)
+
+
+def _hashed() -> str:
+    """SQL of documents with x: xxhash64(doc_id, 'mix') as Spark has it, unsigned; a null id is passed over."""
+    p1, p2, p3, p4, p5 = _PRIMES
+    wrap = lambda x: f"(({x}) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    times = lambda x, by: wrap(f"({x})::UHUGEINT * {by}::UHUGEINT")
+    plus = lambda x, y: wrap(f"({x})::UHUGEINT + {y}::UHUGEINT")
+    turned = lambda x, by: plus(times(x, 1 << by), f"({x} >> {64 - by})")
+    spread = ["xor(x, x >> 33)", times("x", p2), "xor(x, x >> 29)", times("x", p3), "xor(x, x >> 32)"]
+    unsigned = wrap("CASE WHEN doc_id < 0 THEN 18446744073709551616::UHUGEINT - (-doc_id)::UHUGEINT ELSE doc_id::UHUGEINT END")
+    steps = [unsigned, times("x", p2), turned("x", 31), times("x", p1), f"xor(x, {(42 + p5 + 8) % (1 << 64)}::UBIGINT)", turned("x", 27), plus(times("x", p1), p4), *spread]
+    steps += ["coalesce(x, 42::UBIGINT)", plus("x", (p5 + 3) % (1 << 64))]
+    for byte in b"mix":
+        steps += [f"xor(x, {byte * p5 % (1 << 64)}::UBIGINT)", turned("x", 11), times("x", p1)]
+    sql = "SELECT *, NULL::UBIGINT AS x FROM documents"
+    for step in [*steps, *spread]:
+        sql = f"SELECT * REPLACE ({step} AS x) FROM ({sql})"
+    return sql
+
+
 #: As doubles, weights are near enough to tell deadlines of few thousand blocks. One row a slot: the released block of the earliest deadline, ties by source.
 SQL = f"""
 WITH RECURSIVE sized AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS src, coalesce(strlen(text), 0) + 1 AS size,
-    left(sha256('mix' || coalesce(doc_id::VARCHAR, '')), 15) AS nth FROM documents),
+    x AS nth FROM ({_hashed()})),
 placed AS (SELECT *, (coalesce(sum(size) OVER (PARTITION BY src ORDER BY nth, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) // {BLOCK_BYTES})::BIGINT AS block FROM sized),
 sources AS (SELECT src, pow(sum(size)::DOUBLE, {TEMPERATURE}::DOUBLE) AS w, (sum(size)::BIGINT + {BLOCK_BYTES - 1}) // {BLOCK_BYTES} AS blocks FROM sized GROUP BY src),
 state AS (
