@@ -372,7 +372,7 @@ def remove_document(spark, d):
 
 def _store(spark, d, changed=True):
     """A store of all documents, of which every hundredth is replaced and every hundredth removed if changed: three commits."""
-    docs = lambda: _docs(spark, d, "lang")
+    docs = lambda: _docs(spark, d, *(["lang"] if changed else []))
 
     def make(out):
         store = Store(spark, out)
