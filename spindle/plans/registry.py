@@ -589,7 +589,7 @@ SELECT doc_id, chunk_no, content, section, {_ROLES} AS section_role, "offset" FR
 
 
 def _digest_sql(name, columns, source):
-    text = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in sorted(columns))
+    text = " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen({c}::VARCHAR) || ':' || {c}::VARCHAR END" for c in sorted(columns, key=lambda c: c.strip('"')))
     return f"SELECT '{name}' AS table_name, count(*) AS rows, coalesce(sum(('0x' || left(sha256({text}), 15))::BIGINT), 0)::VARCHAR AS digest FROM {source}"
 
 
