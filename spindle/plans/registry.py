@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions import score as S
 from spindle.functions import text as T
-from spindle.operators import catalog, chunk, evaluate, models, paper, present, pruned, request
+from spindle.operators import catalog, chunk, evaluate, models, nearest, paper, present, pruned, request
 from spindle.operators import index as ix
 from spindle.operators import search as se
 from spindle.sources import store
@@ -156,6 +156,14 @@ def cosine_topk(spark, d):
     return _out(se.top(se.dense(v, asked, KEY), 10, KEY), "rank")
 
 
+def cosine_bounded(spark, d):
+    """The rows of cosine_topk, from stored cells."""
+    v = _vectors(spark, d)
+    asked = v.where(F.col("doc_id") % 100 == 0).select(F.col("doc_id").cast("long").alias("query_id"), F.col("embedding").alias("vector"))
+    path = made_once(spark, f"{d}/embeddings.parquet", "cells", lambda out: nearest.write_cells(v, KEY, out))
+    return _out(se.top(nearest.best(nearest.Cells.read(spark, path), asked, KEY, 10), 10, KEY), "rank")
+
+
 def _fused(spark, d, hits, asked, alpha):
     sparse = store.kept(hits, "sparse")
     return se.top(se.trimmed(se.hybrid(sparse, se.candidate_dense(sparse, _vectors(spark, d), asked, KEY), alpha, KEY)), 20, KEY)
@@ -599,6 +607,8 @@ def _batch():
 
 def oracle_sql() -> dict[str, str]:
     top_q = f"{_TURNS}, {_q(QUERIES)}, {_scored('conv_id, turn')}"
+    cosine = f"""WITH qv AS (SELECT vec_id::BIGINT AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 100 = 0),
+dn AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) AS score FROM embeddings, qv WHERE round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) > 0) {_top('dn', 10)}"""
     return {
         "token_counts": _base() + " SELECT * FROM tf_all",
         "doc_frequency": _base() + " SELECT term, count(*) AS df FROM tf_all GROUP BY term",
@@ -621,8 +631,8 @@ SELECT b.*, lang, chunk_count FROM b JOIN documents USING (doc_id) JOIN n USING
         "bm25_time_range": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT * FROM lens WHERE TIMESTAMP '2024-01-01' + to_hours(doc_id) BETWEEN TIMESTAMP '2024-01-05' AND TIMESTAMP '2024-01-20 12:00:00'")} {_top('sc', 8)}""",
         "bm25_boosted": f"""{_base()}, {_q(QUERIES)}, {_scored(entries="SELECT lens.*, CASE WHEN source = 'src1' THEN 1.1e0 ELSE 1e0 END AS boost FROM lens JOIN documents USING (doc_id)", boost='any_value(boost)')} {_top('sc', 8)}""",
         "bm25_batch_queries": f"{_batch()} {_top('sc', 3)}",
-        "cosine_topk": f"""WITH qv AS (SELECT vec_id::BIGINT AS query_id, embedding::DOUBLE[] AS vector FROM embeddings WHERE vec_id % 100 = 0),
-dn AS (SELECT query_id, vec_id AS doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) AS score FROM embeddings, qv WHERE round(list_cosine_similarity(embedding::DOUBLE[], vector), 9) > 0) {_top('dn', 10)}""",
+        "cosine_topk": cosine,
+        "cosine_bounded": cosine,
         "hybrid_rrf": _hybrid_sql({1: QUERIES[1], 2: QUERIES[2]}, "0.5e0", {1: 7, 2: 11}),
         "hybrid_alpha_by_query_type": _hybrid_sql(ASKED, "CASE query_id WHEN 2 THEN 0.4e0 WHEN 1 THEN 0.5e0 END", {1: 7, 2: 11}),
         "hybrid_dense_only_fallback": _hybrid_sql({1: "zzzzqqq nosuchterm"}, "0.5e0", {1: 7}),
@@ -733,7 +743,7 @@ _NAMES = (
     semantic_merge, synonym_rewrite, doc_listing_page, upload_summary, doc_checksum, remove_document, append_document, eval_metrics,
     sectioned_chunks, store_search, store_documents, store_digests, append_boundary,
     hybrid_batch, listing_checksum, listing_changes, store_snapshot, store_preview, request_search, synonyms_both_ways,
-    bm25_pruned, document_search, section_reading, rendered_context,
+    bm25_pruned, cosine_bounded, document_search, section_reading, rendered_context,
 )
 
 
