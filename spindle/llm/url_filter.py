@@ -45,9 +45,9 @@ def path_of(url: Column) -> Column:
 
 def canonical(host: Column, path: Column) -> Column:
     """One form for addresses of one page: no `www.` or `m.`, no default port, no closing `/`,
-    `index.html` or `.html`; scheme, query and fragment are not part of it."""
-    h = F.regexp_replace(F.regexp_replace(host, r"^(www|m)\.", ""), r":(80|443)$", "")
-    p = F.regexp_replace(F.regexp_replace(path, r"(/index)?\.html?$", ""), r"/+$", "")
+    `index.html` or `.html`; scheme, query and fragment are not part of it. A line feed at the end is a character like others."""
+    h = F.regexp_replace(F.regexp_replace(host, r"^(www|m)\.", ""), r":(80|443)\z", "")
+    p = F.regexp_replace(F.regexp_replace(path, r"(/index)?\.html?\z", ""), r"/+\z", "")
     return F.when(host == "", F.lit(None)).otherwise(F.concat(h, p))
 
 

@@ -297,13 +297,13 @@ def brute_url(url, listed):
     fits = [(len(h + p), h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    bare = re.sub(r":(80|443)$", "", re.sub(r"^(www|m)\.", "", host))
-    name = bare + re.sub(r"/+$", "", re.sub(r"(/index)?\.html?$", "", path))
+    bare = re.sub(r":(80|443)\Z", "", re.sub(r"^(www|m)\.", "", host))
+    name = bare + re.sub(r"/+\Z", "", re.sub(r"(/index)?\.html?\Z", "", path))
     return host, path, None, "block" if host and name in listed else "allow"
 
 
 def test_url_filter_matches_brute_force(spark):
-    urls = [None, "", "nothing", "://", "http://", "HTTP://WWW.Example.COM/en/1?x", "http://example.com/en/", "http://a.net/es/1", "http://a.net/de/", "ftp://x.org:80/a/", "http://m.x.org/a.html#t", "http://x.org/a", "http://x.org/b", "http://net", "a\nb://x.org/a", "http://x.org/" + "z" * 50_000]
+    urls = [None, "", "nothing", "://", "http://", "HTTP://WWW.Example.COM/en/1?x", "http://example.com/en/", "http://a.net/es/1", "http://a.net/de/", "ftp://x.org:80/a/", "http://m.x.org/a.html#t", "http://x.org/a", "http://x.org/b", "http://net", "http://x.org/a.html\n", "http://x.org/a/\n", "http://x.org:80\n/a", "a\nb://x.org/a", "http://x.org/" + "z" * 50_000]
     rng = random.Random(4)
     urls += [f"http://{rng.choice(['www.', 'm.', '', 'b.'])}{rng.choice('xyz')}.{rng.choice(['org', 'com', 'net'])}/{rng.choice(['en/', 'es/', 'a', ''])}{rng.randint(0, 30)}" for _ in range(400)]
     listed = {"x.org/a"} | {f"{h}.org/{n}" for h in "xy" for n in range(15)}
