@@ -6,6 +6,7 @@ import random
 import re
 import tracemalloc
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -135,6 +136,19 @@ def test_decontaminated_rows_and_slices(spark):
     assert clash.columns == ["doc_id", "text", "n_chars", "hits"] and {r.doc_id: (r.text, r.n_chars) for r in clash.collect()} == {i: (r.text, r.n_chars) for i, r in rows.items()}
 
 
+def test_items_without_an_id(spark, tmp_path):
+    """They hit words and are neither listed nor counted, in the SQL too."""
+    item = " ".join(f"q{i}" for i in range(12))
+    spark.createDataFrame([(1, f"{item} more"), (2, "none"), (3, None)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(None, item), (5, "q1 q2")], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {r.doc_id: r.asDict() for r in decontaminate.op5_decontaminate(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = con.execute(decontaminate.SQL).fetchdf().to_dict("records")
+    assert {r["doc_id"]: r for r in want} == got and (got[1]["n_hit"], got[1]["n_items"], got[2]["n_hit"]) == (12, 1, 0)
+
+
 def test_decontamination_of_a_long_text(spark):
     item = " ".join(f"q{i}" for i in range(12))
     text = ("plain words here " * 60_000 + item + " ") * 2 + "x" * 100_000
