@@ -195,18 +195,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str
     """A network trained on a sample of docs; None if no row can be used."""
     require(docs, id_col, text, lang)
     usable = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(id_col) & (F.length(text) > 0))
-    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()  # a row a language
+    # a row is drawn by the hash of its id and text, at a rate that gives somewhat more than `per` rows of its language, and its first row at least
+    draw = F.xxhash64(id_col, text, F.lit("sample")) / F.lit(2.0**64) + 0.5
+    counts = usable.groupBy(F.col(lang).alias("lang")).agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("first")).orderBy("lang").collect()  # a row a language
     if not counts:
         return None
     per = max(1, min(PER_LANGUAGE, SAMPLE // len(counts)))
-    # a row is drawn by the hash of its id, at a rate that gives somewhat more than `per` rows of its language
-    draw = F.xxhash64(id_col, F.lit("sample")) / F.lit(2.0**64) + 0.5
     (rate,) = fresh(usable, "rate")
-    rates = docs.sparkSession.createDataFrame([(r.lang, min(1.0, (1.3 * per + 10 * (per < PER_LANGUAGE)) / r.n)) for r in counts], f"`{lang}` string, `{rate}` double")
+    rates = docs.sparkSession.createDataFrame([(r.lang, max(r.first, min(1.0, (1.3 * per + 10 * (per < PER_LANGUAGE)) / r.n))) for r in counts], f"`{lang}` string, `{rate}` double")
     at = [F.pmod(F.xxhash64(id_col, F.lit(i)), F.greatest(F.length(text) - PIECE, F.lit(0)) + 1) + 1 for i in range(PIECES)]
     pieces = F.array(*[F.substring(F.col(text), a.cast("int"), F.lit(PIECE)) for a in at])
     usable = usable.join(F.broadcast(rates), lang)
-    drawn = usable.where(draw < F.col(rate)).select(draw.alias("draw"), F.col(lang).alias("lang"), pieces.alias("pieces"))
+    drawn = usable.where(draw <= F.col(rate)).select(draw.alias("draw"), F.col(lang).alias("lang"), pieces.alias("pieces"))
     w = Window.partitionBy("lang").orderBy("draw", "pieces")
     rows = sorted(drawn.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= per).drop("nth").collect())
     languages = sorted(r.lang for r in counts)

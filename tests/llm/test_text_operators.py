@@ -194,6 +194,19 @@ def test_every_language_is_learned(spark, monkeypatch):
     assert set(labels) == set(range(70)) and len(labels) <= 140 * language_id.PIECES and steps == 4
 
 
+@pytest.mark.parametrize("key", ["cast(null as long)", "1l"])
+def test_languages_whose_rows_share_an_id(spark, monkeypatch, key):
+    """Rows of one id are drawn by their texts; a language of nothing but copies of one row is learned too."""
+    monkeypatch.setattr(language_id, "SAMPLE", 8)
+    seen = []
+    monkeypatch.setattr(language_id.Network, "train", lambda self, pieces, labels, steps: seen.append((pieces, labels)))
+    docs = spark.range(2000).selectExpr(f"{key} AS doc_id", "CASE id % 4 WHEN 0 THEN 'one text' ELSE concat('words ', id) END AS text", "concat('l', id % 4) AS lang")
+    net = language_id.train(docs)
+    ((pieces, labels),) = seen
+    assert net.languages == ["l0", "l1", "l2", "l3"] and set(labels) == {0, 1, 2, 3}
+    assert len({p for p, n in zip(pieces, labels, strict=True) if n == 1}) == 2
+
+
 def test_language_rows(spark):
     docs = spark.createDataFrame([(i, t, "en", 0.5) for i, t in enumerate(ODD)] + [(None, "12 + 3", None, 0.5)], "doc_id long, text string, lang string, score double")
     net = language_id.train(docs)
