@@ -271,7 +271,7 @@ def dedup_marks(spark, d):
 
 
 def snippets(spark, d):
-    hits = se.top(_bm25(spark, d, {1: QUERY}), 20, KEY).join(_docs(spark, d), "doc_id")
+    hits = se.top(_bm25(spark, d, {1: QUERY}), 20, KEY).join(_docs(spark, d), "doc_id", "left")
     made = present.snippets(hits, F.lit(QUERY), F.array(*[F.lit(t) for t in T.query_terms(QUERY)]))
     return made.select("doc_id", "snippet")
 
