@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spindle.functions.text import SENTENCE_END, is_heading, once, section_role, sentences, stripped
+from spindle.functions.text import SENTENCE_END, is_heading, once, section_role, stripped, trimmed_sentences
 
 SHORT, LONG, FRAGMENT, OVERLAP = 200, 2000, 60, 200
 _last = lambda a: F.element_at(a, -1)
@@ -33,15 +33,23 @@ def _runs(items: Column, joins, join) -> Column:
 
 
 def packed(text: Column, limit: int = LONG) -> Column:
-    """Sentences packed greedily to pieces of at most limit characters, joining blanks not counted; text of one sentence stays as it is."""
-    fits = lambda last, x: F.char_length(last) + F.char_length(x) <= limit
+    """Sentences packed greedily to pieces of at most limit characters, the last joining blank not counted; text of one sentence stays as it is."""
 
     def pack(parts):
-        trimmed = F.filter(F.transform(parts, stripped), lambda x: x != "")
-        return F.when(F.size(parts) <= 1, F.array(text)).otherwise(_runs(trimmed, fits, lambda last, x: F.concat_ws(" ", last, x)))
+        # only lengths are folded: where pieces begin, and the length of the open one; each piece is joined once
+        def add(s, x):
+            fits = s["size"] + x <= limit
+            longer = F.struct((s["nth"] + 1).alias("nth"), s["starts"].alias("starts"), (s["size"] + x + 1).alias("size"))
+            return F.when((s["nth"] > 1) & fits, longer).otherwise(F.struct((s["nth"] + 1).alias("nth"), F.concat(s["starts"], F.array(s["nth"])).alias("starts"), x.alias("size")))
+
+        start = F.struct(F.lit(1).alias("nth"), F.slice(F.array(F.lit(1)), 1, 0).alias("starts"), F.lit(0).alias("size"))
+        begun = F.aggregate(F.transform(parts, F.char_length), start, add, lambda s: F.concat(s["starts"], F.array(s["nth"])))
+        piece = lambda starts: F.transform(
+            F.slice(starts, F.lit(1), F.size(starts) - 1), lambda at, i: F.array_join(F.slice(parts, at, F.element_at(starts, i + 2) - at), " "))
+        return F.when(F.size(parts) <= 1, F.array(text)).otherwise(F.element_at(F.transform(F.array(begun), piece), 1))
 
     # within transform the sentences have a name, so they are split once
-    return F.element_at(F.transform(F.array(sentences(text)), pack), 1)
+    return F.element_at(F.transform(F.array(trimmed_sentences(text)), pack), 1)
 
 
 def merged_short(items: Column, limit: int) -> Column:
@@ -69,8 +77,11 @@ def paragraphs(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame
     """(key, nth, content, section, offset): blank-line paragraphs, the nearest heading line at or before their start (as of it; "" before the first), and byte
     offsets in the text with LF line ends. Lines are exploded once and sorted once by document; offsets and headings are running values over that
     order, so a document of many headings takes time in proportion to its lines."""
-    lines = docs.select(*key, F.posexplode(F.split(F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")), "\n")).alias("i", "line"))
-    lines = once(lines, stripped(F.col("line")).alias("bare"))
+    body = once(docs.select(*key, text), F.replace(F.col(text), F.lit("\r\n"), F.lit("\n")).alias("_all"))
+    # a text that begins and ends with more than white space and has no empty line is one paragraph: it goes as it is, as one row
+    single = ~F.col("_all").contains("\n\n") & ~F.col("_all").rlike(r"(?U)^\s|\s\z")
+    lines = body.select(*key, F.posexplode(F.when(single, F.array("_all")).otherwise(F.split("_all", "\n"))).alias("i", "line"))
+    lines = once(lines, stripped(F.substring_index("line", "\n", 1)).alias("bare"))
     so_far = Window.partitionBy(*key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = lines.withColumns({
         "gap": F.count_if(F.col("line") == "").over(so_far),

@@ -32,12 +32,15 @@ def row_digest(columns: list[str]) -> Column:
     """A number from the SHA-256 of a row: of each column `-` if null, else its size, a colon and its text."""
     shown = [F.col(f"`{c}`").cast("string") for c in columns]
     text = F.concat(*[F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c)) for c in shown])
-    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 
 def digest(columns: list[str]) -> list[Column]:
     """rows and digest of a table: independent of the rows' order and of files."""
-    return [F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(row_digest(sorted(columns))), F.lit(0)).cast("string").alias("digest")]
+    number = row_digest(sorted(columns))
+    # sums of 30 bits each stay within a long, and are cheaper than sums of decimals
+    high, low = (F.coalesce(F.sum(x), F.lit(0)).cast("decimal(28,0)") for x in (F.shiftright(number, 30), number.bitwiseAND(F.lit((1 << 30) - 1))))
+    return [F.count(F.lit(1)).alias("rows"), (high * F.lit(1 << 30).cast("decimal(10,0)") + low).cast("decimal(38,0)").cast("string").alias("digest")]
 
 
 @dataclass(frozen=True)

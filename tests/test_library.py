@@ -124,3 +124,29 @@ def test_pruned_search_is_exact_and_scores_less(spark, tmp_path, seed):
         matches = postings.join(queries, "term").count()
         shares.append(hits.agg(F.sum("rows")).first()[0] / matches)
     assert shares[1] < shares[0] and shares[1] < 0.3
+
+
+def test_term_counts_are_made_within_a_row(spark):
+    """Counts of a table of one text a key are not shuffled; several texts of one key are one text."""
+    docs = spark.createDataFrame([(1, "b A b"), (2, "é_1 知识 x"), (3, None), (4, "..")], "d long, text string")
+    rows = index.term_counts(docs, ["d"])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in rows.collect()) == [(1, "a", 1), (1, "b", 2), (2, "x", 1), (2, "é_1", 1), (2, "知", 1), (2, "知识", 1), (2, "识", 1)]
+    twice = docs.unionByName(spark.createDataFrame([(1, "b c")], "d long, text string"))
+    assert sorted(tuple(r) for r in index.term_counts(twice, ["d"]).where("d = 1").collect()) == [(1, "a", 1), (1, "b", 3), (1, "c", 1)]
+
+
+def test_a_text_without_empty_lines_is_one_row(spark):
+    """It isn't taken apart into lines, and has the paragraph that its lines give."""
+    texts = ["# A \r\nb\n \nc", "#  \nx", "one", " \n# B\nb", "x\n", "a\n\nb"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, text string")
+    rows = chunk.paragraphs(docs, ["d"])
+    got = sorted((r.d, r.nth, r.content, r.section, r.offset) for r in rows.collect())
+    assert got == [(0, 0, "# A \nb\n \nc", "# A", 0), (1, 0, "#  \nx", "", 0), (2, 0, "one", "", 0), (3, 0, "# B\nb", "# B", 2), (4, 0, "x", "", 0), (5, 0, "a", "", 0), (5, 1, "b", "", 3)]
+    assert "_all#" in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sentences_are_packed_by_length(spark):
+    docs = spark.createDataFrame([("aa. bb.  cc! d",), (" one ",), ("..x",), ("a" * 9 + ". b. c.",), ("",)], "text string")
+    got = [r.p for r in docs.select(chunk.packed(F.col("text"), 6).alias("p")).collect()]
+    assert got == [["aa. bb.", "cc! d"], [" one "], [". . x"], ["a" * 9 + ".", "b. c."], [""]]
