@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from spindle.functions import score as S
 from spindle.operators.search import top
+from spindle.operators.vectors import best_in_group, hits_schema, rounded
 from spindle.sources.store import kept
 
 #: Most centres (else the root of the number of vectors), vectors that centres are fitted to for each, rings of a centre, vectors of a part; first cells hold FIRST * k vectors.
@@ -132,34 +133,61 @@ class Cells:
         """Pairs that are compared: asked (query_id, vector, q_length, least, look) with the vectors of the cells to look into, but for those whose angle says that they can't reach `least`."""
         pairs = asked.select("query_id", "vector", "q_length", "least", F.inline("look")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         able = F.col("least").isNull() | (F.col("cell") == LOOSE) | (F.cos(F.col("t") - F.col("angle")) >= F.col("least") - SLACK)
-        return self.rows.join(pairs, ["cell", "part"]).where(able)
-
-
-def _scored(met: DataFrame, key: list[str]) -> DataFrame:
-    fits = F.size("embedding") == F.size("vector")
-    near = F.when(fits, S.dot(F.col("embedding"), F.col("vector")) / (F.col("v_length") * F.col("q_length"))).otherwise(F.lit(0.0))
-    return met.select("query_id", *key, F.round(near, S.DIGITS).alias("score")).where("score > 0")
-
-
-def passes(index: Cells, queries: DataFrame, key: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The best of the first cells (query_id, key, score), and the pairs that the first and the second pass compare. queries: (query_id, vector), ids distinct."""
+        # a query may look into all cells, so the pairs are far more than what is asked: they are never sent to all tasks
+        return self.rows.join(pairs.hint("merge"), ["cell", "part"]).where(able)
+
+    def best_met(self, asked: DataFrame, key: list[str], k: int) -> DataFrame:
+        """(query_id, key, score) of the pairs of `met`, among which are the k best of each query. Cells are taken together to groups of about as many vectors as a part, and a
+        query goes to a group once, with the cells of it that it looks into."""
+        groups = max(1, -(-(self.cells.agg(F.sum("n")).first()[0] or 0) // PART_ROWS))
+        of = F.pmod(F.col("cell"), F.lit(groups)).alias("of")
+        looked = asked.select("query_id", F.inline("look")).select("query_id", of, "cell", "t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        looked = looked.groupBy("query_id", "of", "part").agg(F.collect_list("cell").alias("cells"), F.collect_list("t").alias("ts"))
+        right = looked.join(asked.select("query_id", "vector", "least"), "query_id")
+        left = self.rows.select(*key, "embedding", "cell", "part", "angle", of)
+
+        def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            names, place = np.unique(v["cell"].to_numpy(), return_inverse=True)
+            angle, loose = v["angle"].to_numpy(), v["cell"].to_numpy() == LOOSE
+            t = np.full((len(q), len(names)), np.nan)
+            for i, (cells, ts) in enumerate(zip(q["cells"], q["ts"], strict=True)):
+                there = np.isin(cells, names)
+                t[i, np.searchsorted(names, np.asarray(cells)[there])] = np.asarray(ts)[there]
+            least = q["least"].astype(float).to_numpy()
+
+            def able(asked_rows: np.ndarray, rows: np.ndarray) -> np.ndarray:
+                to, low = t[asked_rows][:, place[rows]], least[asked_rows][:, None]
+                return ~np.isnan(to) & (np.isnan(low) | loose[rows] | (np.cos(to - angle[rows]) >= low - SLACK))
+
+            return best_in_group(v, q, key, k, able)
+
+        hits = left.groupBy("of", "part").cogroup(right.groupBy("of", "part")).applyInPandas(compare, hits_schema(asked, self.rows, key))
+        return rounded(hits)
+
+
+def _passes(index: Cells, queries: DataFrame, key: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best of the first cells (query_id, key, score), and what the first and the second pass ask (see `Cells.met`)."""
     choose = index.chooser(k)
     able = queries.withColumn("q_length", _length("vector")).where("q_length > 0 AND q_length < double('Infinity')")
     none = F.lit(None).cast("double")
     # models and cells may be far apart: what is asked is written once, and so are the first hits
-    asked = kept(able.withColumns({"least": none, "look": choose("vector", none)}), "asked")
-    first = index.met(asked, key)
-    hits = kept(top(_scored(first, key), k, key).drop("rank"), "first")
+    first = kept(able.withColumns({"least": none, "look": choose("vector", none)}), "asked")
+    hits = kept(top(index.best_met(first, key, k), k, key).drop("rank"), "first")
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("worst"))
-    known = asked.drop("least").withColumnRenamed("look", "seen").join(found, "query_id", "left")
+    known = first.drop("least").withColumnRenamed("look", "seen").join(found, "query_id", "left")
     least = F.when(F.col("found") >= k, F.col("worst")).otherwise(F.lit(0.0))
     more = known.withColumn("least", least).withColumn("all", choose("vector", "least"))
     was = F.transform("seen", lambda x: x["cell"])
-    second = more.withColumn("look", F.filter("all", lambda x: ~F.array_contains(was, x["cell"])))
-    return hits, first, index.met(second, key)
+    return hits, first, more.withColumn("look", F.filter("all", lambda x: ~F.array_contains(was, x["cell"])))
+
+
+def passes(index: Cells, queries: DataFrame, key: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best of the first cells (query_id, key, score), and the pairs that the first and the second pass compare. queries: (query_id, vector), ids distinct."""
+    hits, first, second = _passes(index, queries, key, k)
+    return hits, index.met(first, key), index.met(second, key)
 
 
 def best(index: Cells, queries: DataFrame, key: list[str], k: int) -> DataFrame:
     """(query_id, key, score) of vectors among which are the k best of each query, those of a score above 0 as `search.dense` gives them."""
-    hits, _, second = passes(index, queries, key, k)
-    return hits.unionByName(_scored(second, key))
+    hits, _, second = _passes(index, queries, key, k)
+    return hits.unionByName(index.best_met(second, key, k))

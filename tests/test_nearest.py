@@ -73,3 +73,31 @@ def test_no_vectors(spark, tmp_path):
     vectors = table(spark, [(1, [1, 0])])
     _, got, want = both(spark, vectors, of(vectors, "false"), str(tmp_path / "one"), 3)
     assert got == want == []
+
+
+@pytest.mark.parametrize("copies", [0, 300])
+def test_groups_give_what_all_pairs_give(spark, monkeypatch, copies):
+    """From groups of both tables, with copies, zero vectors, nulls and other sizes; nothing is crossed pair by pair."""
+    from spindle.operators import vectors as ve
+
+    monkeypatch.setattr(ve, "ROWS", 100)
+    monkeypatch.setattr(ve, "ASKED", 7)
+    rng = np.random.default_rng(3)
+    pairs = [(i, rng.normal(size=5)) for i in range(300)] + [(i, [1, 2, 3, 4, 5]) for i in range(300, 300 + copies)]
+    pairs += [(1000, [0] * 5), (1001, None), (1002, [1, 2]), (1003, [2, 1]), (1004, [1, None]), (1005, [])]
+    vectors = table(spark, pairs)
+    asked = of(vectors, "doc_id % 20 = 0 OR doc_id > 999")
+    got = se.top(ve.dense_best(vectors, asked, KEY, 4), 4, KEY)
+    assert rows(got) == rows(se.top(se.dense(vectors, asked, KEY), 4, KEY))
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_cells_are_not_broadcast(spark, tmp_path):
+    """However small the table of queries seems: each looks into many cells."""
+    rng = np.random.default_rng(1)
+    vectors = table(spark, [(i, rng.normal(size=6)) for i in range(300)])
+    nearest.write_cells(vectors, KEY, str(tmp_path / "cells"))
+    cells = nearest.Cells.read(spark, str(tmp_path / "cells"))
+    _, first, second = nearest.passes(cells, of(vectors, "doc_id % 10 = 0"), KEY, 5)
+    assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0] for df in (first, second))
+    assert "SortMergeJoin" in second._jdf.queryExecution().executedPlan().toString()
