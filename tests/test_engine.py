@@ -234,3 +234,15 @@ def test_postings_prune_by_term(spark, tmp_path):
     ix.write_postings(postings, str(tmp_path / "p"))
     plan = spark.read.parquet(str(tmp_path / "p")).where("term = 'fox'")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(term,fox)" in plan
+
+
+def test_a_batch_of_queries_is_summed_by_entry(spark):
+    """Rows of a query, an entry and a term are summed where the entry lies, and give the scores that a few queries get."""
+    texts = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(1, 12) if i % j == 0)) for i in range(1, 60)], "d long, text string")
+    postings, entries = ix.index(texts, ["d"])
+    queries = spark.createDataFrame([(q, f"w{j}") for q in range(1, 6) for j in range(q, 12, 2)], "query_id long, term string")
+    got = se.bm25(postings, entries, queries, ["d"], small=False)
+    want = se.bm25(postings, entries, queries, ["d"])
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    last = got._jdf.queryExecution().executedPlan().toString().split("Exchange")[0]
+    assert "BroadcastHashJoin" in last and last.count("HashAggregate") == 2  # both halves of the sum before any exchange
