@@ -56,6 +56,24 @@ def test_fusion(spark):
     assert se.hybrid(sparse.limit(0), dense, 0.5, ["d"]).count() == 2
 
 
+@pytest.mark.parametrize("small,alpha", [(True, "0.4"), (False, "CASE query_id WHEN 1 THEN 0.7 ELSE 0.0 END")])
+def test_best_of_fusion_is_that_of_all_ranks(spark, small, alpha):
+    # ties of score on both sides, one query of few hits, one without keyword hits, one row twice; n % 7 == 3 has no dense score
+    rows = spark.range(700).select(F.col("id").alias("n"), F.explode(F.expr("sequence(1L, 3L)")).alias("query_id"))
+    sparse = rows.where("query_id = 1 or (query_id = 2 and n < 5)").select("query_id", F.col("n").alias("d"), (F.expr("n * 7919 % 101") + 1.0).alias("score"))
+    dense = rows.where("n % 7 <> 3 and (query_id <> 2 or n < 4)").select("query_id", F.col("n").alias("d"), (F.expr("n * 104729 % 37") / 40 + 0.01).alias("score"))
+    dense = dense.unionByName(dense.where("d = 8"))
+    want, got = (se.top(se.trimmed(f), 5, ["d"]) for f in (se.hybrid(sparse, dense, F.expr(alpha), ["d"]), se.hybrid_best(sparse, dense, F.expr(alpha), ["d"], 5, small)))
+    found = [sorted(map(str, x.select("query_id", "rank", "d", "score", "sparse_rank", "dense_rank").collect())) for x in (got, want)]
+    assert found[0] == found[1] and len(found[0]) > 10
+
+
+@pytest.mark.parametrize("name", ["hybrid_alpha_by_query_type", "hybrid_rrf"])
+def test_fusion_reads_and_ranks_what_is_stored_only(spark, sf, name):
+    plan = registry.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "zip_with" not in plan and "FullOuter" not in plan and plan.count("Relation") <= 2
+
+
 def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 2.0], [2.0, 1.0]), ([1.0], [1.0, 2.0]), ([0.0], [1.0]), ([], [])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(S.cosine(F.col("a"), F.col("b"))).collect()] == pytest.approx([0.8, 0, 0, 0])
