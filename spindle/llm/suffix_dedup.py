@@ -28,9 +28,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, require, shuffle_partitions, table, written
-from .front_coded import sorted_groups
+from .front_coded import common_prefix, sorted_groups
 
 SPAN, K, SEGMENT, MAX_KINDS = 100, 32, 1 << 20, 20_000
+#: Windows that are hashed at once; suffixes of a batch.
+BLOCK, ROWS = 1 << 15, 10_000
 #: Bytes of suffixes, and of what stands left of them, that one task merges, about.
 PART_BYTES = 64 << 20
 NO_ID = (1 << 63) - 1
@@ -39,32 +41,40 @@ _TABLE = np.random.default_rng(11).integers(0, 1 << 64, 256, dtype=_U)
 
 
 def anchors(data: bytes, bounds: list[tuple[int, int]]) -> tuple[np.ndarray, ...]:
-    """Anchors of the texts data[a:b] for (a, b) in bounds: position, first and last window (starts), and hash.
-    Positions are in data."""
-    none = np.zeros(0, np.int64)
-    if len(data) < SPAN:
-        return none, none, none, np.zeros(0, _U)
-    h, width = _TABLE[np.frombuffer(data, np.uint8)], 1
-    while width < K:
-        h = h[:-width] * _U((0x9E3779B97F4A7C15 ^ (width * 0x1003F)) | 1) + h[width:]
-        width *= 2
-    h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
-    h ^= h >> _U(32)
-    low = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
-    span, width = SPAN - K + 1, 1
-    while 2 * width <= span:
-        low = np.minimum(low[:-width], low[width:])
-        width *= 2
-    if span > width:
-        low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
-    at = (low & _U(0xFFFFFFFF)).astype(np.int64)
-    starts = np.concatenate([none, *[np.arange(a, b - SPAN + 1) for a, b in bounds]])
-    if not len(starts):
-        return none, none, none, np.zeros(0, _U)
-    own = at[starts]
-    new = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-    first, last = starts[new], starts[np.append(new[1:], len(starts)) - 1]
-    return own[new], first, last, h[own[new]]
+    """Anchors of the texts data[a:b] for ascending (a, b) in bounds: position, first and last window (starts), and hash.
+    Positions are in data. Windows are hashed BLOCK at a time, so that what is computed stays in the processor's cache."""
+    texts = np.array([x for x in bounds if x[1] - x[0] >= SPAN], np.int64).reshape(-1, 2)
+    begins, stops = texts[:, 0], texts[:, 1] - SPAN + 1
+    if not len(texts):
+        return *[np.zeros(0, np.int64)] * 3, np.zeros(0, _U)
+    raw, windows = np.frombuffer(data, np.uint8), len(data) - SPAN + 1
+    found = []
+    for lo in range(0, windows, BLOCK):
+        hi = min(lo + BLOCK, windows)
+        h, width = _TABLE[raw[lo : hi + SPAN - 1]], 1
+        while width < K:
+            h = h[:-width] * _U((0x9E3779B97F4A7C15 ^ (width * 0x1003F)) | 1) + h[width:]
+            width *= 2
+        h = (h ^ (h >> _U(32))) * _U(0xD6E8FEB86659FD93)
+        h ^= h >> _U(32)
+        low = (h & _U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=_U)
+        span, width = SPAN - K + 1, 1
+        while 2 * width <= span:
+            low = np.minimum(low[:-width], low[width:])
+            width *= 2
+        if span > width:
+            low = np.minimum(low[: len(low) - (span - width)], low[span - width :])
+        edges = [x[np.searchsorted(x, lo) : np.searchsorted(x, hi)] - lo for x in (begins, stops)]
+        starts = np.unique(np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1, *edges]))
+        at = (low[starts] & _U(0xFFFFFFFF)).astype(np.int64)
+        found.append((starts + lo, at + lo, h[at]))
+    first, at, h = (np.concatenate(c) for c in zip(*found, strict=True))
+    after, text = np.append(first[1:], windows), np.searchsorted(begins, first, "right") - 1
+    own = (text >= 0) & (first < stops[text])
+    first, at, h, after, text = first[own], at[own], h[own], after[own], text[own]
+    # what only a block's edge parts is one
+    new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
+    return at[new], first[new], after[np.append(new[1:], len(first)) - 1] - 1, h[new]
 
 
 def segments(texts: list[bytes]) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
@@ -147,10 +157,15 @@ def _suffixes(live: DataFrame, several: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for tie, t, body, pieces in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                rows = [(tie, t, p["first"], p["last"], p["at"], p["n"], body[p["first"] : p["at"]], body[p["at"] : p["last"] + SPAN]) for p in pieces]
-                kinds = [pa.int64()] * 6 + [pa.binary()] * 2
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            bodies, pieces = batch.column(2).to_pylist(), batch.column(3).flatten()
+            rows = np.repeat(np.arange(batch.num_rows), batch.column(3).value_lengths().to_numpy())
+            for i in range(0, len(rows), ROWS):
+                row, own = rows[i : i + ROWS], pieces.slice(i, ROWS)
+                first, last, at, n = own.flatten()
+                places = list(zip(row.tolist(), first.to_pylist(), at.to_pylist(), last.to_pylist(), strict=True))
+                left = pa.array([bodies[k][f:a] for k, f, a, _ in places], pa.binary())
+                suffix = pa.array([bodies[k][a : b + SPAN] for k, _, a, b in places], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), first, last, at, n, left, suffix], names)
 
     joined = live.join(wanted, ["tie", "t"]).select("tie", "t", "body", "pieces")
     return joined.mapInArrow(run, "tie long, t long, first long, last long, at long, n long, left binary, suffix binary")
@@ -173,9 +188,21 @@ def _sorted_repeats(entries: Iterator[tuple[int, bytes, tuple]]) -> Iterator[pa.
     """Covered bytes (tie, t, lo, hi) from suffixes in order: groups share K bytes; payload: tie, t, first, last, at, left."""
     out: list[tuple[int, int, int, int]] = []
 
+    def pair(a: tuple, b: tuple, shared: int) -> None:
+        """Of two suffixes the equal windows begin at neighbouring places: as far left of the anchors as the bytes there are the same."""
+        least = max(SPAN - shared, a[4] - a[3], b[4] - b[3])
+        if least <= min(len(a[5]), len(b[5])):
+            most = common_prefix(a[5][::-1], b[5][::-1])
+            if least <= most:
+                tie, t, at = max((a[0], a[1], a[4]), (b[0], b[1], b[4]))
+                out.append((tie, t, at - most, at - least + SPAN))
+
     def close(group: list[tuple[int, bytes, tuple]]) -> None:
         if len(group) < 2:
             return
+        if len(group) == 2:
+            pair(*[p for _, _, p in group], group[1][0])
+            return
         repeats: list[list[int]] = [[] for _ in group]
         reach = [(at - last, at - first) for _, _, (_, _, first, last, at, _) in group]  # bytes of a window left of the anchor
         for d in range(min(r[0] for r in reach), max(r[1] for r in reach) + 1):

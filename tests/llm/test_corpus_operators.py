@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -164,6 +165,39 @@ def test_suffix_dedup_of_nothing(spark):
     assert S.deduplicated(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_two_suffixes_are_compared_once():
+    class Left(bytes):
+        cuts = 0
+
+        def __getitem__(self, at):
+            Left.cuts += 1
+            return bytes.__getitem__(self, at)
+
+    def found(shared, *members):
+        return [tuple(r.values()) for b in S._sorted_repeats(iter([(0, b"", members[0]), (shared, b"", members[1])])) for r in b.to_pylist()]
+
+    a, b = (1, 5, 10, 60, 70, Left(b"x" * 20 + b"y" * 40)), (1, 5, 200, 258, 262, Left(b"y" * 62))
+    # windows that start 30 to 40 bytes left of the anchors are equal
+    assert found(70, a, b) == found(70, b, a) == [(1, 5, 222, 332)] and Left.cuts <= 4
+    assert found(59, a, b) == [] and found(60, a, b) == [(1, 5, 222, 322)]
+    assert found(70, a, (0, 9, *b[2:])) == [(1, 5, 30, 140)]
+
+
+def test_anchors_are_found_in_the_cache_and_blocks_change_none(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 100, 400_000, dtype=np.uint8).tobytes() + b"a" * 5000
+    bounds = [(0, 150_000), (150_000, 150_099), (150_099, 150_199), (150_199, 405_000)]
+    tracemalloc.start()
+    found = S.anchors(data, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * len(data)  # hashes of all windows at once took over 40 bytes each
+    for block in (1000, 1 << 20):
+        monkeypatch.setattr(S, "BLOCK", block)
+        assert all((a == b).all() for a, b in zip(found, S.anchors(data, bounds), strict=True))
+    windows = np.concatenate([np.arange(a, b + 1) for a, b in zip(found[1], found[2], strict=True)])
+    assert windows.tolist() == [w for a, b in bounds for w in range(a, b - S.SPAN + 1)]
+
+
 def test_anchors_cover_every_window_alike():
     rng = random.Random(7)
     text = bytes(rng.choice(b"abc") for _ in range(900))
