@@ -60,6 +60,11 @@ def _angles(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(x @ centres.T / np.linalg.norm(x, axis=1, keepdims=True), -1, 1))
 
 
+def _widest(least: np.ndarray | float) -> np.ndarray:
+    """The widest angle to a vector that can have a cosine of least."""
+    return np.arccos(np.clip(least - SLACK, -1, 1)) + 1e-9
+
+
 def write_cells(vectors: DataFrame, key: list[str], path: str, clusters: int = CLUSTERS) -> None:
     """Below path: centres (cluster, centre), rows (key, embedding, v_length, cell, part, angle) in the order of cells, and cells (cell, cluster, n, low, high, parts). vectors: (key, embedding)."""
     spark = vectors.sparkSession
@@ -164,9 +169,58 @@ class Cells:
         hits = left.groupBy("of", "part").cogroup(right.groupBy("of", "part")).applyInPandas(compare, hits_schema(asked, self.rows, key))
         return rounded(hits)
 
+    def best_rest(self, known: DataFrame, key: list[str], k: int) -> DataFrame:
+        """`best_met` of all cells that a query (query_id, vector, seen, least) has not seen and that can reach `least`. A query may look into all cells, so they are never listed: it names the groups
+        that have such a cell, a few numbers, and what it compares there is found in the group from the centres."""
+        centres = np.array([r.centre for r in self.centres.orderBy("cluster").collect()])
+        cells = self.cells.orderBy("cell").toPandas()
+        cell, cluster, low, high, parts = (cells[c].to_numpy() for c in ("cell", "cluster", "low", "high", "parts"))
+        size = centres.shape[1] if len(centres) else -1
+        groups, most = max(1, -(-int(cells["n"].sum()) // PART_ROWS)), max(1, int(parts.max(initial=1)))
+        loose = cell == LOOSE
+        places = np.concatenate([np.zeros(0, int), *[c % groups * most + np.arange(p) for c, p in zip(cell, parts, strict=True)]]).astype(int)
+        owner = np.repeat(np.arange(len(cell)), parts)
+
+        def one(v: np.ndarray, least: float, seen: np.ndarray) -> list[int]:
+            able = loose.copy()
+            if len(v) == size:
+                t = _angles(v[None], centres)[0][cluster[~loose]]
+                able[~loose] = np.maximum(0, np.maximum(t - high[~loose], low[~loose] - t)) <= _widest(least)
+            able &= ~np.isin(cell, seen)
+            return np.unique(places[able[owner]]).tolist()
+
+        @F.pandas_udf("array<int>")
+        def places_of(vectors: pd.Series, least: pd.Series, seen: pd.Series) -> pd.Series:
+            return pd.Series([one(np.asarray(v, float), x, np.asarray(s, int)) for v, x, s in zip(vectors, least, seen, strict=True)], dtype=object)
+
+        def compare(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+            names, place = np.unique(v["cell"].to_numpy(), return_inverse=True)
+            angle, single = v["angle"].to_numpy(), names == LOOSE
+            seen = np.array([np.isin(names, np.asarray(s, int)) for s in q["seen"]], bool).reshape(len(q), len(names))
+            wide = _widest(q["least"].to_numpy())
+
+            def able(asked_rows: np.ndarray, rows: np.ndarray) -> np.ndarray:
+                own = place[rows]
+                if single[own].all():
+                    return ~seen[asked_rows][:, own]
+                # those of the size of the centres, as sizes are compared apart
+                t = np.zeros((len(asked_rows), len(names)))
+                t[:, ~single] = _angles(np.stack(q["vector"].to_numpy()[asked_rows]).astype(float), centres[names[~single] // RINGS])
+                t[seen[asked_rows]] = np.inf
+                return np.abs(t[:, own] - angle[rows]) <= wide[asked_rows][:, None]
+
+            return best_in_group(v, q, key, k, able)
+
+        at = F.explode(places_of("vector", "least", "seen"))
+        right = known.select("query_id", "vector", "least", "seen", at.alias("at")).withColumns({"of": F.expr(f"at div {most}").cast("int"), "part": (F.col("at") % most).cast("int")}).drop("at")
+        left = self.rows.select(*key, "embedding", "cell", "part", "angle", F.pmod(F.col("cell"), F.lit(groups)).alias("of"))
+        hits = left.groupBy("of", "part").cogroup(right.groupBy("of", "part")).applyInPandas(compare, hits_schema(known, self.rows, key))
+        return rounded(hits)
+
 
-def _passes(index: Cells, queries: DataFrame, key: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The best of the first cells (query_id, key, score), and what the first and the second pass ask (see `Cells.met`)."""
+def _found(index: Cells, queries: DataFrame, key: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The best of the first cells (query_id, key, score), what the first pass asks (see `Cells.met`), and the queries with the score that they have to reach from then on:
+    (query_id, vector, q_length, seen, least)."""
     choose = index.chooser(k)
     able = queries.withColumn("q_length", _length("vector")).where("q_length > 0 AND q_length < double('Infinity')")
     none = F.lit(None).cast("double")
@@ -174,20 +228,20 @@ def _passes(index: Cells, queries: DataFrame, key: list[str], k: int) -> tuple[D
     first = kept(able.withColumns({"least": none, "look": choose("vector", none)}), "asked")
     hits = kept(top(index.best_met(first, key, k), k, key).drop("rank"), "first")
     found = hits.groupBy("query_id").agg(F.count(F.lit(1)).alias("found"), F.min("score").alias("worst"))
-    known = first.drop("least").withColumnRenamed("look", "seen").join(found, "query_id", "left")
+    known = first.drop("least").withColumn("look", F.transform("look", lambda x: x["cell"])).withColumnRenamed("look", "seen").join(found, "query_id", "left")
     least = F.when(F.col("found") >= k, F.col("worst")).otherwise(F.lit(0.0))
-    more = known.withColumn("least", least).withColumn("all", choose("vector", "least"))
-    was = F.transform("seen", lambda x: x["cell"])
-    return hits, first, more.withColumn("look", F.filter("all", lambda x: ~F.array_contains(was, x["cell"])))
+    return hits, first, known.withColumn("least", least).drop("found", "worst")
 
 
 def passes(index: Cells, queries: DataFrame, key: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The best of the first cells (query_id, key, score), and the pairs that the first and the second pass compare. queries: (query_id, vector), ids distinct."""
-    hits, first, second = _passes(index, queries, key, k)
+    """The best of the first cells (query_id, key, score), and the pairs that the first and the second pass compare, as rows: to see how many they are. queries: (query_id, vector), ids distinct."""
+    hits, first, known = _found(index, queries, key, k)
+    more = known.withColumn("all", index.chooser(k)("vector", "least"))
+    second = more.withColumn("look", F.filter("all", lambda x: ~F.array_contains("seen", x["cell"])))
     return hits, index.met(first, key), index.met(second, key)
 
 
 def best(index: Cells, queries: DataFrame, key: list[str], k: int) -> DataFrame:
     """(query_id, key, score) of vectors among which are the k best of each query, those of a score above 0 as `search.dense` gives them."""
-    hits, _, second = _passes(index, queries, key, k)
-    return hits.unionByName(index.best_met(second, key, k))
+    hits, _, known = _found(index, queries, key, k)
+    return hits.unionByName(index.best_rest(known, key, k))

@@ -101,3 +101,15 @@ def test_pairs_of_cells_are_not_broadcast(spark, tmp_path):
     _, first, second = nearest.passes(cells, of(vectors, "doc_id % 10 = 0"), KEY, 5)
     assert not any("Broadcast" in df._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[0] for df in (first, second))
     assert "SortMergeJoin" in second._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cells_that_can_reach_a_score_are_not_listed(spark, tmp_path, monkeypatch):
+    """Of vectors without clusters a query may look into all cells: only its first ones are made rows, the others are named by the groups that they lie in, 20 at most here."""
+    monkeypatch.setattr(nearest, "PART_ROWS", 50)
+    asked_for, own = [], nearest.Cells.chooser
+    monkeypatch.setattr(nearest.Cells, "chooser", lambda self, k: lambda vector, least: asked_for.append(least) or own(self, k)(vector, least))
+    rng = np.random.default_rng(2)
+    vectors = table(spark, [(i, rng.normal(size=6)) for i in range(1000)])
+    cells, got, want = both(spark, vectors, of(vectors, "doc_id % 20 = 0"), str(tmp_path / "cells"), 7)
+    assert got == want and cells.cells.count() > 200
+    assert len(asked_for) == 1 and not isinstance(asked_for[0], str)  # null: the first cells
