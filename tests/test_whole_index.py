@@ -6,7 +6,7 @@ import pytest
 from compare import rows
 from spindle.plans import registry
 
-NAMES = ["bm25_batch_queries", "hybrid_alpha_by_query_type"]
+NAMES = ["bm25_batch_queries", "hybrid_alpha_by_query_type", "search_all_kbs"]
 
 
 @pytest.mark.parametrize("name", NAMES)
