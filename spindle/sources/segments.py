@@ -45,11 +45,12 @@ def digest(columns: list[str]) -> list[Column]:
 
 @dataclass(frozen=True)
 class Store:
-    """key: columns of a document's name, never null."""
+    """key: columns of a document's name, never null. terms: most frequent terms of a chunk that a new store indexes, all if 0; a store that has commits keeps to what it began with."""
 
     spark: SparkSession
     path: str
     key: tuple[str, ...] = ("doc_id",)
+    terms: int = ix.TOP_TERMS
 
     @property
     def log(self) -> CommitLog:
@@ -113,7 +114,7 @@ class Store:
 
     def _derived(self, chunks: DataFrame, at: str, names: tuple[str, ...] = DERIVED) -> dict:
         """Sections and both indexes of chunks, which are read from files."""
-        key, out = list(self.key), {}
+        key, out, n = list(self.key), {}, self._terms(self.log.read()[1])
         for name, rows, own, text in (("", None, [*key, "chunk_no"], "content"), ("section_", "sections", [*key, "section"], "content")):
             if rows and "sections" in names:
                 out["sections"] = self._write("sections", chunk.sections(chunks, key), at)
@@ -121,13 +122,16 @@ class Store:
                 continue
             source = chunks if not rows else self._again("sections", out["sections"]) if "sections" in out else chunk.sections(chunks, key)
             beside = [] if rows else ["section", "section_role"]
-            top = self._staged(f"{name}counted", ix.counted(source, [*own, *beside], text), at)
+            top = self._staged(f"{name}counted", ix.counted(source, [*own, *beside], text, n), at)
             if f"{name}postings" in names:
                 out[f"{name}postings"] = self._write(f"{name}postings", ix.by_term(top.select(*own, F.inline("top"))), at)
             if f"{name}entries" in names:
                 out[f"{name}entries"] = self._write(f"{name}entries", top.drop("top"), at)
         return out
 
+    def _terms(self, state: dict) -> int:
+        return state.get("terms", ix.TOP_TERMS if state else self.terms)
+
     def _publish(self, tables: dict, hidden: DataFrame, staging: str) -> int:
         """One commit of a segment. hidden (key, _from): whose older rows it hides, looked up again if another writer was first."""
         while True:
@@ -137,6 +141,7 @@ class Store:
                 if own != there:
                     raise ValueError(f"the columns of {name} are {there}, not {own}")
             new = version + 1
+            state["terms"] = self._terms(state)
             if state.get("segments"):
                 there = self._live("documents", state).select(*self.key)
                 at = uuid.uuid4().hex

@@ -5,8 +5,9 @@ import pytest
 
 from compare import rows
 from spindle.plans import registry
+from spindle.sources.segments import Store
 
-NAMES = ["bm25_batch_queries", "hybrid_alpha_by_query_type", "search_all_kbs"]
+NAMES = ["bm25_batch_queries", "hybrid_alpha_by_query_type", "search_all_kbs", "store_search"]
 
 
 @pytest.mark.parametrize("name", NAMES)
@@ -23,3 +24,17 @@ def test_a_rare_term_finds_its_text(spark, tmp_path, name):
     for t in ("documents", "benchmark", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert rows(got) == rows(con.execute(registry.oracle_sql()[name]).fetchdf())
+
+
+def test_a_store_keeps_to_the_terms_that_it_began_with(spark, tmp_path):
+    many = " ".join(f"w{i:02d}" for i in range(60))
+    docs = lambda *ids: spark.createDataFrame([(i, many) for i in ids], "doc_id long, text string")
+    for terms, want in ((0, 60), (50, 50)):
+        path = str(tmp_path / f"store{terms}")
+        Store(spark, path, terms=terms).ingest(docs(1))
+        held = Store(spark, path, terms=7)
+        held.ingest(docs(2))
+        held.append(spark.createDataFrame([(1, many)], "doc_id long, text string"))
+        # chunk 1 of document 1 is what was appended
+        assert sorted(r["count"] for r in held.table("postings").groupBy("doc_id", "chunk_no").count().collect()) == [want] * 3
+        assert not held.verify()
