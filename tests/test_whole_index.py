@@ -7,7 +7,7 @@ from compare import rows
 from spindle.plans import registry
 from spindle.sources.segments import Store
 
-NAMES = ["bm25_batch_queries", "hybrid_alpha_by_query_type", "search_all_kbs", "store_search", "document_search"]
+NAMES = ["bm25_batch_queries", "hybrid_alpha_by_query_type", "search_all_kbs", "store_search", "document_search", "request_search"]
 
 
 @pytest.mark.parametrize("name", NAMES)
